@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,3 +37,17 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A side is broadcast only if it was counted and has no more rows than this.
+BROADCAST_ROWS = 20_000
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """df, with a broadcast hint if a count (cheap: df is cut or tiny) shows that its size allows it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def word_count(text: str) -> Column:
+    """Number of runs of characters other than ASCII white space; 0 for null."""
+    return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
