@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii, simhash
+from . import license_scan, mixing, pii, simhash
 from .common import table
 
 
@@ -16,10 +16,14 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op9_mixing": op9_mixing}
+QUERIES = {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op3_licenses": op3_licenses, "op9_mixing": op9_mixing}
 
 ORACLE_SQL = {"op9_mixing": mixing.ORACLE}
