@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, license_scan, mixing, pii, simhash
+from . import embedding_dedup, license_scan, mixing, mtree, pii, simhash
 from .common import table
 
 
@@ -24,10 +24,14 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op3_licenses": op3_licenses, "op4_embedding_dedup": op4_embedding_dedup, "op9_mixing": op9_mixing}
+QUERIES = {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op3_licenses": op3_licenses, "op4_embedding_dedup": op4_embedding_dedup, "op7_topk": op7_topk, "op9_mixing": op9_mixing}
 
-ORACLE_SQL = {"op9_mixing": mixing.ORACLE}
+ORACLE_SQL = {"op7_topk": mtree.ORACLE, "op9_mixing": mixing.ORACLE}
