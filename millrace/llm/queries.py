@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, license_scan, mixing, mtree, pii, simhash
+from . import embedding_dedup, license_scan, mixing, mtree, pii, quality, simhash
 from .common import table
 
 
@@ -32,6 +32,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op3_licenses": op3_licenses, "op4_embedding_dedup": op4_embedding_dedup, "op7_topk": op7_topk, "op9_mixing": op9_mixing}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.score(docs, quality.train(docs, labels))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op3_licenses": op3_licenses, "op4_embedding_dedup": op4_embedding_dedup, "op7_topk": op7_topk, "op9_mixing": op9_mixing, "op10_quality": op10_quality}
 
 ORACLE_SQL = {"op7_topk": mtree.ORACLE, "op9_mixing": mixing.ORACLE}
