@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, license_scan, mixing, mtree, pii, quality, simhash
+from . import embedding_dedup, license_scan, mixing, mtree, pii, quality, simhash, toxicity
 from .common import table
 
 
@@ -24,6 +24,11 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.score(docs, toxicity.train(docs, labels))
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -37,6 +42,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, labels))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op3_licenses": op3_licenses, "op4_embedding_dedup": op4_embedding_dedup, "op7_topk": op7_topk, "op9_mixing": op9_mixing, "op10_quality": op10_quality}
+QUERIES = {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op3_licenses": op3_licenses, "op4_embedding_dedup": op4_embedding_dedup, "op5_toxicity": op5_toxicity, "op7_topk": op7_topk, "op9_mixing": op9_mixing, "op10_quality": op10_quality}
 
 ORACLE_SQL = {"op7_topk": mtree.ORACLE, "op9_mixing": mixing.ORACLE}
