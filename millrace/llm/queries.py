@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, license_scan, mixing, mtree, pii, quality, simhash, toxicity
+from . import embedding_dedup, langid, license_scan, mixing, mtree, packing, pii, quality, simhash, toxicity
 from .common import table
 
 
@@ -29,10 +29,18 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, labels))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -42,6 +50,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, labels))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op3_licenses": op3_licenses, "op4_embedding_dedup": op4_embedding_dedup, "op5_toxicity": op5_toxicity, "op7_topk": op7_topk, "op9_mixing": op9_mixing, "op10_quality": op10_quality}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_pii, op3_licenses, op4_embedding_dedup, op5_toxicity, op6_language_id, op7_topk, op8_packing, op9_mixing, op10_quality)}
 
 ORACLE_SQL = {"op7_topk": mtree.ORACLE, "op9_mixing": mixing.ORACLE}
