@@ -75,8 +75,8 @@ def dataset_hash(rows: DataFrame, key: str, order: str, digits: int = 12) -> Dat
 
     Pieces keep any task from holding all ids; a piece is a range of 1024 values of ``order``.
     """
-    pieces = rows.groupBy(F.floor(F.col(order) / 1024).alias("piece")).agg(F.sort_array(F.collect_list(F.struct(order, key))).alias("ids"))
-    piece = F.sha2(F.array_join(F.transform("ids", lambda s: s[key].cast("string")), "\n"), 256)
+    pieces = rows.groupBy(F.floor(F.col(order) / 1024).alias("piece")).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("order"), F.col(key).alias("key")))).alias("ids"))
+    piece = F.sha2(F.array_join(F.transform("ids", lambda s: s["key"].cast("string")), "\n"), 256)
     whole = pieces.select("piece", piece.alias("digest")).agg(F.sort_array(F.collect_list(F.struct("piece", "digest"))).alias("d"))
     return whole.select(F.substring(F.sha2(F.array_join(F.transform("d", lambda s: s["digest"]), "\n"), 256), 1, digits).alias("hash"))
 

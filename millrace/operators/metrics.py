@@ -28,15 +28,20 @@ def running(groups: DataFrame, keys: Sequence[str], buckets: int = 1) -> DataFra
     don't sort in one task. The result is the same for any number of buckets.
     """
     if buckets > 1:
+        def beside(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+            """left with the columns of right, whose keys are renamed because both come from the same rows."""
+            named = right.select(*(F.col(c).alias(f"_{c}") if c in on else F.col(c) for c in right.columns))
+            if not on:
+                return left.crossJoin(named)  # one row
+            return left.join(named, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on]).drop(*(f"_{c}" for c in on))
+
         cuts = groups.groupBy(*keys).agg(F.percentile_approx("score", [i / buckets for i in range(1, buckets)]).alias("cuts"))
-        same = [groups[k].eqNullSafe(cuts[k]) for k in keys]
-        joined = groups.join(cuts, same) if keys else groups.crossJoin(cuts)  # cuts is one row then
-        groups = joined.select(*(groups[c] for c in groups.columns), F.size(F.filter("cuts", lambda c: c < F.col("score"))).alias("part"))
+        groups = beside(groups, cuts, keys).withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("score")))).drop("cuts")
         parts = groups.groupBy(*keys, "part").agg(F.sum("tp").alias("t"), F.sum("n").alias("m"))
         above = Window.partitionBy(*keys).orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
-        parts = parts.select(*keys, "part", *(F.coalesce(F.sum(c).over(above), F.lit(0.0)).alias(o) for c, o in (("t", "ot"), ("m", "om"))), F.sum("t").over(Window.partitionBy(*keys)).alias("ptp"))
-        on = [groups[k].eqNullSafe(parts[k]) for k in (*keys, "part")]
-        rows = groups.join(parts, on).select(*(groups[c] for c in groups.columns), "ot", "om", "ptp")
+        offset = lambda c, o: F.coalesce(F.sum(c).over(above), F.lit(0.0)).alias(o)
+        parts = parts.select(*keys, "part", offset("t", "ot"), offset("m", "om"), F.sum("t").over(Window.partitionBy(*keys)).alias("ptp"))
+        rows = beside(groups, parts, [*keys, "part"])
         down = Window.partitionBy(*keys, "part").orderBy(F.desc("score"))
         return rows.withColumns({"ctp": F.sum("tp").over(down) + F.col("ot"), "cn": F.sum("n").over(down) + F.col("om")}).drop("part", "ot", "om")
     down = Window.partitionBy(*keys).orderBy(F.desc("score"))

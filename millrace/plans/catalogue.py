@@ -1,6 +1,748 @@
-"""Queries and their SQL over the driver's tables, one entry per operator of the survey."""
+"""Queries and their SQL over the driver's tables, one entry for each operator of the survey."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from millrace.functions import scalar as S
+from millrace.operators import bags as B
+from millrace.operators import baselines, bootstrap, folds, ingest, lineage, metrics, pooling, reports
+from millrace.sources import audio
+from millrace.sources.tables import table
+
+from . import grounding as G
+from .grounding import ap_sql
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLE_SQL[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(c: str):
+    return F.round(c, 6).alias(c)
+
+
+# ---------------------------------------------------------------- pooling
+
+for _p in ("mean", "max", "lme", "linear_softmax"):
+
+    @query(f"with {G.INSTANCES}, {G.POOLED} select bag_id, class, n, round({_p}, 6) as logit from pools", f"pool_{_p}")
+    def _pool(spark, d, p=_p):
+        return pooling.pool(G.instances(spark, d)).select("bag_id", "class", "n", F.round(p, 6).alias("logit"))
+
+
+@query(f"""with {G.INSTANCES},
+w as (select *, max(x) over b as top, count(*) over b as n, sum(1 / (1 + exp(-x))) over b as p1, row_number() over (b order by x desc, win_idx) as i from long window b as (partition by bag_id, class))
+select bag_id, class, win_idx, round(1.0::double / n, 6) as w_mean, (i = 1)::int::double as w_max,
+       round(exp(x - top) / sum(exp(x - top)) over (partition by bag_id, class), 6) as w_lme, round(1 / (1 + exp(-x)) / greatest(p1, 1e-6::double), 6) as w_linear_softmax from w""")
+def pool_weights(spark, d):
+    w = pooling.weights(G.instances(spark, d))
+    return w.select("bag_id", "class", "win_idx", r6("w_mean"), "w_max", r6("w_lme"), r6("w_linear_softmax"))
+
+
+@query(f"with {G.INSTANCES.replace('), long as', '), long0 as').replace('long as (select', 'all_long as (select')}, long as (select * from all_long where win_idx < 2), {G.POOLED} select bag_id, class, n, round(mean, 6) as mean, round(max, 6) as max, round(lme, 6) as lme, round(linear_softmax, 6) as linear_softmax from pools")
+def pool_truncated(spark, d):
+    return pooling.pool(pooling.truncated(G.instances(spark, d), 2)).select("bag_id", "class", "n", *map(r6, ("mean", "max", "lme", "linear_softmax")))
+
+
+_GATE = {"v": [[((i * 7 + j) % 5 - 2) / 4 for j in range(64)] for i in range(3)], "b": [0.1, 0.0, -0.1], "u": [[((i + j * 3) % 7 - 3) / 5 for j in range(64)] for i in range(3)], "c": [0.0, 0.2, 0.1], "w": [1.0, -0.5, 0.7], "d": 0.05}
+
+
+def _gate_sql() -> str:
+    def linear(row, bias):
+        return f"({bias}::double + list_sum(list_transform(list_zip(embedding, {row}::double[]), lambda p: p[1]::double * p[2]::double)))"
+
+    def tanh(x):
+        return f"(1 - 2 / (exp(2 * {x}) + 1))"
+
+    return f"{_GATE['d']}::double + " + " + ".join(f"({w}::double) * {tanh(linear(v, b))} / (1 + exp(-{linear(u, c)}))" for v, b, u, c, w in zip(*(_GATE[k] for k in "vbucw"), strict=True))
+
+
+@query(f"""with i as (select vec_id // 8 as bag_id, embedding[1]::double * 3 as x, {_gate_sql()} as gate from embeddings),
+e as (select *, exp(gate - max(gate) over (partition by bag_id)) as e from i) select bag_id, round(sum(e * x) / sum(e), 6) as attention from e group by bag_id""")
+def pool_attention_fixed(spark, d):
+    rows = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("bag_id"), (F.col("embedding")[0].cast("double") * 3).alias("x"), pooling.gate("embedding", **_GATE).alias("gate"))
+    return pooling.attention(rows, ("bag_id",)).select("bag_id", r6("attention"))
+
+
+@query(f"with {G.INSTANCES}, {G.POOLED} select bag_id, class, round(1 / (1 + exp(-mean)), 6) as p1, round(1 / (1 + exp(-(mean - ln(1 + exp(0.55::double))))), 6) as p2, round(1 / (1 + exp(-(mean - ln(1 + exp(0.55::double)) - ln(1 + exp(0.3::double))))), 6) as p3 from pools")
+def pool_ordinal(spark, d):
+    pools = pooling.pool(G.instances(spark, d))
+    return pools.select("bag_id", "class", *(F.round(S.sigmoid(x), 6).alias(f"p{k}") for k, x in enumerate(S.ordinal_logits(F.col("mean"), [0.55, 0.3]), 1)))
+
+
+@query(f"""with long as (select k::bigint * 100 + s as bag_id, 0 as class, i::int as win_idx, case when i < k then s / 2.0::double else -4.0::double end as x
+from range(13) t(k), range(9) u(s), range(12) v(i)), {G.POOLED} select bag_id, round(mean, 6) as mean, round(max, 6) as max, round(lme, 6) as lme, round(linear_softmax, 6) as linear_softmax from pools""")
+def pool_response_curve(spark, d):
+    calls, strength, windows = (spark.range(n).toDF(c) for n, c in ((13, "k"), (9, "s"), (12, "i")))
+    grid = calls.crossJoin(strength).crossJoin(windows)  # a fixed grid of 1404 rows
+    toy = grid.select((F.col("k") * 100 + F.col("s")).alias("bag_id"), F.lit(0).alias("class"), F.col("i").cast("int").alias("win_idx"), F.when(F.col("i") < F.col("k"), F.col("s") / 2).otherwise(-4.0).alias("x"))
+    return pooling.pool(toy).select("bag_id", *map(r6, ("mean", "max", "lme", "linear_softmax")))
+
+
+# ---------------------------------------------------------------- metrics
+
+_PC = "pooling, class"
+
+
+@query(f"with {G.SCORED}, {ap_sql('scored', _PC)} select pooling, class, round(ap, 6) as ap from aps")
+def flagship_ap(spark, d):
+    return metrics.average_precision(G.scored(spark, d), ["pooling", "class"]).select("pooling", "class", r6("ap"))
+
+
+@query(ORACLE_SQL["flagship_ap"])
+def ap_bucketed(spark, d):
+    return metrics.average_precision(G.scored(spark, d), ["pooling", "class"], buckets=16).select("pooling", "class", r6("ap"))
+
+
+@query(f"with {G.SCORED}, leveled as (select pooling, class, l.l::int as level, score, y from scored, range(1, 4) l(l) where lvl in (0, l.l)), {ap_sql('leveled', 'pooling, class, level')} select pooling, class, level, round(ap, 6) as ap from aps")
+def ap_by_level(spark, d):
+    rows = G.scored(spark, d).withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(3)))).where(F.col("lvl").isin(0) | (F.col("lvl") == F.col("level")))
+    return metrics.average_precision(rows, ["pooling", "class", "level"]).select("pooling", "class", "level", r6("ap"))
+
+
+@query(f"with {G.SCORED}, {ap_sql('scored', 'pooling, class, regime')} select pooling, class, regime, round(ap, 6) as ap from aps")
+def ap_by_regime(spark, d):
+    return metrics.average_precision(G.scored(spark, d), ["pooling", "class", "regime"]).select("pooling", "class", "regime", r6("ap"))
+
+
+@query(f"with {G.SCORED}, {ap_sql('scored', 'pooling, class, block')} select pooling, block, round(avg(ap), 6) as macro_skip, round(case when count(ap) = 2 then avg(ap) end, 6) as macro_all from aps group by pooling, block")
+def macro_ap(spark, d):
+    aps = metrics.average_precision(G.scored(spark, d), ["pooling", "class", "block"])
+    return metrics.macro(aps, ["pooling", "block"], 2).select("pooling", "block", r6("macro_skip"), r6("macro_all"))
+
+
+_B = 20
+_DRAWN = f"""
+clusters as (select distinct regime as stratum, block as cluster from bags),
+members as (select *, row_number() over (partition by stratum order by cluster) - 1 as i, count(*) over (partition by stratum) as size from clusters),
+picks as (
+  select b::int as b, stratum, floor(('0x' || substr(md5('0:' || b || ':' || stratum || ':' || i), 1, 8))::bigint * size / 4294967296.0::double)::int as i, count(*) as count
+  from members, range({_B}) t(b) group by all),
+drawn as (select b, stratum, cluster, count from picks join members using (stratum, i)),
+met as (select pooling, class, b, score, y, count as w from scored join drawn on stratum = regime and cluster = block)"""
+
+
+def _drawn(spark, d):
+    return bootstrap.draws(G.bags(spark, d).select(F.col("regime").alias("stratum"), F.col("block").alias("cluster")), _B)
+
+
+def _boots(spark, d):
+    rows = G.scored(spark, d).select("pooling", "class", F.col("regime").alias("stratum"), F.col("block").alias("cluster"), "score", "y")
+    return bootstrap.resampled_ap(rows, _drawn(spark, d), ["pooling", "class"])
+
+
+@query(f"with {G.SCORED}, {_DRAWN} select b, stratum, cluster, count from drawn")
+def block_draws(spark, d):
+    return _drawn(spark, d)
+
+
+_BOOTS = f"with {G.SCORED}, {_DRAWN}, {ap_sql('met', 'pooling, class, b', 'w', 'boots')}"
+
+
+@query(f"{_BOOTS} select pooling, class, b, round(ap, 6) as ap from boots")
+def ap_weighted_boot(spark, d):
+    return _boots(spark, d).select("pooling", "class", "b", r6("ap"))
+
+
+@query(f"{_BOOTS} select pooling, class, round(quantile_cont(ap, 0.025), 6) as lo, round(quantile_cont(ap, 0.975), 6) as hi from boots group by pooling, class")
+def ap_ci(spark, d):
+    return bootstrap.interval(_boots(spark, d), ["pooling", "class"]).select("pooling", "class", r6("lo"), r6("hi"))
+
+
+@query(f"""{_BOOTS}, {ap_sql('scored', _PC, name='points')},
+ds as (select m.pooling, m.class, m.ap - r.ap as d from boots m join boots r on r.pooling = 'mean' and m.class = r.class and m.b = r.b where m.pooling <> 'mean'),
+ends as (select pooling, class, quantile_cont(d, 0.025) as lo, quantile_cont(d, 0.975) as hi from ds group by pooling, class)
+select e.pooling, e.class, round(p.ap - r.ap, 6) as delta, round(lo, 6) as lo, round(hi, 6) as hi, case when lo > 0 then 'better' when hi < 0 then 'worse' else 'tied' end as verdict
+from ends e join points p using (pooling, class) join points r on r.pooling = 'mean' and r.class = e.class""")
+def paired_delta(spark, d):
+    points = metrics.average_precision(G.scored(spark, d), ["pooling", "class"])
+    out = bootstrap.paired(_boots(spark, d), points, F.col("pooling") == "mean", "pooling", ["class"])
+    return out.select("pooling", "class", r6("delta"), r6("lo"), r6("hi"), "verdict")
+
+
+_VAL = f"""
+val as (select s.*, ((fold + 4) % 5)::int as f from scored s),
+val_g as (select {_PC}, f, round(score, 9) as score, sum(y)::double as tp, count(*)::double as n from val group by all),
+val_r as (select *, sum(tp) over (partition by {_PC}, f order by score desc) / sum(n) over (partition by {_PC}, f order by score desc) as prec from val_g),
+cuts as (select {_PC}, f as fold, min(case when prec >= 0.25 then score end) as cutoff from val_r group by {_PC}, f)"""
+
+
+def _val_test(spark, d):
+    rows = G.scored(spark, d)
+    return rows.withColumn("fold", F.pmod(F.col("fold") - 1, F.lit(G.FOLDS))), rows
+
+
+@query(f"with {G.SCORED}, {_VAL} select pooling, class, fold, round(cutoff, 6) as cutoff from cuts")
+def val_cutoff(spark, d):
+    return metrics.cutoff(_val_test(spark, d)[0], ["pooling", "class", "fold"], 0.25).select("pooling", "class", "fold", r6("cutoff"))
+
+
+@query(f"""with {G.SCORED}, {_VAL}, flags as (select s.*, coalesce(round(score, 9) >= cutoff, false)::int as flag from scored s join cuts using (pooling, class, fold))
+select pooling, class, round(sum(flag * y) / nullif(sum(y), 0)::double, 6) as recall, round(sum(flag * y) / nullif(sum(flag), 0)::double, 6) as precision, any_value(none) as no_cutoff
+from flags join (select pooling, class, count(*) filter (where cutoff is null) as none from cuts group by all) using (pooling, class) group by pooling, class""")
+def recall_at_precision(spark, d):
+    return metrics.recall_at_precision(*_val_test(spark, d), ["pooling", "class"], 0.25).select("pooling", "class", r6("recall"), r6("precision"), "no_cutoff")
+
+
+@query("""with t as (select lang, n_chars::double as score, toxic as y from labels join documents using (doc_id)),
+r as (select *, rank() over (partition by lang order by score) + (count(*) over (partition by lang, score) - 1) / 2.0::double as rk from t)
+select lang, round((sum(rk * y) - sum(y) * (sum(y) + 1) / 2.0::double) / nullif(sum(y) * (count(*) - sum(y)), 0), 6) as auc from r group by lang""")
+def auc(spark, d):
+    rows = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").select("lang", F.col("n_chars").cast("double").alias("score"), F.col("toxic").alias("y"))
+    return metrics.auc(rows, ["lang"]).select("lang", r6("auc"))
+
+
+@query("""with t as (select lang, 1 / (1 + exp(-(n_chars - 1500) / 1000.0::double)) as score, quality as y from labels join documents using (doc_id))
+select lang, round((avg(case when y = 0 then (score < 0.5)::int end) + avg(case when y = 1 then (score >= 0.5)::int end)) / 2, 6) as balanced_accuracy from t group by lang""")
+def balanced_accuracy(spark, d):
+    rows = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").select("lang", S.sigmoid((F.col("n_chars") - 1500) / 1000).alias("score"), F.col("quality").alias("y"))
+    return metrics.balanced_accuracy(rows, ["lang"]).select("lang", r6("balanced_accuracy"))
+
+
+@query(f"""with {G.INSTANCES}, {G.POOLED},
+r as (select class, rank() over (partition by class order by mean) + (count(*) over (partition by class, mean) - 1) / 2.0::double as ra, rank() over (partition by class order by max) + (count(*) over (partition by class, max) - 1) / 2.0::double as rb
+      from (select class, round(mean, 9) as mean, round(max, 9) as max from pools)) select class, round(corr(ra, rb), 6) as rho from r group by class""")
+def spearman(spark, d):
+    rows = pooling.pool(G.instances(spark, d)).select("class", F.round("mean", 9).alias("mean"), F.round("max", 9).alias("max"))
+    return metrics.spearman(rows, "mean", "max", ["class"]).select("class", r6("rho"))
+
+
+_CELLS = f"""with {G.BAGS}, t as (select bag_id, regime, 0 as class, idx0 as lvl from bags union all select bag_id, regime, 1, idx1 from bags),
+cells as (
+  select 'presence' as kind, class, null::int as level, null as cell_regime, (lvl > 0)::int as y from t
+  union all select 'regime', class, null, regime, (lvl > 0)::int from t
+  union all select 'level', class, l::int, null, (lvl > 0)::int from t, range(1, 4) r(l) where lvl in (0, l))"""
+
+
+@query(f"{_CELLS} select kind, class, level, cell_regime, count(*) as n, sum(y)::bigint as n_pos from cells group by all")
+def cell_counts(spark, d):
+    cells = metrics.cells(G.bags(spark, d), ["idx0", "idx1"], 3)
+    return cells.groupBy("kind", "class", "level", "cell_regime").agg(F.count("*").alias("n"), F.sum("y").alias("n_pos"))
+
+
+@query(f"{_CELLS} select class, level, sum(y)::bigint as n, round(sum(y) / count(*)::double, 6) as chance from cells where kind = 'level' group by class, level having sum(y) >= 5")
+def level_chance(spark, d):
+    return reports.level_table(metrics.cells(G.bags(spark, d), ["idx0", "idx1"], 3)).select("class", "level", "n", r6("chance"))
+
+
+@query(f"{_CELLS} select class, cell_regime as regime, count(*) as n_bags, sum(y)::bigint as n_pos, round(avg(y), 6) as prevalence from cells where kind = 'regime' group by class, cell_regime")
+def regime_prevalence(spark, d):
+    return reports.regime_table(metrics.cells(G.bags(spark, d), ["idx0", "idx1"], 3)).select("class", "regime", "n_bags", "n_pos", r6("prevalence"))
+
+
+@query(f"with {G.SCORED} select pooling, class, regime, round(quantile_cont(score, 0.95), 6) as tail from scored where y = 0 group by pooling, class, regime")
+def silent_tail(spark, d):
+    rows = G.scored(spark, d).where("y = 0").groupBy("pooling", "class", "regime")
+    return rows.agg(F.round(F.expr("percentile(score, 0.95D)"), 6).alias("tail"))
+
+
+@query(f"""with {G.SCORED}, spread as (select bag_id, stddev_pop(score) as sd, any_value(lvl) as lvl from scored where class = 0 and lvl > 0 group by bag_id)
+select bag_id, round(sd, 6) as sd from spread order by (lvl = 1) desc, round(sd, 9) desc, bag_id limit 1""")
+def most_disagreeing(spark, d):
+    rows = G.scored(spark, d).where("class = 0").select("bag_id", "score", F.col("lvl").alias("index"))
+    return reports.most_disagreeing(rows).select("bag_id", r6("sd"))
+
+
+# ---------------------------------------------------------------- bags
+
+@query(f"with {G.CLIPS} select hour, n_clips, sample_rate, round(bag_duration_s, 2) as bag_duration_s, clip_frac_max, qc_ok from hours")
+def bag_hours(spark, d):
+    return B.hours(G.clips(spark, d)).select("hour", "n_clips", "sample_rate", F.round("bag_duration_s", 2).alias("bag_duration_s"), "clip_frac_max", "qc_ok")
+
+
+@query(f"""with {G.CLIPS}, usual as (
+  select sample_rate, year(hour) as year, n_clips, row_number() over (partition by sample_rate, year(hour) order by count(*) desc, min(hour), n_clips) as i from hours group by sample_rate, year(hour), n_clips)
+select hour, case when h.sample_rate = 0 then 'mixed' else case h.sample_rate when 44100 then '44k' else (h.sample_rate // 1000)::varchar || 'k' end || '-' || u.n_clips || 'clip' end as regime
+from hours h join usual u on h.sample_rate = u.sample_rate and year(h.hour) = u.year and u.i = 1""")
+def regime_mode(spark, d):
+    return B.regimes(B.hours(G.clips(spark, d))).select("hour", "regime")
+
+
+_ANN = """ann as (select date_trunc('hour', ts)::timestamp as hour, event_id as line, (value > 50)::int as idx0, user_id % 4 as idx1 from events where event_type = 'purchase'),
+labels_ as (select *, row_number() over (partition by hour order by line desc) as i from ann)"""
+
+
+def _annotations(spark, d):
+    e = table(spark, d, "events").where("event_type = 'purchase'")
+    return e.select(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), F.col("event_id").alias("line"), (F.col("value") > 50).cast("int").alias("idx0"), (F.col("user_id") % 4).alias("idx1"))
+
+
+@query(f"with {G.CLIPS}, {_ANN} select hour, n_clips, idx0, idx1 from hours join labels_ using (hour) where qc_ok and i = 1")
+def labelled_hours(spark, d):
+    return B.labelled(B.hours(G.clips(spark, d)), _annotations(spark, d)).select("hour", "n_clips", "idx0", "idx1")
+
+
+@query(f"with {G.CLIPS}, {_ANN} select hour, n_clips from hours where hour not in (select hour from ann)")
+def hours_without_labels(spark, d):
+    return B.hours(G.clips(spark, d)).join(_annotations(spark, d), "hour", "left_anti").select("hour", "n_clips")
+
+
+@query(f"with {G.BAGS} select bag_id, block, fold from bags")
+def day_blocks(spark, d):
+    return G.bags(spark, d).select("bag_id", "block", "fold")
+
+
+_STATS = f"""with {G.BAGS}, modes as (select block, regime, row_number() over (partition by block order by count(*) desc, min(ts), regime) as i from bags group by block, regime),
+stats as (select b.block, count(*) as bags, sum((idx0 > 0)::int)::bigint as p0, sum((idx1 > 0)::int)::bigint as p1, any_value(m.regime) as regime from bags b join modes m on b.block = m.block and m.i = 1 group by b.block)"""
+
+
+def _stats(spark, d):
+    rows = G.bags(spark, d).withColumns({f"p{c}": (F.col(f"idx{c}") > 0).cast("int") for c in (0, 1)})
+    return B.block_stats(rows, ["p0", "p1"], "ts").select("block", "bags", "p0", "p1", "regime")
+
+
+@query(f"{_STATS} select * from stats")
+def block_stats(spark, d):
+    return _stats(spark, d)
+
+
+@query(f"with {G.BAGS} select f::int as f, case when fold = f then 'test' when fold = (f + 1) % 5 then 'val' else 'train' end as role, count(*) as n, sum(idx0)::bigint as s from bags, range(5) t(f) group by all")
+def fold_roles(spark, d):
+    return B.fold_roles(G.bags(spark, d), G.FOLDS).groupBy("f", "role").agg(F.count("*").alias("n"), F.sum("idx0").alias("s"))
+
+
+@query(f"""{_STATS}, long as (select block, r.r as part, m, v from (select block, regime, unnest(['bags', 'p0', 'p1']) as m, unnest([bags, p0, p1]) as v from stats), unnest([null, regime]) r(r)),
+got as (select t::bigint as deal, part, m, f, coalesce(sum(v) filter (where (block * (t + 1) + t) % 5 = f), 0) as got, sum(v) as total from long, range(6) a(t), range(5) b(f) group by all)
+select deal, round(sum(case when m = 'bags' then 1 else 5 end * case when part is null then 1 else 0.5::double end * abs(got / total::double - 0.2::double)), 6) as score from got where total > 0 group by deal""")
+def fold_objective(spark, d):
+    stats = _stats(spark, d)
+    deals = stats.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))).alias("deal")).withColumn("fold", ((F.col("block") * (F.col("deal") + 1) + F.col("deal")) % 5).cast("int"))
+    return folds.objective(stats, deals, ["bags", "p0", "p1"], G.FOLDS).select("deal", r6("score"))
+
+
+@query()
+def fold_search(spark, d):
+    month = G.bags(spark, d).withColumns({"block": F.floor(F.col("block") / 20).cast("int"), "p0": (F.col("idx0") > 0).cast("int"), "p1": (F.col("idx1") > 0).cast("int")})
+    return folds.assign(B.block_stats(month, ["p0", "p1"], "ts"), ["bags", "p0", "p1"], G.FOLDS, tries=200)
+
+
+@query("""with d as (select doc_id, n_chars::bigint as ms from documents), n as (select *, ms // 5000 + ((ms % 5000) * 2 >= 5000)::int as n from d)
+select doc_id, i::int as win_idx, i * 5000 / 1000.0::double as start_s, least((i + 1) * 5000, ms) / 1000.0::double as end_s from n, range(n.n) t(i)""")
+def windows_expand(spark, d):
+    clips = table(spark, d, "documents").select("doc_id", (F.col("n_chars") / 1000).alias("duration_s"))
+    return B.expand_windows(clips).select("doc_id", "win_idx", "start_s", "end_s")
+
+
+@query("""select event_id, 'site_' || strftime(ts, '%Y%m%d_%H') || '_' || strftime(ts, '%H%M%S') || '_' || printf('%07.2f', (event_id % 12) * 5.0::double) as instance_id,
+minute(ts) * 60 + second(ts) as offset_in_hour_s from events""")
+def instance_id(spark, d):
+    e = table(spark, d, "events")
+    ids = B.instance_ids(F.concat(F.lit("site_"), F.date_format("ts", "yyyyMMdd_HH")), F.col("ts"), (F.col("event_id") % 12) * F.lit(5.0))
+    return e.select("event_id", ids.alias("instance_id"), (F.minute("ts").cast("long") * 60 + F.second("ts")).alias("offset_in_hour_s"))
+
+
+@query(f"with {G.FILES} select doc_id, regexp_matches(name, '^(.+)_(\\d{{8}})_(\\d{{6}})\\.wav$') as parsed, lower(name) like '%.wav' as wav, case when regexp_matches(name, '\\.wav$') then try_strptime(regexp_extract(name, '_(\\d{{8}}_\\d{{6}})', 1), '%Y%m%d_%H%M%S') end as start from files")
+def parse_names(spark, d):
+    f = G.files(spark, d).withColumn("p", S.name_parts(F.col("name")))
+    return f.select("doc_id", F.col("p").isNotNull().alias("parsed"), S.is_wav(F.col("name")).alias("wav"), "p.start")
+
+
+@query("""with p as (select o_orderkey // 1024 as piece, sha256(string_agg(o_orderkey::varchar, chr(10) order by o_orderkey)) as digest from orders group by 1)
+select substr(sha256(string_agg(digest, chr(10) order by piece)), 1, 12) as hash from p""")
+def dataset_hash(spark, d):
+    return B.dataset_hash(table(spark, d, "orders"), "o_orderkey", "o_orderkey")
+
+
+@query("""with p as (select label, generate_subscripts(embedding, 1) - 1 as dim, unnest(embedding)::double as v from embeddings)
+select label, dim::int as dim, round(avg(v), 6) as mean, round(stddev_samp(v) + 1e-6::double, 6) as sd from p group by label, dim""")
+def standardise(spark, d):
+    return B.standardise_stats(table(spark, d, "embeddings"), ["label"], "embedding").select("label", "dim", r6("mean"), r6("sd"))
+
+
+@query(f"with {G.BAGS} select fold, l::int as level, count(*) filter (where idx0 >= l) as n_pos, round(count(*) filter (where idx0 < l) / greatest(count(*) filter (where idx0 >= l), 1)::double, 6) as pos_weight from bags, range(1, 4) t(l) group by fold, l")
+def cum_pos_weight(spark, d):
+    return B.positive_weights(G.bags(spark, d), ["fold"], "idx0", 3).select("fold", "level", "n_pos", r6("pos_weight"))
+
+
+@query(f"with {G.BAGS}, r as (select f, count(*) filter (where idx1 > 0) as p, count(*) as n from bags, range(5) t(f) where fold <> f and fold <> (f + 1) % 5 group by f) select f::int as f, p as n_pos, round((n - p) / greatest(p, 1)::double, 6) as pos_weight from r")
+def pos_weight(spark, d):
+    train = B.fold_roles(G.bags(spark, d), G.FOLDS).where("role = 'train'")
+    return B.positive_weights(train, ["f"], "idx1", 1).select("f", "n_pos", r6("pos_weight"))
+
+
+# ---------------------------------------------------------------- baselines
+
+@query(f"""with {G.BAGS}, t as (select bag_id, fold, (idx0 > 0)::int as y, dayofweek(ts) as wd, month(ts) as mo from bags),
+own as (select f, wd, mo, avg(y) as rate from t, range(5) r(f) where fold <> f group by all), prior as (select f, avg(y) as rate from t, range(5) r(f) where fold <> f group by all)
+select bag_id, fold, y, round(coalesce(o.rate, p.rate), 6) as score from t join prior p on p.f = fold left join own o on o.f = fold and o.wd = t.wd and o.mo = t.mo""")
+def clock_baseline(spark, d):
+    rows = G.bags(spark, d).withColumns({"p": (F.col("idx0") > 0).cast("int"), "wd": F.dayofweek("ts"), "mo": F.month("ts")})
+    return baselines.clock(rows, "p", ["wd", "mo"]).select("bag_id", "fold", "y", r6("score"))
+
+
+@query("select vec_id // 8 as bag_id, round(max(greatest(embedding[1], embedding[4], embedding[10])::double), 6) as score from embeddings group by 1")
+def zero_shot_max(spark, d):
+    return baselines.zero_shot(table(spark, d, "embeddings"), F.floor(F.col("vec_id") / 8), "embedding", [0, 3, 9]).select("bag_id", r6("score"))
+
+
+# ---------------------------------------------------------------- label statistics
+
+@query(f"with {G.BAGS} select year(ts) as year, count(*) filter (where idx0 = 0) as l0, count(*) filter (where idx0 = 1) as l1, count(*) filter (where idx0 = 2) as l2, count(*) filter (where idx0 = 3) as l3, round(avg((idx0 > 0)::int), 6) as positive from bags group by 1")
+def year_levels(spark, d):
+    rows = G.bags(spark, d).groupBy(F.year("ts").cast("long").alias("year"))
+    return rows.agg(*(F.count_if(F.col("idx0") == k).alias(f"l{k}") for k in range(4)), F.round(F.avg((F.col("idx0") > 0).cast("int")), 6).alias("positive"))
+
+
+@query(f"with {G.BAGS} select m as month, count(bag_id) as n from range(1, 13) t(m) left join bags on month(ts) = m and idx0 = 3 group by m")
+def month_hist(spark, d):
+    counts = G.bags(spark, d).where("idx0 = 3").groupBy(F.month("ts").alias("m")).agg(F.count("*").alias("n"))
+    return spark.range(1, 13).join(counts, F.col("id") == F.col("m"), "left").select(F.col("id").alias("month"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("select h as hour, count(event_id) as n from range(24) t(h) left join events on hour(ts) = h and event_type = 'purchase' group by h")
+def hour_hist(spark, d):
+    counts = table(spark, d, "events").where("event_type = 'purchase'").groupBy(F.hour("ts").alias("h")).agg(F.count("*").alias("n"))
+    return spark.range(24).join(counts, F.col("id") == F.col("h"), "left").select(F.col("id").alias("hour"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(f"with {G.BAGS} select regime, count(*) filter (where idx0 > 0 and idx1 > 0) as both, count(*) filter (where idx0 > 0) as a, count(*) filter (where idx1 > 0) as b from bags group by regime")
+def co_occurrence(spark, d):
+    a, b = F.col("idx0") > 0, F.col("idx1") > 0
+    return G.bags(spark, d).groupBy("regime").agg(F.count_if(a & b).alias("both"), F.count_if(a).alias("a"), F.count_if(b).alias("b"))
+
+
+@query(f"with {G.CLIPS} select n_clips as clips, count(*) as hours, min(hour) as first, max(hour) as last, sum(n_clips)::bigint as files from hours group by n_clips")
+def coverage(spark, d):
+    h = B.hours(G.clips(spark, d)).groupBy(F.col("n_clips").alias("clips"))
+    return h.agg(F.count("*").alias("hours"), F.min("hour").alias("first"), F.max("hour").alias("last"), F.sum("n_clips").alias("files"))
+
+
+@query(f"with {G.BAGS} select year(ts) as year, min(ts) filter (where idx0 > 0) as first_0, min(ts) filter (where idx1 > 0) as first_1 from bags group by 1")
+def first_positive(spark, d):
+    rows = G.bags(spark, d).groupBy(F.year("ts").cast("long").alias("year"))
+    return rows.agg(*(F.min(F.when(F.col(f"idx{c}") > 0, F.col("ts"))).alias(f"first_{c}") for c in (0, 1)))
+
+
+@query(f"with {G.BAGS} select fold, regime, grouping_id(fold, regime)::bigint as level, count(*) as n, sum((idx0 > 0)::int)::bigint as p0 from bags group by grouping sets ((fold, regime), (fold), ())")
+def fold_regime_counts(spark, d):
+    rows = G.bags(spark, d).groupingSets([["fold", "regime"], ["fold"], []], "fold", "regime")
+    return rows.agg(F.grouping_id().alias("level"), F.count("*").alias("n"), F.sum((F.col("idx0") > 0).cast("int")).alias("p0"))
+
+
+# ---------------------------------------------------------------- ingest
+
+def _compared(spark, d):
+    f = G.files(spark, d)
+    return f, ingest.diff(f.select("hash", "size", "path"), f.where("doc_id % 3 = 0").select("name", "hash"), f.where("doc_id % 11 = 1").select("hash"))
+
+
+@query(f"with {G.FILES} select hash, path, size, name, category from compared")
+def ingest_diff(spark, d):
+    return _compared(spark, d)[1]
+
+
+@query(f"""with {G.FILES}, r as (select hash, path, size, name, row_number() over (partition by hash order by regexp_matches(split_part(path, '/', 1), '^\\d+-.* - '), length(path) - length(replace(path, '/', '')), path, size) as i from files where hash is not null)
+select hash, path, size, name from r where i = 1""")
+def choose_copy(spark, d):
+    return ingest.choose_copy(G.files(spark, d).where("hash is not null")).select("hash", "path", "size", "name")
+
+
+@query(f"""with {G.FILES}, c as (select w.hash, path, w.size, w.name, row_number() over (partition by w.hash order by regexp_matches(split_part(path, '/', 1), '^\\d+-.* - '), length(path) - length(replace(path, '/', '')), path) as i
+from wavs w where w.hash in (select hash from compared where category in ('new', 'clash_local')) and contains(regexp_extract(path, '^(.*)/[^/]*$', 1), 'src1')) select hash, path, size, name from c where i = 1""")
+def select_for_pull(spark, d):
+    f, compared = _compared(spark, d)
+    return ingest.select_for_pull(f.select("hash", "size", "path"), compared, "src1", include_clashes=True).select("hash", "path", "size", "name")
+
+
+@query(f"with {G.FILES} select name, count(*) as copies from chosen group by name having count(*) > 1")
+def name_clashes(spark, d):
+    compared = _compared(spark, d)[1].where("category not in ('nohash', 'local', 'replaced')")
+    return compared.groupBy("name").agg(F.count("*").alias("copies")).where("copies > 1")
+
+
+@query(f"with {G.FILES}, f as (select distinct doc_id, doc_id::varchar as name, size, doc_id % 7 as mtime_ns from files) select name, size, mtime_ns from f where not (doc_id % 4 = 0 or (doc_id % 4 = 1 and doc_id % 7 = 3))")
+def stale_files(spark, d):
+    f = G.files(spark, d).select(F.col("doc_id").cast("string").alias("name"), "size", (F.col("doc_id") % 7).alias("mtime_ns"), "hash", "doc_id")
+    cache = f.where("doc_id % 4 < 2").withColumn("mtime_ns", F.when(F.col("doc_id") % 4 == 1, 3).otherwise(F.col("mtime_ns")).cast("long"))
+    return ingest.stale(cache, f)
+
+
+@query(f"with {G.FILES} select distinct name, case when name in (select name from local) then 'clash' else 'new' end as action from files")
+def plan_merge(spark, d):
+    f = G.files(spark, d)
+    return ingest.plan_merge(f, f.where("doc_id % 3 = 0"))
+
+
+@query("""with e as (select doc_id, doc_id || (case when doc_id % 31 = 0 then '.txt' else '_20240101_000000.wav' end) as name, sha256(text) as hash, n_chars as size from documents where doc_id % 5 <> 4),
+f as (select doc_id, doc_id || (case when doc_id % 31 = 0 then '.txt' else '_20240101_000000.wav' end) as name, case when doc_id % 13 = 0 then 'x' else sha256(text) end as hash, n_chars + (doc_id % 17 = 0)::int as size, doc_id % 19 <> 0 as ok from documents where doc_id % 5 <> 3),
+j as (select coalesce(e.name, f.name) as name, concat_ws('; ', case when f.name is null then 'missing' end, case when e.hash is not null and f.name is not null and e.hash <> f.hash then 'hash mismatch' end,
+ case when e.size <> f.size then 'size mismatch' end, case when e.name is not null and e.name like '%.txt' then 'bad name' end, case when e.name is not null and f.name is not null and not f.ok then 'qc: digital zero' end,
+ case when e.name is null and f.name like '%.wav' then 'unexpected' end) as fail from e full join f on e.name = f.name) select name, fail = '' as ok, fail from j""")
+def verify_report(spark, d):
+    docs, i = table(spark, d, "documents"), F.col("doc_id")
+    base = docs.select("doc_id", F.concat(i.cast("string"), F.when(i % 31 == 0, ".txt").otherwise("_20240101_000000.wav")).alias("name"), F.sha2("text", 256).alias("hash"), F.col("n_chars").alias("size"))
+    found = base.where("doc_id % 5 <> 3").select("name", F.when(i % 13 == 0, "x").otherwise(F.col("hash")).alias("hash"), (F.col("size") + (i % 17 == 0).cast("int")).alias("size"), (i % 19 != 0).alias("qc_ok"), F.lit("digital zero").alias("qc_reason"))
+    return ingest.verify(base.where("doc_id % 5 <> 4"), found)
+
+
+@query("""with w as (select doc_id as id, doc_id::varchar as instance_id, sha256(text) as s from documents where doc_id % 6 <> 5), c as (select doc_id::varchar as instance_id, case when doc_id % 8 = 0 then null when doc_id % 9 = 0 then 'old' else sha256(text) end as s, doc_id % 10 <> 0 as done from documents where doc_id % 6 <> 4)
+select coalesce(w.instance_id, c.instance_id) as instance_id, case when w.instance_id is null then 'dropped' when not coalesce(c.done, false) then 'pending' when c.s is null or c.s = w.s then 'keep' else 'changed' end as status from w full join c on w.instance_id = c.instance_id""")
+def rekey_status(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("instance_id"), F.sha2("text", 256).alias("file_sig"))
+    sig = F.when(F.col("doc_id") % 8 == 0, None).when(F.col("doc_id") % 9 == 0, "old").otherwise(F.col("file_sig"))
+    cached = rows.where("doc_id % 6 <> 4").select("instance_id", sig.alias("file_sig"), (F.col("doc_id") % 10 != 0).alias("done"))
+    return ingest.rekey(rows.where("doc_id % 6 <> 5"), cached)
+
+
+_RUNS = "with g as (select {k}, {t} as t, case when {t} - lag({t}) over (partition by {k} order by {t}) <= interval '{gap}' then 0 else 1 end as fresh from {src}), r as (select *, sum(fresh) over (partition by {k} order by t rows unbounded preceding) as run from g) select {k}, min(t) as first, max(t) as last, count(*) as n from r group by {k}, run"
+
+
+@query(_RUNS.format(k="user_id", t="ts", gap="48 hours", src="events"))
+def date_runs_48h(spark, d):
+    return ingest.runs(table(spark, d, "events"), "ts", "48 hours", ["user_id"])
+
+
+@query(_RUNS.format(k="o_custkey", t="o_orderdate", gap="7 days", src="orders"))
+def night_segments(spark, d):
+    return ingest.runs(table(spark, d, "orders"), "o_orderdate", "7 days", ["o_custkey"])
+
+
+@query(f"with {G.FILES} select min(n) as fewest, max(n) as most, null::varchar as offsets from (select date_trunc('hour', ts) as h, count(*) as n from events group by 1)")
+def clips_per_hour(spark, d):
+    return ingest.clips_per_hour(table(spark, d, "events").select(F.col("ts").alias("start")))
+
+
+@query(f"with {G.FILES} select category, count(*) as files, round(sum(size) / 1e6::double, 6) as mb, min(name) as first, max(name) as last from compared group by category")
+def summarise_batch(spark, d):
+    rows = _compared(spark, d)[1].groupBy("category")
+    return rows.agg(F.count("*").alias("files"), F.round(F.sum("size") / 1e6, 6).alias("mb"), F.min("name").alias("first"), F.max("name").alias("last"))
+
+
+# ---------------------------------------------------------------- nights and neighbours
+
+@query("select cast(ts - interval 12 hours as date) as night, ((hour(ts) + 12) % 24)::int as slot, count(*) as n, count(*) filter (where event_type = 'purchase') as pos from events group by all")
+def night_grid(spark, d):
+    slot = F.pmod(F.hour("ts") + 12, F.lit(24)).cast("int")
+    return table(spark, d, "events").groupBy(S.night(F.col("ts")).alias("night"), slot.alias("slot")).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "purchase").alias("pos"))
+
+
+_POS = "h as (select date_trunc('hour', ts)::timestamp as hour, max((event_type = 'purchase' and value > 90)::int) as pos from events group by 1)"
+
+
+def _hour_pos(spark, d):
+    pos = ((F.col("event_type") == "purchase") & (F.col("value") > 90)).cast("int")
+    return table(spark, d, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.max(pos).alias("pos"))
+
+
+@query(f"with {_POS} select hour, max(pos) over (partition by cast(hour - interval 12 hours as date)) as any_pos from h")
+def same_night(spark, d):
+    rows = _hour_pos(spark, d).withColumn("night", S.night(F.col("hour")))
+    return rows.select("hour", F.max("pos").over(Window.partitionBy("night")).alias("any_pos"))
+
+
+@query(f"with {_POS} select h.hour, greatest(coalesce(a.pos, 0), coalesce(b.pos, 0)) as near_pos from h left join h a on a.hour = h.hour - interval 1 hour left join h b on b.hour = h.hour + interval 1 hour")
+def near_hour(spark, d):
+    rows = _hour_pos(spark, d)
+    # each hour is sent to its two neighbours: one shuffle by hour, no self-join twice over
+    sent = rows.select(F.explode(F.array(*(F.struct((F.col("hour") + F.expr(f"interval {s} hour")).alias("hour"), F.col("pos").alias("near"), F.lit(None).cast("int").alias("own")) for s in (-1, 1)))).alias("s")).select("s.*")
+    both = sent.unionByName(rows.select("hour", F.lit(None).cast("int").alias("near"), F.lit(1).alias("own")))
+    return both.groupBy("hour").agg(F.max("own").alias("own"), F.coalesce(F.max("near"), F.lit(0)).alias("near_pos")).where("own = 1").drop("own")
+
+
+@query(f"with {G.SCORED}, t as (select *, row_number() over (order by round(score, 9) desc, bag_id) as i, count(*) over () as n from scored where pooling = 'lme' and class = 0) select regime, count(*) as n_top, round(avg(y), 6) as positive from t where i <= ceil(0.05::double * n) group by regime")
+def top_share(spark, d):
+    rows = G.scored(spark, d).where("pooling = 'lme' and class = 0").select("bag_id", "regime", "y", F.round("score", 9).alias("score"))
+    top = reports.top_share(rows, "score", 0.05, "bag_id").where("top")
+    return top.groupBy("regime").agg(F.count("*").alias("n_top"), F.round(F.avg("y"), 6).alias("positive"))
+
+
+@query(f"with {G.SCORED}, t as (select pooling, bag_id, row_number() over (partition by pooling order by round(score, 9) desc, bag_id) as i from scored where class = 1), k as (select * from t where i <= 200) select a.pooling as a, b.pooling as b, count(*) / 200.0::double as overlap from k a join k b on a.bag_id = b.bag_id and a.pooling < b.pooling group by all")
+def topk_overlap(spark, d):
+    rows = G.scored(spark, d).where("class = 1").select("pooling", "bag_id", F.round("score", 9).alias("score"))
+    best = Window.partitionBy("pooling").orderBy(F.desc("score"), "bag_id")
+    top = rows.withColumn("i", F.row_number().over(best)).where("i <= 200").groupBy("bag_id").agg(F.sort_array(F.collect_set("pooling")).alias("p"))
+    pairs = top.select(F.explode("p").alias("a"), "p").select("a", F.explode("p").alias("b")).where("a < b")
+    return pairs.groupBy("a", "b").agg((F.count("*") / 200).alias("overlap"))
+
+
+# ---------------------------------------------------------------- runs and reports
+
+_GRID = [(h, w, p) for h in (0, 256) for w in (0.0, 0.25, 0.5) for p in ("mean", "lme", "max")]
+_GRID_SQL = ", ".join(f"('{h}-{w}/{p}', {h}, {w}::double, '{p}', {'true' if i % 5 else 'null'})" for i, (h, w, p) in enumerate(_GRID))
+
+
+def _runs(spark):
+    return spark.createDataFrame([(f"{h}-{w}/{p}", h, w, p, True if i % 5 else None) for i, (h, w, p) in enumerate(_GRID)], "model_id string, hidden int, ordinal_weight double, pooling string, flag boolean")
+
+
+@query(f"""with runs(model_id, hidden, ordinal_weight, pooling, flag) as (values {_GRID_SQL})
+select a.model_id as model_a, b.model_id as model_b, a.pooling from runs a join runs b on a.pooling = b.pooling and a.hidden = b.hidden and a.flag is not distinct from b.flag and a.ordinal_weight = 0 and b.ordinal_weight <> 0""")
+def controlled_pairs(spark, d):
+    return reports.controlled_pairs(_runs(spark), "ordinal_weight", ["hidden", "ordinal_weight"], ["flag"])
+
+
+@query(f"""with runs(model_id, hidden, ordinal_weight, pooling, flag) as (values {_GRID_SQL}), a as (select pooling, max_by(hidden, model_id)::varchar as hidden, max_by(ordinal_weight, model_id) as w, max_by(coalesce(flag, false), model_id) as flag from runs group by pooling),
+b as (select pooling, min_by(hidden, model_id)::varchar as hidden, min_by(ordinal_weight, model_id) as w, min_by(coalesce(flag, false), model_id) as flag from runs group by pooling)
+select pooling, 'hidden' as field, a.hidden as stored, b.hidden as wanted from a join b using (pooling) where a.hidden is distinct from b.hidden
+union all select pooling, 'ordinal_weight', a.w::varchar, b.w::varchar from a join b using (pooling) where a.w is distinct from b.w
+union all select pooling, 'flag', a.flag::varchar, b.flag::varchar from a join b using (pooling) where a.flag is distinct from b.flag""")
+def config_diff(spark, d):
+    r = _runs(spark).withColumn("flag", F.coalesce("flag", F.lit(False)))
+    pick = lambda f: r.groupBy("pooling").agg(*(f(c, "model_id").alias(c) for c in ("hidden", "ordinal_weight", "flag")))
+    return reports.config_diff(pick(F.max_by), pick(F.min_by), "pooling", ["hidden", "ordinal_weight", "flag"])
+
+
+_FOLD_AP = f"with {G.SCORED}, {ap_sql('scored', 'pooling, class, fold')}, models as (select pooling as model_id, fold as seed, avg(ap) as ap, avg(ap) as val_ap, (fold + 10) as epochs from aps group by pooling, fold)"
+
+
+def _models(spark, d):
+    aps = metrics.average_precision(G.scored(spark, d), ["pooling", "class", "fold"])
+    return aps.groupBy(F.col("pooling").alias("model_id"), F.col("fold").alias("seed")).agg(F.avg("ap").alias("ap")).withColumns({"val_ap": F.col("ap"), "epochs": F.col("seed") + 10})
+
+
+@query(f"{_FOLD_AP} select model_id, count(distinct seed) as n_seeds, round(avg(ap), 6) as ap, round(case when count(distinct seed) > 1 then stddev_pop(ap) end, 6) as sd, round(avg(val_ap), 6) as val_ap, avg(epochs) as epochs from models group by model_id")
+def overview(spark, d):
+    return reports.overview(_models(spark, d)).select("model_id", "n_seeds", r6("ap"), r6("sd"), r6("val_ap"), "epochs")
+
+
+@query(f"{_FOLD_AP} select model_id, round(avg(val_ap), 6) as val_ap from models group by model_id order by (model_id = 'max'), avg(val_ap) desc limit 1")
+def val_selected(spark, d):
+    rows = _models(spark, d).withColumns({"position": F.lit(0), "train_regimes": F.when(F.col("model_id") == "max", "F")})
+    return reports.val_selected(rows).select("model_id", r6("val_ap"))
+
+
+@query(f"""with {G.SCORED}, roles as (select pooling, f::int as f, case when fold = f then 'test' when fold = (f + 1) % 5 then 'val' else 'train' end as split, score, y, class from scored, range(5) t(f)),
+{ap_sql('roles', 'pooling, f, split, class')}, s as (select pooling as model_id, f, split, avg(ap) as ap from aps group by all), w as (select model_id, f, max(ap) filter (where split = 'train') as train, max(ap) filter (where split = 'val') as val, max(ap) filter (where split = 'test') as test from s group by all)
+select model_id, round(avg(train), 6) as train_mean, round(stddev_samp(train), 6) as train_sd, round(avg(val), 6) as val_mean, round(stddev_samp(val), 6) as val_sd, round(avg(test), 6) as test_mean, round(stddev_samp(test), 6) as test_sd, round(avg(train - val), 6) as gap from w group by model_id""")
+def split_fit(spark, d):
+    rows = B.fold_roles(G.scored(spark, d), G.FOLDS)
+    aps = metrics.average_precision(rows, ["pooling", "f", "role", "class"])
+    splits = aps.groupBy(F.col("pooling").alias("model_id"), F.lit(0).alias("seed"), F.col("f").alias("fold"), F.col("role").alias("split")).agg(F.avg("ap").alias("ap"))
+    return reports.split_fit(splits).select("model_id", *map(r6, ("train_mean", "train_sd", "val_mean", "val_sd", "test_mean", "test_sd", "gap")))
+
+
+@query(f"with {G.SCORED}, {ap_sql('scored', _PC)}, r as (select row_number() over (order by pooling, class) + 1 as i, '| ' || pooling || ' | ' || class || ' | ' || printf('%.3f', ap) || ' |' as line from aps) select 0 as line_no, '| pooling | class | ap |' as line union all select 1, '|---|---|---|' union all select i::int, line from r")
+def md_table(spark, d):
+    aps = metrics.average_precision(G.scored(spark, d), ["pooling", "class"]).withColumn("ap", S.cell(F.col("ap")))
+    return reports.markdown(aps, ["pooling", "class", "ap"], ["pooling", "class"])
+
+
+@query("""with s(position, stage, own) as (values (0, 'manifest', null), (1, 'embed', 'audio changed'), (2, 'train', null), (3, 'report', 'never built'), (4, 'figures', 'no result'))
+select position, stage, max((own is not null)::int) over (order by position) = 1 as stale, coalesce(own, case when coalesce(max((own is not null)::int) over (order by position rows between unbounded preceding and 1 preceding), 0) = 1 then 'a stage before it is stale' else 'up to date' end) as reason from s""")
+def staleness(spark, d):
+    rows = [(0, "manifest", True, True, {"code": "1"}, {"code": "1"}), (1, "embed", True, True, {"audio": "2", "code": "1"}, {"audio": "1", "code": "1"}), (2, "train", True, True, {"code": "1"}, {"code": "1"}), (3, "report", True, False, {"code": "1"}, {}), (4, "figures", False, True, {"code": "1"}, {"code": "1"})]
+    return lineage.stale_stages(spark.createDataFrame(rows, "position int, stage string, exists boolean, built boolean, current map<string,string>, stamp map<string,string>"))
+
+
+@query("select substr(sha256(string_agg(sha256(n_nationkey || chr(31) || n_name), chr(10) order by sha256(n_nationkey || chr(31) || n_name))), 1, 16) as fingerprint from nation")
+def fingerprint(spark, d):
+    return lineage.fingerprint(table(spark, d, "nation"), ["n_nationkey", "n_name"])
+
+
+@query("with l as (select doc_id, case when doc_id % 5 = 0 then '' else sha256(text) end || chr(9) || n_chars || chr(9) || source || '/a b.wav' as v from documents) select doc_id, nullif(split_part(v, chr(9), 1), '') as hash, split_part(v, chr(9), 2)::bigint as size, split_part(v, chr(9), 3) as path from l")
+def parse_listing(spark, d):
+    from millrace.sources.tables import parse_listing as parse
+
+    line = F.concat_ws("\t", F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.sha2("text", 256)), "n_chars", F.concat("source", F.lit("/a b.wav")))
+    return table(spark, d, "documents").select("doc_id", parse(line).alias("l")).select("doc_id", "l.*")
+
+
+# ---------------------------------------------------------------- without SQL
+
+@query()
+def qc_wav(spark, d):
+    """Quality of WAV files built of events: 16-bit, a frame an event, some truncated or silent."""
+    e = table(spark, d, "events").groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.sort_array(F.collect_list(F.struct("event_id", F.round(F.col("value") % 300 * 100).cast("int").alias("v")))).alias("s"))
+    from pyspark.sql import types as T
+
+    @F.pandas_udf(T.BinaryType())
+    def built(hours, samples):
+        import io
+        import wave
+
+        import numpy as np
+        import pandas as pd
+
+        out = []
+        for h, s in zip(hours, samples, strict=True):
+            x = np.repeat(np.array([r["v"] if isinstance(r, dict) else r[1] for r in s], "<i2"), 500)
+            x = np.concatenate([x, np.zeros(9000, "<i2")]) if h.hour == 3 else x
+            f = io.BytesIO()
+            with wave.open(f, "wb") as w:
+                w.setnchannels(1)
+                w.setsampwidth(2)
+                w.setframerate(8000)
+                w.writeframes(x.tobytes())
+            out.append(f.getvalue()[: -1000 if h.hour == 5 else None])
+        return pd.Series(out)
+
+    return e.select("hour", audio.qc(built("hour", "s")).alias("qc")).select("hour", "qc.*")
+
+
+def _vector_bags(spark, d):
+    e = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("bag_id"), F.col("vec_id"), "embedding", "label")
+    # presence of a label in a bag's first half decides its level, so there is something to learn
+    level = lambda c: (F.count_if(F.col("label") == c)).cast("int").alias(f"l{c}")
+    g = e.groupBy("bag_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))), lambda s: s["embedding"]).alias("vectors"), level(0), level(1))
+    return g.select("bag_id", (F.col("bag_id") % G.FOLDS).cast("int").alias("fold"), F.when(F.col("bag_id") % 2 == 0, "even").otherwise("odd").alias("regime"), F.array(F.least("l0", F.lit(3)), F.least("l1", F.lit(3))).alias("index"), "vectors")
+
+
+@query()
+def train_probe(spark, d):
+    """Out-of-fold test scores of two poolers, linear probes."""
+    from millrace.operators import training as T
+
+    bags = _vector_bags(spark, d).cache()
+    fits = [T.Fit(p, fold=f) for p in ("mean", "lme") for f in range(2)]
+    settings = T.Settings(epochs=10, check_every=5)
+    params, stats, _ = T.train(bags, fits, settings)
+    settings.extra = {}
+    out = T.scores(bags, fits, params, stats, settings).where("split = 'test'")
+    return out.withColumn("pooling", F.element_at(F.array(*(F.lit(f.pooling) for f in fits)), F.col("fit") + 1))
+
+
+@query()
+def regime_decoding(spark, d):
+    """Area under the curve of a class-balanced logistic regression on single vectors, fold by fold."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StandardScaler
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = table(spark, d, "embeddings").select((F.floor(F.col("vec_id") / 8) % 2).cast("int").alias("fold"), (F.col("label") < 3).cast("int").alias("y"), array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("v")).cache()
+    out = None
+    for f in range(2):
+        train = rows.where(F.col("fold") != f)
+        n, pos = train.agg(F.count("*"), F.sum("y")).first()
+        weighted = train.withColumn("w", F.when(F.col("y") == 1, n / (2 * max(1, pos or 0))).otherwise(n / (2 * max(1, n - (pos or 0)))))
+        scaler = StandardScaler(inputCol="v", outputCol="x", withMean=True).fit(train)
+        model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=1 / (0.1 * n), maxIter=50).fit(scaler.transform(weighted))
+        part = model.transform(scaler.transform(rows.where(F.col("fold") == f))).select("fold", "y", vector_to_array("probability")[1].alias("score"))
+        out = part if out is None else out.union(part)
+    return metrics.auc(out, ["fold"]).join(metrics.balanced_accuracy(out, ["fold"]), "fold")
+
+
+@query()
+def incremental_append(spark, d):
+    """Hourly counts of events through a file stream that takes all there is and ends."""
+    import uuid
+
+    from millrace.streaming.incremental import append_new
+
+    root = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
+    table(spark, d, "events").select("ts", "event_id", "event_type").write.parquet(f"{root}/in")
+    schema = "ts timestamp_ntz, event_id long, event_type string"
+    append_new(spark, f"{root}/in", schema, f"{root}/out", f"{root}/state", lambda s: s.select(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), "event_id", "event_type"))
+    return spark.read.parquet(f"{root}/out").groupBy("hour").agg(F.count("*").alias("n"), F.count_distinct("event_type").alias("kinds"))
+
+
+ORACLE_SQL["incremental_append"] = "select date_trunc('hour', ts)::timestamp as hour, count(*) as n, count(distinct event_type) as kinds from events group by 1"
+
+
+def _shared(spark: SparkSession) -> str:
+    """A folder for intermediate files: that of spark.checkpoint.dir, else a temporary one in local mode."""
+    import tempfile
+
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="millrace-")
