@@ -17,8 +17,10 @@ from pyspark.sql import types as T
 from .common import broadcast_if_small, cut
 from .training import fitted
 
-#: Bytes of an n-gram, bits of its hash, texts a language to learn from, bytes read of a training text at a time.
+#: Bytes of an n-gram, bits of its hash, texts a language to learn from.
 GRAM, BITS, PER_LANGUAGE = 3, 14, 300
+#: Weight of all languages' n-grams in each language's, in roots of a text's n-grams.
+SHARED = 50.0
 #: Weight of an n-gram: neighbouring ones overlap and aren't independent.
 TEMPER = 1 / GRAM
 #: Rows that a level of the hierarchy borrows from the next one; the same for the other counts.
@@ -60,10 +62,13 @@ def train_texts(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list
     sample = docs.select("doc_id", "text", "lang").join(F.broadcast(few), ["doc_id", "lang"], "left_semi")
 
     def fit(rows: pd.DataFrame) -> dict[str, np.ndarray]:
-        counts = np.full((len(languages), 1 << BITS), 0.1)
+        counts = np.zeros((len(languages), 1 << BITS))
         for text, lang in zip(rows["text"], rows["lang"], strict=True):
             g = _grams(text or "")
             counts[languages.index(lang)] += g / max(1.0, np.sqrt(g.sum()))  # a long text counts as its root
+        # smoothed with all languages together, so that one with few texts is near them and not even
+        shared = counts.sum(axis=0) + 0.1
+        counts += SHARED * shared / shared.sum()
         return {"logp": np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)}
 
     return languages, fitted(sample, fit)["logp"]

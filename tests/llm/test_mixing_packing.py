@@ -111,8 +111,8 @@ def test_batches(spark, sf, monkeypatch, slot, budget):
     assert (got.n_tokens == got.doc_id.map(n)).all() and (got.padding == got.bucket_len - got.n_tokens).all() and (got.padding >= 0).all()
     ends = sorted(got.bucket_len.unique())
     assert len(ends) <= packing.BUCKETS and all(t > max([e for e in ends if e < b], default=-1) for t, b in zip(got.n_tokens, got.bucket_len))
-    batches = got.groupby("batch_id").agg(n=("doc_id", "size"), length=("bucket_len", "first"), last=("place", "max"), places=("place", "nunique"))
-    assert (batches.last == batches.n - 1).all() and (batches.places == batches.n).all()
+    batches = got.groupby("batch_id").agg(n=("doc_id", "size"), length=("bucket_len", "first"), top=("place", "max"), places=("place", "nunique"))
+    assert (batches.top == batches.n - 1).all() and (batches.places == batches.n).all()
     assert ((batches.n * batches.length <= budget) | (batches.n == 1)).all()
     full = (budget // batches.length.clip(lower=1)).clip(lower=1)
     assert (batches.assign(part=batches.n < full).groupby("length").part.sum() <= 1).all()
