@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, langid, license_scan, mixing, mtree, packing, pii, quality, simhash, toxicity
+from . import embedding_dedup, langid, license_scan, mixing, mtree, oracles, packing, pii, quality, simhash, toxicity
 from .common import table
 
 
@@ -52,4 +52,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_pii, op3_licenses, op4_embedding_dedup, op5_toxicity, op6_language_id, op7_topk, op8_packing, op9_mixing, op10_quality)}
 
-ORACLE_SQL = {"op7_topk": mtree.ORACLE, "op9_mixing": mixing.ORACLE}
+ORACLE_SQL = {
+    "op2_pii": oracles.PII,
+    "op3_licenses": oracles.LICENSES,
+    "op4_embedding_dedup": oracles.EMBEDDINGS,
+    "op7_topk": mtree.ORACLE,
+    "op9_mixing": mixing.ORACLE,
+}

@@ -63,9 +63,9 @@ def test_tree_is_exact():
         for kind in range(3):
             v = [r.integers(-1024, 1024, (n, 8)), r.integers(-3, 3, (n, 4)), np.ones((n, 4), int)][kind]
             ids = np.sort(r.permutation(10 * n)[:n])
-            tree = mtree.Tree(mtree._augmented(v, float((v * v).sum(axis=1).max())))
+            tree = mtree.Tree(v, float((v * v).sum(axis=1).max()))
             for q in range(0, n, max(1, n // 10)):
-                at, _ = tree.search(np.append(v[q], 0).astype(float), np.inf, q, 10, ids)
+                at, _ = tree.search(v[q], np.inf, q, 10)
                 got = sorted((-int(v[a] @ v[q]), ids[a]) for a in at)[:10]
                 assert got == sorted((-int(v[a] @ v[q]), ids[a]) for a in range(n) if a != q)[:10]
 
@@ -74,8 +74,8 @@ def test_tree_skips_pages():
     r = np.random.default_rng(0)
     v = (r.integers(-1000, 1000, (40, 4))[r.integers(0, 40, 4000)] + r.integers(-5, 5, (4000, 4))).astype(np.int64)
     v = v * 1000 // np.maximum(1, np.linalg.norm(v, axis=1).astype(int))[:, None]
-    tree = mtree.Tree(mtree._augmented(v, float((v * v).sum(axis=1).max())))
-    made = [tree.search(np.append(v[q], 0).astype(float), np.inf, q, 10, np.arange(len(v)))[1] for q in range(0, 4000, 400)]
+    tree = mtree.Tree(v, float((v * v).sum(axis=1).max()))
+    made = [tree.search(v[q], np.inf, q, 10)[1] for q in range(0, 4000, 400)]
     assert np.mean(made) < 2000
 
 
