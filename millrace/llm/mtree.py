@@ -25,30 +25,34 @@ from .common import cut
 #: Pivots of the root page: a bounded sample (those of smallest id hash); every row is indexed.
 PIVOTS = 64
 #: Rows of a tree, queries of a block, entries of a page.
-TREE, BLOCK, PAGE = 4096, 1024, 32
-#: Bounds are loosened by this share, far above the rounding of doubles.
+TREE, BLOCK, PAGE = 4096, 1024, 128
+#: Bounds are loosened by this share of the lengths, far above the rounding of doubles.
 SLACK = 1e-9
 
 
 class Tree:
-    """An M-tree over the rows of a matrix, loaded in bulk from the top down."""
+    """An M-tree over integer rows, made equally long by one more component, loaded in bulk from the top down."""
 
-    def __init__(self, rows: np.ndarray):
-        self.rows = rows
-        #: per page: routing objects or rows (indices), their distances to the page's own routing
-        #: object, covering radii (0 in leaves) and child pages (-1 in leaves)
-        self.pages: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        self.root = self._load(np.arange(len(rows)), None)
+    def __init__(self, ints: np.ndarray, longest: float):
+        self.ints, self.longest = ints.astype(np.float64), longest
+        self.rows = _augmented(ints, longest)
+        #: per page: routing objects or rows (indices and integers), their distances to the page's own
+        #: routing object, covering radii (0 in leaves) and child pages (-1 in leaves)
+        self.pages: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.root = self._load(np.arange(len(ints)), None)
 
     def _from(self, center: int, at: np.ndarray) -> np.ndarray:
         d = self.rows[at] - self.rows[center]
         return np.sqrt(np.einsum("ij,ij->i", d, d))
 
+    def _page(self, at: np.ndarray, own: np.ndarray, radii: np.ndarray, children: np.ndarray) -> int:
+        self.pages.append((at, self.ints[at], own, radii, children))
+        return len(self.pages) - 1
+
     def _load(self, at: np.ndarray, parent: int | None) -> int:
-        own = np.zeros(len(at)) if parent is None else self._from(parent, at)
         if len(at) <= PAGE:
-            self.pages.append((at, own, np.zeros(len(at)), np.full(len(at), -1)))
-            return len(self.pages) - 1
+            own = np.zeros(len(at)) if parent is None else self._from(parent, at)
+            return self._page(at, own, np.zeros(len(at)), np.full(len(at), -1))
         # routing objects spread over the page's rows; each row goes to the nearest one
         routing = at[np.linspace(0, len(at) - 1, min(PAGE, -(-len(at) // PAGE))).astype(int)]
         far = np.stack([self._from(r, at) for r in routing])
@@ -58,41 +62,45 @@ class Tree:
         used = np.unique(near)
         radii = np.array([far[g, near == g].max() for g in used])
         children = np.array([self._load(at[near == g], int(routing[g])) for g in used])
-        routed = routing[used]
-        to_parent = np.zeros(len(used)) if parent is None else self._from(parent, routed)
-        self.pages.append((routed, to_parent, radii, children))
-        return len(self.pages) - 1
-
-    def search(self, query: np.ndarray, bound: float, skip: int, k: int, order: np.ndarray) -> tuple[list[int], int]:
-        """The k nearest rows but ``skip`` within ``bound``, ties to the smaller ``order``; distances made."""
-        best: list[tuple[float, int, int]] = []  # as a heap of (-distance, -order, row)
+        own = np.zeros(len(used)) if parent is None else self._from(parent, routing[used])
+        return self._page(routing[used], own, radii, children)
+
+    def search(self, query: np.ndarray, bound: float, skip: int, k: int) -> tuple[list[int], int]:
+        """The k nearest rows but ``skip`` within ``bound`` and those that may tie with them; distances made.
+
+        The squared distance of a query and a row is longest + |q|^2 - 2 q.row, a difference of
+        integers that doubles hold, so small distances lose no digits.
+        """
+        query = query.astype(np.float64)
+        base = self.longest + float(query @ query)
+        loose = SLACK * np.sqrt(base)
+        near, rows = np.empty(0), np.empty(0, dtype=np.int64)
         queue, made = [(0.0, self.root, None)], 0
         while queue:
             least, page, to_parent = heapq.heappop(queue)
-            if least > bound * (1 + SLACK):
+            if least > bound + loose:
                 break
-            at, own, radii, children = self.pages[page]
+            at, ints, own, radii, children = self.pages[page]
             if to_parent is not None:  # |d(q, parent) - d(entry, parent)| - radius bounds d from below
-                keep = np.abs(to_parent - own) - radii <= bound * (1 + SLACK) + SLACK * to_parent
-                at, radii, children = at[keep], radii[keep], children[keep]
-            d = self.rows[at] - query
-            d = np.sqrt(np.einsum("ij,ij->i", d, d))
+                keep = np.abs(to_parent - own) - radii <= bound + loose
+                if not keep.all():
+                    at, ints, radii, children = at[keep], ints[keep], radii[keep], children[keep]
+            d = np.sqrt(np.maximum(base - 2 * (ints @ query), 0))
             made += len(at)
             if len(children) and children[0] >= 0:
-                for x, r, c in zip(d.tolist(), radii.tolist(), children.tolist(), strict=True):
-                    if (low := max(0.0, x - r - SLACK * x)) <= bound * (1 + SLACK):
-                        heapq.heappush(queue, (low, c, x))
+                low = np.maximum(0.0, d - radii - loose)
+                for i in np.flatnonzero(low <= bound + loose):
+                    heapq.heappush(queue, (float(low[i]), int(children[i]), float(d[i])))
                 continue
-            for x, row in zip(d.tolist(), at.tolist(), strict=True):
-                if row == skip or x > bound * (1 + SLACK):
-                    continue
-                heapq.heappush(best, (-x, -int(order[row]), row))
-                # all rows that may tie with the k-th are kept; the exact scores decide among them
-                while len(best) > k and -best[0][0] > (kth := heapq.nsmallest(k, (-b[0] for b in best))[-1]) * (1 + SLACK):
-                    heapq.heappop(best)
-                if len(best) >= k:
-                    bound = min(bound, kth if len(best) > k else -best[0][0])
-        return [b[2] for b in best], made
+            some = (d <= bound + loose) & (at != skip)
+            if some.any():
+                near, rows = np.concatenate([near, d[some]]), np.concatenate([rows, at[some]])
+                if len(near) >= k:
+                    bound = min(bound, float(np.partition(near, k - 1)[k - 1]))
+                    # all that may tie with the k-th are kept; the exact scores decide among them
+                    kept = near <= bound + loose
+                    near, rows = near[kept], rows[kept]
+        return rows.tolist(), made
 
 
 def integers(vector: Column) -> Column:
@@ -193,11 +201,11 @@ def _of_length(rows: DataFrame, dim: int, longest: float, k: int, every: int) ->
         if len(left) and len(right):
             left = left.sort_values("vec_id").reset_index(drop=True)
             ints, ids = _stack(left["ints"]), left["vec_id"].to_numpy()
-            tree = Tree(_augmented(ints, longest))
+            tree = Tree(ints, longest)
             for q, v, bound in zip(right["query_id"], right["query"], right["bound"], strict=True):
                 v = np.asarray(v, dtype=np.int64)
                 own = np.nonzero(ids == q)[0]
-                at, _ = tree.search(np.append(v, 0).astype(np.float64), bound, int(own[0]) if len(own) else -1, k, ids)
+                at, _ = tree.search(v, bound, int(own[0]) if len(own) else -1, k)
                 out += [(q, ids[a], int(ints[a] @ v)) for a in at]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
