@@ -31,6 +31,33 @@ def controlled_pairs(runs: DataFrame, factor: str, factors: Sequence[str], spec:
     return a.join(b, on & ~truthy("a") & truthy("b")).select(F.col("a.model_id").alias("model_a"), F.col("b.model_id").alias("model_b"), F.col("a.pooling").alias("pooling"))
 
 
+def run_labels(runs: DataFrame) -> DataFrame:
+    """runs with run_id, probe and target names made of hidden and ordinal_weight."""
+    plain = F.regexp_replace(F.format_string("%.6f", F.col("ordinal_weight").cast("double")), r"\.?0+$", "")
+    has, weighted = F.col("hidden") > 0, F.col("ordinal_weight") > 0
+    return runs.withColumns({
+        "run_id": F.concat(F.when(has, F.concat(F.lit("mlp"), "hidden")).otherwise("linear"), F.lit("-"), F.when(weighted, F.concat(F.lit("ord"), plain)).otherwise("bin")),
+        "probe": F.when(has, F.concat(F.lit("MLP-"), "hidden")).otherwise("linear"),
+        "target": F.when(weighted, F.concat(F.lit("ordinal (w="), plain, F.lit(")"))).otherwise("binary"),
+    })
+
+
+def effects(pairs: DataFrame, boots: DataFrame, points: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(model_a, model_b) with boots (model_id, keys, b, ap) and points -> the paired change b - a, lo, hi."""
+    side = lambda df, t, more: df.select(F.col("model_id").alias(f"model_{t}"), *keys, *more, F.col("ap").alias(f"ap_{t}"))
+    change = pairs.join(side(boots, "a", ["b"]), "model_a").join(side(boots, "b", ["b"]), ["model_b", *keys, "b"])
+    ends = F.expr("percentile(ap_b - ap_a, array(0.025D, 0.975D))")
+    of = ["model_a", "model_b", *keys]
+    point = pairs.join(side(points, "a", []), "model_a").join(side(points, "b", []), ["model_b", *keys])
+    found = change.groupBy(*of).agg(ends.alias("e")).join(point.select(*of, (F.col("ap_b") - F.col("ap_a")).alias("delta")), of)
+    return found.select(*of, "delta", F.col("e")[0].alias("lo"), F.col("e")[1].alias("hi"))
+
+
+def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of one table and not of the other (repeats count), with side a or b; empty if they are the same."""
+    return a.exceptAll(b).withColumn("side", F.lit("a")).unionByName(b.exceptAll(a).withColumn("side", F.lit("b")))
+
+
 def config_diff(stored: DataFrame, wanted: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     """key, field, stored, wanted of every field that differs (null is a value)."""
     flat = lambda df, name: df.select(key, *(F.col(f).cast("string").alias(f) for f in fields)).unpivot([key], list(fields), "field", name)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import scalar as S
 from millrace.operators import bags as B
-from millrace.operators import baselines, bootstrap, folds, ingest, lineage, metrics, pooling, reports
+from millrace.operators import baselines, bootstrap, calendar, folds, ingest, lineage, metrics, pooling, reports
 from millrace.sources import audio
 from millrace.sources.tables import table
 
@@ -529,6 +529,42 @@ def night_grid(spark, d):
     return table(spark, d, "events").groupBy(S.night(F.col("ts")).alias("night"), slot.alias("slot")).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "purchase").alias("pos"))
 
 
+_NIGHTS = """n as (select distinct o_custkey, cast(o_orderdate - interval 12 hours as date) as night from orders),
+j as (select *, date_diff('day', lag(night) over (partition by o_custkey order by night), night) as step from n),
+c as (select o_custkey, night, sum((coalesce(step, 0) > 90)::int) over (partition by o_custkey order by night)::int as segment,
+             sum(case when step > 90 then 4 else coalesce(step, 0) end) over (partition by o_custkey order by night)::int as "column" from j)"""
+
+
+def _night_columns(spark, d):
+    rows = table(spark, d, "orders").select("o_custkey", S.night(F.col("o_orderdate")).alias("night"))
+    return calendar.night_columns(rows, "night", ["o_custkey"], gap_days=90)
+
+
+@query(f"with {_NIGHTS} select * from c")
+def night_columns(spark, d):
+    return _night_columns(spark, d)
+
+
+@query(f"with {_NIGHTS}, e as (select o_custkey, segment, min(night) as a, max(night) as b from c group by all), l as (select *, lag(b) over (partition by o_custkey order by segment) as p from e) select o_custkey, segment, p + 1 as first_missing, a - 1 as last_missing from l where p is not null")
+def night_breaks(spark, d):
+    return calendar.breaks(_night_columns(spark, d), ["o_custkey"])
+
+
+@query(f"with {G.BAGS} select cast(ts - interval 12 hours as date) as night, arg_min(fold, bag_id) as fold, arg_min(regime, bag_id) as regime from bags group by 1")
+def first_of_night(spark, d):
+    return calendar.first_of_night(G.bags(spark, d), S.night(F.col("ts")), "bag_id", "fold", "regime")
+
+
+@query("""with f as (select event_type, ts, event_id % 900 as size, case when day(ts) <= 10 then '8' else '44.1' end || ' kHz ' || case event_id % 3 when 1 then 'mono' when 2 then 'stereo' else '3 ch' end || ' 60 s' as f from events),
+h as (select event_type, min(n) as lo, max(n) as hi from (select event_type, date_trunc('hour', ts), count(*) as n from f group by all) group by 1),
+g as (select event_type, string_agg(f || ' (' || n || ')', ' + ' order by n desc, f) as fs from (select event_type, f, count(*) as n from f group by all) group by 1)
+select event_type, count(*) as files, round(sum(size) / 1e9::double, 9) as gb, strftime(min(ts), '%Y-%m-%d %H:%M') || ' -> ' || strftime(max(ts), '%Y-%m-%d %H:%M') || ', ' || any_value(case when lo = hi then lo::varchar else lo || '-' || hi end) || ' clips/hour, ' || any_value(fs) as text
+from f join h using (event_type) join g using (event_type) group by event_type""")
+def describe_batch(spark, d):
+    files = table(spark, d, "events").select("event_type", F.col("ts").alias("start"), (F.col("event_id") % 900).alias("size"), F.when(F.dayofmonth("ts") <= 10, 8000).otherwise(44100).alias("rate"), F.when(F.col("event_id") % 3 == 0, 3).otherwise(F.col("event_id") % 3).cast("int").alias("channels"), F.lit(60.0).alias("seconds"))
+    return calendar.describe(files, ["event_type"]).select("event_type", "files", F.round("gb", 9).alias("gb"), "text")
+
+
 _POS = "h as (select date_trunc('hour', ts)::timestamp as hour, max((event_type = 'purchase' and value > 90)::int) as pos from events group by 1)"
 
 
@@ -595,6 +631,30 @@ def config_diff(spark, d):
     return reports.config_diff(pick(F.max_by), pick(F.min_by), "pooling", ["hidden", "ordinal_weight", "flag"])
 
 
+@query(f"""with runs(model_id, hidden, ordinal_weight, pooling, flag) as (values {_GRID_SQL})
+select model_id, case when hidden > 0 then 'mlp' || hidden else 'linear' end || '-' || case ordinal_weight when 0 then 'bin' when 0.25 then 'ord0.25' else 'ord0.5' end as run_id,
+case when hidden > 0 then 'MLP-' || hidden else 'linear' end as probe, case ordinal_weight when 0 then 'binary' when 0.25 then 'ordinal (w=0.25)' else 'ordinal (w=0.5)' end as target from runs""")
+def run_labels(spark, d):
+    return reports.run_labels(_runs(spark)).select("model_id", "run_id", "probe", "target")
+
+
+@query(f"""{_BOOTS}, {ap_sql('scored', _PC, name='points')}, pairs(model_a, model_b) as (values ('mean', 'lme'), ('max', 'lme'), ('mean', 'linear_softmax')),
+ds as (select model_a, model_b, a.class, b.ap - a.ap as d from pairs join boots a on a.pooling = model_a join boots b on b.pooling = model_b and a.class = b.class and a.b = b.b)
+select model_a, model_b, class, round(any_value(q.ap - p.ap), 6) as delta, round(quantile_cont(d, 0.025), 6) as lo, round(quantile_cont(d, 0.975), 6) as hi
+from ds join points p on p.pooling = model_a and p.class = ds.class join points q on q.pooling = model_b and q.class = ds.class group by model_a, model_b, ds.class""".replace("select model_a, model_b, class, round(any_value", "select model_a, model_b, ds.class, round(any_value"))
+def effect_table(spark, d):
+    pairs = spark.createDataFrame([("mean", "lme"), ("max", "lme"), ("mean", "linear_softmax")], "model_a string, model_b string")
+    points = metrics.average_precision(G.scored(spark, d), ["pooling", "class"]).withColumnRenamed("pooling", "model_id")
+    out = reports.effects(pairs, _boots(spark, d).withColumnRenamed("pooling", "model_id"), points, ["class"])
+    return out.select("model_a", "model_b", "class", r6("delta"), r6("lo"), r6("hi"))
+
+
+@query(f"with {G.FILES}, a as (select name, hash from files where doc_id % 3 <> 0), b as (select name, hash from files where doc_id % 3 <> 1) select name, hash, 'a' as side from (select * from a except all select * from b) union all select name, hash, 'b' from (select * from b except all select * from a)")
+def symmetric_difference(spark, d):
+    f = G.files(spark, d)
+    return reports.symmetric_difference(f.where("doc_id % 3 <> 0").select("name", "hash"), f.where("doc_id % 3 <> 1").select("name", "hash"))
+
+
 _FOLD_AP = f"with {G.SCORED}, {ap_sql('scored', 'pooling, class, fold')}, models as (select pooling as model_id, fold as seed, avg(ap) as ap, avg(ap) as val_ap, (fold + 10) as epochs from aps group by pooling, fold)"
 
 
