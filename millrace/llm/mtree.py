@@ -22,8 +22,9 @@ from pyspark.sql import types as T
 
 from .common import cut
 
-#: Pivots of the root page: a bounded sample (those of smallest id hash); every row is indexed.
-PIVOTS = 64
+#: Least and most pivots of the root page: a bounded sample (rows of smallest id hash), about one for
+#: each tree's worth of rows between the two; every row is indexed.
+PIVOTS = 64, 4096
 #: Rows of a tree, queries of a block, entries of a page.
 TREE, BLOCK, PAGE = 4096, 1024, 128
 #: Bounds are loosened by this share of the lengths, far above the rounding of doubles.
@@ -119,8 +120,9 @@ def _stack(series: pd.Series) -> np.ndarray:
     return np.stack(series.to_list()).astype(np.int64)
 
 
-def _root_page(rows: DataFrame, dim: int, longest: float) -> np.ndarray:
-    sample = rows.where(F.col("dim") == dim).orderBy(F.xxhash64("vec_id", "ints")).limit(PIVOTS).select("ints").toPandas()
+def _root_page(rows: DataFrame, n: int, longest: float) -> np.ndarray:
+    few = min(max(PIVOTS[0], n // TREE), PIVOTS[1])
+    sample = rows.orderBy(F.xxhash64("vec_id", "ints")).limit(few).select("ints").toPandas()
     return np.unique(_augmented(_stack(sample["ints"]), longest), axis=0)
 
 
@@ -145,7 +147,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, vector: str = "embe
     """
     rows = vectors.where("vec_id is not null").select("vec_id", integers(F.col(vector)).alias("ints")).where("size(ints) > 0").distinct()
     rows = cut(rows.withColumns({"dim": F.size("ints"), "norm": F.aggregate("ints", F.lit(0.0), lambda s, x: s + x.cast("double") * x)}))
-    results = [_of_length(rows, r["dim"], r["longest"], k, every) for r in rows.groupBy("dim").agg(F.max("norm").alias("longest")).collect()]
+    results = [_of_length(rows, r["dim"], r["n"], r["longest"], k, every) for r in rows.groupBy("dim").agg(F.count("*").alias("n"), F.max("norm").alias("longest")).collect()]
     if not results:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     out = results[0]
@@ -154,9 +156,9 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, vector: str = "embe
     return out
 
 
-def _of_length(rows: DataFrame, dim: int, longest: float, k: int, every: int) -> DataFrame:
-    pivots = _root_page(rows, dim, longest)
+def _of_length(rows: DataFrame, dim: int, n: int, longest: float, k: int, every: int) -> DataFrame:
     rows = rows.where(F.col("dim") == dim)
+    pivots = _root_page(rows, n, longest)
     few = Window.partitionBy("ints").orderBy("vec_id")
     data = rows.withColumn("copy", F.row_number().over(few)).where(F.col("copy") <= k + 1)
 
