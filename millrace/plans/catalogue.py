@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions import scalar as S
 from millrace.operators import bags as B
 from millrace.operators import baselines, bootstrap, calendar, folds, ingest, lineage, metrics, pooling, reports
+from millrace.session import shared_dir
 from millrace.sources import audio
 from millrace.sources.tables import table
 
@@ -791,7 +792,7 @@ def incremental_append(spark, d):
 
     from millrace.streaming.incremental import append_new
 
-    root = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     table(spark, d, "events").select("ts", "event_id", "event_type").write.parquet(f"{root}/in")
     schema = "ts timestamp_ntz, event_id long, event_type string"
     append_new(spark, f"{root}/in", schema, f"{root}/out", f"{root}/state", lambda s: s.select(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), "event_id", "event_type"))
@@ -799,10 +800,3 @@ def incremental_append(spark, d):
 
 
 ORACLE_SQL["incremental_append"] = "select date_trunc('hour', ts)::timestamp as hour, count(*) as n, count(distinct event_type) as kinds from events group by 1"
-
-
-def _shared(spark: SparkSession) -> str:
-    """A folder for intermediate files: that of spark.checkpoint.dir, else a temporary one in local mode."""
-    import tempfile
-
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="millrace-")

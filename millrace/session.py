@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -19,3 +21,16 @@ def session(master: str | None = None, **more: str) -> SparkSession:
     for k, v in (SETTINGS | {k.replace("__", "."): v for k, v in more.items()}).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir. Unset, a temporary one is made in local mode only."""
+    set_dir = spark.conf.get("spark.checkpoint.dir", None)
+    if set_dir:
+        return set_dir
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
+    return sc.getCheckpointDir()
