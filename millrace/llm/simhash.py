@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,8 +121,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
     return rows.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Tables and shingles a table of similar_groups: at similarity 0.8 a pair meets with probability 0.97.
-TABLES, SAMPLE = 12, 6
+#: Tables and shingles a table of similar_groups: at similarity 0.8 a pair meets with probability 0.99.
+TABLES, SAMPLE = 16, 6
 
 
 def sample_fingerprints(h: np.ndarray, tables: int, sample: int) -> list[int]:
@@ -140,10 +140,11 @@ def sample_fingerprints(h: np.ndarray, tables: int, sample: int) -> list[int]:
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = TABLES, sample: int = SAMPLE) -> DataFrame:
     """Distinct texts, by md5 (key), -> (key, component): groups of similarity ``similarity`` or more.
 
-    Each bucket of equal sample fingerprints proposes, for every member, the bucket's first member
-    and the one before it: proposals grow with the members, not with their pairs. A proposal links
-    if the Jaccard similarity of the two whole texts' word shingles reaches ``similarity``. Texts
-    without words take no part (they are grouped only if equal). Null texts count as empty.
+    Each bucket of equal sample fingerprints proposes, for every member, the bucket's hub (the member
+    that meets most others in all tables, such as the text that the others were made from) and its
+    first member: proposals grow with the members, not with their pairs. A proposal links if the
+    Jaccard similarity of the two whole texts' word shingles reaches ``similarity``. Texts without
+    words take no part (they are grouped only if equal). Null texts count as empty.
     """
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -163,9 +164,13 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tab
     rows = docs.select(F.md5(text).alias("key"), text.alias("text"))
     # copies of a text give the same rows, which the distinct drops before they are shuffled
     keys = cut(rows.select("key", F.posexplode(sampled("text")).alias("table", "part")).distinct())
-    bucket = Window.partitionBy("table", "part").orderBy("key")
-    ordered = keys.withColumns({"first": F.first("key").over(bucket), "before": F.lag("key").over(bucket)}).where("before is not null")
-    proposed = cut(ordered.select("key", F.explode(F.array_distinct(F.array("first", "before"))).alias("other")).distinct())
+    bucket = ["table", "part"]
+    sizes = keys.groupBy(bucket).agg(F.count("*").alias("n")).where("n > 1")
+    shared = cut(keys.join(sizes, bucket))
+    met = shared.groupBy("key").agg(F.sum("n").alias("met"))
+    hubs = shared.join(met, "key").groupBy(bucket).agg(F.max_by("key", F.struct("met", "key")).alias("hub"), F.min("key").alias("first"))
+    proposed = shared.join(hubs, bucket).select("key", F.explode(F.array("hub", "first")).alias("other")).where("key <> other")
+    proposed = cut(proposed.distinct())
     wanted = proposed.select("key").union(proposed.select("other")).distinct()
     texts = cut(rows.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")))
     checked = (
