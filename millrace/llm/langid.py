@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,15 +50,14 @@ def train_texts(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list
 
     Learned from the ``per_language`` rows of smallest id hash of each language: a bounded sample.
     """
-    languages = sorted(r["lang"] for r in docs.where("lang is not null").select("lang").distinct().collect())
     order = F.md5(F.concat(F.lit("lang:"), F.col("doc_id").cast("string")))
-    ids = docs.where("doc_id is not null and text is not null").select("doc_id", "lang")
-    chosen = [ids.where(F.col("lang") == c).orderBy(order).limit(per_language) for c in languages]
-    if not chosen:
+    ids = docs.where("doc_id is not null and text is not null and lang is not null").select("doc_id", "lang")
+    # tasks keep only the first rows of each language before the shuffle
+    first = Window.partitionBy("lang").orderBy(order, "doc_id")
+    few = ids.withColumn("i", F.row_number().over(first)).where(F.col("i") <= per_language).select("doc_id", "lang")
+    languages = sorted(r["lang"] for r in docs.where("lang is not null").select("lang").distinct().collect())
+    if not languages:
         return [], np.zeros((0, 1 << BITS))
-    few = chosen[0]
-    for c in chosen[1:]:
-        few = few.union(c)
     sample = docs.select("doc_id", "text", "lang").join(F.broadcast(few), ["doc_id", "lang"], "left_semi")
 
     def fit(rows: pd.DataFrame) -> dict[str, np.ndarray]:
@@ -71,7 +70,8 @@ def train_texts(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list
         counts += SHARED * shared / shared.sum()
         return {"logp": np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)}
 
-    return languages, fitted(sample, fit)["logp"]
+    # languages that no text with an id has are near all others together
+    return languages, fitted(sample, fit).get("logp", np.full((len(languages), 1 << BITS), -np.log(1 << BITS)))
 
 
 def _text_logs(text: Column, logp: np.ndarray) -> Column:
