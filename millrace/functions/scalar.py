@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: Probabilities stay this far from 0 and 1 before a logit.
 EPS = 1e-6
-#: site_YYYYMMDD_HHMMSS.wav, case-sensitive
+# Fixed value: site_YYYYMMDD_HHMMSS.wav, case-sensitive
 NAME = r"^(.+)_(\d{8})_(\d{6})\.wav$"
 
 

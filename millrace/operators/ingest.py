@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.scalar import NAME, is_wav
 
-#: Upload folders whose names begin with a number and a sender come last.
+# Fixed value: upload folders whose names begin with a number and a sender; they come last.
 PREFIXED = r"^\d+-.* - "
 
 
