@@ -2,30 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.session import shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Unset, a temporary one is made in local mode only."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if set_dir:
-        return set_dir
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
-    return sc.getCheckpointDir()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Compute df once and cut its lineage in the shared folder."""
     shared_dir(df.sparkSession)
@@ -51,3 +41,12 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
 def word_count(text: str) -> Column:
     """Number of runs of characters other than ASCII white space; 0 for null."""
     return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+
+
+def raw(text: str | bytes | None) -> bytes:
+    return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
+
+
+def utf8(texts: pa.Array) -> Iterator[bytes]:
+    """The bytes of an Arrow column's texts, one at a time; null gives none. No text is held twice."""
+    return (v.as_py() or b"" for v in texts.cast(pa.binary()))

@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if_small, cut
+from .common import broadcast_if_small, cut, raw, utf8
 from .training import fitted
 
 #: Bytes of an n-gram, bits of its hash, texts a language to learn from.
@@ -30,9 +31,9 @@ LEAST = 0.5
 _SLICE = 1 << 20
 
 
-def _grams(text: str) -> np.ndarray:
+def _grams(text: str | bytes | None) -> np.ndarray:
     """Counts of the hashed byte n-grams of a whole text, A-Z lower-cased, white space and digits one blank."""
-    data = np.frombuffer(b" " + text.encode("utf-8", "surrogatepass").lower() + b" ", dtype=np.uint8)
+    data = np.frombuffer(b" " + raw(text).lower() + b" ", dtype=np.uint8)
     data = np.where((data < 97) | ((data > 122) & (data < 128)), np.uint8(32), data)
     out = np.zeros(1 << BITS, dtype=np.int64)
     for a in range(0, len(data) - GRAM + 1, _SLICE):
@@ -63,7 +64,7 @@ def train_texts(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list
     def fit(rows: pd.DataFrame) -> dict[str, np.ndarray]:
         counts = np.zeros((len(languages), 1 << BITS))
         for text, lang in zip(rows["text"], rows["lang"], strict=True):
-            g = _grams(text or "")
+            g = _grams(text)
             counts[languages.index(lang)] += g / max(1.0, np.sqrt(g.sum()))  # a long text counts as its root
         # smoothed with all languages together, so that one with few texts is near them and not even
         shared = counts.sum(axis=0) + 0.1
@@ -77,14 +78,14 @@ def train_texts(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list
 def _text_logs(text: Column, logp: np.ndarray) -> Column:
     """Array of each language's tempered log likelihood; null if the text has no letter."""
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def logs(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def logs(texts: pa.Array) -> pa.Array:
         out = []
-        for t in texts:
-            g = _grams(t or "")
+        for t in utf8(texts):
+            g = _grams(t)
             at = np.flatnonzero(g)
             out.append((TEMPER * (logp[:, at] @ g[at])).tolist() if len(at) else None)
-        return pd.Series(out)
+        return pa.array(out, pa.list_(pa.float64()))
 
     return logs(text)
 

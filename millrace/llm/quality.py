@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import raw, utf8
 from .training import fitted, id_text, labelled_sample
 
 #: Length of a byte's vector, width and step of filters, number of filters, units of the layer.
@@ -81,9 +83,9 @@ def _combined(p: dict, pooled: np.ndarray):
     return h, u, z, float(p["top"] @ np.array([z.mean(), z.max(), z.min(), 1], np.float32))
 
 
-def probability(p: dict, text: str | None) -> float:
+def probability(p: dict, text: str | bytes | None) -> float:
     """Of label 1, for the whole text; an empty one is one chunk of zeros."""
-    logit = _combined(p, _chunked(p, (text or "").encode("utf-8", "surrogatepass"))[0])[3] + float(p["shift"])
+    logit = _combined(p, _chunked(p, raw(text))[0])[3] + float(p["shift"])
     return float(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
 
 
@@ -113,7 +115,7 @@ def fit(rows: pd.DataFrame, prior: float, label: str = "quality") -> dict[str, n
     """Adam over the sample; ``prior``, the share of label 1 in all learnable rows, sets the level."""
     p, r, t = start(), np.random.default_rng(1), 0
     first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    texts = [x.encode("utf-8", "surrogatepass") for x in rows["text"]]
+    texts = [raw(x) for x in rows["text"]]
     y = rows[label].to_numpy()
     steps = EPOCHS * -(-len(texts) // BATCH)
     for _ in range(EPOCHS):
@@ -151,9 +153,9 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], threshold: float = 0.3)
     Null texts count as empty. Without any labelled row the network is untrained, and scores say nothing.
     """
 
-    @F.pandas_udf(T.DoubleType())
-    def net(texts: pd.Series) -> pd.Series:
-        return pd.Series([probability(model, t) for t in texts], dtype="float64")
+    @F.arrow_udf(T.DoubleType())
+    def net(texts: pa.Array) -> pa.Array:
+        return pa.array([probability(model, t) for t in utf8(texts)], pa.float64())
 
     rows = docs.select("doc_id", held_out().alias("held_out"), net("text").alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -15,13 +15,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, raw, stored, utf8
 from .components import connected_components
 
 BITS = 64
@@ -30,16 +30,16 @@ PAIRED_BUCKET = 16
 _BLOCK = 1 << 16
 
 
-def shingles(text: str | None, words: int) -> Iterator[bytes]:
+def shingles(text: str | bytes | None, words: int) -> Iterator[bytes]:
     """The word shingles of a text, A-Z lower-cased; fewer words give one shingle, none give none."""
     # on bytes, lower() changes A-Z only and split() splits at \x20 and \x09-\x0D only
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    w = raw(text).lower().split()
     if 0 < len(w) < words:
         return iter([b" ".join(w)])
     return map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False))
 
 
-def hashes(text: str | None, words: int) -> np.ndarray:
+def hashes(text: str | bytes | None, words: int) -> np.ndarray:
     h = xxhash.xxh64_intdigest
     return np.fromiter((h(s, 42) for s in shingles(text, words)), dtype="<u8")
 
@@ -56,9 +56,9 @@ def majority(h: np.ndarray) -> int:
 def fingerprint(text: Column, words: int = 3) -> Column:
     """SimHash of a whole text as a signed long; null and blank texts give 0."""
 
-    @F.pandas_udf(T.LongType())
-    def simhash(texts: pd.Series) -> pd.Series:
-        return pd.Series([majority(hashes(t, words)) for t in texts], dtype="int64")
+    @F.arrow_udf(T.LongType())
+    def simhash(texts: pa.Array) -> pa.Array:
+        return pa.array([majority(hashes(t, words)) for t in utf8(texts)], pa.int64())
 
     return simhash(text)
 
@@ -141,24 +141,24 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tab
     """Distinct texts, by md5 (key), -> (key, component): groups of similarity ``similarity`` or more.
 
     Each bucket of equal sample fingerprints proposes, for every member, the bucket's hub (the member
-    that meets most others in all tables, such as the text that the others were made from) and its
-    first member: proposals grow with the members, not with their pairs. A proposal links if the
-    Jaccard similarity of the two whole texts' word shingles reaches ``similarity``. Texts without
-    words take no part (they are grouped only if equal). Null texts count as empty.
+    that meets most others in all tables, such as the text that the others were made from): proposals
+    grow with the members, not with their pairs. A proposal links if the Jaccard similarity of the
+    two whole texts' word shingles reaches ``similarity``. Texts without words take no part (they are
+    grouped only if equal). Null texts count as empty.
     """
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def sampled(texts: pd.Series) -> pd.Series:
-        return pd.Series([sample_fingerprints(h, tables, sample) if len(h := hashes(t, words)) else [] for t in texts])
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def sampled(texts: pa.Array) -> pa.Array:
+        return pa.array([sample_fingerprints(h, tables, sample) if len(h := hashes(t, words)) else [] for t in utf8(texts)], pa.list_(pa.int64()))
 
-    @F.pandas_udf(T.DoubleType())
-    def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.DoubleType())
+    def jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
         out = []
-        for x, y in zip(a, b, strict=True):
+        for x, y in zip(utf8(a), utf8(b), strict=True):
             x, y = np.unique(hashes(x, words)), np.unique(hashes(y, words))
             both = len(np.intersect1d(x, y, assume_unique=True))
             out.append(both / max(1, len(x) + len(y) - both))
-        return pd.Series(out, dtype="float64")
+        return pa.array(out, pa.float64())
 
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.md5(text).alias("key"), text.alias("text"))
@@ -168,11 +168,10 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tab
     sizes = keys.groupBy(bucket).agg(F.count("*").alias("n")).where("n > 1")
     shared = cut(keys.join(sizes, bucket))
     met = shared.groupBy("key").agg(F.sum("n").alias("met"))
-    hubs = shared.join(met, "key").groupBy(bucket).agg(F.max_by("key", F.struct("met", "key")).alias("hub"), F.min("key").alias("first"))
-    proposed = shared.join(hubs, bucket).select("key", F.explode(F.array("hub", "first")).alias("other")).where("key <> other")
-    proposed = cut(proposed.distinct())
+    hubs = shared.join(met, "key").groupBy(bucket).agg(F.max_by("key", F.struct("met", "key")).alias("other"))
+    proposed = cut(shared.join(hubs, bucket).select("key", "other").where("key <> other").distinct())
     wanted = proposed.select("key").union(proposed.select("other")).distinct()
-    texts = cut(rows.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")))
+    texts = stored(rows.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")))
     checked = (
         proposed.join(texts, "key").withColumnRenamed("text", "text_a")
         .join(texts.toDF("other", "text_b"), "other")

@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import raw, utf8
 from .training import fitted, labelled_sample
 
 #: Bits of a hashed feature, lengths (bytes) of word beginnings, longest part of a word that is read.
@@ -47,9 +49,9 @@ def _features(data: bytes) -> np.ndarray:
     return np.unique(h >> np.uint32(32 - BITS))
 
 
-def features(text: str | None) -> np.ndarray:
+def features(text: str | bytes | None) -> np.ndarray:
     """Hashed words and word beginnings that a whole text has, each once, A-Z lower-cased."""
-    data = (text or "").encode("utf-8", "surrogatepass").lower()
+    data = raw(text).lower()
     parts, a = [], 0
     while a < len(data):  # long texts in slices that end at a blank
         b = len(data) if len(data) - a <= _SLICE else (data.find(b" ", a + _SLICE) + 1 or len(data))
@@ -117,7 +119,7 @@ def fit(rows: pd.DataFrame, names: list[str], weight: float = 1.0) -> dict[str,
     return model
 
 
-def probabilities(model: dict[str, np.ndarray], text: str | None) -> list[float]:
+def probabilities(model: dict[str, np.ndarray], text: str | bytes | None) -> list[float]:
     doc, chain = features(text), np.empty(0)
     for j in range(len(model) // 2):
         x = np.concatenate([evidence(model[f"ratios_{j}"], doc), chain])
@@ -148,9 +150,9 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], names=tuple(CATEGORIES)
     labelled rows there is no model; then all probabilities are 0.
     """
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def chain(texts: pd.Series) -> pd.Series:
-        return pd.Series([probabilities(model, t) if model else [0.0] * len(names) for t in texts])
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def chain(texts: pa.Array) -> pa.Array:
+        return pa.array([probabilities(model, t) if model else [0.0] * len(names) for t in utf8(texts)], pa.list_(pa.float64()))
 
     def p(i: int) -> Column:
         return F.col("p")[i].alias(f"p_{names[i]}")
