@@ -13,6 +13,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import broadcast_if_small, cut
+
 # The base phrases and their labels.
 BASE = (
     ("cc-by", "cc by"),
@@ -110,6 +112,8 @@ def scan(docs: DataFrame, base=BASE, notices=NOTICES) -> DataFrame:
         F.count_if("base").alias("n_base"), F.min(start).alias("first_word"), F.max(start).alias("last_word"),
         joined(label).alias("base_labels"), joined("label").alias("labels"), F.max("coverage").alias("score"),
     )
+    # computed apart, so that Spark may broadcast it or split a key that very many copies share
+    per_text = broadcast_if_small(cut(per_text))
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.md5(text).alias("key"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"))
     return rows.join(per_text, "key", "left").select(
