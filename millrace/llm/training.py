@@ -38,7 +38,8 @@ def fitted(sample: DataFrame, fit: Callable[[pd.DataFrame], dict[str, np.ndarray
             np.savez_compressed(out, **fit(pd.concat(rows).sort_values("doc_id").reset_index(drop=True)))
             yield pd.DataFrame({"model": [out.getvalue()]})
 
-    got = sample.coalesce(1).mapInPandas(step, "model binary").collect()
+    # a shuffle of the bounded sample; coalesce(1) would make one task scan the table that it is drawn from
+    got = sample.repartition(1).mapInPandas(step, "model binary").collect()
     if not got:
         return {}
     with np.load(io.BytesIO(bytes(got[0]["model"]))) as z:
