@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import broadcast_if_small, cut
 
 
 def _checksum(edges: DataFrame) -> tuple:
@@ -18,8 +18,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Only nodes with an edge to another node are returned; null ends and loops are dropped, repeated
     edges count once, and an empty table gives an empty one. Every round moves at most two rows per
-    edge; the minimum of a node's neighbours is a partial aggregate, so a node with very many
-    neighbours is never gathered in a task. Rounds grow with the logarithm of the longest path.
+    edge; the minimum of a node's neighbours is a partial aggregate, computed apart from the join with
+    it, which Spark may then broadcast or split, so a node with very many neighbours needn't be
+    gathered in a task. Rounds grow with the logarithm of the longest path.
     """
     edges = cut(
         edges.where(F.col("a") != F.col("b"))
@@ -30,12 +31,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while before[0]:
         # large star: every larger neighbour of a node moves to the node's smallest neighbour
         both = edges.union(edges.select("b", "a").toDF("a", "b"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = broadcast_if_small(cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))))
         large = (
             both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         )
         # small star: a node and its smaller neighbours move to the smallest of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = cut(large)
+        least = broadcast_if_small(cut(large.groupBy("a").agg(F.min("b").alias("m"))))
         moved = large.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = cut(moved.union(least.toDF("a", "b")).distinct())
         after = _checksum(edges)
