@@ -173,7 +173,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.9
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("key").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "key")
     named = nodes.drop("vector").join(links, "key", "left").join(parts, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    least = broadcast_if_small(cut(named.groupBy("component").agg(F.min("first").alias("component_id"))))
     named = named.join(least, "component").select("key", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
     done = rows.drop("vector").join(named, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
