@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, raw, stored, utf8
+from .common import broadcast_if_small, cut, raw, stored, utf8
 from .components import connected_components
 
 BITS = 64
@@ -123,6 +123,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
 
 #: Tables and shingles a table of similar_groups: at similarity 0.8 a pair meets with probability 0.99.
 TABLES, SAMPLE = 16, 6
+#: Texts and shingles of a chunk, two of which are compared with each other in one cell.
+CHUNK, CHUNK_SHINGLES = 256, 1 << 20
+_SLAB = 2048
 
 
 def sample_fingerprints(h: np.ndarray, tables: int, sample: int) -> list[int]:
@@ -137,14 +140,69 @@ def sample_fingerprints(h: np.ndarray, tables: int, sample: int) -> list[int]:
     return out
 
 
+def _links_of_cell(cell: pa.Table, similarity: float) -> pa.Table:
+    """Pairs (a, b) of components of which two texts of the cell reach the similarity."""
+    names, of = np.unique(cell.column("component").to_numpy(zero_copy_only=False), return_inverse=True)
+    lists = cell.column("hashes").combine_chunks()
+    size, n = np.diff(lists.offsets.to_numpy()), cell.num_rows
+    _, code, count = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    # a shingle of one text is common to none; the others are multiplied out a slab at a time
+    owner = np.repeat(np.arange(n), size)[count[code] > 1]
+    code = (np.cumsum(count > 1) - 1)[code[count[code] > 1]]
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    both = np.zeros((n, n))
+    for first in range(0, int(code[-1]) + 1 if len(code) else 0, _SLAB):
+        a, b = np.searchsorted(code, (first, first + _SLAB))
+        there = np.zeros((n, _SLAB), np.float32)
+        there[owner[a:b], code[a:b] - first] = 1
+        both += there @ there.T
+    near = both / np.maximum(1, size[:, None] + size[None, :] - both) >= similarity
+    i, j = np.nonzero(np.triu(near & (of[:, None] != of[None, :]), 1))
+    pairs = np.unique(np.sort(np.column_stack([of[i], of[j]]), axis=1), axis=0)
+    return pa.table({"a": pa.array(names[pairs[:, 0]], pa.string()), "b": pa.array(names[pairs[:, 1]], pa.string())})
+
+
+def remaining(rows: DataFrame, named: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) of components that texts in one bucket make: (key, text), (key, table, part, component) -> all.
+
+    Every two texts of different components that share a bucket are compared by the hashes of all
+    their shingles. A bucket is cut into chunks of about CHUNK texts or CHUNK_SHINGLES shingles;
+    every two chunks meet in a cell of their own, so no task holds a bucket.
+    """
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def hashed(texts: pa.Array) -> pa.Array:
+        return pa.array([np.unique(hashes(t, words)).view(np.int64) for t in utf8(texts)], pa.list_(pa.int64()))
+
+    bucket = ["table", "part"]
+    mixed = cut(named.groupBy(bucket).agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select(bucket))
+    members = cut(named.join(broadcast_if_small(mixed), bucket))
+    wanted = broadcast_if_small(cut(members.select("key").distinct()))
+    texts = rows.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    texts = stored(texts.select("key", hashed("text").alias("hashes")))
+    members = cut(members.join(texts.select("key", F.size("hashes").cast("long").alias("size")), "key"))
+    parts = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("size") / CHUNK_SHINGLES)).cast("int")
+    members = members.join(broadcast_if_small(cut(members.groupBy(bucket).agg(parts.alias("chunks")))), bucket)
+    members = members.withColumn("chunk", F.pmod(F.hash("key"), "chunks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    cells = members.select("key", *bucket, F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "component")
+    cell = [*bucket, "low", "high"]
+
+    def links_of(group: pa.Table) -> pa.Table:
+        return _links_of_cell(group, similarity)
+
+    return cells.join(texts, "key").select(*cell, "component", "hashes").groupBy(cell).applyInArrow(links_of, "a string, b string").distinct()
+
+
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = TABLES, sample: int = SAMPLE) -> DataFrame:
     """Distinct texts, by md5 (key), -> (key, component): groups of similarity ``similarity`` or more.
 
-    Each bucket of equal sample fingerprints proposes, for every member, the bucket's hub (the member
-    that meets most others in all tables, such as the text that the others were made from): proposals
-    grow with the members, not with their pairs. A proposal links if the Jaccard similarity of the
-    two whole texts' word shingles reaches ``similarity``. Texts without words take no part (they are
-    grouped only if equal). Null texts count as empty.
+    Two texts link if they meet in a bucket of equal sample fingerprints and the Jaccard similarity of
+    their whole word shingles reaches ``similarity``; no pair that meets is left out. First each bucket
+    proposes, for every member, the bucket's hub (the member that meets most others in all tables,
+    such as the text that the others were made from), which joins most groups in time linear in the
+    members. Buckets that then still hold texts of several groups are compared whole (``remaining``).
+    Texts without words take no part (they are grouped only if equal). Null texts count as empty.
     """
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
@@ -177,7 +235,13 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tab
         .join(texts.toDF("other", "text_b"), "other")
         .where(jaccard("text_a", "text_b") >= similarity)
     )
-    return connected_components(checked.select(F.col("key").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "key")
+    found = connected_components(checked.select(F.col("key").alias("a"), F.col("other").alias("b")))
+    named = shared.join(broadcast_if_small(cut(found)), F.col("key") == F.col("node"), "left")
+    named = cut(named.select("key", *bucket, F.coalesce("component", "key").alias("component")))
+    further = connected_components(remaining(rows, named, words, similarity)).toDF("component", "whole")
+    # the nodes of the second step are components of the first, each named by its smallest key
+    labels = named.select("key", "component").distinct().join(broadcast_if_small(cut(further)), "component", "left")
+    return labels.select("key", F.coalesce("whole", "component").alias("component"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -137,6 +138,41 @@ def test_similar_groups_find_near_copies_and_nothing_else(spark):
             assert any(len(sets(i) & sets(j)) / len(sets(i) | sets(j)) >= 0.8 for j in range(len(docs)) if j != i)
 
 
+def test_all_texts_that_meet_are_compared(spark, monkeypatch):
+    """Drifting copies: the ends of a chain are alike to their neighbours, to no text that all others meet."""
+    monkeypatch.setattr(simhash, "CHUNK", 5)
+    r = random.Random(3)
+    docs = []
+    for _ in range(4):
+        w = ["".join(r.choices("abcdefgh", k=6)) for _ in range(150)]
+        for _ in range(60):
+            w = w[1:] + ["".join(r.choices("abcdefgh", k=6))]
+            docs.append(" ".join(w))
+    r.shuffle(docs)
+    # one table, so that texts meet in one bucket or not at all
+    fps = [simhash.sample_fingerprints(simhash.hashes(t, 5), 1, 2) for t in docs]
+    sets = [set(simhash.shingles(t, 5)) for t in docs]
+    root = list(range(len(docs)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(docs)):
+        for j in range(i):
+            if fps[i] == fps[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                root[find(i)] = find(j)
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    found = {x["key"]: x["component"] for x in simhash.similar_groups(df, tables=1, sample=2).collect()}
+    keys = [hashlib.md5(t.encode()).hexdigest() for t in docs]
+    got, want = [found.get(k, k) for k in keys], [find(i) for i in range(len(docs))]
+    assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
+    # and cut at another place the result is the same
+    monkeypatch.setattr(simhash, "CHUNK_SHINGLES", 200)
+    assert {x["key"]: x["component"] for x in simhash.similar_groups(df, tables=1, sample=2).collect()} == found
+
+
 def test_keep_one_odd_rows(odd, clashing):
     ids = sorted((r["doc_id"] for r in simhash.keep_one(odd).collect()), key=lambda x: (x is None, x))
     assert ids == [1, 3, 5, 6, 7, 8, 9, None]  # 2 is a copy of 1; 4 has the empty text of 3
