@@ -753,12 +753,12 @@ def _vector_bags(spark, d):
 
 @query()
 def train_probe(spark, d):
-    """Out-of-fold test scores of two poolers, linear probes."""
+    """Out-of-fold test scores of two poolers, linear probes: one of every bag, class and pooler."""
     from millrace.operators import training as T
 
     bags = _vector_bags(spark, d).cache()
-    fits = [T.Fit(p, fold=f) for p in ("mean", "lme") for f in range(2)]
-    settings = T.Settings(epochs=10, check_every=5)
+    fits = [T.Fit(p, fold=f) for p in ("mean", "lme") for f in range(G.FOLDS)]
+    settings = T.Settings()
     params, stats, _ = T.train(bags, fits, settings)
     settings.extra = {}
     out = T.scores(bags, fits, params, stats, settings).where("split = 'test'")

@@ -45,3 +45,10 @@ def test_same_as_sql(spark, duck, sf, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
 def test_has_rows(spark, sf, name):
     assert catalogue.QUERIES[name](spark, sf).count() > 0
+
+
+def test_every_bag_has_one_test_score_of_each_pooler(spark, sf):
+    got = catalogue.QUERIES["train_probe"](spark, sf).select("pooling", "bag_id", "class").collect()
+    bags = [r["bag_id"] for r in catalogue._vector_bags(spark, sf).select("bag_id").collect()]
+    want = [(p, b, c) for p in ("mean", "lme") for b in bags for c in (0, 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
