@@ -6,41 +6,57 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut, word_count
+from .common import broadcast_if_small, cut, with_repeats, word_count
 
-#: Lengths up to FINE have a bin each; longer ones bins that are 1/64 of a power of two wide.
-FINE = 128
 BUCKETS, BUDGET = 16, 32_768
 #: Rows of a slot, the part of a bucket that one task numbers.
 SLOT = 50_000
 
 
-def length_bin(tokens: Column) -> Column:
-    """Smallest bin bound that holds a length: the length itself, or rounded up to FINE / 2 steps an octave.
+def _best_cuts(best: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every b the a <= b of least best[a] + bounds[b-1] * (rows[b] - rows[a]), and that cost.
 
-    The number of different bounds is FINE plus 64 for each doubling, whatever the data.
+    The best a never falls as b rises, so all middles of a level of halvings are answered together, each
+    between the answers of its neighbours on the levels before: n log n in all.
     """
-    octave = F.floor(F.log2(F.greatest(tokens, F.lit(1)) + 0.0)) - F.floor(F.log2(F.lit(FINE / 2)))
-    width = F.greatest(F.pow(F.lit(2.0), octave), F.lit(1.0)).cast("long")
-    return F.when(tokens <= FINE, tokens).otherwise(F.ceil(tokens / width) * width)
+    n = len(bounds)
+    at, cost = np.zeros(n + 1, dtype=np.int64), np.zeros(n + 1)
+    known = np.array([0, n + 1])  # answered b, with 0 and one past the end
+    low = np.array([0, n])  # their answers
+    while True:
+        left, right = known[:-1], known[1:]
+        wide = right - left > 1
+        if not wide.any():
+            return at, cost
+        b = (left[wide] + right[wide]) // 2
+        first, last = low[:-1][wide], np.minimum(low[1:][wide], b)
+        size = last - first + 1
+        ends = np.cumsum(size)
+        a = np.arange(ends[-1]) - np.repeat(ends - size, size) + np.repeat(first, size)
+        each = best[a] + np.repeat(bounds[b - 1], size) * (np.repeat(rows[b], size) - rows[a])
+        cost[b] = np.minimum.reduceat(each, ends - size)
+        # the first of equal costs
+        hit = np.flatnonzero(each == np.repeat(cost[b], size))
+        of = np.searchsorted(ends, hit, side="right")
+        at[b] = a[hit[np.unique(of, return_index=True)[1]]]
+        order = np.argsort(np.concatenate([known, b]), kind="stable")
+        known, low = np.concatenate([known, b])[order], np.concatenate([low, at[b]])[order]
 
 
 def boundaries(bounds: np.ndarray, counts: np.ndarray, buckets: int) -> np.ndarray:
-    """Upper ends of at most ``buckets`` buckets of the (rising) bounds with the least padding.
+    """Upper ends, some of ``bounds`` (rising lengths), of at most ``buckets`` buckets with the least padding.
 
-    The padding of rows whose length is rounded to ``bounds`` is sum(counts * (end - bound)). Dynamic
-    program over the histogram: best[b] of the first b bins with one bucket more is the least of
-    best[a] + bounds[b-1] * (rows in a..b) over a; the sum of all lengths is the same for any choice.
+    The padding is sum(counts * (end - bound)). Dynamic program over the histogram: best[b] of the
+    first b lengths with one bucket more is the least of best[a] + bounds[b-1] * (rows in a..b) over a;
+    the sum of all lengths is the same for any choice.
     """
     n = len(bounds)
     rows = np.concatenate([[0], np.cumsum(counts)]).astype(np.float64)
     best = np.concatenate([[0.0], bounds * rows[1:]])
     cuts = [np.zeros(n + 1, dtype=np.int64)]
     for _ in range(1, min(buckets, n)):
-        cost = best[:, None] + np.concatenate([[0], bounds])[None, :] * (rows[None, :] - rows[:, None])
-        cost[np.tril_indices(n + 1, -1)] = np.inf
-        cuts.append(cost.argmin(axis=0))
-        best = cost.min(axis=0)
+        at, best = _best_cuts(best, bounds, rows)
+        cuts.append(at)
     ends, b = [], n
     for at in reversed(cuts):
         if b == 0:
@@ -55,31 +71,41 @@ def pack(docs: DataFrame, tokens: Column | None = None, buckets: int = BUCKETS,
     """``keep``, n_tokens, bucket_len, batch_id, place, padding for every row of docs.
 
     A row goes to the first bucket whose length holds it; a batch has budget // bucket_len rows of one
-    bucket (one row at least: a row longer than the budget is a batch of its own), so no batch pads
-    to more than the budget. All batches of a bucket are full but its last one. Tokens are counted
-    with ``tokens``, by default the words between ASCII white space; null texts have 0. Rows are
-    whole, never cut. An empty table gives an empty one.
+    bucket, so no batch pads to more than the budget. Bucket lengths are lengths of rows, and no other
+    choice of ``buckets`` of them pads less. A row longer than the budget is a batch of its own, padded
+    to itself, and takes no part in that choice; the histogram of the others has ``budget`` entries at
+    most. All batches of a bucket are full but its last one. Tokens are counted with ``tokens``, by
+    default the words between ASCII white space; null texts have 0. Rows are whole, never cut; rows
+    alike in ``keep`` and text count one by one. An empty table gives an empty one.
 
-    A bucket is numbered in slots (by hash of the row) of about SLOT rows, each offset by the rows of
-    the slots before it, so that a bucket with most rows isn't sorted in one task.
+    A bucket is numbered in slots (by hash of the row and its ordinal among rows alike) of about SLOT
+    rows, each offset by the rows of the slots before it, so that no bucket and no repeated row is
+    sorted in one task.
     """
     n = word_count("text") if tokens is None else tokens
-    rows = docs.select(*keep, n.cast("long").alias("n_tokens"), F.xxhash64(*keep, F.md5(F.coalesce("text", F.lit("")))).alias("h"))
-    rows = cut(rows.withColumn("bin", length_bin(F.col("n_tokens"))))
-    # the histogram's size is that of the bins, not of the data
-    histogram = rows.groupBy("bin").agg(F.count("*").alias("n")).orderBy("bin").toPandas()
-    bins, counts = histogram["bin"].to_numpy(dtype=np.float64), histogram["n"].to_numpy(dtype=np.float64)
-    ends = boundaries(bins, counts, buckets) if len(bins) else np.array([1.0])
-    total = np.diff(np.concatenate([[0], np.cumsum(counts)[np.searchsorted(bins, ends)]])) if len(bins) else np.array([0.0])
-    plan = [(int(e), int(max(1, -(-c // SLOT))), int(max(1, budget // max(1, e)))) for e, c in zip(ends, total, strict=True)]
-    bucket = F.coalesce(*(F.when(F.col("bin") <= e, F.struct(F.lit(e).cast("long").alias("bucket_len"), F.lit(s).alias("slots"), F.lit(c).cast("long").alias("per_batch"))) for e, s, c in plan))
-    rows = rows.withColumn("b", bucket).select(*keep, "n_tokens", "h", "b.*").withColumn("slot", F.pmod("h", "slots").cast("int"))
-    sizes = cut(rows.groupBy("bucket_len", "slot").agg(F.count("*").alias("n")))
-    before = Window.partitionBy("bucket_len").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("bucket_len", "slot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    in_slot = Window.partitionBy("bucket_len", "slot").orderBy("h", "n_tokens", *keep)
-    numbered = rows.withColumn("i", F.row_number().over(in_slot) - 1).join(broadcast_if_small(cut(offsets)), ["bucket_len", "slot"])
-    at = F.col("i") + F.col("offset")
+    nulls = (F.col(f"`{c}`").isNull() for c in keep)
+    alike = F.xxhash64(*(F.col(f"`{c}`") for c in keep), *nulls, F.md5(F.coalesce("text", F.lit(""))))
+    rows = cut(docs.select(*keep, n.cast("long").alias("n_tokens"), alike.alias("_alike")))
+    histogram = rows.where(F.col("n_tokens") <= budget).groupBy("n_tokens").agg(F.count("*").alias("n")).orderBy("n_tokens").toPandas()
+    lengths, counts = histogram["n_tokens"].to_numpy(dtype=np.float64), histogram["n"].to_numpy(dtype=np.float64)
+    ends = boundaries(lengths, counts, buckets) if len(lengths) else np.array([])
+    total = np.diff(np.concatenate([[0], np.cumsum(counts)[np.searchsorted(lengths, ends)]])) if len(lengths) else ends
+    longer = rows.where(F.col("n_tokens") > budget).count()
+
+    def bucket_of(length: Column, slot_rows: float, per_batch: int) -> Column:
+        slots = int(max(1, -(-slot_rows // SLOT)))
+        return F.struct(length.cast("long").alias("bucket_len"), F.lit(slots).alias("slots"), F.lit(per_batch).cast("long").alias("per_batch"))
+
+    chosen = [F.when(F.col("n_tokens") <= int(e), bucket_of(F.lit(int(e)), c, int(max(1, budget // max(1, e))))) for e, c in zip(ends, total, strict=True)]
+    rows = with_repeats(rows, "_alike", "_again").withColumn("_h", F.xxhash64("_alike", "_again"))
+    rows = rows.withColumn("_b", F.coalesce(*chosen, bucket_of(F.col("n_tokens"), longer, 1))).select(*keep, "n_tokens", "_h", "_b.*")
+    rows = rows.withColumn("_slot", F.pmod("_h", "slots").cast("int"))
+    of = ["bucket_len", "_slot"]
+    before = Window.partitionBy("bucket_len").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy(of).agg(F.count("*").alias("n")).select(*of, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))
+    in_slot = Window.partitionBy(of).orderBy("_h")
+    numbered = rows.withColumn("_i", F.row_number().over(in_slot) - 1).join(broadcast_if_small(cut(offsets)), of)
+    at = F.col("_i") + F.col("_offset")
     batch = F.floor(at / F.col("per_batch"))
     return numbered.select(
         *keep, "n_tokens", "bucket_len", F.concat_ws("-", "bucket_len", batch).alias("batch_id"),

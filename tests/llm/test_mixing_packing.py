@@ -86,8 +86,25 @@ def test_same_as_sql(spark, sf):
 
 
 def test_hash(spark):
-    got = spark.createDataFrame([(5,), (None,)], "doc_id long").select(mixing.document_hash().alias("h")).collect()
-    assert [r["h"] for r in got] == [int(hashlib.md5(t.encode()).hexdigest()[:15], 16) for t in ("5", "null")]
+    got = spark.createDataFrame([(5, "d"), (None, "d")], "doc_id long, digest string").select(mixing.row_hash(F.lit(0)).alias("h")).collect()
+    assert [r["h"] for r in got] == [int(hashlib.md5(t.encode()).hexdigest()[:15], 16) for t in ("5:d:0", "null:d:0")]
+
+
+def test_repeated_rows_are_taken_one_by_one(spark):
+    rows = [(None, "same words in all of these", "a")] * 400 + [(7, "w " * 6, "b")] * 200
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(df).toPandas()
+    for _, mine in got.groupby("source_size"):
+        assert abs(mine.taken.sum() - mine.target.iloc[0]) <= mine["size"].max()
+    assert sorted(map(tuple, mixing.mix(df.repartition(3)).select("size", "taken").collect())) == sorted(zip(got["size"], got.taken))
+    assert mixing.mixed(df).count() == (got.taken // got["size"]).sum()
+
+
+def test_many_sources_are_numbered_in_order(spark):
+    r = np.random.default_rng(0)
+    names = [f"s{i}" for i in r.permutation(300)] + [None]
+    df = spark.createDataFrame([(i, "w " * int(n), s) for i, (s, n) in enumerate(zip(names, r.integers(0, 50, 301)))], "doc_id long, text string, source string")
+    check(df)
 
 
 @pytest.mark.parametrize("seed", range(5))
@@ -109,8 +126,11 @@ def test_batches(spark, sf, monkeypatch, slot, budget):
     assert sorted(got.doc_id) == sorted(r["doc_id"] for r in df.collect())
     n = {r["doc_id"]: size(r["text"]) for r in df.collect()}
     assert (got.n_tokens == got.doc_id.map(n)).all() and (got.padding == got.bucket_len - got.n_tokens).all() and (got.padding >= 0).all()
-    ends = sorted(got.bucket_len.unique())
-    assert len(ends) <= packing.BUCKETS and all(t > max([e for e in ends if e < b], default=-1) for t, b in zip(got.n_tokens, got.bucket_len))
+    long = got.n_tokens > budget
+    assert (got.padding[long] == 0).all() and got.batch_id[long].is_unique
+    ends = sorted(got.bucket_len[~long].unique())
+    assert set(ends) <= set(n.values()) and len(ends) <= packing.BUCKETS
+    assert all(t > max([e for e in ends if e < b], default=-1) for t, b in zip(got.n_tokens[~long], got.bucket_len[~long]))
     batches = got.groupby("batch_id").agg(n=("doc_id", "size"), length=("bucket_len", "first"), top=("place", "max"), places=("place", "nunique"))
     assert (batches.top == batches.n - 1).all() and (batches.places == batches.n).all()
     assert ((batches.n * batches.length <= budget) | (batches.n == 1)).all()
@@ -118,10 +138,25 @@ def test_batches(spark, sf, monkeypatch, slot, budget):
     assert (batches.assign(part=batches.n < full).groupby("length").part.sum() <= 1).all()
 
 
-def test_bins_hold_their_lengths(spark):
-    n = [0, 1, 127, 128, 129, 130, 255, 256, 257, 1000, 10**6, 10**9 + 7]
-    got = [r["b"] for r in spark.createDataFrame([(x,) for x in n], "n long").select(packing.length_bin(F.col("n")).alias("b")).collect()]
-    assert all(x <= b <= max(x, x * 1.02 + 1) for x, b in zip(n, got)) and got[:5] == [0, 1, 127, 128, 130]
+def test_padding_is_that_of_the_plain_program(spark):
+    """The quadratic program over all exact lengths of a larger table."""
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    got = packing.pack(df, keep=("doc_id",)).select("n_tokens", "padding").toPandas()
+    lengths, counts = np.unique(got.n_tokens[got.n_tokens <= packing.BUDGET], return_counts=True)
+    rows = np.concatenate([[0], np.cumsum(counts)]).astype(float)
+    best = np.concatenate([[0.0], lengths * rows[1:]])
+    for _ in range(1, packing.BUCKETS):
+        cost = best[:, None] + np.concatenate([[0], lengths])[None, :] * (rows[None, :] - rows[:, None])
+        cost[np.tril_indices(len(rows), -1)] = np.inf
+        best = cost.min(axis=0)
+    assert got.padding.sum() == best[-1] - (lengths * counts).sum()
+
+
+def test_repeated_rows_are_dealt_to_slots(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SLOT", 50)
+    df = spark.createDataFrame([(None, "the same text")] * 500, "doc_id long, text string").repartition(4)
+    got = packing.pack(df, budget=30).toPandas()
+    assert len(got) == 500 and got.batch_id.nunique() == 50 and (got.groupby("batch_id").place.nunique() == 10).all()
 
 
 def test_packing_odd_rows(odd, clashing):
