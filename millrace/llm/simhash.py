@@ -88,8 +88,9 @@ def links(nodes: DataFrame, radius: int = 2) -> DataFrame:
         raise ValueError("links() joins large buckets through words one bit away, which needs radius 2")
     masks = F.array(*(F.struct(F.lit(i).alias("table"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for i, m in enumerate(covering_masks(radius))))
     keys = nodes.select("fp", F.inline(masks))
-    sizes = keys.groupBy("table", "part").agg(F.count("*").alias("n")).where("n > 1")
-    shared = cut(keys.join(sizes, ["table", "part"]))
+    # sizes are computed apart from the join with them, so that Spark may split a bucket of very many rows
+    sizes = cut(keys.groupBy("table", "part").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = cut(keys.join(broadcast_if_small(sizes), ["table", "part"]))
     small = shared.where(F.col("n") <= PAIRED_BUCKET)
     pairs = (
         small.select("table", "part", F.col("fp").alias("a"))
@@ -113,11 +114,12 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
     are never paired.
     """
     rows = cut(docs.select("doc_id", fingerprint(F.col("text"), words).alias("fp")))
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     found = connected_components(links(nodes.select("fp"), radius))
-    named = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("label"))
-    least = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    of_fp = named.join(least, "label").select("fp", "component_id")
+    named = cut(nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("label")))
+    # a component may hold very many fingerprints, a fingerprint very many rows: sums apart from the joins
+    least = broadcast_if_small(cut(named.groupBy("label").agg(F.min("first").alias("component_id"))))
+    of_fp = broadcast_if_small(cut(named.join(least, "label").select("fp", "component_id")))
     return rows.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -163,6 +165,16 @@ def _links_of_cell(cell: pa.Table, similarity: float) -> pa.Table:
     return pa.table({"a": pa.array(names[pairs[:, 0]], pa.string()), "b": pa.array(names[pairs[:, 1]], pa.string())})
 
 
+def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, text) of the wanted keys. Copies of a text are dropped in the tasks before they move."""
+    wanted = cut(wanted)
+    small = broadcast_if_small(wanted)
+    if small is not wanted:
+        return rows.join(small, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    # an inner join stays above the aggregate; a semi join would be pushed below it and meet all copies
+    return rows.groupBy("key").agg(F.first("text").alias("text")).join(wanted, "key")
+
+
 def remaining(rows: DataFrame, named: DataFrame, words: int, similarity: float) -> DataFrame:
     """Links (a, b) of components that texts in one bucket make: (key, text), (key, table, part, component) -> all.
 
@@ -178,9 +190,7 @@ def remaining(rows: DataFrame, named: DataFrame, words: int, similarity: float)
     bucket = ["table", "part"]
     mixed = cut(named.groupBy(bucket).agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select(bucket))
     members = cut(named.join(broadcast_if_small(mixed), bucket))
-    wanted = broadcast_if_small(cut(members.select("key").distinct()))
-    texts = rows.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    texts = stored(texts.select("key", hashed("text").alias("hashes")))
+    texts = stored(_texts(rows, members.select("key").distinct()).select("key", hashed("text").alias("hashes")))
     members = cut(members.join(texts.select("key", F.size("hashes").cast("long").alias("size")), "key"))
     parts = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("size") / CHUNK_SHINGLES)).cast("int")
     members = members.join(broadcast_if_small(cut(members.groupBy(bucket).agg(parts.alias("chunks")))), bucket)
@@ -223,13 +233,13 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tab
     # copies of a text give the same rows, which the distinct drops before they are shuffled
     keys = cut(rows.select("key", F.posexplode(sampled("text")).alias("table", "part")).distinct())
     bucket = ["table", "part"]
-    sizes = keys.groupBy(bucket).agg(F.count("*").alias("n")).where("n > 1")
-    shared = cut(keys.join(sizes, bucket))
+    # what a bucket holds is computed apart from the joins with it, so that Spark may split a large one
+    sizes = cut(keys.groupBy(bucket).agg(F.count("*").alias("n")).where("n > 1"))
+    shared = cut(keys.join(broadcast_if_small(sizes), bucket))
     met = shared.groupBy("key").agg(F.sum("n").alias("met"))
-    hubs = shared.join(met, "key").groupBy(bucket).agg(F.max_by("key", F.struct("met", "key")).alias("other"))
-    proposed = cut(shared.join(hubs, bucket).select("key", "other").where("key <> other").distinct())
-    wanted = proposed.select("key").union(proposed.select("other")).distinct()
-    texts = stored(rows.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")))
+    hubs = cut(shared.join(met, "key").groupBy(bucket).agg(F.max_by("key", F.struct("met", "key")).alias("other")))
+    proposed = cut(shared.join(broadcast_if_small(hubs), bucket).select("key", "other").where("key <> other").distinct())
+    texts = stored(_texts(rows, proposed.select("key").union(proposed.select("other")).distinct()))
     checked = (
         proposed.join(texts, "key").withColumnRenamed("text", "text_a")
         .join(texts.toDF("other", "text_b"), "other")
@@ -248,15 +258,22 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs without near duplicates: of each group of ``similar_groups`` the smallest doc_id stays.
 
     Rows with equal texts are one group, empty and null texts too (null is not told from empty).
-    A null doc_id stays only in a group without another; of rows alike in doc_id one stays.
+    A null doc_id stays only in a group without another; of rows alike in doc_id and text one stays,
+    the first by its JSON. Rows are told by text and id together, so copies of one text never meet.
     """
     key = F.md5(F.coalesce("text", F.lit("")))
-    ids = docs.select(key.alias("key"), "doc_id").groupBy("key").agg(F.min("doc_id").alias("first"))
+    ids = cut(docs.select(key.alias("key"), "doc_id").groupBy("key", "doc_id").agg(F.count("*").alias("rows")))
     found = similar_groups(docs, **options)
-    grouped = ids.join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    grouped = ids.groupBy("key").agg(F.min("doc_id").alias("first")).join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
     # in each group the text whose smallest doc_id is smallest; nulls last, ties to the smaller key
     chosen = grouped.groupBy("component").agg(F.min_by(F.struct("key", "first"), F.struct(F.col("first").isNull(), "first", "key")).alias("c"))
-    chosen = chosen.select("c.key", "c.first")
+    chosen = chosen.select(F.col("c.key").alias("k"), F.col("c.first").alias("first"))
+    same = lambda at: (F.col("key") == F.col("k")) & F.col(at).eqNullSafe(F.col("first"))
+    chosen = cut(chosen.join(ids, same("doc_id")).select("k", "first", "rows"))
     whole = docs.select(key.alias("key"), F.struct(*docs.columns).alias("row"))
-    kept = whole.join(chosen.toDF("key", "first"), "key").where(F.col("row.doc_id").eqNullSafe(F.col("first")))
-    return kept.dropDuplicates(["key"]).select("row.*")
+    kept = whole.join(chosen.where("rows = 1"), same("row.doc_id"), "left_semi").select("row")
+    repeated = chosen.where("rows > 1")
+    if not repeated.isEmpty():
+        alike = whole.join(broadcast_if_small(repeated), same("row.doc_id"), "left_semi")
+        kept = kept.union(alike.groupBy("key").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row"))
+    return kept.select("row.*")
