@@ -5,8 +5,9 @@ the nearest neighbours in Euclidean distance, a metric. Data rows go to the near
 number of pivots; pivots and covering radii are the root page. Each share of a pivot's rows is an
 M-tree of pages that store, for every entry, the distance to its parent's routing object and, for
 inner entries, a covering radius. A query visits pages in the order of their least possible
-distance and stops when none can hold a better result. Bounds only skip what can't be in the
-result; scores are exact integers.
+distance and stops when none can hold a better result. The nearest tree comes first; what it finds
+bounds the query's visits of all other trees. Bounds only skip what can't be in the result; scores
+are exact integers.
 """
 
 from __future__ import annotations
@@ -20,13 +21,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import broadcast_if_small, cut
 
 #: Least and most pivots of the root page: a bounded sample (rows of smallest id hash), about one for
 #: each tree's worth of rows between the two; every row is indexed.
 PIVOTS = 64, 4096
-#: Rows of a tree, queries of a block, entries of a page.
-TREE, BLOCK, PAGE = 4096, 1024, 128
+#: Rows of a tree, queries that meet one copy of a tree (more than its rows, so copies cost less than
+#: the queries that need them), entries of a page.
+TREE, BLOCK, PAGE = 4096, 8192, 128
 #: Bounds are loosened by this share of the lengths, far above the rounding of doubles.
 SLACK = 1e-9
 
@@ -66,8 +68,8 @@ class Tree:
         own = np.zeros(len(used)) if parent is None else self._from(parent, routing[used])
         return self._page(routing[used], own, radii, children)
 
-    def search(self, query: np.ndarray, bound: float, skip: int, k: int) -> tuple[list[int], int]:
-        """The k nearest rows but ``skip`` within ``bound`` and those that may tie with them; distances made.
+    def search(self, query: np.ndarray, bound: float, k: int) -> tuple[np.ndarray, int]:
+        """The k nearest rows within ``bound`` and those that may tie with them; distances made.
 
         The squared distance of a query and a row is longest + |q|^2 - 2 q.row, a difference of
         integers that doubles hold, so small distances lose no digits.
@@ -93,7 +95,7 @@ class Tree:
                 for i in np.flatnonzero(low <= bound + loose):
                     heapq.heappush(queue, (float(low[i]), int(children[i]), float(d[i])))
                 continue
-            some = (d <= bound + loose) & (at != skip)
+            some = d <= bound + loose
             if some.any():
                 near, rows = np.concatenate([near, d[some]]), np.concatenate([rows, at[some]])
                 if len(near) >= k:
@@ -101,7 +103,7 @@ class Tree:
                     # all that may tie with the k-th are kept; the exact scores decide among them
                     kept = near <= bound + loose
                     near, rows = near[kept], rows[kept]
-        return rows.tolist(), made
+        return rows, made
 
 
 def integers(vector: Column) -> Column:
@@ -132,20 +134,20 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100, vector: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: for rows whose vec_id is divisible by ``every``, the best others.
+    """query_id, rank, vec_id, score: for rows whose vec_id is divisible by ``every``, the best other rows.
 
     Score: inner product of the integer vectors, exact while it fits 63 bits; ties go to the smaller
-    vec_id. Vectors that are null, empty or hold null or non-finite components take no part, nor do
-    rows with a null vec_id. Vectors are compared with those of their own length only. A repeated
-    query row is one query; of rows alike in vec_id and vector one is a candidate, and a query never
-    meets its own vec_id.
+    vec_id, null last. Vectors that are null or hold null or non-finite components take no part; empty
+    ones have score 0 with each other. Vectors are compared with those of their own length only. Every
+    row but the query's own is a candidate: repeated rows, rows with the query's vec_id and rows
+    without one count each, and a repeated query row gives its results again.
 
     Of rows with equal vectors, which tie everywhere, only the k + 1 smallest vec_ids can be in a
-    result, so a very common vector does not gather anywhere. The root page sends a query only to
-    trees that can hold one of its k nearest; large shares are several trees, many queries several
-    blocks, and each (tree, block) is a group of bounded size.
+    result, so a very common vector does not gather anywhere. A query goes to its nearest tree first,
+    then to all others that can hold a better row than the k it has found. Large shares are several
+    trees, and each (tree, block of its queries) is a group of bounded size.
     """
-    rows = vectors.where("vec_id is not null").select("vec_id", integers(F.col(vector)).alias("ints")).where("size(ints) > 0").distinct()
+    rows = vectors.select("vec_id", integers(F.col(vector)).alias("ints")).where("ints is not null")
     rows = cut(rows.withColumns({"dim": F.size("ints"), "norm": F.aggregate("ints", F.lit(0.0), lambda s, x: s + x.cast("double") * x)}))
     results = [_of_length(rows, r["dim"], r["n"], r["longest"], k, every) for r in rows.groupBy("dim").agg(F.count("*").alias("n"), F.max("norm").alias("longest")).collect()]
     if not results:
@@ -156,10 +158,50 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, vector: str = "embe
     return out
 
 
+def _ids(df: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    return df["missing"].to_numpy(dtype=bool), df["vec_id"].to_numpy()
+
+
+def _searched(visits: DataFrame, data: DataFrame, longest: float, k: int) -> DataFrame:
+    """query_id, query, score, missing, vec_id: the k best rows of each tree for each of its visits.
+
+    visits: query_id, query, pivot, tree, bound; data: vec_id, missing, ints, pivot, tree. A tree is
+    copied once for each BLOCK of its own visits.
+    """
+    tree = ["pivot", "tree"]
+    n = cut(visits.groupBy(tree).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    n = broadcast_if_small(n)
+    visits = visits.join(n, tree).withColumn("block", F.pmod(F.hash("query_id", "query"), "blocks"))
+    data = data.join(n, tree).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    data = data.select("vec_id", "missing", "ints", *(F.col(c).alias(f"in_{c}") for c in (*tree, "block")))
+
+    def search(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(queries) and len(rows):
+            rows = rows.sort_values(["missing", "vec_id"]).reset_index(drop=True)
+            ints, (missing, ids) = _stack(rows["ints"]), _ids(rows)
+            index = Tree(ints, longest)
+            for q, v, bound in zip(queries["query_id"], queries["query"], queries["bound"], strict=True):
+                v = np.asarray(v, dtype=np.int64)
+                # one more than k, as one of them may be the query's own row
+                at, _ = index.search(v, bound, k + 1)
+                at.sort()
+                own = np.flatnonzero((ids[at] == q) & ~missing[at] & (ints[at] == v).all(axis=1))
+                at = np.delete(at, own[:1])
+                score = ints[at] @ v
+                best = np.argsort(-score, kind="stable")[:k]
+                out += [(q, v, int(score[b]), bool(missing[at[b]]), int(ids[at[b]])) for b in best]
+        return pd.DataFrame(out, columns=["query_id", "query", "score", "missing", "vec_id"])
+
+    keys = [*tree, "block"]
+    schema = "query_id long, query array<long>, score long, missing boolean, vec_id long"
+    return visits.groupBy(keys).cogroup(data.groupBy([f"in_{c}" for c in keys])).applyInPandas(search, schema)
+
+
 def _of_length(rows: DataFrame, dim: int, n: int, longest: float, k: int, every: int) -> DataFrame:
     rows = rows.where(F.col("dim") == dim)
     pivots = _root_page(rows, n, longest)
-    few = Window.partitionBy("ints").orderBy("vec_id")
+    few = Window.partitionBy("ints").orderBy(F.col("vec_id").asc_nulls_last())
     data = rows.withColumn("copy", F.row_number().over(few)).where(F.col("copy") <= k + 1)
 
     @F.pandas_udf("pivot int, far double")
@@ -168,63 +210,59 @@ def _of_length(rows: DataFrame, dim: int, n: int, longest: float, k: int, every:
         pivot = _distances(v, pivots).argmin(axis=1)
         return pd.DataFrame({"pivot": pivot.astype(np.int32), "far": np.linalg.norm(v - pivots[pivot], axis=1)})
 
-    data = cut(data.select("vec_id", "ints", nearest("ints").alias("p")).select("vec_id", "ints", "p.*"))
+    missing = F.col("vec_id").isNull()
+    data = data.select(F.coalesce("vec_id", F.lit(0)).alias("vec_id"), missing.alias("missing"), "copy", "ints", nearest("ints").alias("p"))
+    data = cut(data.select("vec_id", "missing", "copy", "ints", "p.*"))
     page = data.groupBy("pivot").agg(F.count("*").alias("n"), F.max("far").alias("radius")).toPandas()  # a row for each pivot
     radius, trees = np.full(len(pivots), -1.0), np.zeros(len(pivots), dtype=int)
     radius[page["pivot"]], trees[page["pivot"]] = page["radius"], -(-page["n"] // TREE)
     share = F.element_at(F.array(*(F.lit(max(1, int(t))) for t in trees)), F.col("pivot") + 1)
-    data = data.withColumn("tree", F.pmod(F.hash("vec_id"), share))
+    data = data.withColumn("tree", F.pmod(F.hash("vec_id", "copy"), share)).drop("copy")
+
+    visit = T.ArrayType(T.StructType([T.StructField("pivot", T.IntegerType()), T.StructField("tree", T.IntegerType()), T.StructField("bound", T.DoubleType()), T.StructField("first", T.BooleanType())]))
 
-    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("pivot", T.IntegerType()), T.StructField("tree", T.IntegerType()), T.StructField("bound", T.DoubleType())])))
-    def visits(ints: pd.Series) -> pd.Series:
+    @F.pandas_udf(visit)
+    def visits(ints: pd.Series, known: pd.Series) -> pd.Series:
+        """The trees that may hold a row within ``known``; the first is one of the nearest pivot with rows."""
         q = _stack(ints).astype(np.float64)
         # queries aren't on the sphere of the data: their last component is 0
-        d = _distances(np.column_stack([q, np.zeros(len(q))]), pivots)
-        # pivots are data: the k+1 nearest (one may be the query) bound the k-th distance from above
-        bound = np.full(len(q), np.inf)
-        if len(pivots) > k:
-            some = pivots[np.argpartition(d, k, axis=1)[:, : k + 1]] - np.column_stack([q, np.zeros(len(q))])[:, None, :]
-            bound = np.linalg.norm(some, axis=2).max(axis=1)
+        flat = np.column_stack([q, np.zeros(len(q))])
+        d = _distances(flat, pivots)
+        bound = known.to_numpy(dtype=np.float64)
+        if len(pivots) > k:  # pivots are data: the k+1 nearest (one may be the query) bound the k-th distance from above
+            some = pivots[np.argpartition(d, k, axis=1)[:, : k + 1]] - flat[:, None, :]
+            bound = np.minimum(bound, np.linalg.norm(some, axis=2).max(axis=1))
         # d comes from a difference of squares, which loses digits when it is small
         loose = 1e-6 * np.sqrt(longest + (q * q).sum(axis=1))
+        nearest = np.where(trees > 0, d, np.inf).argmin(axis=1)
         hit = (d - radius <= (bound + loose)[:, None]) & (trees > 0)
-        return pd.Series([[(int(p), t, float(b)) for p in np.nonzero(h)[0] for t in range(trees[p])] for h, b in zip(hit, bound, strict=True)])
-
-    queries = rows.where(F.col("vec_id") % every == 0)
-    blocks = max(1, -(-queries.count() // BLOCK))
-    queries = queries.select(F.col("vec_id").alias("query_id"), "ints", F.pmod(F.hash("vec_id"), F.lit(blocks)).alias("block"), F.explode(visits("ints")).alias("v"))
-    queries = cut(queries.select("query_id", F.col("ints").alias("query"), "block", "v.*"))
-    # a tree meets each block that sends it a query
-    wanted = queries.select("pivot", "tree", F.col("block").alias("in_block")).distinct()
-    data = data.join(wanted, ["pivot", "tree"]).select("vec_id", "ints", *(F.col(c).alias(f"in_{c}") for c in ("pivot", "tree")), "in_block")
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            left = left.sort_values("vec_id").reset_index(drop=True)
-            ints, ids = _stack(left["ints"]), left["vec_id"].to_numpy()
-            tree = Tree(ints, longest)
-            for q, v, bound in zip(right["query_id"], right["query"], right["bound"], strict=True):
-                v = np.asarray(v, dtype=np.int64)
-                own = np.nonzero(ids == q)[0]
-                at, _ = tree.search(v, bound, int(own[0]) if len(own) else -1, k)
-                out += [(q, ids[a], int(ints[a] @ v)) for a in at]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    keys = ["pivot", "tree", "block"]
-    found = queries.groupBy(keys).cogroup(data.groupBy([f"in_{c}" for c in keys])).applyInPandas(lambda q, d: search(d, q), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        hit[np.arange(len(q)), nearest] = True
+        return pd.Series([[(int(p), t, float(b), bool(p == f and t == 0)) for p in np.nonzero(h)[0] for t in range(trees[p])] for h, b, f in zip(hit, bound, nearest, strict=True)])
+
+    distinct = cut(rows.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id"), F.col("ints").alias("query")).agg(F.count("*").alias("times")))
+    of = ["query_id", "query"]
+    planned = lambda q, known, first: q.select(*of, F.explode(F.filter(visits("query", known), lambda v: v["first"] == first)).alias("v")).select(*of, "v.*")
+    found = cut(_searched(planned(distinct, F.lit(float("inf")), True), data, longest, k))
+    # the k-th distance found, loosened by far more than rounding; without k rows nothing is bounded
+    norm = F.aggregate("query", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+    kth = found.groupBy(of).agg(F.count("*").alias("n"), F.min("score").alias("worst"))
+    far = F.sqrt(F.greatest(F.lit(0.0), F.lit(longest) + norm - 2 * F.col("worst").cast("double"))) + 1e-6 * F.sqrt(F.lit(longest) + norm)
+    bounded = distinct.join(broadcast_if_small(cut(kth)), of, "left").withColumn("known", F.when(F.col("n") >= k, far).otherwise(float("inf")))
+    more = _searched(planned(bounded.select(*of, "known"), F.col("known"), False), data, longest, k)
+    best = Window.partitionBy(of).orderBy(F.desc("score"), "missing", "vec_id")
+    ranked = found.unionByName(more).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    times = broadcast_if_small(distinct.select(*of, "times"))
+    ranked = ranked.join(times, of).withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    return ranked.select("query_id", "rank", F.when(~F.col("missing"), F.col("vec_id")).alias("vec_id"), "score")
 
 
 ORACLE = """
 with ints as (
-  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v from embeddings
-  where embedding is not null and vec_id is not null and len(embedding) > 0
-    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+  select row_number() over () as rid, vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 scores as (
-  select distinct q.vec_id as query_id, d.vec_id, list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2]))::bigint as score
-  from ints q join ints d on q.vec_id <> d.vec_id and len(q.v) = len(d.v) where q.vec_id % 100 = 0),
-ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scores)
+  select q.rid, q.vec_id as query_id, d.vec_id, coalesce(list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2])), 0)::bigint as score
+  from ints q join ints d on q.rid <> d.rid and len(q.v) = len(d.v) where q.vec_id % 100 = 0),
+ranked as (select *, row_number() over (partition by rid order by score desc, vec_id nulls last)::int as rank from scores)
 select query_id, rank, vec_id, score from ranked where rank <= 10
 """

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import embedding_dedup, mtree
 
@@ -65,9 +66,9 @@ def test_tree_is_exact():
             ids = np.sort(r.permutation(10 * n)[:n])
             tree = mtree.Tree(v, float((v * v).sum(axis=1).max()))
             for q in range(0, n, max(1, n // 10)):
-                at, _ = tree.search(v[q], np.inf, q, 10)
+                at, _ = tree.search(v[q], np.inf, 10)
                 got = sorted((-int(v[a] @ v[q]), ids[a]) for a in at)[:10]
-                assert got == sorted((-int(v[a] @ v[q]), ids[a]) for a in range(n) if a != q)[:10]
+                assert got == sorted((-int(v[a] @ v[q]), ids[a]) for a in range(n))[:10]
 
 
 def test_tree_skips_pages():
@@ -75,17 +76,24 @@ def test_tree_skips_pages():
     v = (r.integers(-1000, 1000, (40, 4))[r.integers(0, 40, 4000)] + r.integers(-5, 5, (4000, 4))).astype(np.int64)
     v = v * 1000 // np.maximum(1, np.linalg.norm(v, axis=1).astype(int))[:, None]
     tree = mtree.Tree(v, float((v * v).sum(axis=1).max()))
-    made = [tree.search(v[q], np.inf, q, 10)[1] for q in range(0, 4000, 400)]
+    made = [tree.search(v[q], np.inf, 10)[1] for q in range(0, 4000, 400)]
     assert np.mean(made) < 2000
 
 
 def plain_top(rows, k=10):
-    ok = sorted({(i, tuple(int(np.floor(1024 * np.float64(np.float32(x)))) for x in v)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)})
+    """Every row but the query's own is a candidate, whatever its vec_id."""
+    ints = lambda v: tuple(int(np.floor(1024 * np.float64(np.float32(x)))) for x in v)
+    ok = [(i, ints(v)) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q, a in sorted({(i, v) for i, v in ok if i % 100 == 0}):
-        best = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in ok if i != q and len(a) == len(b))[:k]
-        out += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
-    return sorted(out)
+    for at, (q, a) in enumerate(ok):
+        if q is not None and q % 100 == 0:
+            best = sorted((-sum(x * y for x, y in zip(a, b)), i is None, i or 0) for n, (i, b) in enumerate(ok) if n != at and len(a) == len(b))[:k]
+            out += [(q, n, None if none else i, -s) for n, (s, none, i) in enumerate(best, 1)]
+    return sorted(out, key=lambda t: tuple((x is None, x) for x in t))
+
+
+def top(df):
+    return sorted(map(tuple, mtree.top_k(df).collect()), key=lambda t: tuple((x is None, x) for x in t))
 
 
 @pytest.mark.parametrize("tree", [4096, 8])
@@ -97,10 +105,23 @@ def test_top_k(spark, monkeypatch, tree):
     v[50:120] = v[50]  # a common vector: ties by id
     rows = [(int(i), [float(x) for x in v[n]]) for n, i in enumerate(r.permutation(1500)[:349])] + [(100 * j, [float(x) for x in v[50]]) for j in (20, 21)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    assert sorted(map(tuple, mtree.top_k(df).collect())) == plain_top(rows)
+    assert top(df) == plain_top(rows)
 
 
 def test_top_k_odd(spark):
     df = spark.createDataFrame(ODD, "vec_id long, embedding array<float>")
-    assert sorted(map(tuple, mtree.top_k(df).collect())) == plain_top(ODD)
+    assert top(df) == plain_top(ODD)
     assert mtree.top_k(df.limit(0)).count() == 0
+    clashing = df.select("*", *(F.lit("x").alias(c) for c in "ints dim norm copy pivot far tree block bound first query query_id missing score rank times key n codes vector".split()))
+    assert top(clashing) == plain_top(ODD)
+    assert embedding_dedup.near_duplicates(clashing).count() == len(ODD)
+
+
+def test_top_k_of_repeated_rows(spark):
+    """Repeated rows, queries too, rows without an id, zero queries that tie with all, empty vectors."""
+    rows = [(1, [1.0, 2.0])] * 3 + [(100, [0.5, 1.0])] * 2 + [(100, [2.0, 2.0]), (200, [0.0, 0.0]), (None, [3.0, 1.0]), (None, [3.0, 1.0])]
+    rows += [(i, [float(i % 7), 1.0]) for i in range(2, 40)] + [(300, []), (301, []), (300, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert top(df) == plain_top(rows)
+    small = [(100, [1.0])] + [(5, [2.0])] * 3 + [(6, [1.0])]
+    assert top(spark.createDataFrame(small, "vec_id long, embedding array<float>")) == [(100, 1, 5, 1024 * 2048), (100, 2, 5, 1024 * 2048), (100, 3, 5, 1024 * 2048), (100, 4, 6, 1024 * 1024)]
