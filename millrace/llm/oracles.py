@@ -15,7 +15,7 @@ def _templates() -> str:
     rows = []
     for t, (label, phrase) in enumerate([*license_scan.BASE, *license_scan.NOTICES]):
         g = license_scan.grams(phrase)
-        rows += [(t, label, t < len(license_scan.BASE), len(g), len(phrase.split()), *x) for x in g]
+        rows += [(t, label, t < len(license_scan.BASE), len(g), len(license_scan.words(phrase)), *x) for x in g]
     return ", ".join(f"({', '.join(map(_quoted, r))})" for r in rows)
 
 
