@@ -1,12 +1,16 @@
-"""Embedding near duplicates: random-hyperplane tables, exact cosine verification, components."""
+"""Embedding near duplicates: random-hyperplane tables, exact cosine verification, components.
+
+What is dealt to the tables is a sketch of each vector, its direction in bytes and a bound on the
+rounding, not the vector. A pair whose sketches decide is linked or left at once; pairs in between,
+few, meet again with their vectors and are decided by the cosine in double precision.
+"""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +20,13 @@ from .common import broadcast_if_small, cut
 from .components import connected_components
 
 #: Vectors of a bucket that one step compares; larger buckets are cut into chunks of about this size.
-CHUNK = 1024
-_SHIFTED = 48  # groups up to this size are compared by shifts, larger ones by a matrix product
+CHUNK = 2048
+#: Vectors that share a bucket by chance, about: more mean fewer tables to move, and more comparisons.
+BUCKET = 512
+_SHIFTED = 32  # groups up to this size are compared by shifts, larger ones by a matrix product
+_SLAB = 256
+#: Where dim, table and code stand in the number of a bucket.
+_DIM, _TABLE = 40, 28
 
 
 def table_sizes(n: int, cosine: float, recall: float) -> tuple[int, int]:
@@ -25,7 +34,7 @@ def table_sizes(n: int, cosine: float, recall: float) -> tuple[int, int]:
 
     Bits grow with log2 of the number of vectors, which keeps buckets of unrelated vectors small.
     """
-    bits = min(24, max(6, round(math.log2(max(n, 1))) - 2))
+    bits = min(_TABLE, max(4, round(math.log2(max(n, 1) / BUCKET))))
     agree = (1 - math.acos(cosine) / math.pi) ** bits
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
 
@@ -36,52 +45,123 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def signatures(vector: Column, bits: int, tables: int) -> Column:
-    """Array of ``tables`` codes; a bit is the side of a random hyperplane (fixed seed) a vector is on."""
+def _units(vectors: np.ndarray) -> np.ndarray:
+    # scaled by the largest component first, so that squares neither overflow nor vanish
+    unit = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return unit / np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+
+
+def _sketch(vectors: np.ndarray) -> list[bytes]:
+    """Of each vector: a step, the length of what rounding leaves (two float32), the direction in steps (int8)."""
+    unit = _units(vectors.astype(np.float64))
+    step = (np.abs(unit).max(axis=1) / 127).astype(np.float32)
+    q = np.clip(np.rint(unit / step[:, None].astype(np.float64)), -127, 127)
+    left = np.linalg.norm(unit - q * step[:, None].astype(np.float64), axis=1)
+    left = np.nextafter(left.astype(np.float32) + np.float32(1e-7), np.float32(np.inf))
+    head = np.column_stack([step, left]).astype("<f4")
+    return [h.tobytes() + b.tobytes() for h, b in zip(head, q.astype(np.int8), strict=True)]
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def codes(batch: pd.Series) -> pd.Series:
+
+def sketched(vector: Column) -> Column:
+    """Sketch of a usable vector; null for null."""
+
+    @F.arrow_udf(T.BinaryType())
+    def sketch(batch: pa.Array) -> pa.Array:
         out: list = [None] * len(batch)
-        dims = np.array([len(v) for v in batch])
+        at = np.flatnonzero(batch.is_valid().to_numpy(zero_copy_only=False))
+        full = batch.drop_null()
+        values, offsets = full.flatten().to_numpy(zero_copy_only=False), full.offsets.to_numpy()
+        offsets = offsets - offsets[0] if len(offsets) else offsets
+        dims = np.diff(offsets)
         for d in np.unique(dims):
-            at = np.nonzero(dims == d)[0]
-            planes = np.random.default_rng(int(d)).standard_normal((int(d), tables * bits))
-            side = np.stack([batch.iloc[i] for i in at]).astype(np.float64) @ planes > 0
-            code = (side.reshape(len(at), tables, bits) << np.arange(bits)).sum(axis=2, dtype=np.int32)
-            for i, c in zip(at, code, strict=True):
-                out[i] = c
-        return pd.Series(out)
+            of = np.flatnonzero(dims == d)
+            rows = values[offsets[of][:, None] + np.arange(d)]
+            for i, b in zip(at[of], _sketch(rows), strict=True):
+                out[i] = b
+        return pa.array(out, pa.binary())
+
+    return sketch(vector)
+
+
+def _opened(packed: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Directions (float, whole numbers), steps and remainders of sketches of one length."""
+    whole = np.frombuffer(b"".join(packed.to_pylist()), dtype=np.uint8).reshape(len(packed), -1)
+    head = np.ascontiguousarray(whole[:, :8]).view("<f4").astype(np.float64)
+    dim = whole.shape[1] - 8
+    # products of whole numbers are exact in either type, so every way to compare gives the same
+    return np.ascontiguousarray(whole[:, 8:]).view(np.int8).astype(np.float32 if dim <= 1000 else np.float64), head[:, 0], head[:, 1]
+
+
+def _codes(q: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """A row of ``tables`` codes for each direction; a bit is the side of a hyperplane it is on.
+
+    Hyperplanes are random (fixed seed) with whole-number normals, so a side never depends on rounding.
+    """
+    # drawn one after the other, so that the first tables are the same whatever follows them
+    planes = np.rint(np.random.default_rng(q.shape[1]).standard_normal((tables * bits, q.shape[1])) * 64)
+    side = q.astype(np.float64) @ planes.T > 0
+    return (side.reshape(len(q), tables, bits) << np.arange(bits)).sum(axis=2, dtype=np.int64)
+
+
+def buckets(packed: Column, bits: int, tables: int) -> Column:
+    """Array of the numbers of the ``tables`` buckets of a sketch: dim, table and code in one long."""
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def placed(batch: pa.Array) -> pa.Array:
+        out: list = [None] * len(batch)
+        sizes = np.array([len(b) for b in batch.to_pylist()])
+        for d in np.unique(sizes):
+            at = np.flatnonzero(sizes == d)
+            number = _codes(_opened(batch.take(pa.array(at)))[0], bits, tables) | (np.arange(tables) << _TABLE) | (int(d - 8) << _DIM)
+            for i, row in zip(at, number, strict=True):
+                out[i] = row
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return placed(packed)
+
 
-    return codes(vector)
+def _candidates(group: np.ndarray, side: np.ndarray, q: np.ndarray, step: np.ndarray, left: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """Slabs of (i, j, cosine of the sketches, bound on its error) of pairs that may reach the cosine.
+
+    Rows of one group are compared; side is -1 in a group of one chunk, and in a group of two, where
+    it is 0 or 1, only pairs across count.
+    """
 
+    def judged(i: np.ndarray, j: np.ndarray, dot: np.ndarray) -> tuple[np.ndarray, ...]:
+        near, bound = dot.astype(np.float64) * (step[i] * step[j]), left[i] + left[j] + left[i] * left[j] + 1e-12
+        some = near + bound >= cosine
+        return i[some], j[some], near[some], bound[some]
 
-def _pairs(group: np.ndarray, unit: np.ndarray, side: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (i, j) of one group and of different chunks, if the group has two, with the cosine."""
     ends = np.append(np.nonzero(np.diff(group))[0] + 1, len(group))
     starts = np.append(0, ends[:-1])
-    found_i, found_j = [], []
     small = np.repeat(ends - starts <= _SHIFTED, ends - starts)
     for d in range(1, _SHIFTED):
-        i = np.nonzero((group[:-d] == group[d:]) & small[:-d])[0]
-        if not len(i):
-            break
-        near = np.einsum("ij,ij->i", unit[i], unit[i + d]) >= cosine
-        found_i.append(i[near])
-        found_j.append(i[near] + d)
+        i = np.nonzero((group[:-d] == group[d:]) & small[:-d] & ((side[:-d] != side[d:]) | (side[:-d] < 0)))[0]
+        if len(i):
+            yield judged(i, i + d, np.einsum("ij,ij->i", q[i], q[i + d]))
     for a, b in zip(starts, ends, strict=True):
-        if b - a > _SHIFTED:
-            i, j = np.nonzero(np.triu(unit[a:b] @ unit[a:b].T >= cosine, 1))
-            found_i.append(i + a)
-            found_j.append(j + a)
-    i, j = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (found_i, found_j))
-    # side is -1 in a group of one chunk; in a group of two only pairs across count
-    across = (side[i] != side[j]) | (side[i] < 0)
-    return i[across], j[across]
-
-
-def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For each of n rows the smallest row that the pairs connect it with."""
-    root = np.arange(n)
+        if b - a <= _SHIFTED:
+            continue
+        rows = np.arange(a, b)
+        first, second = (rows, rows) if side[a] < 0 else (rows[side[a:b] == 0], rows[side[a:b] == 1])
+        if not (len(first) and len(second)):
+            continue
+        # a dot product below this can't reach the cosine with any partner
+        most, widest = left[second].max(), step[second].max()
+        least = (cosine - left[first] - most - left[first] * most - 1e-9) / step[first]
+        least = np.where(least > 0, least / widest, least / step[second].min()) * (1 - 1e-6)
+        for x in range(0, len(first), _SLAB):
+            dot = q[first[x : x + _SLAB]] @ q[second].T
+            i, j = np.nonzero(dot >= least[x : x + _SLAB, None] - 1)
+            dot = dot[i, j]
+            i, j = first[i + x], second[j]
+            once = slice(None) if side[a] >= 0 else i < j
+            yield judged(i[once], j[once], dot[once])
+
+
+def _roots(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest row that each row is connected with by ``root``, which holds that so far, and the pairs."""
+    i, j = root[i], root[j]
     while True:
         was = root.copy()
         least = np.minimum(root[i], root[j])
@@ -92,47 +172,76 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return root
 
 
-def _compare(rows: pa.Table, cosine: float) -> pa.RecordBatch:
-    """Links of whole groups: a row for each vector with any, its weight of new links and its root."""
+_SUMS = "id long, links long, root long"
+_AGAIN = "bucket long, part long, weight long, packed binary"
+
+
+def _compare(rows: pa.Table, bits: int, cosine: float, exact: bool) -> Iterator[pa.RecordBatch]:
+    """Links of whole groups of one dim: a row for each vector with any, its weight of new links and its root.
+
+    Without ``exact`` pairs that sketches leave open are not decided; their rows come back with their
+    cell instead. With it only those are decided, by the vectors.
+    """
     n = rows.num_rows
     col = lambda c: rows.column(c).to_numpy()
-    vectors = np.asarray(rows.column("vector").combine_chunks().flatten(), dtype=np.float64).reshape(n, -1)
-    codes = np.asarray(rows.column("codes").combine_chunks().flatten()).reshape(n, -1)
-    table, weight, key = col("table"), col("n"), rows.column("key").combine_chunks()
-    group = np.zeros(n, dtype=np.int64)
-    for c in ("table", "code", "low", "high"):
-        group[1:] |= np.diff(col(c)) != 0
-    group = np.cumsum(group)
-    # scaled by the largest component first, so that squares neither overflow nor vanish
-    unit = vectors / np.abs(vectors).max(axis=1, keepdims=True)
-    unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
-    side = np.where(col("low") == col("high"), -1, col("chunk"))
-    i, j = _pairs(group, unit, side, cosine)
-    # a pair that met in an earlier table was counted there
-    new = ~((codes[i] == codes[j]) & (np.arange(codes.shape[1]) < table[i][:, None])).any(axis=1) if len(i) else np.empty(0, bool)
-    i, j = i[new], j[new]
-    links = np.bincount(i, weights=weight[j], minlength=n) + np.bincount(j, weights=weight[i], minlength=n)
-    at = np.nonzero(links)[0]
-    root = _roots(n, i, j)[at]
-    return pa.RecordBatch.from_arrays([key.take(pa.array(at)), pa.array(links[at].astype(np.int64)), key.take(pa.array(root))], names=["key", "links", "root"])
-
-
-def _compare_groups(cosine: float):
+    bucket, part, weight, ids = col("bucket"), col("part"), col("weight"), col("id")
+    packed = rows.column("packed").combine_chunks()
+    q, step, left = _opened(packed)
+    fresh = np.zeros(n, dtype=np.int64)
+    fresh[1:] = (np.diff(bucket) != 0) | (np.diff(part) != 0)
+    table = (bucket >> _TABLE) & ((1 << (_DIM - _TABLE)) - 1)
+    codes = None
+    unit = _units(rows.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)) if exact else None
+    low, high = part >> 32, part & 0xFFFFFFFF
+    links, open_, root = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool), np.arange(n)
+    for i, j, near, bound in _candidates(np.cumsum(fresh), np.where(low == high, -1, weight & 1), q, step, left, cosine):
+        if not len(i):
+            continue
+        if codes is None:
+            codes = _codes(q, bits, int(table.max()) + 1)
+        # a pair that met in an earlier table was counted there
+        met = np.zeros(len(i), dtype=bool)
+        for t in range(int(table[i].max())):
+            met |= (codes[i, t] == codes[j, t]) & (t < table[i])
+        i, j, near, bound = i[~met], j[~met], near[~met], bound[~met]
+        sure = near - bound >= cosine
+        if exact:
+            i, j = i[~sure], j[~sure]
+            link = np.einsum("ij,ij->i", unit[i], unit[j]) >= cosine
+        else:
+            open_[i[~sure]] = open_[j[~sure]] = True
+            link = sure
+        i, j = i[link], j[link]
+        np.add.at(links, i, weight[j] >> 1)
+        np.add.at(links, j, weight[i] >> 1)
+        root = _roots(root, i, j)
+    at = np.flatnonzero(links)
+    sums = [pa.array(ids[at]), pa.array(links[at]), pa.array(ids[root[at]])]
+    if exact:
+        yield pa.RecordBatch.from_arrays(sums, names=["id", "links", "root"])
+        return
+    none = [pa.nulls(len(at), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+    names = ["id", "links", "root", "bucket", "part", "weight", "packed"]
+    yield pa.RecordBatch.from_arrays([*sums, *none], names=names)
+    again = np.flatnonzero(open_)
+    more = [pa.array(x[again]) for x in (bucket, part, weight)]
+    yield pa.RecordBatch.from_arrays([pa.array(ids[again]), pa.nulls(len(again), pa.int64()), pa.nulls(len(again), pa.int64()), *more, packed.take(pa.array(again))], names=names)
+
+
+def _compare_groups(bits: int, cosine: float, exact: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # rows of groups that may go on in the next batch
+        held = None  # rows of a group that may go on in the next batch
         for batch in batches:
             rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            fresh = np.zeros(rows.num_rows, dtype=bool)
-            fresh[:1] = True
-            for c in ("dim", "table", "code", "low", "high"):
-                fresh[1:] |= np.diff(rows.column(c).to_numpy()) != 0
-            last = np.nonzero(fresh)[0][-1] if rows.num_rows else 0
-            dim = rows.column("dim").to_numpy()
-            for a, b in _runs(dim[:last]):
-                yield _compare(rows.slice(a, b - a), cosine)
+            if not rows.num_rows:
+                continue
+            bucket, part = (rows.column(c).to_numpy() for c in ("bucket", "part"))
+            last = int(np.append(0, np.nonzero(np.diff(bucket) | np.diff(part))[0] + 1)[-1])
+            for a, b in _runs(bucket[:last] >> _DIM):
+                yield from _compare(rows.slice(a, b - a), bits, cosine, exact)
             held = rows.slice(last)
         if held is not None and held.num_rows:
-            yield _compare(held, cosine)
+            yield from _compare(held, bits, cosine, exact)
 
     return step
 
@@ -153,28 +262,40 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.9
     A null vec_id never is the smallest; a component of nulls alone has a null id and is kept.
 
     A bucket with more than CHUNK vectors is cut into chunks; every two chunks meet in a cell of
-    their own, so no task holds a bucket. A cell returns sums and one root for each vector.
+    their own, so no task holds a bucket. A cell returns sums and one root for each vector. Vectors
+    themselves move only for pairs that their sketches leave open, once for each cell of such a pair.
     """
     v = F.col(vector)
-    key = F.when(usable(v), F.concat(F.hex(F.xxhash64(v)), F.hex(F.xxhash64(F.lit(1), v))))
-    rows = vectors.select("vec_id", key.alias("key"), v.alias("vector"))
-    nodes = cut(rows.where("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"), F.any_value("vector").alias("vector")))
+    keys = [F.when(usable(v), F.xxhash64(F.lit(i), v)).alias(f"key{i}") for i in (0, 1)]
+    rows = vectors.select("vec_id", *keys, v.alias("vector"))
+    key = ["key0", "key1"]
+    sketches = rows.where("key0 is not null").select("vec_id", *key, sketched(F.col("vector")).alias("packed"))
+    nodes = cut(sketches.groupBy(key).agg(F.count("*").alias("n"), F.min("vec_id").alias("first"), F.first("packed").alias("packed")))
+    # numbers of the rows of written partitions, the same whenever they are read
+    nodes = nodes.withColumn("id", F.monotonically_increasing_id())
     bits, tables = table_sizes(nodes.count(), cosine, recall)
-    signed = cut(nodes.select("key", "n", "vector", signatures(F.col("vector"), bits, tables).alias("codes")))
-    placed = signed.select(F.size("vector").alias("dim"), F.posexplode("codes").alias("table", "code"), "key", "n", "vector", "codes")
-    of = ["dim", "table", "code"]
-    large = placed.groupBy(of).agg(F.count("*").alias("members")).where(F.col("members") > CHUNK)
-    placed = placed.join(broadcast_if_small(cut(large)), of, "left")
-    placed = placed.withColumn("chunks", F.coalesce(F.ceil(F.col("members") / CHUNK), F.lit(1)).cast("int"))
-    placed = placed.withColumn("chunk", F.pmod(F.hash("key"), "chunks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    cell = [*of, "low", "high"]
-    placed = placed.select(*of, F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "key", "n", "vector", "codes")
-    found = cut(placed.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_compare_groups(cosine), "key string, links long, root string"))
-    links = found.groupBy("key").agg(F.sum("links").alias("links"))
-    parts = connected_components(found.select(F.col("key").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "key")
-    named = nodes.drop("vector").join(links, "key", "left").join(parts, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    placed = nodes.select("id", "n", "packed", F.explode(buckets(F.col("packed"), bits, tables)).alias("bucket"))
+    large = nodes.select(F.explode(buckets(F.col("packed"), bits, tables)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("members")).where(F.col("members") > CHUNK)
+    placed = placed.join(broadcast_if_small(cut(large)), "bucket", "left")
+    placed = placed.withColumn("chunks", F.coalesce(F.ceil(F.col("members") / CHUNK), F.lit(1)).cast("long"))
+    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    part = F.shiftleft(F.least("chunk", "other"), 32).bitwiseOR(F.greatest("chunk", "other"))
+    weight = 2 * F.col("n") + (F.col("chunk") > F.col("other")).cast("long")
+    cell = ["bucket", "part"]
+    placed = placed.select("bucket", part.alias("part"), "id", weight.alias("weight"), "packed")
+    dealt = lambda df: df.repartition(*cell).sortWithinPartitions(*cell)
+    found = cut(dealt(placed).mapInArrow(_compare_groups(bits, cosine, False), f"{_SUMS}, {_AGAIN}"))
+    # the vectors of the pairs left open: one for each node, whatever its copies
+    again = found.where("bucket is not null").select("id", *cell, "weight", "packed")
+    wanted = broadcast_if_small(cut(nodes.select("id", *key).join(broadcast_if_small(cut(again.select("id").distinct())), "id")))
+    open_ = rows.where("key0 is not null").join(wanted, key).groupBy("id").agg(F.first("vector").alias("vector"))
+    decided = dealt(again.join(open_, "id")).mapInArrow(_compare_groups(bits, cosine, True), _SUMS)
+    sums = found.where("bucket is null").select("id", "links", "root").union(cut(decided))
+    links = sums.groupBy("id").agg(F.sum("links").alias("links"))
+    parts = connected_components(sums.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "id")
+    named = cut(nodes.drop("packed").join(links, "id", "left").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id")))
     least = broadcast_if_small(cut(named.groupBy("component").agg(F.min("first").alias("component_id"))))
-    named = named.join(least, "component").select("key", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
-    done = rows.drop("vector").join(named, "key", "left")
-    component = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    named = named.join(least, "component").select(*key, (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
+    done = rows.drop("vector").join(broadcast_if_small(cut(named)), key, "left")
+    component = F.when(F.col("key0").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return done.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

@@ -23,9 +23,11 @@ def brute(ids, vectors, cosine=0.9):
     return links, np.array([min(ids[root == r]) for r in root])
 
 
-@pytest.mark.parametrize("chunk", [1024, 16])
-def test_links_and_components(spark, monkeypatch, chunk):
+@pytest.mark.parametrize(("chunk", "shifted"), [(2048, 32), (16, 32), (40, 4)])
+def test_links_and_components(spark, monkeypatch, chunk, shifted):
     monkeypatch.setattr(embedding_dedup, "CHUNK", chunk)
+    monkeypatch.setattr(embedding_dedup, "_SHIFTED", shifted)
+    monkeypatch.setattr(embedding_dedup, "_SLAB", 7)
     r = np.random.default_rng(0)
     centres = r.standard_normal((20, 16))
     v = [centres[i % 20] + r.standard_normal(16) * (0.05 if i % 3 else 0.3) for i in range(300)]
@@ -58,6 +60,48 @@ def test_recall_on_the_given_vectors(spark):
     assert got.n_links.sum() >= 0.9 * links.sum() and (got.n_links.to_numpy() <= links).all()
 
 
+def test_sketches_and_vectors_decide_as_plain_cosines(spark):
+    """All in one bucket: every link is found and no other is made, also of pairs at the cosine itself."""
+    r = np.random.default_rng(2)
+    base = r.standard_normal((6, 24))
+    v = np.repeat(base, 40, axis=0) + r.standard_normal((240, 24)) * 0.34  # cosines of a group scatter about 0.9
+    v = np.concatenate([v, [[3.0, 4.0] + [0] * 22, [4.0, 3.0] + [0] * 22, [1.0] + [0] * 23, [0.9, np.sqrt(0.19)] + [0] * 22]]).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    links, comps = brute(np.arange(len(v)), v)
+    got = embedding_dedup.near_duplicates(df, recall=0.999999).toPandas().set_index("vec_id").loc[range(len(v))]
+    assert (got.n_links.to_numpy() == links).all() and (got.component_id.to_numpy() == comps).all()
+
+
+def test_sketch_bounds_hold():
+    r = np.random.default_rng(0)
+    v = np.concatenate([r.standard_normal((300, 16)), r.standard_normal((50, 16)) * 1e-30, np.eye(16), r.standard_normal((50, 16)) * 1e30]).astype(np.float32)
+    q, step, left = embedding_dedup._opened(embedding_dedup.pa.array(embedding_dedup._sketch(v)))
+    unit = embedding_dedup._units(v.astype(float))
+    assert (np.linalg.norm(unit - q * step[:, None], axis=1) <= left).all() and left.max() < 0.03
+
+
+def test_recall_near_the_cosine(spark):
+    """Pairs planted at cosines of 0.90 to 0.92 among the vectors of the largest table."""
+    t = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("embedding").toPandas()
+    v = np.stack(t.embedding).astype(float)
+    r = np.random.default_rng(4)
+    own = v[r.permutation(len(v))[:400]]
+    own /= np.linalg.norm(own, axis=1, keepdims=True)
+    off = r.standard_normal(own.shape)
+    off -= (off * own).sum(axis=1, keepdims=True) * own
+    c = r.uniform(0.9005, 0.92, (400, 1))
+    planted = c * own + np.sqrt(1 - c * c) * off / np.linalg.norm(off, axis=1, keepdims=True)
+    everything = np.concatenate([v, own, planted]).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(everything)], "vec_id long, embedding array<float>")
+    links, comps = brute(np.arange(len(everything)), everything)
+    got = embedding_dedup.near_duplicates(df).toPandas().set_index("vec_id").loc[range(len(everything))]
+    assert (got.n_links.to_numpy() <= links).all()
+    n = len(v) + 400
+    met = got.component_id.to_numpy()[n - 400 : n] == got.component_id.to_numpy()[n:]
+    print("recall of planted pairs", met.mean(), "of all links", got.n_links.sum() / links.sum())
+    assert met.mean() >= 0.93 and got.n_links.sum() >= 0.95 * links.sum()
+
+
 def test_tree_is_exact():
     r = np.random.default_rng(0)
     for n in (1, 7, 40, 700):
