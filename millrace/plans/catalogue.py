@@ -324,10 +324,30 @@ def fold_objective(spark, d):
     return folds.objective(stats, deals, ["bags", "p0", "p1"], G.FOLDS).select("deal", r6("score"))
 
 
+_TRIES = 2000
+_DRAW = "('0x' || substr(md5('0:' || deal || ':' || {0}), 1, 8))::bigint"
+
+
+@query(f"""{_STATS}, rolled as (
+  select deal::bigint as deal, block, regime, bags, p0, p1,
+         ((row_number() over (partition by deal, regime order by {_DRAW.format('block')}, block) - 1 + {_DRAW.format("'first:' || regime")}) % 5)::int as fold
+  from stats, range({_TRIES}) t(deal)),
+sums as (select deal, regime, fold, sum(bags) as bags, sum(p0) as p0, sum(p1) as p1 from rolled group by all),
+long as (select deal, fold, part, m, sum(v) as got from (select deal, fold, r.r as part, unnest(['bags', 'p0', 'p1']) as m, unnest([bags, p0, p1]) as v from sums, unnest([null, regime]) r(r)) group by all),
+shares as (select *, sum(got) over w as total, count(*) over w as seen from long window w as (partition by deal, part, m)),
+scores as (
+  select deal, sum(case when m = 'bags' then 1 else 5 end * case when part is null then 1 else 0.5::double end * (abs(got / total::double - 0.2::double) + (5 - seen) * 0.2::double / seen)) as score
+  from shares where total > 0 group by deal)
+select block, fold from rolled where deal = (select deal from scores order by round(score, 9), deal limit 1)""")
+def fold_deal(spark, d):
+    """The best of all deals, before the polish."""
+    return folds.best_deal(_stats(spark, d), ["bags", "p0", "p1"], G.FOLDS, _TRIES)
+
+
 @query()
 def fold_search(spark, d):
-    month = G.bags(spark, d).withColumns({"block": F.floor(F.col("block") / 20).cast("int"), "p0": (F.col("idx0") > 0).cast("int"), "p1": (F.col("idx1") > 0).cast("int")})
-    return folds.assign(B.block_stats(month, ["p0", "p1"], "ts"), ["bags", "p0", "p1"], G.FOLDS, tries=200)
+    """Deals and polish over the three-day blocks that the bags use."""
+    return folds.assign(_stats(spark, d), ["bags", "p0", "p1"], G.FOLDS, _TRIES)
 
 
 @query("""with d as (select doc_id, n_chars::bigint as ms from documents), n as (select *, ms // 5000 + ((ms % 5000) * 2 >= 5000)::int as n from d)
@@ -713,10 +733,19 @@ def parse_listing(spark, d):
 
 # ---------------------------------------------------------------- without SQL
 
-@query()
+@query("""with e as (select date_trunc('hour', ts)::timestamp as hour, event_id, round(value::double % 300 * 100)::int as v from events),
+g as (select *, sum((v <> 0)::int) over (partition by hour order by event_id rows unbounded preceding) as before, count(*) over (partition by hour) as n, sum((v <> 0)::int) over (partition by hour) as loud from e),
+z as (select hour, before, loud, any_value(n) as n, count(*) filter (where v = 0) * 500 + case when hour(hour) = 3 and before = loud then 9000 else 0 end as zeros, sum(500 * (v / 32767.0::double) ** 2) as squares from g group by hour, before, loud),
+f as (select hour, any_value(n) * 500 + case when hour(hour) = 3 then 9000 else 0 end as frames, greatest(max(zeros), case when hour(hour) = 3 then 9000 else 0 end) as run,
+             greatest(coalesce(max(zeros) filter (where before = loud), 0), case when hour(hour) = 3 then 9000 else 0 end) as tail, sum(squares) as squares from z group by hour),
+r as (select *, hour(hour) = 5 as cut from f)
+select hour, 8000 as sample_rate, 1 as channels, 2 as sampwidth, round(frames / 8000.0::double, 3) as duration_s, cut as truncated,
+       case when not cut then round(run / 8000.0::double, 3) end as zero_run_s, case when not cut then round(tail / 8000.0::double, 3) end as zero_tail_s, case when not cut then 0.0::double end as clip_frac,
+       case when not cut then round(10 * log10(squares / frames), 2) end as rms_dbfs, not cut and run < 8000 as qc_ok,
+       case when cut then 'truncated' when run >= 8000 then printf('digital zero for %.1f s', run / 8000.0::double) || case when run = tail then ' at the end' else '' end else '' end as qc_reason from r""")
 def qc_wav(spark, d):
-    """Quality of WAV files built of events: 16-bit, a frame an event, some truncated or silent."""
-    e = table(spark, d, "events").groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.sort_array(F.collect_list(F.struct("event_id", F.round(F.col("value") % 300 * 100).cast("int").alias("v")))).alias("s"))
+    """Quality of WAV files built of events: 16-bit, 500 frames an event, some truncated or silent."""
+    e = table(spark, d, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.sort_array(F.collect_list(F.struct("event_id", F.round(F.col("value").cast("double") % 300 * 100).cast("int").alias("v")))).alias("s"))
     from pyspark.sql import types as T
 
     @F.pandas_udf(T.BinaryType())
