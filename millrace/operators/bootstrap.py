@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .metrics import average_precision
+from .metrics import DIGITS, in_parts
 
 
 def uniform(*parts: Column) -> Column:
@@ -32,16 +35,96 @@ def draws(clusters: DataFrame, resamples: int, seed: int = 0) -> DataFrame:
     return picks.join(members.select("stratum", "i", "cluster"), ["stratum", "i"]).select("b", "stratum", "cluster", "count")
 
 
+#: Most counts (clusters times resamples) that the tasks are given; clusters are blocks of days, not bags.
+MOST_COUNTS = 1 << 27
+_SLAB = 256
+
+
+def _counts(drawn: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """(stratum, cluster, place) and a row of counts, one a resample, for each place."""
+    n = drawn.agg(F.count_distinct("stratum", "cluster"), F.coalesce(F.max("b") + 1, F.lit(0))).first()
+    if n[0] * n[1] > MOST_COUNTS:
+        raise ValueError(f"{n[0]} clusters and {n[1]} resamples are more than {MOST_COUNTS} counts; take longer blocks or fewer resamples")
+    clusters = drawn.select("stratum", "cluster").distinct().collect()
+    names = sorted(clusters, key=lambda r: (str(r["stratum"]), str(r["cluster"])))
+    spark, fields = drawn.sparkSession, drawn.select("stratum", "cluster").schema
+    places = spark.createDataFrame([(*r, i) for i, r in enumerate(names)], T.StructType([*fields, T.StructField("place", T.IntegerType())]))
+    rows = drawn.join(F.broadcast(places), ["stratum", "cluster"]).select("place", "b", "count").toArrow()
+    counts = np.zeros((n[0], n[1]))
+    counts[rows["place"].to_numpy(), rows["b"].to_numpy()] = rows["count"].to_numpy()
+    return places, counts
+
+
+def _gains(score: np.ndarray, place: np.ndarray, pos: np.ndarray, n: np.ndarray, counts: np.ndarray, tp: np.ndarray, cn: np.ndarray) -> np.ndarray:
+    """Of every resample the sum over cuts of positives gained times precision; tp and cn: sums above these rows."""
+    order = np.argsort(-score, kind="stable")
+    score, place, pos, n = score[order], place[order], pos[order], n[order]
+    first = np.append(True, score[1:] != score[:-1])
+    out, starts, a = np.zeros(counts.shape[1]), np.flatnonzero(first), 0
+    while a < len(score):
+        # whole ties only: the slab ends where one begins
+        b = int(starts[np.searchsorted(starts, a + _SLAB)]) if a + _SLAB <= starts[-1] else len(score)
+        drawn = counts[place[a:b]]
+        at = np.flatnonzero(first[a:b])
+        gained = np.add.reduceat(drawn * pos[a:b, None], at, axis=0)
+        upto_n = cn + np.cumsum(np.add.reduceat(drawn * n[a:b, None], at, axis=0), axis=0)
+        upto_tp = tp + np.cumsum(gained, axis=0)
+        out += np.divide(gained * upto_tp, upto_n, out=np.zeros_like(gained), where=upto_n > 0).sum(axis=0)
+        tp, cn, a = upto_tp[-1], upto_n[-1], b
+    return out
+
+
 def resampled_ap(rows: DataFrame, drawn: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, stratum, cluster, score, y) -> keys, b, ap.
+    """(keys, stratum, cluster, score, y) -> keys, b, ap for all resamples at once.
 
-    Rows are first summed by score and cluster, so what meets the draws is that, not rows.
+    Rows are summed by score and cluster and sorted once, in parts of each key's range; along the
+    sorted rows one array holds the running sums of all resamples. What the parts above hold comes
+    first, from their sums by cluster. No row is copied for a resample.
     """
-    small = rows.groupBy(*keys, "stratum", "cluster", "score").agg(F.sum("y").alias("pos"), F.count("*").alias("rows"))
-    met = small.join(drawn, ["stratum", "cluster"])
-    # y is the share of positives in the group; weights make whole counts of it again
-    met = met.select(*keys, "b", "score", (F.col("pos") / F.col("rows")).alias("y"), (F.col("rows") * F.col("count")).cast("double").alias("w"))
-    return average_precision(met, [*keys, "b"], F.col("w"))
+    places, counts = _counts(drawn)
+    shared = drawn.sparkSession.sparkContext.broadcast(counts)
+    # keys are carried as one text, which tells null from others
+    key = F.to_json(F.struct(*(F.coalesce(F.col(k).cast("string"), F.lit("\x00")).alias(k) for k in keys)))
+    small = rows.join(F.broadcast(places), ["stratum", "cluster"]).groupBy(*keys, "place", F.round("score", DIGITS).alias("score")).agg(F.sum("y").cast("double").alias("pos"), F.count("*").cast("double").alias("n"))
+    placed = in_parts(small, keys).withColumn("key", key)
+    names = placed.select("key", *keys).distinct()
+    by_cluster = placed.groupBy("key", "part", "place").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+
+    def above(group: pa.Table) -> pa.Table:
+        """A row for each part of a key: sums of the parts above it and of all, an entry a resample."""
+        part, place, pos, n = (group.column(c).to_numpy() for c in ("part", "place", "pos", "n"))
+        key, w, out = group.column("key")[0].as_py(), shared.value, []
+        tp, cn, all_tp = np.zeros(w.shape[1]), np.zeros(w.shape[1]), pos @ w[place]
+        for p in np.unique(part)[::-1]:
+            out.append((key, int(p), tp, cn, all_tp))
+            mine = part == p
+            tp, cn = tp + pos[mine] @ w[place[mine]], cn + n[mine] @ w[place[mine]]
+        columns = list(zip(*out, strict=True))
+        return pa.table({"key": columns[0], "part": pa.array(columns[1], pa.int32()), **{c: pa.array(v, pa.list_(pa.float64())) for c, v in zip(("tp", "cn", "all_tp"), columns[2:], strict=True)}})
+
+    def gained(group: pa.Table, offsets: pa.Table) -> pa.Table:
+        score, place, pos, n = (group.column(c).to_numpy() for c in ("score", "place", "pos", "n"))
+        tp, cn, all_tp = (np.asarray(offsets.column(c)[0].as_py()) for c in ("tp", "cn", "all_tp"))
+        gain = _gains(score, place, pos, n, shared.value, tp, cn)
+        ap = pa.array(gain / np.where(all_tp > 0, all_tp, 1), mask=all_tp <= 0)
+        return pa.table({"key": [group.column("key")[0].as_py()], "ap": pa.array([ap.to_pylist()], pa.list_(pa.float64()))})
+
+    offsets = by_cluster.groupBy("key").applyInArrow(above, "key string, part int, tp array<double>, cn array<double>, all_tp array<double>")
+    sums = placed.select("key", "part", "score", "place", "pos", "n").groupBy("key", "part").cogroup(offsets.groupBy("key", "part")).applyInArrow(gained, "key string, ap array<double>")
+    aps = sums.select("key", F.posexplode("ap").alias("b", "ap")).groupBy("key", "b").agg(F.sum("ap").alias("ap"))
+    return aps.join(names, "key").select(*keys, "b", "ap")
+
+
+def seed_mean(aps: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, seed, ap) -> keys, ap: the mean over seeds, those without an AP left out; b is one of the keys for resamples."""
+    return aps.groupBy(*keys).agg(F.avg("ap").alias("ap"))
+
+
+def resampled_share(rows: DataFrame, drawn: DataFrame, keys: Sequence[str], hit: str, of: str) -> DataFrame:
+    """(keys, stratum, cluster, hit, of) -> keys, b, share: sum of hit over sum of ``of`` in every resample, such as recall."""
+    small = rows.groupBy(*keys, "stratum", "cluster").agg(F.sum(hit).alias("hit"), F.sum(of).alias("of"))
+    met = small.join(drawn, ["stratum", "cluster"]).groupBy(*keys, "b")
+    return met.agg((F.sum(F.col("hit") * F.col("count")) / F.nullif(F.sum(F.col("of") * F.col("count")), F.lit(0))).alias("share"))
 
 
 def interval(boots: DataFrame, keys: Sequence[str], value: str = "ap") -> DataFrame:

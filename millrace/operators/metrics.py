@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Digits of a score that count; scores are rounded before ties are formed.
 DIGITS = 9
+#: Distinct scores of a part of a key's range, which one task sorts, and the most parts.
+PART, MOST_PARTS = 100_000, 256
 
 
 def tie_groups(rows: DataFrame, keys: Sequence[str], weight: Column | None = None) -> DataFrame:
@@ -20,37 +22,50 @@ def tie_groups(rows: DataFrame, keys: Sequence[str], weight: Column | None = Non
     return rows.groupBy(*keys, F.round("score", DIGITS).alias("score")).agg(F.sum(w * F.col("y")).alias("tp"), F.sum(w).alias("n"))
 
 
-def running(groups: DataFrame, keys: Sequence[str], buckets: int = 1) -> DataFrame:
-    """groups with ctp, cn (running sums from the highest score) and ptp (all of the keys' positives).
+def beside(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """left with the columns of right, whose keys are renamed because both come from the same rows; null equals null."""
+    named = right.select(*(F.col(c).alias(f"_{c}") if c in on else F.col(c) for c in right.columns))
+    if not on:
+        return left.crossJoin(named)  # one row
+    return left.join(named, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on]).drop(*(f"_{c}" for c in on))
 
-    With more than one bucket the scores of each key are cut at approximate quantiles; buckets are
-    summed apart and offset by the buckets above, so that keys with billions of distinct scores
-    don't sort in one task. The result is the same for any number of buckets.
+
+def in_parts(groups: DataFrame, keys: Sequence[str], score: str = "score", parts: int | None = None) -> DataFrame:
+    """groups with ``part``, rising with the score: ranges of each key's scores, cut at approximate quantiles.
+
+    A key has a part for each PART of its rows (up to MOST_PARTS), or ``parts`` if that is given, so
+    that a key with billions of scores isn't sorted in one task. Results don't depend on the cuts.
+    """
+    fixed = parts or MOST_PARTS
+    cuts = groups.groupBy(*keys).agg(F.percentile_approx(score, [i / fixed for i in range(1, fixed)] or [0.5]).alias("_all"), F.count("*").alias("_rows"))
+    wanted = F.lit(parts) if parts else F.least(F.ceil(F.col("_rows") / PART), F.lit(MOST_PARTS)).cast("int")
+    some = F.transform(F.sequence(F.lit(1), F.greatest(wanted - 1, F.lit(1))), lambda i: F.col("_all")[F.floor(i * fixed / wanted).cast("int") - 1])
+    cuts = cuts.select(*keys, F.when(wanted > 1, some).otherwise(F.array().cast("array<double>")).alias("_cuts"))
+    return beside(groups, cuts, keys).withColumn("part", F.size(F.filter("_cuts", lambda c: c < F.col(score)))).drop("_cuts")
+
+
+def running(groups: DataFrame, keys: Sequence[str], parts: int | None = None, sums: dict[str, str] | None = None, totals: dict[str, str] | None = None, score: str = "score", falling: bool = True) -> DataFrame:
+    """groups with running sums from the highest score (``falling``) or the lowest, and totals of the keys.
+
+    By default ctp and cn of tp and n, and ptp, the total of tp. Parts of a key's range are summed
+    apart and offset by the parts before them. The result is the same for any number of parts.
     """
-    if buckets > 1:
-        def beside(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-            """left with the columns of right, whose keys are renamed because both come from the same rows."""
-            named = right.select(*(F.col(c).alias(f"_{c}") if c in on else F.col(c) for c in right.columns))
-            if not on:
-                return left.crossJoin(named)  # one row
-            return left.join(named, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on]).drop(*(f"_{c}" for c in on))
-
-        cuts = groups.groupBy(*keys).agg(F.percentile_approx("score", [i / buckets for i in range(1, buckets)]).alias("cuts"))
-        groups = beside(groups, cuts, keys).withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("score")))).drop("cuts")
-        parts = groups.groupBy(*keys, "part").agg(F.sum("tp").alias("t"), F.sum("n").alias("m"))
-        above = Window.partitionBy(*keys).orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
-        offset = lambda c, o: F.coalesce(F.sum(c).over(above), F.lit(0.0)).alias(o)
-        parts = parts.select(*keys, "part", offset("t", "ot"), offset("m", "om"), F.sum("t").over(Window.partitionBy(*keys)).alias("ptp"))
-        rows = beside(groups, parts, [*keys, "part"])
-        down = Window.partitionBy(*keys, "part").orderBy(F.desc("score"))
-        return rows.withColumns({"ctp": F.sum("tp").over(down) + F.col("ot"), "cn": F.sum("n").over(down) + F.col("om")}).drop("part", "ot", "om")
-    down = Window.partitionBy(*keys).orderBy(F.desc("score"))
-    return groups.withColumns({"ctp": F.sum("tp").over(down), "cn": F.sum("n").over(down), "ptp": F.sum("tp").over(Window.partitionBy(*keys))})
-
-
-def average_precision(rows: DataFrame, keys: Sequence[str], weight: Column | None = None, buckets: int = 1) -> DataFrame:
+    sums = {"ctp": "tp", "cn": "n"} if sums is None else sums
+    totals = {"ptp": "tp"} if totals is None else totals
+    order = F.desc if falling else F.asc
+    groups = in_parts(groups, keys, score, parts)
+    of_part = groups.groupBy(*keys, "part").agg(*(F.sum(c).alias(f"_sum_{o}") for o, c in (sums | totals).items()))
+    before = Window.partitionBy(*keys).orderBy(order("part")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = [F.coalesce(F.sum(f"_sum_{o}").over(before), F.lit(0)).alias(f"_before_{o}") for o in sums]
+    of_part = of_part.select(*keys, "part", *offsets, *(F.sum(f"_sum_{o}").over(Window.partitionBy(*keys)).alias(o) for o in totals))
+    rows = beside(groups, of_part, [*keys, "part"])
+    along = Window.partitionBy(*keys, "part").orderBy(order(score))
+    return rows.withColumns({o: F.sum(c).over(along) + F.col(f"_before_{o}") for o, c in sums.items()}).drop("part", *(f"_before_{o}" for o in sums))
+
+
+def average_precision(rows: DataFrame, keys: Sequence[str], weight: Column | None = None, parts: int | None = None) -> DataFrame:
     """keys, ap: the sum over cuts of recall gained times precision; null without weighted positives."""
-    at = running(tie_groups(rows, keys, weight), keys, buckets)
+    at = running(tie_groups(rows, keys, weight), keys, parts)
     gain = F.when(F.col("cn") > 0, F.col("tp") / F.nullif(F.col("ptp"), F.lit(0.0)) * F.col("ctp") / F.col("cn")).otherwise(F.when(F.col("ptp") > 0, 0.0))
     return at.groupBy(*keys).agg(F.sum(gain).alias("ap"))
 
@@ -87,12 +102,19 @@ def average_rank(value: str, keys: Sequence[str] = ()) -> Column:
     return F.rank().over(by.orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2
 
 
+def tie_ranks(rows: DataFrame, value: str, keys: Sequence[str] = (), name: str = "rank") -> DataFrame:
+    """keys, value, and its rank from 1 (ties share their mean), one row for each distinct value."""
+    groups = rows.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    at = running(groups, keys, sums={"_upto": "_n"}, totals={}, score=value, falling=False)
+    return at.select(*keys, value, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(name))
+
+
 def auc(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, auc: of (keys, score, y), by the ranks of the positives; ties count half. Null with one class."""
     groups = rows.groupBy(*keys, "score").agg(F.sum("y").alias("p"), F.count("*").alias("n"))
-    below = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    rank = F.coalesce(F.sum("n").over(below), F.lit(0)) + (F.col("n") + 1) / 2
-    sums = groups.withColumn("rank", rank).groupBy(*keys).agg(F.sum(F.col("rank") * F.col("p")).alias("r"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    at = running(groups, keys, sums={"upto": "n"}, totals={}, falling=False)
+    rank = F.col("upto") - (F.col("n") - 1) / 2
+    sums = at.groupBy(*keys).agg(F.sum(rank * F.col("p")).alias("r"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     p, q = F.col("p"), F.col("n") - F.col("p")
     return sums.select(*keys, ((F.col("r") - p * (p + 1) / 2) / F.nullif(p * q, F.lit(0))).alias("auc"))
 
@@ -106,7 +128,8 @@ def balanced_accuracy(rows: DataFrame, keys: Sequence[str], threshold: float = 0
 
 def spearman(rows: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:
     """keys, rho: correlation of average ranks."""
-    ranked = rows.select(*keys, average_rank(a, keys).alias("ra"), average_rank(b, keys).alias("rb"))
+    pairs = rows.select(*keys, a, b)
+    ranked = beside(beside(pairs, tie_ranks(pairs, a, keys, "ra"), [*keys, a]), tie_ranks(pairs, b, keys, "rb"), [*keys, b])
     return ranked.groupBy(*keys).agg(F.corr("ra", "rb").alias("rho"))
 
 

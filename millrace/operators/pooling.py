@@ -1,9 +1,9 @@
 """Masked pooling: from logits of a bag's instances to a logit of the bag and weights of instances.
 
 Long tables (bag_id, win_idx, class, x) take the place of padded tensors: a masked instance is a
-row that isn't there, so junk behind a mask can't matter. Every pooler is one grouped aggregate with
-map-side partial sums; weights are the same sums over a window of the bag. A bag without instances
-has no row (null after an outer join).
+row that isn't there, so junk behind a mask can't matter. Every pooler is a grouped aggregate with
+map-side partial sums; weights, of which each instance has one, are sums over a window of the bag. A
+bag without instances has no row (null after an outer join).
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from millrace.functions.scalar import EPS, safe_logit, sigmoid
 
 KEYS = ("bag_id", "class")
+#: Width of a step of exponents; a bag has few.
+_STEP = 16.0
 
 
 def _sharpness(r: float) -> float:
@@ -23,19 +25,26 @@ def _sharpness(r: float) -> float:
 def pool(instances: DataFrame, r: float = 1.0, keys=KEYS) -> DataFrame:
     """keys, n, mean, max, lme, linear_softmax.
 
-    lme = (log sum exp(r x) - log n) / r, with the bag's maximum taken out first;
-    linear_softmax = logit(sum p^2 / sum p), p = sigmoid(x). One shuffle by keys: the maximum comes
-    with the sums in a second aggregate on the same partitioning.
+    lme = (log sum exp(r x) - log n) / r; linear_softmax = logit(sum p^2 / sum p), p = sigmoid(x).
+    Exponents are summed in steps of r x, each less by its step so that none overflows, and the steps of
+    a bag are put together under the highest one: sums all the way, so a bag with very many instances
+    is summed in many tasks.
     """
-    r, bag = _sharpness(r), Window.partitionBy(*keys)
+    r = _sharpness(r)
     p = sigmoid(F.col("x"))
-    rows = instances.withColumn("top", F.max("x").over(bag))
-    sums = rows.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.avg("x").alias("mean"), F.max("x").alias("max"),
-        F.avg(F.exp(r * (F.col("x") - F.col("top")))).alias("e"), F.sum(p).alias("p1"), F.sum(p * p).alias("p2"),
+    step = F.floor(r * F.col("x") / _STEP) * _STEP
+    sums = instances.groupBy(*keys, step.cast("double").alias("step")).agg(
+        F.count("*").alias("n"), F.sum("x").alias("x"), F.max("x").alias("max"),
+        F.sum(F.exp(r * F.col("x") - step)).alias("e"), F.sum(p).alias("p1"), F.sum(p * p).alias("p2"),
+    )
+    whole = sums.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.sum("x").alias("x"), F.max("max").alias("max"), F.max("step").alias("top"),
+        F.collect_list(F.struct("step", "e")).alias("steps"), F.sum("p1").alias("p1"), F.sum("p2").alias("p2"),
     )
+    e = F.aggregate("steps", F.lit(0.0), lambda s, x: s + x["e"] * F.exp(x["step"] - F.col("top")))
     share = F.col("p2") / F.greatest(F.col("p1"), F.lit(EPS))
-    return sums.select(*keys, "n", "mean", "max", (F.col("max") + F.ln("e") / r).alias("lme"), safe_logit(share).alias("linear_softmax"))
+    lme = (F.col("top") + F.ln(e) - F.ln("n")) / r
+    return whole.select(*keys, "n", (F.col("x") / F.col("n")).alias("mean"), "max", lme.alias("lme"), safe_logit(share).alias("linear_softmax"))
 
 
 def weights(instances: DataFrame, r: float = 1.0, keys=KEYS, order: str = "win_idx") -> DataFrame:

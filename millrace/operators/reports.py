@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions.scalar import markdown_row
 
+from .metrics import running
+
 
 def val_selected(models: DataFrame) -> DataFrame:
     """The model with the best mean val_ap; those trained on some regimes only if there is no other.
@@ -94,12 +96,22 @@ def regime_table(cells: DataFrame) -> DataFrame:
 def top_share(rows: DataFrame, score: str, fraction: float, *order: str) -> DataFrame:
     """rows with top: among the ceil(fraction * n) highest scores, ties by ``order``.
 
-    The cut is found with two aggregates (an exact rank among all rows sorts them; here that is left
-    to the caller's table size): rows above the k-th score, found by TakeOrdered, need no global sort.
+    The score at which the share ends is found by running sums over parts of the range; only its ties
+    go on to the next column. Rows alike in all columns are in together. Nothing is sorted in one task.
     """
-    k = int(rows.select(F.ceil(F.count("*") * F.lit(fraction)).alias("k")).first()["k"])
-    best = rows.orderBy(F.desc(score), *order).limit(k).select(*order, F.lit(True).alias("_top"))
-    return rows.join(best, list(order), "left").withColumn("top", F.coalesce("_top", F.lit(False))).drop("_top")
+    left = int(rows.select(F.ceil(F.count("*") * F.lit(fraction)).alias("k")).first()["k"])
+    top, tied = F.lit(False), F.lit(True)
+    for i, c in enumerate((score, *order)):
+        if left <= 0:
+            break
+        falling = i == 0
+        groups = rows.where(tied).groupBy(c).agg(F.count("*").alias("_n"))
+        upto = running(groups, [], sums={"_upto": "_n"}, totals={}, score=c, falling=falling).where(F.col("_upto") >= left)
+        end = upto.orderBy("_upto").select(c, (F.col("_upto") - F.col("_n")).alias("before")).first()
+        beyond = F.col(c) > F.lit(end[c]) if falling else F.col(c) < F.lit(end[c])
+        top = top | (tied & beyond)
+        tied, left = tied & (F.col(c) == F.lit(end[c])), left - end["before"]
+    return rows.withColumn("top", F.coalesce(top | tied if left > 0 else top, F.lit(False)))
 
 
 def most_disagreeing(scores: DataFrame) -> DataFrame:

@@ -105,7 +105,7 @@ def flagship_ap(spark, d):
 
 @query(ORACLE_SQL["flagship_ap"])
 def ap_bucketed(spark, d):
-    return metrics.average_precision(G.scored(spark, d), ["pooling", "class"], buckets=16).select("pooling", "class", r6("ap"))
+    return metrics.average_precision(G.scored(spark, d), ["pooling", "class"], parts=16).select("pooling", "class", r6("ap"))
 
 
 @query(f"with {G.SCORED}, leveled as (select pooling, class, l.l::int as level, score, y from scored, range(1, 4) l(l) where lvl in (0, l.l)), {ap_sql('leveled', 'pooling, class, level')} select pooling, class, level, round(ap, 6) as ap from aps")
@@ -125,7 +125,8 @@ def macro_ap(spark, d):
     return metrics.macro(aps, ["pooling", "block"], 2).select("pooling", "block", r6("macro_skip"), r6("macro_all"))
 
 
-_B = 20
+#: Resamples of the queries that have SQL, which makes a copy of all rows for each; FULL is what a report takes.
+_B, FULL = 20, 2000
 _DRAWN = f"""
 clusters as (select distinct regime as stratum, block as cluster from bags),
 members as (select *, row_number() over (partition by stratum order by cluster) - 1 as i, count(*) over (partition by stratum) as size from clusters),
@@ -136,13 +137,16 @@ drawn as (select b, stratum, cluster, count from picks join members using (strat
 met as (select pooling, class, b, score, y, count as w from scored join drawn on stratum = regime and cluster = block)"""
 
 
-def _drawn(spark, d):
-    return bootstrap.draws(G.bags(spark, d).select(F.col("regime").alias("stratum"), F.col("block").alias("cluster")), _B)
+def _drawn(spark, d, resamples=_B):
+    return bootstrap.draws(G.bags(spark, d).select(F.col("regime").alias("stratum"), F.col("block").alias("cluster")), resamples)
 
 
-def _boots(spark, d):
-    rows = G.scored(spark, d).select("pooling", "class", F.col("regime").alias("stratum"), F.col("block").alias("cluster"), "score", "y")
-    return bootstrap.resampled_ap(rows, _drawn(spark, d), ["pooling", "class"])
+def _in_clusters(rows):
+    return rows.withColumnsRenamed({"regime": "stratum", "block": "cluster"})
+
+
+def _boots(spark, d, resamples=_B):
+    return bootstrap.resampled_ap(_in_clusters(G.scored(spark, d)), _drawn(spark, d, resamples), ["pooling", "class"])
 
 
 @query(f"with {G.SCORED}, {_DRAWN} select b, stratum, cluster, count from drawn")
@@ -174,6 +178,43 @@ def paired_delta(spark, d):
     return out.select("pooling", "class", r6("delta"), r6("lo"), r6("hi"), "verdict")
 
 
+@query()
+def ap_ci_full(spark, d):
+    """Intervals of 2000 resamples."""
+    return bootstrap.interval(_boots(spark, d, FULL), ["pooling", "class"]).select("pooling", "class", r6("lo"), r6("hi"))
+
+
+@query()
+def paired_delta_full(spark, d):
+    """Paired differences and verdicts of 2000 resamples."""
+    points = metrics.average_precision(G.scored(spark, d), ["pooling", "class"])
+    out = bootstrap.paired(_boots(spark, d, FULL), points, F.col("pooling") == "mean", "pooling", ["class"])
+    return out.select("pooling", "class", r6("delta"), r6("lo"), r6("hi"), "verdict")
+
+
+_SEEDED = f"""with {G.SCORED}, {_DRAWN},
+seeded as (select s.*, t.t::int as seed, score + t.t * 0.05::double * (bag_id % 7) as noisy from scored s, range(2) t(t)),
+seeds as (select pooling, class, seed, regime, block, noisy as score, y from seeded),
+met2 as (select pooling, class, seed, b, score, y, count as w from seeds join drawn on stratum = regime and cluster = block),
+{ap_sql('met2', 'pooling, class, seed, b', 'w', 'seed_boots')}, {ap_sql('seeds', 'pooling, class, seed', name='seed_points')},
+boots as (select pooling, class, b, avg(ap) as ap from seed_boots group by all), points as (select pooling, class, avg(ap) as ap from seed_points group by all)"""
+
+
+def _seeded(spark, d):
+    """Two seeds of every model: scores with an offset that differs by seed and bag."""
+    rows = G.scored(spark, d).withColumn("seed", F.explode(F.array(F.lit(0), F.lit(1))))
+    return _in_clusters(rows.withColumn("score", F.col("score") + F.col("seed") * 0.05 * (F.col("bag_id") % 7)))
+
+
+@query(f"{_SEEDED}, ends as (select pooling, class, quantile_cont(ap, 0.025) as lo, quantile_cont(ap, 0.975) as hi from boots group by all) select pooling, class, round(p.ap, 6) as ap, round(lo, 6) as lo, round(hi, 6) as hi from points p join ends using (pooling, class)")
+def seed_mean_ci(spark, d):
+    """Point and interval of the mean over seeds, resample by resample."""
+    rows = _seeded(spark, d)
+    points = bootstrap.seed_mean(metrics.average_precision(rows, ["pooling", "class", "seed"]), ["pooling", "class"])
+    boots = bootstrap.seed_mean(bootstrap.resampled_ap(rows, _drawn(spark, d), ["pooling", "class", "seed"]), ["pooling", "class", "b"])
+    return points.join(bootstrap.interval(boots, ["pooling", "class"]), ["pooling", "class"]).select("pooling", "class", r6("ap"), r6("lo"), r6("hi"))
+
+
 _VAL = f"""
 val as (select s.*, ((fold + 4) % 5)::int as f from scored s),
 val_g as (select {_PC}, f, round(score, 9) as score, sum(y)::double as tp, count(*)::double as n from val group by all),
@@ -718,9 +759,10 @@ def staleness(spark, d):
     return lineage.stale_stages(spark.createDataFrame(rows, "position int, stage string, exists boolean, built boolean, current map<string,string>, stamp map<string,string>"))
 
 
-@query("select substr(sha256(string_agg(sha256(n_nationkey || chr(31) || n_name), chr(10) order by sha256(n_nationkey || chr(31) || n_name))), 1, 16) as fingerprint from nation")
+@query(f"""with {G.FILES}, d as (select sha256(name || chr(31) || coalesce(hash, chr(0)) || chr(31) || size) as d from files),
+b as (select sha256(string_agg(d, chr(10) order by d)) as d from d group by substr(d, 1, 3)) select substr(sha256(string_agg(d, chr(10) order by d)), 1, 16) as fingerprint from b""")
 def fingerprint(spark, d):
-    return lineage.fingerprint(table(spark, d, "nation"), ["n_nationkey", "n_name"])
+    return lineage.fingerprint(G.files(spark, d), ["name", "hash", "size"])
 
 
 @query("with l as (select doc_id, case when doc_id % 5 = 0 then '' else sha256(text) end || chr(9) || n_chars || chr(9) || source || '/a b.wav' as v from documents) select doc_id, nullif(split_part(v, chr(9), 1), '') as hash, split_part(v, chr(9), 2)::bigint as size, split_part(v, chr(9), 3) as path from l")

@@ -60,8 +60,9 @@ def ap(y, s, w):
     return total if pos else None
 
 
-@pytest.mark.parametrize("buckets", [1, 5])
-def test_average_precision_with_ties_and_weights(spark, buckets):
+@pytest.mark.parametrize("buckets", [1, 5, None])
+def test_average_precision_with_ties_and_weights(spark, buckets, monkeypatch):
+    monkeypatch.setattr(metrics, "PART", 3)
     rng = np.random.default_rng(1)
     y, s = (rng.random(300) < 0.15).astype(int), np.round(rng.random(300), 1)
     w = rng.integers(0, 3, (4, 300))
@@ -292,3 +293,34 @@ def test_entry_and_registry(spark):
 
     assert e.entry(spark).count() == 8
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_resampled_ap_is_that_of_each_resample(spark, monkeypatch):
+    """All resamples in one pass, with ties over clusters, many parts and small slabs, against one by one."""
+    monkeypatch.setattr(metrics, "PART", 20)
+    monkeypatch.setattr(bootstrap, "_SLAB", 7)
+    rng = np.random.default_rng(3)
+    rows = [(m, "ab"[i % 2], int(rng.integers(0, 9)), float(np.round(rng.random(), 2)), int(rng.random() < 0.2)) for m in ("x", None) for i in range(400)]
+    rows += [("none", "a", 1, 0.5, 0)]
+    df = spark.createDataFrame(rows, "m string, stratum string, cluster int, score double, y int")
+    drawn = bootstrap.draws(df, 30)
+    counts = {(r["b"], r["stratum"], r["cluster"]): r["count"] for r in drawn.collect()}
+    got = {(r["m"], r["b"]): r["ap"] for r in bootstrap.resampled_ap(df, drawn, ["m"]).collect()}
+    assert len(got) == 90
+    for m in ("x", None, "none"):
+        mine = [r for r in rows if r[0] == m]
+        s, y = np.array([r[3] for r in mine]), np.array([r[4] for r in mine])
+        for b in range(30):
+            w = np.array([float(counts.get((b, r[1], r[2]), 0)) for r in mine])
+            want = ap(y, s, w) if (w * y).sum() else None
+            assert got[m, b] == (want if want is None else pytest.approx(want))
+
+
+def test_top_share_breaks_ties_by_order(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "PART", 2)
+    rng = np.random.default_rng(0)
+    rows = [(i, int(rng.integers(0, 4)), float(rng.integers(0, 6))) for i in range(101)]
+    df = spark.createDataFrame(rows, "i long, a int, score double")
+    for f in (0.0, 0.05, 0.3, 1.0):
+        want = {r[0] for r in sorted(rows, key=lambda r: (-r[2], r[1], r[0]))[: int(np.ceil(f * 101))]}
+        assert {r["i"] for r in reports.top_share(df, "score", f, "a", "i").where("top").collect()} == want
