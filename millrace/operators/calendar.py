@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-
 def night_columns(rows: DataFrame, night: str, keys: Sequence[str] = (), gap_days: int = 7, gap_columns: int = 3) -> DataFrame:
     """keys, night, segment, column: each distinct night's place on an axis of days.
 
@@ -25,6 +24,15 @@ def night_columns(rows: DataFrame, night: str, keys: Sequence[str] = (), gap_day
         *keys, "night", F.sum("_fresh").over(by).cast("int").alias("segment"), F.sum("_jump").over(by).cast("int").alias("column"))
 
 
+def month_ticks(columns: DataFrame, keys: Sequence[str] = (), near: int = 12) -> DataFrame:
+    """keys, segment, night, column of axis ticks: firsts of months, and a segment's first night unless a month begins within ``near`` columns."""
+    of = Window.partitionBy(*keys, "segment")
+    monthly = F.dayofmonth("night") == 1
+    start, month = F.min("column").over(of), F.min(F.when(monthly, F.col("column"))).over(of)
+    opens = (F.col("column") == start) & (month.isNull() | (month - start > near))
+    return columns.withColumn("_tick", monthly | opens).where("_tick").select(*keys, "segment", "night", "column")
+
+
 def breaks(columns: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """keys, segment, first_missing, last_missing: the nights left out before each segment but the first."""
     ends = columns.groupBy(*keys, "segment").agg(F.min("night").alias("first"), F.max("night").alias("last"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.scalar import NAME, is_wav
+from millrace.functions.scalar import NAME, is_wav, name_parts
 
 # Fixed value: upload folders whose names begin with a number and a sender; they come last.
 PREFIXED = r"^\d+-.* - "
@@ -133,3 +133,57 @@ def clips_per_hour(files: DataFrame, start: str = "start") -> DataFrame:
     marks = files.select(F.date_format(start, "mm:ss").alias("m")).distinct().orderBy("m").limit(7).agg(F.sort_array(F.collect_list("m")).alias("m"))
     offsets = F.when(F.size("m") <= 6, F.array_join("m", " "))
     return per.crossJoin(marks).select("fewest", "most", offsets.alias("offsets"))
+
+
+#: Fixed value: bytes of a block of a composite content hash.
+HASH_BLOCK = 4 << 20
+#: Fixed value: names of batches, a letter or digit and then letters, digits, dots, dashes and underscores.
+BATCH_NAME = r"^[A-Za-z0-9][A-Za-z0-9._-]*$"
+
+
+def block_hash(content: Column, block: int = HASH_BLOCK) -> Column:
+    """Composite hash of bytes: sha256 over the sha256 digests of blocks; that of nothing for empty content."""
+    starts = F.when(F.octet_length(content) > 0, F.sequence(F.lit(0), F.floor((F.octet_length(content) - 1) / block).cast("int"))).otherwise(F.array().cast("array<int>"))
+    digests = F.transform(starts, lambda i: F.sha2(F.substring(content, i * block + 1, F.lit(block)), 256))
+    return F.sha2(F.unhex(F.array_join(digests, "")), 256)
+
+
+def seeded_cache(hashes: DataFrame, written_ns: int, listing: DataFrame, files: DataFrame) -> DataFrame:
+    """A cache from an old list of hashes (name, hash): name, size, mtime_ns, hash.
+
+    An entry is kept only if its file (name, size, mtime_ns, ctime_ns) was last changed before the list
+    was written and a listing (hash, size) gives the hash the size that the file has.
+    """
+    vouched = listing.where("hash is not null").select("hash", "size").distinct()
+    there = files.where(F.col("ctime_ns") < written_ns)
+    return hashes.join(there, "name").join(vouched, ["hash", "size"], "left_semi").select("name", "size", "mtime_ns", "hash")
+
+
+def is_batch_name(name: Column) -> Column:
+    return F.coalesce(name.rlike(BATCH_NAME), F.lit(False))
+
+
+def merge_refusals(verified: DataFrame, plan: DataFrame, replace: bool = False) -> DataFrame:
+    """(name, ok, fail) of verify and (name, action) of plan_merge -> name, reason: why a merge may not go on.
+
+    Files that failed or were never verified, and clashes unless they are to be replaced.
+    """
+    both = plan.join(verified, "name", "left")
+    reason = (
+        F.when(F.col("ok").isNull(), "not verified").when(~F.col("ok"), F.concat(F.lit("failed: "), "fail"))
+        .when((F.col("action") == "clash") & F.lit(not replace), "would replace another file")
+    )
+    return both.select("name", reason.alias("reason")).where("reason is not null")
+
+
+def by_folder(files: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, folder, files, hashes (distinct), gb of (path, hash, size); files at the top are in '.'."""
+    folder = F.coalesce(F.nullif(F.regexp_extract("path", "^(.*)/[^/]*$", 1), F.lit("")), F.lit("."))
+    return files.groupBy(*keys, folder.alias("folder")).agg(F.count("*").alias("files"), F.count_distinct("hash").alias("hashes"), (F.sum("size") / 1e9).alias("gb"))
+
+
+def rejects(scanned: DataFrame, quality: DataFrame) -> DataFrame:
+    """(name) and (name, qc_ok, qc_reason) -> name, reason of files that no bag may use: names that don't parse, failed checks."""
+    both = scanned.select("name").join(quality, "name", "left")
+    reason = F.when(F.col("p").isNull(), "unparsed filename").when(F.col("qc_ok").isNull(), "not checked").when(~F.col("qc_ok"), F.col("qc_reason"))
+    return both.withColumn("p", name_parts(F.col("name"))).select("name", reason.alias("reason")).where("reason is not null")

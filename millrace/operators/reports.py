@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions.scalar import markdown_row
 
-from .metrics import running
+from . import bootstrap
+from .metrics import average_precision, running
 
 
 def val_selected(models: DataFrame) -> DataFrame:
@@ -130,3 +131,84 @@ def markdown(rows: DataFrame, columns: Sequence[str], order: Sequence[str]) -> D
     head = spark.createDataFrame([(0, "| " + " | ".join(columns) + " |"), (1, "|" + "---|" * len(columns))], "line_no int, line string")
     number = F.row_number().over(Window.orderBy(*order)) + 1
     return head.unionByName(rows.select(number.cast("int").alias("line_no"), markdown_row([F.col(c) for c in columns]).alias("line")))
+
+
+def in_cells(scores: DataFrame, levels: int, level: str = "lvl", regime: str = "regime") -> DataFrame:
+    """scores with ``cell``, a row for each cell a bag is in: presence, its regime, and level L for index 0 or L."""
+    of_level = [F.when(F.col(level).isin(0, n), f"level:{n}") for n in range(1, levels + 1)]
+    cells = F.array(F.lit("presence"), F.concat(F.lit("regime:"), regime), *of_level)
+    return scores.withColumn("cell", F.explode(F.filter(cells, lambda c: c.isNotNull())))
+
+
+def statistics(celled: DataFrame, drawn: DataFrame, model: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(model, class, cell, seed, stratum, cluster, score, y) -> points (model, class, cell, ap) and boots (with b).
+
+    Both are means over seeds, boots resample by resample.
+    """
+    of = [*model, "class", "cell"]
+    points = bootstrap.seed_mean(average_precision(celled, [*of, "seed"]), of)
+    return points, bootstrap.seed_mean(bootstrap.resampled_ap(celled, drawn, [*of, "seed"]), [*of, "b"])
+
+
+def cell_table(celled: DataFrame, points: DataFrame, boots: DataFrame, model: Sequence[str], kind: str, least: int = 0) -> DataFrame:
+    """model, class, cell, n_bags, n_pos, chance, ap, lo, hi of the cells of a kind (presence, level, regime).
+
+    Counts are of bags, whatever the seeds; cells with fewer than ``least`` positives are left out.
+    """
+    of = [*model, "class", "cell"]
+    counts = celled.groupBy(*of, "seed").agg(F.count("*").alias("n"), F.sum("y").alias("p")).groupBy(*of).agg(F.max("n").alias("n_bags"), F.max("p").alias("n_pos"))
+    rows = counts.where(F.startswith("cell", F.lit(kind)) & (F.col("n_pos") >= least))
+    out = rows.join(points, of).join(bootstrap.interval(boots, of), of)
+    return out.withColumn("chance", F.col("n_pos") / F.col("n_bags")).select(*of, "n_bags", "n_pos", "chance", "ap", "lo", "hi")
+
+
+def macro_overview(seed_points: DataFrame, boots: DataFrame, validation: DataFrame) -> DataFrame:
+    """model_id, n_seeds, ap, lo, hi, sd, val_ap, selected: macro precision with its interval, the best validation marked.
+
+    seed_points: (model_id, seed, class, ap) of presence; boots: (model_id, class, cell, b, ap); validation: (model_id, val_ap).
+    sd is that of the seeds' macro values in the population, null for one seed; ties go to the first name.
+    """
+    of_seed = seed_points.groupBy("model_id", "seed").agg(F.avg("ap").alias("macro"))
+    n = F.count("*")
+    seeds = of_seed.groupBy("model_id").agg(n.alias("n_seeds"), F.avg("macro").alias("ap"), F.when(n > 1, F.stddev_pop("macro")).alias("sd"))
+    macro_boots = boots.where("cell = 'presence'").groupBy("model_id", "b").agg(F.avg("ap").alias("ap"))
+    best = validation.agg(F.min(F.struct(-F.round("val_ap", 9), "model_id")).alias("m")).select(F.col("m.model_id").alias("best"))
+    rows = seeds.join(bootstrap.interval(macro_boots, ["model_id"]), "model_id").join(validation, "model_id", "left").crossJoin(F.broadcast(best))
+    return rows.select("model_id", "n_seeds", "ap", "lo", "hi", "sd", "val_ap", (F.col("model_id") == F.col("best")).alias("selected"))
+
+
+def transfer_table(points: DataFrame, boots: DataFrame, arms: DataFrame) -> DataFrame:
+    """model_id, class, regime, ap, delta, lo, hi, unseen, text: what models trained on some regimes lose in others.
+
+    arms: (model_id, reference, trained_on array, null for all). delta is the paired difference to the
+    reference in the regime; text is the precision, bold where the model never saw the regime.
+    """
+    only = lambda df: df.where(F.startswith("cell", F.lit("regime:"))).withColumn("regime", F.substring_index("cell", ":", -1))
+    side = lambda df, name, more: only(df).select(F.col("model_id").alias(name), "class", "regime", *more, F.col("ap").alias(f"{name}_ap"))
+    both = lambda df, more: arms.join(side(df, "model_id", more), "model_id").join(side(df, "reference", more), ["reference", "class", "regime", *more])
+    of = ["model_id", "class", "regime"]
+    change = both(boots, ["b"]).withColumn("d", F.col("model_id_ap") - F.col("reference_ap"))
+    rows = both(points, []).join(bootstrap.interval(change, of, "d"), of)
+    unseen = F.coalesce(~F.array_contains("trained_on", F.col("regime")), F.lit(False))
+    shown = F.format_string("%.3f", F.col("model_id_ap"))
+    text = F.when(unseen, F.concat(F.lit("**"), shown, F.lit("**"))).otherwise(shown)
+    return rows.select(*of, F.col("model_id_ap").alias("ap"), (F.col("model_id_ap") - F.col("reference_ap")).alias("delta"), "lo", "hi", unseen.alias("unseen"), text.alias("text"))
+
+
+def report_set(scores: DataFrame, drawn: DataFrame, validation: DataFrame, levels: int, least: int = 5) -> dict[str, DataFrame]:
+    """The tables of a report by name: overview, vs_selected, per_level, per_regime.
+
+    scores: (model_id, seed, class, regime, stratum, cluster, lvl, score, y); validation: (model_id, val_ap).
+    """
+    celled = in_cells(scores, levels)
+    points, boots = statistics(celled, drawn, ["model_id"])
+    seed_points = average_precision(scores, ["model_id", "seed", "class"])
+    overview = macro_overview(seed_points, boots, validation)
+    presence = lambda df: df.where("cell = 'presence'").drop("cell")
+    chosen = F.broadcast(overview.where("selected").select(F.col("model_id").alias("_best")))
+    mark = lambda df: df.crossJoin(chosen).withColumn("_ref", F.col("model_id") == F.col("_best")).drop("_best")
+    against = bootstrap.paired(mark(presence(boots)), mark(presence(points)), F.col("_ref"), "model_id", ["class"])
+    return {
+        "overview": overview, "vs_selected": against,
+        "per_level": cell_table(celled, points, boots, ["model_id"], "level", least), "per_regime": cell_table(celled, points, boots, ["model_id"], "regime"),
+    }

@@ -1,0 +1 @@
+from . import catalogue, reporting  # noqa: F401

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from millrace.plans import catalogue
+from millrace.plans import catalogue, reporting
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

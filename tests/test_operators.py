@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import scalar as S
-from millrace.operators import bags, bootstrap, folds, ingest, lineage, metrics, pooling, reports, training
+from millrace.operators import bags, bootstrap, folds, guards, ingest, lineage, metrics, pooling, reports, runs, training
 from millrace.sources import audio, tables
 
 
@@ -324,3 +324,80 @@ def test_top_share_breaks_ties_by_order(spark, monkeypatch):
     for f in (0.0, 0.05, 0.3, 1.0):
         want = {r[0] for r in sorted(rows, key=lambda r: (-r[2], r[1], r[0]))[: int(np.ceil(f * 101))]}
         assert {r["i"] for r in reports.top_share(df, "score", f, "a", "i").where("top").collect()} == want
+
+
+def test_guards(spark):
+    bags = spark.createDataFrame([(1, "a"), (2, "b")], "bag_id long, regime string")
+    windows = spark.createDataFrame([(1, 1, [2.0]), (1, 0, [1.0])], "bag_id long, win_idx int, vector array<double>")
+    with pytest.raises(ValueError, match="bags without windows: bag_id=2"):
+        guards.load_bags(bags, windows)
+    assert guards.load_bags(bags.where("bag_id = 1"), windows).first()["vectors"] == [[1.0], [2.0]]
+    with pytest.raises(ValueError, match="regime=x"):
+        guards.restricted(bags, ["a", "x"])
+    assert guards.restricted(bags, ["a"]).count() == 1 and guards.restricted(bags, None).count() == 2
+    good = [("d", "r", "mean", 0, 0, b, 0.5) for b in (1, 2)]
+    schema = "dataset_id string, run_id string, pooling string, seed int, class int, bag_id long, score double"
+    assert guards.load_models(spark.createDataFrame(good, schema), bags, "d").count() == 2
+    for bad in (good[:1], good + good[:1], [("e", *good[0][1:]), good[1]], [*good, (*good[0][:5], 9, 0.1)]):
+        with pytest.raises(ValueError, match="don't fit"):
+            guards.load_models(spark.createDataFrame(bad, schema), bags, "d")
+    scores = spark.createDataFrame([("m", 1, "test"), ("m", 2, "val"), ("k", 1, "test"), ("k", 2, "test"), ("k", 2, "test")], "model string, bag_id long, split string")
+    assert {(r["model"], r["bag_id"], r["n"]) for r in guards.unscored(bags, scores, ["model"]).collect()} == {("m", 2, 0), ("k", 2, 2)}
+
+
+def test_runs_are_kept_by_key(spark, tmp_path):
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(3)
+
+    key = {"B": 20, "ids": ["a"]}
+    assert runs.kept(spark, str(tmp_path), key, make).count() == 3 and runs.kept(spark, str(tmp_path), key, make).count() == 3 and len(made) == 1
+    runs.kept(spark, str(tmp_path), {"B": 21}, make)
+    assert len(made) == 2
+    runs.archived(spark.range(2), str(tmp_path / "old"), "d1")
+    with pytest.raises(Exception, match="exists"):
+        runs.archived(spark.range(2), str(tmp_path / "old"), "d1")
+    (tmp_path / "code").mkdir()
+    (tmp_path / "code" / "a.py").write_text("x = 1")
+    before = runs.code_version(spark, str(tmp_path / "code"))
+    assert before == runs.code_version(spark, str(tmp_path / "code"))
+    (tmp_path / "code" / "a.py").write_text("x = 2")
+    assert before != runs.code_version(spark, str(tmp_path / "code"))
+
+
+def test_weights_come_back_and_are_counted(spark):
+    fits = [training.Fit("attention", hidden=4, ordinal_weight=0.5, fold=1), training.Fit("mean")]
+    params = [training.start(f, 6, 2, 3) for f in fits]
+    t = runs.weights_table(spark, fits, params)
+    back = runs.load_weights(t, fits[0].run_id, "attention", 0, 1)
+    assert set(back) == set(params[0]) and all((back[k] == params[0][k]).all() for k in back)
+    with pytest.raises(KeyError):
+        runs.load_weights(t, "linear-bin", "max", 0, 0)
+    for f, p in zip(fits, params):
+        n = runs.parameter_count(F.lit(6), 2, F.lit(f.hidden), 3, F.lit(f.ordinal_weight), F.lit(f.pooling), f.attention)
+        assert spark.range(1).select(n.alias("n")).first()["n"] == sum(v.size for v in p.values())
+
+
+def test_block_hash_is_that_of_blocks(spark):
+    import hashlib
+
+    data = bytes(range(256)) * 10
+    want = hashlib.sha256(b"".join(hashlib.sha256(data[i : i + 100]).digest() for i in range(0, len(data), 100))).hexdigest()
+    df = spark.createDataFrame([(bytearray(data),), (bytearray(),)], "c binary").select(ingest.block_hash(F.col("c"), 100).alias("h"))
+    assert [r["h"] for r in df.collect()] == [want, hashlib.sha256(b"").hexdigest()]
+
+
+def test_report_set(spark):
+    rng = np.random.default_rng(0)
+    rows = [(m, s, c, "ab"[i % 2], i // 4, int(rng.integers(0, 4)), float(rng.random())) for m in ("x", "y") for s in range(2) for c in range(2) for i in range(80)]
+    df = spark.createDataFrame(rows, "model_id string, seed int, class int, regime string, cluster int, lvl int, score double")
+    df = df.withColumns({"stratum": F.col("regime"), "y": (F.col("lvl") > 0).cast("int")})
+    val = spark.createDataFrame([("x", 0.5), ("y", 0.4)], "model_id string, val_ap double")
+    tables = reports.report_set(df, bootstrap.draws(df, 10), val, 3)
+    over = {r["model_id"]: r for r in tables["overview"].collect()}
+    assert over["x"]["selected"] and not over["y"]["selected"] and over["x"]["n_seeds"] == 2
+    assert all(r["lo"] <= r["hi"] for r in over.values())
+    assert {(r["model_id"], r["verdict"] in ("tied", "better", "worse")) for r in tables["vs_selected"].collect()} == {("y", True)}
+    assert tables["per_regime"].count() == 2 * 2 * 2 and tables["per_level"].where("n_pos < 5").count() == 0
