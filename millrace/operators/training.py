@@ -8,6 +8,7 @@ gradients written out; a whole-batch AdamW step with a clipped norm takes the pl
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
@@ -71,9 +72,13 @@ def start(fit: Fit, dim: int, classes: int, levels: int) -> dict[str, np.ndarray
     return p
 
 
+_erf = np.vectorize(math.erf, otypes=[float])
+
+
 def _gelu(x):
-    t = np.tanh(0.7978845608028654 * (x + 0.044715 * x**3))
-    return 0.5 * x * (1 + t), 0.5 * (1 + t) + 0.5 * x * (1 - t * t) * 0.7978845608028654 * (1 + 3 * 0.044715 * x * x)
+    """The exact form, by the error function, and its slope."""
+    below = 0.5 * (1 + _erf(x / math.sqrt(2)))
+    return x * below, below + x * np.exp(-0.5 * x * x) / math.sqrt(2 * math.pi)
 
 
 def _softmax(x, mask):
@@ -209,7 +214,7 @@ def statistics(bags: DataFrame, fits: list[Fit], settings: Settings) -> dict:
         if acc:
             yield pd.DataFrame({"i": list(acc), "s": [v.tolist() for v in acc.values()]})
 
-    rows = _summed(bags.mapInPandas(sums, "i int, s array<double>"))
+    rows = _summed(bags.mapInPandas(sums, "i int, s array<double>"), settings.extra["tasks"])
     dim, levels, out = settings.extra["dim"], settings.extra["levels"], {}
     for i, f in enumerate(keys):
         s = rows[i]
@@ -220,11 +225,32 @@ def statistics(bags: DataFrame, fits: list[Fit], settings: Settings) -> dict:
     return out
 
 
-def _summed(parts: DataFrame) -> dict[int, np.ndarray]:
-    """Sums of arrays by i, added by Spark component by component; the result is as large as the parameters."""
-    cells = parts.select("i", F.posexplode("s").alias("k", "v")).groupBy("i", "k").agg(F.sum("v").alias("v"))
-    rows = cells.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("s")).select("i", F.transform("s", lambda c: c["v"]).alias("s")).collect()
-    return {r["i"]: np.array(r["s"]) for r in rows}
+#: Ways into which the arrays of a fit are dealt before they are added up.
+SLOTS = 16
+
+
+def _added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    acc: dict = {}
+    for pdf in batches:
+        for i, s in zip(pdf["i"], pdf["s"], strict=True):
+            acc[i] = acc.get(i, 0) + np.asarray(s)
+    if acc:
+        yield pd.DataFrame({"i": list(acc), "s": [v.tolist() for v in acc.values()]})
+
+
+def _summed(parts: DataFrame, tasks: int) -> dict[int, np.ndarray]:
+    """Sums of arrays by i, added whole; what comes back is as large as the parameters.
+
+    The arrays of many tasks are added in two steps, those of few go to the driver as they are.
+    """
+    schema = "i int, s array<double>"
+    if tasks > SLOTS:
+        dealt = parts.withColumn("slot", F.spark_partition_id() % SLOTS).repartition("i", "slot").select("i", "s")
+        parts = dealt.mapInPandas(_added, schema).repartition("i").mapInPandas(_added, schema)
+    out: dict = {}
+    for r in parts.collect():
+        out[r["i"]] = out.get(r["i"], 0) + np.array(r["s"])
+    return out
 
 
 def _flat(p: dict) -> np.ndarray:
@@ -264,7 +290,7 @@ def train(bags: DataFrame, fits: list[Fit], settings: Settings) -> tuple[list[di
     """
     first = bags.select(F.size("index").alias("c"), F.size(F.col("vectors")[0]).alias("d")).first()
     top = bags.select(F.max(F.array_max("index")).alias("m")).first()["m"]
-    settings = replace(settings, extra={"dim": first["d"], "levels": max(2, top)})
+    settings = replace(settings, extra={"dim": first["d"], "levels": max(2, top), "tasks": bags.rdd.getNumPartitions()})
     stats = statistics(bags, fits, settings)
     params = [start(f, first["d"], first["c"], settings.extra["levels"]) for f in fits]
     best = [(-1.0, p, 0) for p in params]
@@ -288,7 +314,7 @@ def train(bags: DataFrame, fits: list[Fit], settings: Settings) -> tuple[list[di
             if acc:
                 yield pd.DataFrame({"i": list(acc), "s": [v.tolist() for v in acc.values()]})
 
-        got = _summed(bags.mapInPandas(step, "i int, s array<double>"))
+        got = _summed(bags.mapInPandas(step, "i int, s array<double>"), settings.extra["tasks"])
         params = list(params)
         for i in live:
             g = got[i][2:] / got[i][1]

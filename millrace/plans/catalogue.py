@@ -572,11 +572,21 @@ def night_segments(spark, d):
     return ingest.runs(table(spark, d, "orders"), "o_orderdate", "7 days", ["o_custkey"])
 
 
-@query(f"with {G.FILES} select min(n) as fewest, max(n) as most, null::varchar as offsets from (select date_trunc('hour', ts) as h, count(*) as n from events group by 1)")
+_MARKS = "with t as (select {0} as start from events), m as (select distinct strftime(start, '%M:%S') as m from t) select min(n) as fewest, max(n) as most, (select case when count(*) <= 6 then string_agg(m, ' ' order by m) end from m) as offsets from (select date_trunc('hour', start) as h, count(*) as n from t group by 1)"
+
+
+@query(_MARKS.format("ts"))
 def clips_per_hour(spark, d):
     return ingest.clips_per_hour(table(spark, d, "events").select(F.col("ts").alias("start")))
 
 
+@query(_MARKS.format("date_trunc('hour', ts) + to_minutes((event_id % 4 * 15)::int)"))
+def clip_offsets(spark, d):
+    """Recordings that begin at four marks of the hour."""
+    start = F.date_trunc("hour", "ts").cast("timestamp_ntz") + F.make_dt_interval(mins=(F.col("event_id") % 4 * 15).cast("int"))
+    return ingest.clips_per_hour(table(spark, d, "events").select(start.alias("start")))
+
+
 @query(f"with {G.FILES} select category, count(*) as files, round(sum(size) / 1e6::double, 6) as mb, min(name) as first, max(name) as last from compared group by category")
 def summarise_batch(spark, d):
     rows = _compared(spark, d)[1].groupBy("category")
@@ -730,10 +740,12 @@ def overview(spark, d):
     return reports.overview(_models(spark, d)).select("model_id", "n_seeds", r6("ap"), r6("sd"), r6("val_ap"), "epochs")
 
 
-@query(f"{_FOLD_AP} select model_id, round(avg(val_ap), 6) as val_ap from models group by model_id order by (model_id = 'max'), avg(val_ap) desc limit 1")
+@query(f"{_FOLD_AP}, whole as (select model_id, round(avg(val_ap), 1) as val_ap from models group by model_id) select model_id, val_ap from whole order by (model_id = 'max'), val_ap desc, length(model_id) desc, model_id limit 1")
 def val_selected(spark, d):
-    rows = _models(spark, d).withColumns({"position": F.lit(0), "train_regimes": F.when(F.col("model_id") == "max", "F")})
-    return reports.val_selected(rows).select("model_id", r6("val_ap"))
+    """Values of one decimal, so that models tie and their positions decide."""
+    whole = _models(spark, d).groupBy("model_id").agg(F.round(F.avg("val_ap"), 1).alias("val_ap"))
+    rows = whole.withColumns({"position": -F.length("model_id"), "train_regimes": F.when(F.col("model_id") == "max", "F")})
+    return reports.val_selected(rows)
 
 
 @query(f"""with {G.SCORED}, roles as (select pooling, f::int as f, case when fold = f then 'test' when fold = (f + 1) % 5 then 'val' else 'train' end as split, score, y, class from scored, range(5) t(f)),
@@ -838,22 +850,11 @@ def train_probe(spark, d):
 
 @query()
 def regime_decoding(spark, d):
-    """Area under the curve of a class-balanced logistic regression on single vectors, fold by fold."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import StandardScaler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    rows = table(spark, d, "embeddings").select((F.floor(F.col("vec_id") / 8) % 2).cast("int").alias("fold"), (F.col("label") < 3).cast("int").alias("y"), array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("v")).cache()
-    out = None
-    for f in range(2):
-        train = rows.where(F.col("fold") != f)
-        n, pos = train.agg(F.count("*"), F.sum("y")).first()
-        weighted = train.withColumn("w", F.when(F.col("y") == 1, n / (2 * max(1, pos or 0))).otherwise(n / (2 * max(1, n - (pos or 0)))))
-        scaler = StandardScaler(inputCol="v", outputCol="x", withMean=True).fit(train)
-        model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=1 / (0.1 * n), maxIter=50).fit(scaler.transform(weighted))
-        part = model.transform(scaler.transform(rows.where(F.col("fold") == f))).select("fold", "y", vector_to_array("probability")[1].alias("score"))
-        out = part if out is None else out.union(part)
-    return metrics.auc(out, ["fold"]).join(metrics.balanced_accuracy(out, ["fold"]), "fold")
+    """Which of two groups of labels single vectors are of, in five held-out folds."""
+    from millrace.operators import decoding
+
+    rows = table(spark, d, "embeddings").select((F.floor(F.col("vec_id") / 8) % G.FOLDS).cast("int").alias("fold"), (F.col("label") < 3).cast("int").alias("y"), F.col("embedding").alias("vector"))
+    return decoding.regime_decoding(rows, G.FOLDS)
 
 
 @query()

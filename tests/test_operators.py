@@ -401,3 +401,25 @@ def test_report_set(spark):
     assert all(r["lo"] <= r["hi"] for r in over.values())
     assert {(r["model_id"], r["verdict"] in ("tied", "better", "worse")) for r in tables["vs_selected"].collect()} == {("y", True)}
     assert tables["per_regime"].count() == 2 * 2 * 2 and tables["per_level"].where("n_pos < 5").count() == 0
+
+
+def test_gelu_is_exact_to_seven_digits(spark):
+    import math
+
+    x = np.linspace(-6, 6, 97)
+    df = spark.createDataFrame([(float(v),) for v in x], "x double").select("x", S.gelu(F.col("x")).alias("g"))
+    assert all(abs(r["g"] - 0.5 * r["x"] * (1 + math.erf(r["x"] / math.sqrt(2)))) < 1e-6 for r in df.collect())
+
+
+def test_decoding_tells_regimes_apart(spark):
+    import datetime as dt
+
+    from millrace.operators import decoding
+
+    rng = np.random.default_rng(0)
+    rows = [(i % 3, i % 2, (rng.standard_normal(4) + [2.5 * (i % 2), 0, 0, 0]).tolist(), dt.datetime(2020, 1 + i % 2 * (i % 4 // 2), 1)) for i in range(240)]
+    df = spark.createDataFrame(rows, "fold int, y int, vector array<double>, ts timestamp_ntz")
+    got = decoding.regime_decoding(df, 3).collect()
+    assert len(got) == 3 and all(r["auc"] > 0.9 and r["balanced_accuracy"] > 0.8 and r["n"] == 80 for r in got)
+    assert sum(r["n"] for r in decoding.regime_decoding(df, 3, months=[1]).collect()) == sum(r[3].month == 1 for r in rows)
+    assert decoding.regime_decoding(df, 3, months=[7]).count() == 0
