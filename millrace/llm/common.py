@@ -49,7 +49,7 @@ def drop_stored(spark: SparkSession, since: int, until: int) -> None:
 
 
 #: A side is broadcast only if it was measured and has no more rows and bytes than these.
-BROADCAST_ROWS, BROADCAST_BYTES = 20_000, 8 << 20
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 8 << 20
 
 
 def _width(c: Column, of: T.DataType) -> Column:

@@ -126,7 +126,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
 #: Tables and shingles a table of similar_groups: at similarity 0.8 a pair meets with probability 0.99.
 TABLES, SAMPLE = 16, 6
 #: Texts and shingles of a chunk, two of which are compared with each other in one cell.
-CHUNK, CHUNK_SHINGLES = 256, 1 << 20
+CHUNK, CHUNK_SHINGLES = 128, 1 << 19
 _SLAB = 2048
 
 
@@ -178,9 +178,10 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 def remaining(rows: DataFrame, named: DataFrame, words: int, similarity: float) -> DataFrame:
     """Links (a, b) of components that texts in one bucket make: (key, text), (key, table, part, component) -> all.
 
-    Every two texts of different components that share a bucket are compared by the hashes of all
-    their shingles. A bucket is cut into chunks of about CHUNK texts or CHUNK_SHINGLES shingles;
-    every two chunks meet in a cell of their own, so no task holds a bucket.
+    Every two texts of different components that share a bucket are compared by the hashes of all their
+    shingles. Most texts of a bucket are of one component, its largest, and needn't be compared with
+    each other: the others meet it and themselves. Both are cut into chunks of about CHUNK texts or
+    CHUNK_SHINGLES shingles; every two chunks meet in a cell of their own, so no task holds a bucket.
     """
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
@@ -188,13 +189,22 @@ def remaining(rows: DataFrame, named: DataFrame, words: int, similarity: float)
         return pa.array([np.unique(hashes(t, words)).view(np.int64) for t in utf8(texts)], pa.list_(pa.int64()))
 
     bucket = ["table", "part"]
-    mixed = cut(named.groupBy(bucket).agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select(bucket))
-    members = cut(named.join(broadcast_if_small(mixed), bucket))
+    parts = named.groupBy(*bucket, "component").agg(F.count("*").alias("texts"))
+    major = parts.groupBy(bucket).agg(F.count("*").alias("components"), F.max_by("component", F.struct("texts", "component")).alias("major"))
+    members = cut(named.join(broadcast_if_small(cut(major.where("components > 1").drop("components"))), bucket))
     texts = stored(_texts(rows, members.select("key").distinct()).select("key", hashed("text").alias("hashes")))
+    members = members.select(*bucket, "key", "component", (F.col("component") != F.col("major")).alias("minor"))
     members = cut(members.join(texts.select("key", F.size("hashes").cast("long").alias("size")), "key"))
-    parts = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("size") / CHUNK_SHINGLES)).cast("int")
-    members = members.join(broadcast_if_small(cut(members.groupBy(bucket).agg(parts.alias("chunks")))), bucket)
-    members = members.withColumn("chunk", F.pmod(F.hash("key"), "chunks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+
+    def chunks(minor: bool, name: str) -> Column:
+        mine = F.col("minor") == minor
+        return F.greatest(F.ceil(F.count_if(mine) / CHUNK), F.ceil(F.coalesce(F.sum(F.when(mine, F.col("size"))), F.lit(0)) / CHUNK_SHINGLES)).cast("int").alias(name)
+
+    members = members.join(broadcast_if_small(cut(members.groupBy(bucket).agg(chunks(False, "of_major"), chunks(True, "of_minor")))), bucket)
+    # chunks of the largest component are numbered first; a text of it meets the others' chunks only
+    own = F.when(F.col("minor"), F.col("of_major") + F.pmod(F.hash("key"), "of_minor")).otherwise(F.pmod(F.hash("key"), "of_major"))
+    others = F.sequence(F.when(F.col("minor"), F.lit(0)).otherwise(F.col("of_major")), F.col("of_major") + F.col("of_minor") - 1)
+    members = members.withColumn("chunk", own).withColumn("other", F.explode(others))
     cells = members.select("key", *bucket, F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "component")
     cell = [*bucket, "low", "high"]
 
@@ -230,8 +240,9 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tab
 
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.md5(text).alias("key"), text.alias("text"))
-    # copies of a text give the same rows, which the distinct drops before they are shuffled
-    keys = cut(rows.select("key", F.posexplode(sampled("text")).alias("table", "part")).distinct())
+    # a row for each text; its copies are dropped in the tasks before they are shuffled
+    samples = stored(rows.select("key", sampled("text").alias("parts")).groupBy("key").agg(F.first("parts").alias("parts")))
+    keys = samples.select("key", F.posexplode("parts").alias("table", "part"))
     bucket = ["table", "part"]
     # what a bucket holds is computed apart from the joins with it, so that Spark may split a large one
     sizes = cut(keys.groupBy(bucket).agg(F.count("*").alias("n")).where("n > 1"))
@@ -268,12 +279,14 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     # in each group the text whose smallest doc_id is smallest; nulls last, ties to the smaller key
     chosen = grouped.groupBy("component").agg(F.min_by(F.struct("key", "first"), F.struct(F.col("first").isNull(), "first", "key")).alias("c"))
     chosen = chosen.select(F.col("c.key").alias("k"), F.col("c.first").alias("first"))
-    same = lambda at: (F.col("key") == F.col("k")) & F.col(at).eqNullSafe(F.col("first"))
-    chosen = cut(chosen.join(ids, same("doc_id")).select("k", "first", "rows"))
+    same = lambda a, b: (F.col("key") == F.col("k")) & F.col(a).eqNullSafe(F.col(b))
+    chosen = cut(chosen.join(ids, same("doc_id", "first")).select("k", "first", "rows"))
+    # what goes is less than what stays; where it is small no text is moved
+    dropped = cut(ids.join(chosen.where("rows = 1"), same("doc_id", "first"), "left_anti").select(F.col("key").alias("k"), F.col("doc_id").alias("id")))
     whole = docs.select(key.alias("key"), F.struct(*docs.columns).alias("row"))
-    kept = whole.join(chosen.where("rows = 1"), same("row.doc_id"), "left_semi").select("row")
+    kept = whole.join(broadcast_if_small(dropped), same("row.doc_id", "id"), "left_anti").select("row")
     repeated = chosen.where("rows > 1")
     if not repeated.isEmpty():
-        alike = whole.join(broadcast_if_small(repeated), same("row.doc_id"), "left_semi")
+        alike = whole.join(broadcast_if_small(repeated), same("row.doc_id", "first"), "left_semi")
         kept = kept.union(alike.groupBy("key").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row"))
     return kept.select("row.*")
