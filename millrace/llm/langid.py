@@ -20,6 +20,8 @@ from .training import fitted
 
 #: Bytes of an n-gram, bits of its hash, texts a language to learn from.
 GRAM, BITS, PER_LANGUAGE = 3, 14, 300
+#: Languages that are told apart, at most: the commonest tags of the column lang. And texts in all.
+LANGUAGES, SAMPLE = 256, 9600
 #: Weight of all languages' n-grams in each language's, in roots of a text's n-grams.
 SHARED = 50.0
 #: Weight of an n-gram: neighbouring ones overlap and aren't independent.
@@ -49,17 +51,21 @@ def _grams(text: str | bytes | None) -> np.ndarray:
 def train_texts(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages (from the column lang, sorted) and a matrix of log probabilities of their n-grams.
 
-    Learned from the ``per_language`` rows of smallest id hash of each language: a bounded sample.
+    Tags beyond the LANGUAGES commonest (ties by name) are no languages of their own; rows that bear
+    them are identified among the others. Learned from the ``per_language`` rows of smallest id hash of
+    each language, SAMPLE rows in all: a bounded sample.
     """
     order = F.md5(F.concat(F.lit("lang:"), F.col("doc_id").cast("string")))
     ids = docs.where("doc_id is not null and text is not null and lang is not null").select("doc_id", "lang")
     # tasks keep only the first rows of each language before the shuffle
     first = Window.partitionBy("lang").orderBy(order, "doc_id")
-    few = ids.withColumn("i", F.row_number().over(first)).where(F.col("i") <= per_language).select("doc_id", "lang")
-    languages = sorted(r["lang"] for r in docs.where("lang is not null").select("lang").distinct().collect())
+    few = ids.withColumn("i", F.row_number().over(first)).where(F.col("i") <= per_language)
+    tags = docs.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    languages = sorted(r["lang"] for r in tags.collect())
     if not languages:
         return [], np.zeros((0, 1 << BITS))
-    sample = docs.select("doc_id", "text", "lang").join(F.broadcast(few), ["doc_id", "lang"], "left_semi")
+    few = cut(few.where(F.col("lang").isin(languages) & (F.col("i") <= max(1, SAMPLE // len(languages)))).select("doc_id", "lang"))
+    sample = docs.select("doc_id", "text", "lang").join(broadcast_if_small(few), ["doc_id", "lang"], "left_semi")
 
     def fit(rows: pd.DataFrame) -> dict[str, np.ndarray]:
         counts = np.zeros((len(languages), 1 << BITS))
@@ -165,7 +171,11 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 
 
 def identify_pages(pages: DataFrame, docs: DataFrame) -> DataFrame:
-    """page_id, lang, probability, text_lang, rejected for every page; the text model is learned from docs."""
+    """page_id, lang, probability, text_lang, rejected for every page; the text model is learned from docs.
+
+    Pages without html or of no letter are rejected, those without an address have no host, domain and
+    suffix evidence; repeated pages each have a row and count each; other columns are not read.
+    """
     return identify(page_evidence(pages), *train_texts(docs), "page_id")
 
 

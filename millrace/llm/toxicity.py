@@ -7,6 +7,8 @@ model learns from predictions as good as those it will get, not from ones that k
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -17,8 +19,9 @@ from pyspark.sql import types as T
 from .common import raw, utf8
 from .training import fitted, labelled_sample
 
-#: Bits of a hashed feature, lengths (bytes) of word beginnings, longest part of a word that is read.
-BITS, BEGINNINGS, LONGEST = 18, (4, 6), 12
+#: Bits of a hashed feature, lengths (bytes) of word beginnings. Words of more than LONGEST bytes, and
+#: passages without blanks, also give their grams of GRAM bytes.
+BITS, BEGINNINGS, LONGEST, GRAM = 18, (4, 6), 12, 6
 #: The sample: at most so many rows of each value of toxic. Folds of the out-of-fold models.
 PER_CLASS, FOLDS = 2000, 4
 #: Bytes of a whole text whose features are made at a time.
@@ -32,29 +35,46 @@ CATEGORIES = {
 }
 
 
+_BASE = 0x9E3779B97F4A7C15
+
+
+@cache
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the odd base and of its inverse modulo 2**64."""
+    return tuple(np.append(np.uint64(1), np.cumprod(np.full(size - 1, x, np.uint64))) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+
 def _features(data: bytes) -> np.ndarray:
     b = np.frombuffer(b" " + data + b" ", dtype=np.uint8)
     inside = ((b >= 97) & (b <= 122)) | ((b >= 48) & (b <= 57)) | (b >= 128)
-    first = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
-    h, alive, out = np.full(len(first), 0x811C9DC5, np.uint32), np.ones(len(first), bool), []
-    for k in range(LONGEST):
-        at = np.minimum(first + k, len(b) - 1)
-        alive &= inside[at]
-        h = np.where(alive, (h ^ b[at]) * np.uint32(0x01000193), h)
-        if k + 1 in BEGINNINGS:
-            out.append(h[alive] ^ np.uint32((k + 1) * 0x9E3779B1 & 0xFFFFFFFF))
-    h = np.concatenate([*out, h])
-    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-    h = (h ^ (h >> np.uint32(12))) * np.uint32(0x297A2D39)
-    return np.unique(h >> np.uint32(32 - BITS))
+    first, end = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1, np.flatnonzero(~inside[1:] & inside[:-1]) + 1
+    size = end - first
+    # sums of bytes times powers: the difference of two, shifted back, is a hash of the bytes between
+    power, back = _powers(1 << max(12, (len(b) - 1).bit_length()))
+    sums = np.append(np.uint64(0), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[: len(b)]))
+    out = []
+
+    def add(i: np.ndarray, j: np.ndarray, kind: int) -> None:
+        h = (sums[j] - sums[i]) * back[i] ^ np.uint64(kind * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+        out.append((h ^ (h >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53) >> np.uint64(64 - BITS))
+
+    add(first, end, 0)
+    for k in BEGINNINGS:
+        add(first[size >= k], first[size >= k] + k, k)
+    long = size > LONGEST
+    n = size[long] - GRAM + 1
+    at = np.repeat(first[long], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    add(at, at + GRAM, LONGEST)
+    return np.unique(np.concatenate(out)).astype(np.uint32)
 
 
 def features(text: str | bytes | None) -> np.ndarray:
-    """Hashed words and word beginnings that a whole text has, each once, A-Z lower-cased."""
+    """Hashed words, word beginnings and grams of long words that a whole text has, each once, A-Z lower-cased."""
     data = raw(text).lower()
     parts, a = [], 0
-    while a < len(data):  # long texts in slices that end at a blank
-        b = len(data) if len(data) - a <= _SLICE else (data.find(b" ", a + _SLICE) + 1 or len(data))
+    while a < len(data):  # long texts in slices that end at a blank, or where none comes for another slice
+        b = len(data) if len(data) - a <= _SLICE else (data.find(b" ", a + _SLICE, a + 2 * _SLICE) + 1 or min(len(data), a + 2 * _SLICE))
         parts.append(_features(data[a:b]))
         a = b
     return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint32)

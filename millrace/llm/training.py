@@ -19,13 +19,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, by: str, per_class: int,
     """doc_id, text, ``by`` and ``more`` of at most ``per_class`` rows of each class (0, 1) of ``by``.
 
     The rows are those of smallest md5 of the id, so the sample doesn't depend on order or size of
-    partitions. Its size is bounded by ``per_class``, and so are what is broadcast and the training.
+    partitions; of several labels or texts of one id the least counts. Its size is bounded by
+    ``per_class``, and so are what is broadcast and the training.
     """
     order = F.md5(F.concat(F.lit("sample:"), id_text()))
-    rows = labels.select("doc_id", by, *more).where(f"doc_id is not null and {by} is not null").dropDuplicates(["doc_id"])
+    rows = labels.where(f"doc_id is not null and {by} is not null").groupBy("doc_id").agg(F.min(F.struct(by, *more)).alias("l")).select("doc_id", "l.*")
     chosen = [rows.where(F.col(by) == c).orderBy(order).limit(per_class) for c in (0, 1)]
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return text.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").dropDuplicates(["doc_id"])
+    return text.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").groupBy("doc_id", by, *more).agg(F.min("text").alias("text"))
 
 
 def fitted(sample: DataFrame, fit: Callable[[pd.DataFrame], dict[str, np.ndarray]]) -> dict[str, np.ndarray]:

@@ -1,10 +1,14 @@
 """Language, toxicity and quality: held-out accuracy, gradients, odd rows."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import langid, quality, toxicity
+from millrace.llm.training import labelled_sample
 
 SF = "/root/testdata/sf0.1"
 
@@ -132,3 +136,129 @@ def test_documents_kept(spark, odd, clashing):
         assert got.columns == df.columns
         assert {r["doc_id"] for r in got.collect()} == {1, 2, 6, 7, 8, 9, None}
     assert langid.keep_identified(odd.limit(0)).count() == 0
+
+
+def test_toxicity_reads_words_to_their_end():
+    """Every byte of a text without blanks can change its features; words that differ late are different."""
+    assert not np.array_equal(toxicity.features("x" * 30 + "a"), toxicity.features("x" * 30 + "b"))
+    base = "".join(chr(0x4E00 + (i * 37) % 500) for i in range(200))
+    for at in range(0, 200, 13):
+        changed = base[:at] + "\u9fa0" + base[at + 1 :]
+        assert not np.array_equal(toxicity.features(base), toxicity.features(changed))
+    assert set(toxicity.features("word")) < set(toxicity.features("word wording"))
+
+
+def plain_toxicity(model, text):
+    """The chain by loops over feature lists."""
+    seen, logits = list(toxicity.features(text)), []
+    for j in range(len(model) // 2):
+        r = sorted((float(model[f"ratios_{j}"][f]) for f in seen), reverse=True)
+        x = [r[0], sum(r[:3]) / 3, sum(r[:10]) / 10, sum(r) / len(r), np.log1p(len(r)) / 10] if r else [0.0] * 5
+        w = model[f"weights_{j}"]
+        logits.append(min(15.0, max(-15.0, sum(a * b for a, b in zip([*x, *logits, 1.0], w)))))
+    return [1 / (1 + np.exp(-v)) for v in logits]
+
+
+def plain_quality(p, text):
+    """The network byte by byte: every filter at every step of every chunk."""
+    data = list(text.encode() if isinstance(text, str) else b"")
+    hop, width = quality.HOP * quality.BLOCK * quality.STEP, quality.CHUNK * quality.BLOCK * quality.STEP
+    chunks, values = max(1, -(-len(data) // hop)), []
+    byte = lambda i: data[i] if i < len(data) else 0
+    for c in range(chunks):
+        best = np.full(quality.FILTERS, -np.inf)
+        for at in range(c * hop, c * hop + width, quality.STEP):
+            v = np.concatenate([p["embed"][byte(at + k)] for k in range(quality.WIDTH)])
+            best = np.maximum(best, v @ p["filter"])
+        h = np.maximum(best + p["fbias"], 0)
+        values.append(float(np.maximum(h @ p["w1"] + p["b1"], 0) @ p["w2"] + p["b2"][0]))
+    logit = p["top"] @ np.array([np.mean(values), max(values), min(values), 1]) + p["shift"]
+    return float(1 / (1 + np.exp(-logit)))
+
+
+def test_scores_are_those_of_plain_versions(spark, odd):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model, net = toxicity.train(docs, labels), quality.start(5) | {"shift": np.float32(0.3)}
+    rows = docs.orderBy("doc_id").limit(40).select("doc_id", "text").union(odd.where("doc_id <> 8").select("doc_id", "text"))
+    texts = sorted((r["text"] or "") for r in rows.collect())
+    tox = toxicity.score(rows.select("text", F.col("text").alias("doc_id")), model).collect()
+    assert all(np.allclose([r["p_toxic"], r["p_toxic_prose"], r["p_toxic_junk"]], plain_toxicity(model, r["doc_id"]), atol=1e-6) for r in tox) and len(tox) == len(texts)
+    qual = quality.score(rows.where("length(text) < 3000").select("text", F.col("text").alias("doc_id")), net).collect()
+    assert len(qual) > 20 and all(abs(r["score"] - plain_quality(net, r["doc_id"])) < 1e-4 for r in qual)
+
+
+def plain_languages(rows, languages, logp):
+    """The fusion by loops: (id, text, declared, host, domain, suffix) -> id: probability of each language."""
+    n, borrow = len(languages), langid.BORROW
+    normal = lambda l: np.exp(l - max(l)) / np.exp(l - max(l)).sum()
+    logs = {}
+    for r in rows:
+        g = langid._grams(r[1])
+        logs[r[0]] = langid.TEMPER * (logp.astype(float) @ g) if g.any() else None
+    tag = {r[0]: re.match(r"\s*([a-z]{2,3})(?:[-_]|\s*$)", (r[2] or "").lower()) for r in rows}
+    tag = {k: m and m.group(1) for k, m in tag.items()}
+    whole = sum((normal(l) for l in logs.values() if l is not None), np.zeros(n))
+    base = (whole + 1) / (whole.sum() + n)
+
+    def counts(value):
+        out = {}
+        for r in rows:
+            if value(r) is not None and logs[r[0]] is not None:
+                out[value(r)] = out.get(value(r), 0) + normal(logs[r[0]])
+        return out
+
+    smooth = lambda c, q: (c + borrow * q) / (c.sum() + borrow)
+    of_tag, of_suffix, of_domain, of_host = (counts(f) for f in (lambda r: tag[r[0]], lambda r: r[5], lambda r: r[4], lambda r: r[3]))
+    given = lambda c: np.log((c + borrow * 0.01) / (base * whole.sum() + borrow))
+    out = {}
+    for r in rows:
+        q = smooth(of_suffix[r[5]], base) if r[5] in of_suffix else base
+        q = smooth(of_domain[r[4]], q) if r[4] in of_domain else base
+        q = smooth(of_host[r[3]], q) if r[3] in of_host else base
+        total = np.log(q) + (logs[r[0]] if logs[r[0]] is not None else 0)
+        total = total + (given(of_tag[tag[r[0]]]) if tag[r[0]] in of_tag else 0) + (given(of_suffix[r[5]]) if r[5] in of_suffix else 0)
+        out[r[0]] = normal(total)
+    return out
+
+
+def test_languages_are_those_of_a_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    languages, logp = langid.train_texts(docs)
+    rows = []
+    for i, r in enumerate(docs.orderBy("doc_id").limit(60).collect()):
+        host = f"h{i % 7}.d{i % 3}.{r['lang']}" if i % 5 else None
+        rows.append((i, r["text"][: 20 + i * 5], r["lang"] if i % 4 else "xx-YY", host, host and host[3:], host and r["lang"]))
+    rows += [(900, "123", "de", "h1.d1.de", "d1.de", "de"), (901, None, None, None, None, None), (902, "in", "EN_us", "other.host", "host", None)]
+    df = spark.createDataFrame(rows, "id long, text string, declared string, host string, domain string, suffix string")
+    want = plain_languages(rows, languages, logp)
+    for r in langid.identify(df, languages, logp, "id").collect():
+        assert r["probability"] == pytest.approx(want[r["id"]].max(), abs=1e-5)
+        assert r["rejected"] == (r["id"] in (900, 901) or want[r["id"]].max() < langid.LEAST)
+        assert r["rejected"] or r["lang"] == languages[want[r["id"]].argmax()]
+
+
+def test_pages_of_every_kind(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    text = docs.where("lang = 'de'").first()["text"]
+    rows = [(1, None, None), (1, None, None), (None, "http://a.example.de/x", text), (3, "http://a.example.de/y", ""), (4, "::", "<html lang=''><p>123"), (5, "http://b.de", text)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    clashing = pages.select("*", *(F.lit("x").alias(c) for c in "text declared host domain suffix logs p lang counts prior posterior".split()))
+    for df in (pages, clashing):
+        got = langid.identify_pages(df, docs).collect()
+        assert sorted((r["page_id"] or 0, r["rejected"], r["lang"]) for r in got if not r["rejected"]) == [(0, False, "de"), (5, False, "de")] and len(got) == 6
+    assert langid.identify_pages(pages.limit(0), docs).count() == 0
+
+
+def test_many_language_tags_stay_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 5)
+    rows = [(i, f"some text of number {i} here", f"t{i:03d}" if i >= 40 else "ab"[i % 2] * 2) for i in range(120)]
+    languages, logp = langid.train_texts(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert languages == ["aa", "bb", "t040", "t041", "t042"] and len(logp) == 5
+
+
+def test_training_rows_do_not_depend_on_order(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1)], "doc_id long, quality int")
+    for d, l in ((docs, labels), (docs.orderBy("text"), labels.orderBy("quality"))):
+        got = labelled_sample(d.repartition(3), l.repartition(2), "quality", 10).select("doc_id", "quality", "text").collect()
+        assert sorted(map(tuple, got)) == [(1, 0, "a"), (2, 1, "c")]

@@ -110,6 +110,16 @@ def test_run_is_the_stages_in_order(spark, folder):
     assert sorted(map(tuple, corpus_pipeline.run(spark, folder).collect())) == sorted(map(tuple, docs.collect()))
 
 
+def test_columns_that_clash(spark, clashing, tmp_path):
+    """Odd rows with columns named like those of the stages: every stage but the last keeps them all."""
+    clashing.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        columns, docs = docs.columns, stage(spark, docs, str(tmp_path))
+        assert docs.columns == columns and docs.where("doc_id = 9").select("row").first()["row"] == "x"
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
