@@ -1 +1 @@
-"""Training-data operators: ten Spark jobs over documents, pages and embeddings."""
+"""Training-data operators: thirteen Spark jobs over documents, pages and embeddings."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, langid, license_scan, mixing, mtree, oracles, packing, pii, quality, simhash, toxicity
+from . import alignment, best_fit, embedding_dedup, langid, license_scan, mixing, mtree, oracles, packing, pii, quality, simhash, toxicity, trie
 from .common import table
 
 
@@ -50,7 +50,25 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, labels))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_pii, op3_licenses, op4_embedding_dedup, op5_toxicity, op6_language_id, op7_topk, op8_packing, op9_mixing, op10_quality)}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_simhash, op2_pii, op3_licenses, op4_embedding_dedup, op5_toxicity, op6_language_id, op7_topk, op8_packing, op9_mixing, op10_quality,
+        op11_alignment, op12_best_fit, op13_prefix_trie,
+    )
+}
 
 ORACLE_SQL = {
     "op2_pii": oracles.PII,
@@ -58,4 +76,5 @@ ORACLE_SQL = {
     "op4_embedding_dedup": oracles.EMBEDDINGS,
     "op7_topk": mtree.ORACLE,
     "op9_mixing": mixing.ORACLE,
+    "op13_prefix_trie": trie.ORACLE,
 }

@@ -8,7 +8,7 @@ import pytest
 
 from millrace.llm import queries
 
-ROWS = {"op1_simhash": "documents", "op5_toxicity": "documents", "op6_language_id": "pages", "op8_packing": "documents", "op10_quality": "documents"}
+ROWS = {"op1_simhash": "documents", "op5_toxicity": "documents", "op6_language_id": "pages", "op8_packing": "documents", "op10_quality": "documents", "op11_alignment": "documents"}
 
 
 def plain(v):
@@ -18,7 +18,7 @@ def plain(v):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_same_as_sql(spark, sf, name):
     duck = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         assert os.path.exists(f"{sf}/{t}.parquet")
         duck.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
     df = queries.QUERIES[name](spark, sf)
@@ -37,4 +37,4 @@ def test_a_row_for_each_row(spark, sf, name):
 
 
 def test_every_operator_has_its_query():
-    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 14)]
