@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.session import cut
+
 from .metrics import DIGITS, in_parts
 
 
@@ -86,7 +88,7 @@ def resampled_ap(rows: DataFrame, drawn: DataFrame, keys: Sequence[str]) -> Data
     # keys are carried as one text, which tells null from others
     key = F.to_json(F.struct(*(F.coalesce(F.col(k).cast("string"), F.lit("\x00")).alias(k) for k in keys)))
     small = rows.join(F.broadcast(places), ["stratum", "cluster"]).groupBy(*keys, "place", F.round("score", DIGITS).alias("score")).agg(F.sum("y").cast("double").alias("pos"), F.count("*").cast("double").alias("n"))
-    placed = in_parts(small, keys).withColumn("key", key)
+    placed = in_parts(cut(small), keys).withColumn("key", key)
     names = placed.select("key", *keys).distinct()
     by_cluster = placed.groupBy("key", "part", "place").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
 

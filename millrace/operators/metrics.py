@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.session import cut
+
 #: Digits of a score that count; scores are rounded before ties are formed.
 DIGITS = 9
 #: Distinct scores of a part of a key's range, which one task sorts, and the most parts.
@@ -30,34 +32,53 @@ def beside(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     return left.join(named, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on]).drop(*(f"_{c}" for c in on))
 
 
+def rows_of_largest(groups: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the key that has most; groups should be cut."""
+    sizes = groups.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    return sizes.agg(F.coalesce(F.max("_rows"), F.lit(0))).first()[0]
+
+
 def in_parts(groups: DataFrame, keys: Sequence[str], score: str = "score", parts: int | None = None) -> DataFrame:
-    """groups with ``part``, rising with the score: ranges of each key's scores, cut at approximate quantiles.
+    """groups (cut) with ``part``, rising with the score: ranges of each key's scores, cut at approximate quantiles.
 
     A key has a part for each PART of its rows (up to MOST_PARTS), or ``parts`` if that is given, so
-    that a key with billions of scores isn't sorted in one task. Results don't depend on the cuts.
+    that a key with billions of scores isn't sorted in one task. Quantiles are taken of the keys that
+    need them only. Results don't depend on the cuts.
     """
+    if parts is None and rows_of_largest(groups, keys) <= PART:
+        return groups.withColumn("part", F.lit(0))
     fixed = parts or MOST_PARTS
-    cuts = groups.groupBy(*keys).agg(F.percentile_approx(score, [i / fixed for i in range(1, fixed)] or [0.5]).alias("_all"), F.count("*").alias("_rows"))
+    sizes = groups.groupBy(*keys).agg(F.count("*").alias("_rows"))
     wanted = F.lit(parts) if parts else F.least(F.ceil(F.col("_rows") / PART), F.lit(MOST_PARTS)).cast("int")
-    some = F.transform(F.sequence(F.lit(1), F.greatest(wanted - 1, F.lit(1))), lambda i: F.col("_all")[F.floor(i * fixed / wanted).cast("int") - 1])
-    cuts = cuts.select(*keys, F.when(wanted > 1, some).otherwise(F.array().cast("array<double>")).alias("_cuts"))
-    return beside(groups, cuts, keys).withColumn("part", F.size(F.filter("_cuts", lambda c: c < F.col(score)))).drop("_cuts")
+    large = beside(groups, sizes.select(*keys, wanted.alias("_wanted")).where("_wanted > 1"), keys)
+    some = F.transform(F.sequence(F.lit(1), F.greatest(F.col("_wanted") - 1, F.lit(1))), lambda i: F.col("_all")[F.floor(i * fixed / F.col("_wanted")).cast("int") - 1])
+    cuts = large.groupBy(*keys).agg(F.percentile_approx(score, [i / fixed for i in range(1, fixed)] or [0.5]).alias("_all"), F.first("_wanted").alias("_wanted"))
+    cuts = cuts.select(*keys, some.alias("_cuts"))
+    named = cuts.select(*(F.col(c).alias(f"_{c}") if c in keys else F.col(c) for c in cuts.columns))
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys] or F.lit(True)
+    part = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(score))), F.lit(0))
+    return groups.join(F.broadcast(named) if not keys else named, on, "left").withColumn("part", part).drop("_cuts", *(f"_{c}" for c in keys))
 
 
 def running(groups: DataFrame, keys: Sequence[str], parts: int | None = None, sums: dict[str, str] | None = None, totals: dict[str, str] | None = None, score: str = "score", falling: bool = True) -> DataFrame:
     """groups with running sums from the highest score (``falling``) or the lowest, and totals of the keys.
 
-    By default ctp and cn of tp and n, and ptp, the total of tp. Parts of a key's range are summed
-    apart and offset by the parts before them. The result is the same for any number of parts.
+    By default ctp and cn of tp and n, and ptp, the total of tp. Groups are computed once. If no key
+    has more than PART of them, one window does it; otherwise parts of a key's range are summed apart
+    and offset by the parts before them. The result is the same for any number of parts.
     """
     sums = {"ctp": "tp", "cn": "n"} if sums is None else sums
     totals = {"ptp": "tp"} if totals is None else totals
     order = F.desc if falling else F.asc
-    groups = in_parts(groups, keys, score, parts)
+    groups, whole = cut(groups), Window.partitionBy(*keys)
+    if parts is None and rows_of_largest(groups, keys) <= PART:
+        along = whole.orderBy(order(score))
+        return groups.withColumns({o: F.sum(c).over(along) for o, c in sums.items()} | {o: F.sum(c).over(whole) for o, c in totals.items()})
+    groups = cut(in_parts(groups, keys, score, parts))
     of_part = groups.groupBy(*keys, "part").agg(*(F.sum(c).alias(f"_sum_{o}") for o, c in (sums | totals).items()))
-    before = Window.partitionBy(*keys).orderBy(order("part")).rowsBetween(Window.unboundedPreceding, -1)
+    before = whole.orderBy(order("part")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = [F.coalesce(F.sum(f"_sum_{o}").over(before), F.lit(0)).alias(f"_before_{o}") for o in sums]
-    of_part = of_part.select(*keys, "part", *offsets, *(F.sum(f"_sum_{o}").over(Window.partitionBy(*keys)).alias(o) for o in totals))
+    of_part = of_part.select(*keys, "part", *offsets, *(F.sum(f"_sum_{o}").over(whole).alias(o) for o in totals))
     rows = beside(groups, of_part, [*keys, "part"])
     along = Window.partitionBy(*keys, "part").orderBy(order(score))
     return rows.withColumns({o: F.sum(c).over(along) + F.col(f"_before_{o}") for o, c in sums.items()}).drop("part", *(f"_before_{o}" for o in sums))
@@ -128,7 +149,7 @@ def balanced_accuracy(rows: DataFrame, keys: Sequence[str], threshold: float = 0
 
 def spearman(rows: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:
     """keys, rho: correlation of average ranks."""
-    pairs = rows.select(*keys, a, b)
+    pairs = cut(rows.select(*keys, a, b))
     ranked = beside(beside(pairs, tie_ranks(pairs, a, keys, "ra"), [*keys, a]), tie_ranks(pairs, b, keys, "rb"), [*keys, b])
     return ranked.groupBy(*keys).agg(F.corr("ra", "rb").alias("rho"))
 

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from millrace.functions.scalar import EPS, safe_logit, sigmoid
 
 KEYS = ("bag_id", "class")
-#: Width of a step of exponents; a bag has few.
-_STEP = 16.0
+#: Width of a step of exponents: sums of exp(_STEP / 2) don't overflow, and most bags have one step.
+_STEP = 512.0
 
 
 def _sharpness(r: float) -> float:
@@ -26,24 +26,27 @@ def pool(instances: DataFrame, r: float = 1.0, keys=KEYS) -> DataFrame:
     """keys, n, mean, max, lme, linear_softmax.
 
     lme = (log sum exp(r x) - log n) / r; linear_softmax = logit(sum p^2 / sum p), p = sigmoid(x).
-    Exponents are summed in steps of r x, each less by its step so that none overflows, and the steps of
-    a bag are put together under the highest one: sums all the way, so a bag with very many instances
-    is summed in many tasks.
+    Exponents are summed in steps of r x, each less by the middle of its step so that none overflows.
+    Of a bag only the two highest steps count: what lies below them is less than exp(-_STEP) of it.
+    These are sums all the way, so a bag with very many instances is summed in many tasks; nearly all
+    bags have one step.
     """
     r = _sharpness(r)
-    p = sigmoid(F.col("x"))
-    step = F.floor(r * F.col("x") / _STEP) * _STEP
-    sums = instances.groupBy(*keys, step.cast("double").alias("step")).agg(
+    p, x = sigmoid(F.col("x")), r * F.col("x")
+    step = F.floor((x + _STEP / 2) / _STEP)
+    sums = instances.groupBy(*keys, step.cast("long").alias("step")).agg(
         F.count("*").alias("n"), F.sum("x").alias("x"), F.max("x").alias("max"),
-        F.sum(F.exp(r * F.col("x") - step)).alias("e"), F.sum(p).alias("p1"), F.sum(p * p).alias("p2"),
+        F.sum(F.exp(x - step * _STEP)).alias("e"), F.sum(p).alias("p1"), F.sum(p * p).alias("p2"),
     )
+    odd = F.col("step") % 2 != 0
+    of = lambda side: F.max_by("e", F.when(side, F.col("step")))
     whole = sums.groupBy(*keys).agg(
-        F.sum("n").alias("n"), F.sum("x").alias("x"), F.max("max").alias("max"), F.max("step").alias("top"),
-        F.collect_list(F.struct("step", "e")).alias("steps"), F.sum("p1").alias("p1"), F.sum("p2").alias("p2"),
+        F.sum("n").alias("n"), F.sum("x").alias("x"), F.max("max").alias("max"), F.max("step").alias("top"), F.sum("p1").alias("p1"), F.sum("p2").alias("p2"),
+        of(odd).alias("e_odd"), of(~odd).alias("e_even"), F.max(F.when(odd, F.col("step"))).alias("at_odd"), F.max(F.when(~odd, F.col("step"))).alias("at_even"),
     )
-    e = F.aggregate("steps", F.lit(0.0), lambda s, x: s + x["e"] * F.exp(x["step"] - F.col("top")))
+    part = lambda side: F.coalesce(F.col(f"e_{side}") * F.exp((F.col(f"at_{side}") - F.col("top")) * _STEP), F.lit(0.0))
     share = F.col("p2") / F.greatest(F.col("p1"), F.lit(EPS))
-    lme = (F.col("top") + F.ln(e) - F.ln("n")) / r
+    lme = (F.col("top") * _STEP + F.ln(part("odd") + part("even")) - F.ln("n")) / r
     return whole.select(*keys, "n", (F.col("x") / F.col("n")).alias("mean"), "max", lme.alias("lme"), safe_logit(share).alias("linear_softmax"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.scalar import markdown_row
+from millrace.session import cut
 
 from . import bootstrap
 from .metrics import average_precision, running
@@ -100,19 +101,22 @@ def top_share(rows: DataFrame, score: str, fraction: float, *order: str) -> Data
     The score at which the share ends is found by running sums over parts of the range; only its ties
     go on to the next column. Rows alike in all columns are in together. Nothing is sorted in one task.
     """
-    left = int(rows.select(F.ceil(F.count("*") * F.lit(fraction)).alias("k")).first()["k"])
-    top, tied = F.lit(False), F.lit(True)
+    top, tied, left = F.lit(False), F.lit(True), None
     for i, c in enumerate((score, *order)):
-        if left <= 0:
-            break
         falling = i == 0
-        groups = rows.where(tied).groupBy(c).agg(F.count("*").alias("_n"))
+        groups = cut(rows.where(tied).groupBy(c).agg(F.count("*").alias("_n")))
+        if left is None:
+            left = int(groups.select(F.ceil(F.coalesce(F.sum("_n"), F.lit(0)) * F.lit(fraction)).alias("k")).first()["k"])
+        if left <= 0:
+            return rows.withColumn("top", top)
         upto = running(groups, [], sums={"_upto": "_n"}, totals={}, score=c, falling=falling).where(F.col("_upto") >= left)
-        end = upto.orderBy("_upto").select(c, (F.col("_upto") - F.col("_n")).alias("before")).first()
+        end = upto.orderBy("_upto").select(c, "_n", (F.col("_upto") - F.col("_n")).alias("before")).first()
         beyond = F.col(c) > F.lit(end[c]) if falling else F.col(c) < F.lit(end[c])
         top = top | (tied & beyond)
         tied, left = tied & (F.col(c) == F.lit(end[c])), left - end["before"]
-    return rows.withColumn("top", F.coalesce(top | tied if left > 0 else top, F.lit(False)))
+        if left == end["_n"]:  # all that tie are in
+            break
+    return rows.withColumn("top", F.coalesce(top | tied, F.lit(False)))
 
 
 def most_disagreeing(scores: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -34,3 +34,9 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
     return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute df once and cut its lineage in the shared folder; for inputs that a plan reads several times."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
