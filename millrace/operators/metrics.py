@@ -12,7 +12,7 @@ from millrace.session import cut
 #: Digits of a score that count; scores are rounded before ties are formed.
 DIGITS = 9
 #: Distinct scores of a part of a key's range, which one task sorts, and the most parts.
-PART, MOST_PARTS = 100_000, 256
+PART, MOST_PARTS = 1_000_000, 256
 
 
 def tie_groups(rows: DataFrame, keys: Sequence[str], weight: Column | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions import scalar as S
 from millrace.operators import bags as B
 from millrace.operators import baselines, bootstrap, calendar, folds, ingest, lineage, metrics, pooling, reports
-from millrace.session import shared_dir
+from millrace.session import cut, shared_dir
 from millrace.sources import audio
 from millrace.sources.tables import table
 
@@ -839,10 +839,10 @@ def train_probe(spark, d):
     """Out-of-fold test scores of two poolers, linear probes: one of every bag, class and pooler."""
     from millrace.operators import training as T
 
-    bags = _vector_bags(spark, d).cache()
+    bags = cut(_vector_bags(spark, d))
     fits = [T.Fit(p, fold=f) for p in ("mean", "lme") for f in range(G.FOLDS)]
     settings = T.Settings()
-    params, stats, _ = T.train(bags, fits, settings)
+    params, stats, _ = T.train_batches(bags, fits, settings)
     settings.extra = {}
     out = T.scores(bags, fits, params, stats, settings).where("split = 'test'")
     return out.withColumn("pooling", F.element_at(F.array(*(F.lit(f.pooling) for f in fits)), F.col("fit") + 1))

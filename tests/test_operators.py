@@ -288,6 +288,85 @@ def test_probe_learns_what_is_planted(spark):
     assert test.select("bag_id").distinct().count() == sum((b // 4) % 5 == 0 for b in range(60))
 
 
+def planted(spark, n=60):
+    rng, rows = np.random.default_rng(0), []
+    for b in range(n):
+        v = rng.standard_normal((4 + b % 3, 8))
+        index = [int(b % 2), int(b % 3 == 0)]
+        v[1, :2] += 4 * index[0]
+        v[2, 2:4] += 4 * index[1]
+        rows.append((b, (b // 4) % 5, "r", index, v.tolist()))
+    return spark.createDataFrame(rows, "bag_id long, fold int, regime string, index array<int>, vectors array<array<double>>").cache()
+
+
+def test_mini_batches_learn_the_same_in_any_number_of_tasks(spark):
+    df, fits = planted(spark, 100), [training.Fit(p, fold=0, learn_r=True) for p in ("mean", "lme", "attention")]
+    made = {}
+    for tasks in (1, 2, 4, 4):
+        settings = training.Settings(epochs=25, rate=0.05, mini=16, tasks=tasks)
+        params, stats, best = training.train_batches(df, fits, settings)
+        test = training.scores(df, fits, params, stats, settings).where("split = 'test'")
+        aps = metrics.average_precision(test, ["fit", "class"]).orderBy("fit", "class").toPandas().ap.to_numpy()
+        if tasks == 4 and 4 in made:
+            assert all((a[k] == b[k]).all() for a, b in zip(params, made[4][0], strict=True) for k in a) and best == made[4][2]
+        made[tasks] = params, aps, best
+        assert aps.min() > 0.6 and aps.mean() > 0.85
+    for tasks in (2, 4):
+        assert np.abs(made[tasks][1] - made[1][1]).max() <= 0.02
+
+
+def test_dropout_is_of_seed_epoch_and_bag(spark):
+    mask = np.ones((2, 3), bool)
+    mask[1, 2] = False
+    fit = training.Fit(hidden=5, seed=3)
+    a, h = training.dropped(fit, 2, np.array([7, 9]), mask, 400, 0.25)
+    again, _ = training.dropped(fit, 2, np.array([9]), mask[1:], 400, 0.25)
+    assert (a[1] == again[0]).all() and set(np.unique(a[0])) == {0.0, 1 / 0.75} and h.shape == (2, 3, 5)
+    assert abs((a[0] == 0).mean() - 0.25) < 0.05 and (a[0] != training.dropped(fit, 3, np.array([7]), mask[:1], 400, 0.25)[0][0]).any()
+    assert training.dropped(fit, 2, np.array([7]), mask[:1], 4, 0.0) is None
+
+
+@pytest.mark.parametrize(("pooling_name", "hidden", "learn"), [("mean", 0, False), ("attention", 4, False), ("lme", 0, True), ("lme", 4, True)])
+def test_gradients_under_dropout_and_of_a_learned_r(pooling_name, hidden, learn):
+    rng = np.random.default_rng(1)
+    x, mask, index = rng.standard_normal((4, 5, 3)), np.ones((4, 5), bool), rng.integers(0, 4, (4, 2))
+    mask[1, 2:] = False
+    fit = training.Fit(pooling_name, hidden=hidden, attention=3, r=1.3, learn_r=learn)
+    p, w = training.start(fit, 3, 2, 3), np.array([1.5, 2.0])
+    drop = training.dropped(fit, 1, np.arange(4), mask, 3, 0.3)
+    _, g = training.loss(fit, p, x, mask, index, w, None, drop)
+    assert ("log_r" in g) == learn
+    for k in p:
+        for i in np.ndindex(p[k].shape):
+            up, down = ({a: b.copy() for a, b in p.items()} for _ in range(2))
+            up[k][i] += 1e-6
+            down[k][i] -= 1e-6
+            slope = (training.loss(fit, up, x, mask, index, w, None, drop)[0] - training.loss(fit, down, x, mask, index, w, None, drop)[0]) / 2e-6
+            assert slope == pytest.approx(g[k][i], abs=2e-6)
+
+
+def test_batches_are_those_of_the_operator(spark):
+    df = planted(spark, 40)
+    held = training.Held(iter(df.coalesce(1).toArrow().select(["bag_id", "fold", "regime", "index", "vectors"]).to_batches()), 8)
+    want = {r["bag_id"]: r["batch"] for r in runs.shuffled_batches(df.select("bag_id"), "bag_id", 10, 3, seed=2).collect()}
+    assert dict(zip(held.ids.tolist(), held.batch_of(2, 3, 4).tolist(), strict=True)) == want
+
+
+def test_window_outputs_give_back_the_bags(spark):
+    df = planted(spark, 20)
+    fits = [training.Fit(p, fold=f, hidden=h) for p in training.POOLERS for f in (0, 1) for h in (0, 3)]
+    params = [training.start(f, 8, 2, 3) for f in fits]
+    stats, settings = {(f, None): (np.zeros(8), np.ones(8), None) for f in (0, 1)}, training.Settings(extra={})
+    out = training.window_outputs(df, fits, params, stats, settings).toPandas()
+    bag = {(r["fit"], r["bag_id"], r["class"]): r["score"] for r in training.scores(df, fits, params, stats, settings).where("split = 'test'").collect()}
+    for (i, b, c), rows in out.groupby(["fit", "bag_id", "class"]):
+        assert rows.weight.sum() == pytest.approx(1) and rows.win_idx.tolist() == list(range(4 + b % 3))
+        logit = np.log(bag[i, b, c] / (1 - bag[i, b, c]))
+        if fits[i].pooling in ("mean", "max", "attention"):
+            assert (rows.weight * rows.logit).sum() == pytest.approx(logit, abs=1e-6)
+    assert len(out.groupby(["fit", "bag_id"])) == sum(fits[i].fold == (b // 4) % 5 for i in range(len(fits)) for b in range(20))
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as e
 
