@@ -90,3 +90,42 @@ def attention(instances: DataFrame, keys=KEYS) -> DataFrame:
     bag = Window.partitionBy(*keys)
     e = F.exp(F.col("gate") - F.max("gate").over(bag))
     return instances.withColumn("e", e).groupBy(*keys).agg((F.sum(F.col("e") * F.col("x")) / F.sum("e")).alias("attention"))
+
+
+def prefixes(instances: DataFrame, r: float = 1.0, keys=KEYS, order: str = "win_idx") -> DataFrame:
+    """keys, n, mean, max, lme, linear_softmax of the first n instances of a bag, for every n in one pass.
+
+    With a column ``gate`` also attention, the mean of x weighted with exp(gate). Sums run along the bag;
+    exponentials are summed within steps as in ``pool``, and of every prefix the two highest steps count.
+    No bag is copied for a prefix. ``order`` tells the instances of a bag apart.
+    """
+    r, gated = _sharpness(r), "gate" in instances.columns
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    bag = Window.partitionBy(*keys).orderBy(order).rowsBetween(*upto)
+    p, n = sigmoid(F.col("x")), F.count("*").over(bag)
+    parts = {"lme": r * F.col("x")} | ({"attention": F.col("gate")} if gated else {})
+    rows = instances.withColumns({"_n": n, "_p": p} | {f"_k_{c}": F.floor((v + _STEP / 2) / _STEP) for c, v in parts.items()})
+    sums = {}
+    for c, v in parts.items():
+        step = Window.partitionBy(*keys, f"_k_{c}").orderBy(order).rowsBetween(*upto)
+        e = F.exp(v - F.col(f"_k_{c}") * _STEP)
+        sums[f"_s_{c}"] = F.struct(F.col(f"_k_{c}").alias("k"), F.col("_n").alias("n"), F.sum(e).over(step).alias("e"), F.sum(e * F.col("x")).over(step).alias("ex"))
+    rows = rows.withColumns(sums)
+    last = {}
+    for c in parts:  # the latest sums of the highest odd and of the highest even step so far
+        odd = F.col(f"_k_{c}") % 2 != 0
+        last |= {f"_odd_{c}": F.max(F.when(odd, F.col(f"_s_{c}"))).over(bag), f"_even_{c}": F.max(F.when(~odd, F.col(f"_s_{c}"))).over(bag)}
+    p2, p1 = F.sum(F.col("_p") * F.col("_p")).over(bag), F.sum("_p").over(bag)
+    rows = rows.withColumns(last | {"_mean": F.avg("x").over(bag), "_max": F.max("x").over(bag), "_share": p2 / F.greatest(p1, F.lit(EPS))})
+
+    def whole(c: str, of: str) -> tuple[Column, Column]:
+        """The highest step so far and the sum at it, of a part of the structs."""
+        top = F.greatest(F.col(f"_odd_{c}.k"), F.col(f"_even_{c}.k"))
+        one = lambda side: F.coalesce(F.col(f"_{side}_{c}.{of}") * F.exp((F.col(f"_{side}_{c}.k") - top) * _STEP), F.lit(0.0))
+        return top, one("odd") + one("even")
+
+    top, e = whole("lme", "e")
+    out = [F.col("_n").alias("n"), F.col("_mean").alias("mean"), F.col("_max").alias("max"), ((top * _STEP + F.ln(e) - F.ln("_n")) / r).alias("lme"), safe_logit(F.col("_share")).alias("linear_softmax")]
+    if gated:
+        out.append((whole("attention", "ex")[1] / whole("attention", "e")[1]).alias("attention"))
+    return rows.select(*keys, *out)

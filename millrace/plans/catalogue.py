@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import scalar as S
 from millrace.operators import bags as B
-from millrace.operators import baselines, bootstrap, calendar, folds, ingest, lineage, metrics, pooling, reports
+from millrace.operators import baselines, bootstrap, calendar, folds, ingest, lineage, metrics, pooling, reports, runs
 from millrace.session import cut, shared_dir
 from millrace.sources import audio
 from millrace.sources.tables import table
@@ -58,6 +58,17 @@ def pool_truncated(spark, d):
     return pooling.pool(pooling.truncated(G.instances(spark, d), 2)).select("bag_id", "class", "n", *map(r6, ("mean", "max", "lme", "linear_softmax")))
 
 
+@query(f"""with {G.INSTANCES},
+pre as (select a.bag_id, a.class, a.win_idx + 1 as n, b.x from long a join long b on a.bag_id = b.bag_id and a.class = b.class and b.win_idx <= a.win_idx),
+agg as (select bag_id, class, n, avg(x) as mean, max(x) as max, ln(avg(exp(x))) as lme, sum(x * exp(x / 2)) / sum(exp(x / 2)) as attention,
+  least(greatest(sum((1 / (1 + exp(-x))) ** 2) / greatest(sum(1 / (1 + exp(-x))), 1e-6::double), 1e-6::double), 1 - 1e-6::double) as q from pre group by bag_id, class, n)
+select bag_id, class, n, round(mean, 6) as mean, round(max, 6) as max, round(lme, 6) as lme, round(ln(q) - ln(1 - q), 6) as linear_softmax, round(attention, 6) as attention from agg""")
+def pool_prefixes(spark, d):
+    """Every prefix of every bag, pooled in one pass."""
+    rows = pooling.prefixes(G.instances(spark, d).withColumn("gate", F.col("x") / 2))
+    return rows.select("bag_id", "class", "n", *map(r6, ("mean", "max", "lme", "linear_softmax", "attention")))
+
+
 _GATE = {"v": [[((i * 7 + j) % 5 - 2) / 4 for j in range(64)] for i in range(3)], "b": [0.1, 0.0, -0.1], "u": [[((i + j * 3) % 7 - 3) / 5 for j in range(64)] for i in range(3)], "c": [0.0, 0.2, 0.1], "w": [1.0, -0.5, 0.7], "d": 0.05}
 
 
@@ -787,18 +798,8 @@ def parse_listing(spark, d):
 
 # ---------------------------------------------------------------- without SQL
 
-@query("""with e as (select date_trunc('hour', ts)::timestamp as hour, event_id, round(value::double % 300 * 100)::int as v from events),
-g as (select *, sum((v <> 0)::int) over (partition by hour order by event_id rows unbounded preceding) as before, count(*) over (partition by hour) as n, sum((v <> 0)::int) over (partition by hour) as loud from e),
-z as (select hour, before, loud, any_value(n) as n, count(*) filter (where v = 0) * 500 + case when hour(hour) = 3 and before = loud then 9000 else 0 end as zeros, sum(500 * (v / 32767.0::double) ** 2) as squares from g group by hour, before, loud),
-f as (select hour, any_value(n) * 500 + case when hour(hour) = 3 then 9000 else 0 end as frames, greatest(max(zeros), case when hour(hour) = 3 then 9000 else 0 end) as run,
-             greatest(coalesce(max(zeros) filter (where before = loud), 0), case when hour(hour) = 3 then 9000 else 0 end) as tail, sum(squares) as squares from z group by hour),
-r as (select *, hour(hour) = 5 as cut from f)
-select hour, 8000 as sample_rate, 1 as channels, 2 as sampwidth, round(frames / 8000.0::double, 3) as duration_s, cut as truncated,
-       case when not cut then round(run / 8000.0::double, 3) end as zero_run_s, case when not cut then round(tail / 8000.0::double, 3) end as zero_tail_s, case when not cut then 0.0::double end as clip_frac,
-       case when not cut then round(10 * log10(squares / frames), 2) end as rms_dbfs, not cut and run < 8000 as qc_ok,
-       case when cut then 'truncated' when run >= 8000 then printf('digital zero for %.1f s', run / 8000.0::double) || case when run = tail then ' at the end' else '' end else '' end as qc_reason from r""")
-def qc_wav(spark, d):
-    """Quality of WAV files built of events: 16-bit, 500 frames an event, some truncated or silent."""
+def _wavs(spark, d):
+    """hour, content: WAV files built of events: 16-bit, 500 frames an event, some truncated or silent."""
     e = table(spark, d, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.sort_array(F.collect_list(F.struct("event_id", F.round(F.col("value").cast("double") % 300 * 100).cast("int").alias("v")))).alias("s"))
     from pyspark.sql import types as T
 
@@ -823,7 +824,35 @@ def qc_wav(spark, d):
             out.append(f.getvalue()[: -1000 if h.hour == 5 else None])
         return pd.Series(out)
 
-    return e.select("hour", audio.qc(built("hour", "s")).alias("qc")).select("hour", "qc.*")
+    return e.select("hour", built("hour", "s").alias("content"))
+
+
+@query("""with e as (select date_trunc('hour', ts)::timestamp as hour, event_id, round(value::double % 300 * 100)::int as v from events),
+g as (select *, sum((v <> 0)::int) over (partition by hour order by event_id rows unbounded preceding) as before, count(*) over (partition by hour) as n, sum((v <> 0)::int) over (partition by hour) as loud from e),
+z as (select hour, before, loud, any_value(n) as n, count(*) filter (where v = 0) * 500 + case when hour(hour) = 3 and before = loud then 9000 else 0 end as zeros, sum(500 * (v / 32767.0::double) ** 2) as squares from g group by hour, before, loud),
+f as (select hour, any_value(n) * 500 + case when hour(hour) = 3 then 9000 else 0 end as frames, greatest(max(zeros), case when hour(hour) = 3 then 9000 else 0 end) as run,
+             greatest(coalesce(max(zeros) filter (where before = loud), 0), case when hour(hour) = 3 then 9000 else 0 end) as tail, sum(squares) as squares from z group by hour),
+r as (select *, hour(hour) = 5 as cut from f)
+select hour, 8000 as sample_rate, 1 as channels, 2 as sampwidth, round(frames / 8000.0::double, 3) as duration_s, cut as truncated,
+       case when not cut then round(run / 8000.0::double, 3) end as zero_run_s, case when not cut then round(tail / 8000.0::double, 3) end as zero_tail_s, case when not cut then 0.0::double end as clip_frac,
+       case when not cut then round(10 * log10(squares / frames), 2) end as rms_dbfs, not cut and run < 8000 as qc_ok,
+       case when cut then 'truncated' when run >= 8000 then printf('digital zero for %.1f s', run / 8000.0::double) || case when run = tail then ' at the end' else '' end else '' end as qc_reason from r""")
+def qc_wav(spark, d):
+    """Quality of the WAV files."""
+    return _wavs(spark, d).select("hour", audio.qc(F.col("content")).alias("qc")).select("hour", "qc.*")
+
+
+@query("""with e as (select date_trunc('hour', ts)::timestamp as hour, round(value::double % 300 * 100)::int as v, row_number() over (partition by date_trunc('hour', ts) order by event_id) - 1 as i from events),
+f as (select hour, count(*) as n, count(*) * 500 + case when hour(hour) = 3 then 9000 else 0 end - case when hour(hour) = 5 then 500 else 0 end as frames from e group by hour),
+w as (select hour, frames, round(frames / 8000.0::double * 1000)::bigint as d from f),
+k as (select hour, frames, d, unnest(range(d // 1000 + ((d % 1000) * 2 >= 1000)::int))::int as win_idx from w),
+p as (select e.hour, (i // 16)::int as win_idx, sum(500 * (v / 32768.0::double) ** 2) as energy, max(abs(v)) / 32768.0::double as peak from e join f using (hour) where not (hour(e.hour) = 5 and i = n - 1) group by all)
+select hour, win_idx, win_idx::double as start_s, least((win_idx + 1) * 1000, d) / 1000.0::double as end_s, 8000 as n_samples, round(coalesce(energy, 0), 6) as energy, round(coalesce(peak, 0), 6) as peak from k left join p using (hour, win_idx)""")
+def wav_windows(spark, d):
+    """Windows of a second of the WAV files, the tail padded: samples, their energy and peak."""
+    rows = audio.window_rows(_wavs(spark, d), ["hour"], 1.0)
+    energy = F.aggregate("samples", F.lit(0.0), lambda s, x: s + x * x)
+    return rows.select("hour", "win_idx", "start_s", "end_s", F.size("samples").alias("n_samples"), F.round(energy, 6).alias("energy"), F.round(F.array_max(F.transform("samples", F.abs)), 6).alias("peak"))
 
 
 def _vector_bags(spark, d):
@@ -848,6 +877,56 @@ def train_probe(spark, d):
     return out.withColumn("pooling", F.element_at(F.array(*(F.lit(f.pooling) for f in fits)), F.col("fit") + 1))
 
 
+def _stored_fits(spark, d):
+    """Linear probes with given weights for every pooler and fold, through the table that weights are stored in."""
+    import numpy as np
+
+    from millrace.operators import training as T
+
+    fits = [T.Fit(p, fold=f) for p in ("mean", "max", "lme", "linear_softmax") for f in range(G.FOLDS)]
+    at = lambda f: ((np.arange(64)[:, None] * 7 + np.arange(2) * 3 + f * 5) % 11 - 5) / 20
+    table = cut(runs.weights_table(spark, fits, [{"w": at(f.fold), "b": np.array([0.0, 0.1])} for f in fits]))
+    params = [runs.load_weights(table, f.run_id, f.pooling, f.seed, f.fold) for f in fits]
+    stats = {(f.fold, f.regimes): (np.zeros(64), np.ones(64), None) for f in fits}
+    return fits, params, stats, T.Settings()
+
+
+_WINDOW_LOGITS = """
+v as (select floor(vec_id / 8)::bigint as bag_id, row_number() over (partition by floor(vec_id / 8) order by vec_id) - 1 as win_idx, embedding as e from embeddings),
+long as (select bag_id, win_idx::int as win_idx, c::int as class,
+  list_sum(list_transform(range(64), lambda d: e[d + 1]::double * ((d * 7 + c * 3 + (bag_id % 5) * 5) % 11 - 5) / 20.0::double)) + 0.1::double * c as x from v, range(2) t(c))"""
+
+
+@query(f"""with {_WINDOW_LOGITS},
+w as (select *, max(x) over b as top, count(*) over b as n, sum(1 / (1 + exp(-x))) over b as p1, row_number() over (b order by x desc, win_idx) as i from long window b as (partition by bag_id, class)),
+e as (select *, exp(x - top) / sum(exp(x - top)) over (partition by bag_id, class) as l from w)
+select pooling, bag_id, win_idx, class, round(x, 6) as logit, round(case pooling when 'mean' then 1.0::double / n when 'max' then (i = 1)::int when 'lme' then l else 1 / (1 + exp(-x)) / greatest(p1, 1e-6::double) end, 6) as weight
+from e, (values ('mean'), ('max'), ('lme'), ('linear_softmax')) p(pooling)""")
+def window_outputs(spark, d):
+    """Logits and weights of all windows, each bag under the stored probes of its own test fold."""
+    from millrace.operators import training as T
+
+    fits, params, stats, settings = _stored_fits(spark, d)
+    rows = T.window_outputs(_vector_bags(spark, d), fits, params, stats, settings)
+    name = F.element_at(F.array(*(F.lit(f.pooling) for f in fits)), F.col("fit") + 1)
+    return rows.select(name.alias("pooling"), "bag_id", "win_idx", "class", r6("logit"), r6("weight"))
+
+
+@query(f"""with {_WINDOW_LOGITS},
+pre as (select a.bag_id, a.class, a.win_idx + 1 as n, b.x from long a join long b on a.bag_id = b.bag_id and a.class = b.class and b.win_idx <= a.win_idx),
+agg as (select bag_id, class, n, avg(x) as mean, max(x) as max, ln(avg(exp(x))) as lme from pre group by bag_id, class, n)
+select class, n, count(*) as n_bags, round(avg(1 / (1 + exp(-mean))), 6) as mean, round(avg(1 / (1 + exp(-max))), 6) as max, round(avg(1 / (1 + exp(-lme))), 6) as lme from agg group by class, n""")
+def truncated_scores(spark, d):
+    """Mean score of the bags cut off after n windows, each under the stored probe of its own test fold."""
+    from millrace.operators import training as T
+
+    fits, params, stats, settings = _stored_fits(spark, d)
+    one = [i for i, f in enumerate(fits) if f.pooling == "lme"]
+    rows = T.window_outputs(_vector_bags(spark, d), [fits[i] for i in one], [params[i] for i in one], stats, settings)
+    cut_off = pooling.prefixes(rows.withColumnRenamed("logit", "x"))
+    return cut_off.groupBy("class", "n").agg(F.count("*").alias("n_bags"), *(F.round(F.avg(S.sigmoid(F.col(c))), 6).alias(c) for c in ("mean", "max", "lme")))
+
+
 @query()
 def regime_decoding(spark, d):
     """Which of two groups of labels single vectors are of, in five held-out folds."""

@@ -367,6 +367,51 @@ def test_window_outputs_give_back_the_bags(spark):
     assert len(out.groupby(["fit", "bag_id"])) == sum(fits[i].fold == (b // 4) % 5 for i in range(len(fits)) for b in range(20))
 
 
+def test_prefixes_are_bags_cut_off(spark):
+    rng = np.random.default_rng(2)
+    rows = [(b, 0, w, float(v)) for b in range(6) for w, v in enumerate(rng.normal(0, 900 if b % 2 else 2, 9))]
+    rows += [(9, 0, w, v) for w, v in enumerate((-2000.0, 255.9, 256.1, -700.0, 800.0))]
+    df = instances(spark, rows).withColumn("gate", F.col("x") / 3)
+    got = {(r["bag_id"], r["n"]): r for r in pooling.prefixes(df, 1.3).collect()}
+    assert len(got) == len(rows)
+    for n in range(1, 10):
+        short = pooling.truncated(df, n)
+        for r in pooling.pool(short, 1.3).join(pooling.attention(short), ["bag_id", "class"]).where(F.col("n") == n).collect():
+            for c in ("mean", "max", "lme", "linear_softmax", "attention"):
+                assert got[r["bag_id"], n][c] == pytest.approx(r[c], rel=1e-9, abs=1e-9), (r["bag_id"], n, c)
+
+
+def wav_of(x, rate, channels=1, junk=b""):
+    f = io.BytesIO()
+    with wave.open(f, "wb") as w:
+        w.setnchannels(channels)
+        w.setsampwidth(2)
+        w.setframerate(rate)
+        w.writeframes(np.asarray(x, "<i2").tobytes())
+    data = f.getvalue()
+    return data[:12] + junk + data[12:]
+
+
+@pytest.mark.parametrize(("target", "limit"), [(None, 0), (3200, 0), (4000, 1000)])
+def test_window_rows_are_those_of_the_whole_file(spark, target, limit):
+    rng = np.random.default_rng(0)
+    files = {"a": (rng.integers(-9000, 9000, 8000 * 5 + 5000), 8000, 1), "b": (rng.integers(-9000, 9000, 2 * 4410 * 3), 4410, 2), "c": (rng.integers(-9, 9, 300), 8000, 1)}
+    rows = [(k, wav_of(x, r, c, b"LIST\x03\x00\x00\x00abc\x00" if k == "b" else b"")) for k, (x, r, c) in files.items()]
+    cut = rows[0][1][: -8000]
+    df = spark.createDataFrame([*rows, ("cut", cut), ("none", None), ("junk", b"RIFFxxxx"), ("empty", b"")], "k string, content binary")
+    got = {}
+    for r in audio.window_rows(df, ["k"], 1.0, target, limit).collect():
+        got.setdefault(r["k"], {})[r["win_idx"]] = np.array(r["samples"])
+    assert set(got) == {"a", "b", "cut"} and len(got["a"]) == 6 and len(got["cut"]) == 5 and len(got["b"]) == 3
+    for k in ("a", "b"):
+        x, rate, channels = files[k]
+        to = target or rate
+        whole = audio.band_limited(x.reshape(-1, channels).mean(axis=1) / 32768, rate, limit, to)
+        want = audio.cut_windows(whole, to, [float(i) for i in got[k]], 1.0)
+        for i, w in enumerate(want):
+            assert got[k][i] == pytest.approx(w, abs=1e-9)
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as e
 
