@@ -23,6 +23,8 @@ EMBED, WIDTH, STEP, FILTERS, HIDDEN = 8, 16, 4, 48, 24
 BLOCK, CHUNK, HOP = 32, 4, 3
 #: Bytes of whole texts that pass through the filters at a time.
 _SLICE = 1 << 19
+#: Chunks of a text whose maxima, or gradients, are made at a time.
+_CHUNKS = 1024
 #: The sample: at most so many rows of each label. Epochs, texts a step, learning rate.
 PER_CLASS, EPOCHS, BATCH, RATE = 800, 7, 16, 0.004
 
@@ -56,7 +58,7 @@ def _blocks(p: dict, data: np.ndarray, where: bool) -> tuple[np.ndarray, np.ndar
     vectors = p["embed"][data]
     view = np.lib.stride_tricks.as_strided(vectors, (n, WIDTH * EMBED), (STEP * EMBED * 4, 4), writeable=False)
     out = (view @ p["filter"]).reshape(-1, BLOCK, FILTERS)
-    return out.max(axis=1), out.argmax(axis=1) if where else None
+    return out.max(axis=1), out.argmax(axis=1).astype(np.uint8) if where else None
 
 
 def _chunked(p: dict, text: bytes, where: bool = False) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
@@ -67,13 +69,17 @@ def _chunked(p: dict, text: bytes, where: bool = False) -> tuple[np.ndarray, np.
     parts = [_blocks(p, data[b * STEP * BLOCK : min(b + per, count) * STEP * BLOCK + WIDTH - STEP], where) for b in range(0, count, per)]
     value = np.concatenate([v for v, _ in parts])
     starts = np.arange(0, count - CHUNK + 1, HOP)
-    around = value[starts[:, None] + np.arange(CHUNK)]
-    pooled = around.max(axis=1)
-    if not where:
-        return pooled, None, data
-    block = starts[:, None] + around.argmax(axis=1)
-    step = np.concatenate([w for _, w in parts])[block, np.arange(FILTERS)]
-    return pooled, (block * BLOCK + step) * STEP, data
+    steps = np.concatenate([w for _, w in parts]) if where else None
+    del parts
+    pooled, at = np.empty((len(starts), FILTERS), np.float32), np.empty((len(starts), FILTERS), np.int32) if where else None
+    for a in range(0, len(starts), _CHUNKS):
+        own = starts[a : a + _CHUNKS, None]
+        around = value[own + np.arange(CHUNK)]
+        pooled[a : a + _CHUNKS] = around.max(axis=1)
+        if where:
+            block = own + around.argmax(axis=1)
+            at[a : a + _CHUNKS] = (block * BLOCK + steps[block, np.arange(FILTERS)]) * STEP
+    return pooled, at, data
 
 
 def _combined(p: dict, pooled: np.ndarray):
@@ -90,6 +96,7 @@ def probability(p: dict, text: str | bytes | None) -> float:
 
 
 def _gradients(p: dict, text: bytes, label: int) -> dict[str, np.ndarray]:
+    """Of the loss of one whole text, summed over slices of its chunks (32 MB of text: 250 MB of memory)."""
     pooled, at, data = _chunked(p, text, where=True)
     h, u, z, logit = _combined(p, pooled)
     err = np.float32(1 / (1 + np.exp(-np.clip(logit, -30, 30))) - label)
@@ -102,12 +109,14 @@ def _gradients(p: dict, text: bytes, label: int) -> dict[str, np.ndarray]:
     g["w1"], g["b1"] = h.T @ du, du.sum(axis=0)
     dh = (du @ p["w1"].T) * (pooled + p["fbias"] > 0)
     g["fbias"] = dh.sum(axis=0)
-    seen = data[at[:, :, None] + np.arange(WIDTH)]  # bytes under each maximum
-    vectors = p["embed"][seen].reshape(*at.shape, WIDTH * EMBED)
-    g["filter"] = np.einsum("cf,cfk->kf", dh, vectors)
-    dv = dh[:, :, None] * p["filter"].T[None]
-    g["embed"] = np.zeros_like(p["embed"])
-    np.add.at(g["embed"], seen.ravel(), dv.reshape(-1, EMBED))
+    g["filter"], g["embed"] = np.zeros_like(p["filter"]), np.zeros_like(p["embed"])
+    for a in range(0, len(at), _CHUNKS):
+        own = slice(a, a + _CHUNKS)
+        seen = data[at[own, :, None] + np.arange(WIDTH)]  # bytes under each maximum
+        vectors = p["embed"][seen].reshape(*seen.shape[:2], WIDTH * EMBED)
+        g["filter"] += np.einsum("cf,cfk->kf", dh[own], vectors)
+        dv = dh[own, :, None] * p["filter"].T[None]
+        np.add.at(g["embed"], seen.ravel(), dv.reshape(-1, EMBED))
     return g
 
 
