@@ -113,6 +113,10 @@ def _logits(w: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.clip(x @ w[:-1] + w[-1], -15, 15)
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-x))
+
+
 def fit(rows: pd.DataFrame, names: list[str], weight: float = 1.0) -> dict[str, np.ndarray]:
     """ratios_j and weights_j of every category of the chain, from text and 0/1 columns.
 
@@ -135,7 +139,7 @@ def fit(rows: pd.DataFrame, names: list[str], weight: float = 1.0) -> dict[str,
             own[fold == f] = _logits(_logistic(x[fold != f], y[fold != f]), x[fold == f])
         model[f"ratios_{j}"], model[f"weights_{j}"] = _ratios(docs, y), _logistic(x, y)
         model[f"weights_{j}"][-1] += np.log(weight) if j == 0 else 0.0
-        chain = np.column_stack([chain, own + (np.log(weight) if j == 0 else 0.0)])
+        chain = np.column_stack([chain, _sigmoid(own + (np.log(weight) if j == 0 else 0.0))])
     return model
 
 
@@ -143,8 +147,8 @@ def probabilities(model: dict[str, np.ndarray], text: str | bytes | None) -> lis
     doc, chain = features(text), np.empty(0)
     for j in range(len(model) // 2):
         x = np.concatenate([evidence(model[f"ratios_{j}"], doc), chain])
-        chain = np.append(chain, _logits(model[f"weights_{j}"], x))
-    return (1 / (1 + np.exp(-chain))).tolist()
+        chain = np.append(chain, _sigmoid(_logits(model[f"weights_{j}"], x)))
+    return chain.tolist()
 
 
 def train(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, per_class: int = PER_CLASS) -> dict[str, np.ndarray]:

@@ -37,6 +37,21 @@ def test_quality_gradients():
             assert (value(up, y) - value(down, y)) / 4e-3 == pytest.approx(g[k][at], rel=0.1, abs=2e-3)
 
 
+def test_quality_gradients_of_long_texts_are_summed_in_slices(monkeypatch):
+    import tracemalloc
+
+    p, text = quality.start(3), bytes(np.random.default_rng(0).integers(32, 120, 40_000, dtype=np.uint8))
+    whole = quality._gradients(p, text, 1)
+    monkeypatch.setattr(quality, "_CHUNKS", 7)
+    for k, g in quality._gradients(p, text, 1).items():
+        assert np.allclose(g, whole[k], rtol=1e-3, atol=1e-5), k
+    monkeypatch.undo()
+    tracemalloc.start()
+    quality._gradients(p, text * 50, 1)  # 2 MB
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
 def test_quality_chunks_cover_the_whole_text():
     p = quality.start()
     for n in (0, 1, 383, 384, 1000, 5000):
@@ -149,14 +164,14 @@ def test_toxicity_reads_words_to_their_end():
 
 
 def plain_toxicity(model, text):
-    """The chain by loops over feature lists."""
-    seen, logits = list(toxicity.features(text)), []
+    """The chain by loops over feature lists; later categories see the probabilities of earlier ones."""
+    seen, out = list(toxicity.features(text)), []
     for j in range(len(model) // 2):
         r = sorted((float(model[f"ratios_{j}"][f]) for f in seen), reverse=True)
         x = [r[0], sum(r[:3]) / 3, sum(r[:10]) / 10, sum(r) / len(r), np.log1p(len(r)) / 10] if r else [0.0] * 5
         w = model[f"weights_{j}"]
-        logits.append(min(15.0, max(-15.0, sum(a * b for a, b in zip([*x, *logits, 1.0], w)))))
-    return [1 / (1 + np.exp(-v)) for v in logits]
+        out.append(1 / (1 + np.exp(-min(15.0, max(-15.0, sum(a * b for a, b in zip([*x, *out, 1.0], w)))))))
+    return out
 
 
 def plain_quality(p, text):
