@@ -93,27 +93,24 @@ base as (
   where case kind when 0 then true when 1 then list_bool_and(list_transform(string_split(v, '.'), lambda x: ltrim(x, '0') = '' or (len(ltrim(x, '0')) <= 3 and ltrim(x, '0')::int <= 255)))
     when 3 then len(d) between 10 and 15
     else len(d) between 14 and 19 and list_sum(list_transform(range(len(d)), lambda i: case when i % 2 = 0 then d[len(d) - i]::int else 2 * d[len(d) - i]::int - case when d[len(d) - i]::int > 4 then 9 else 0 end end)) % 10 = 0 end),
-windows as (
-  select rid, kind || ':' || lower(v) as entity, greatest(start - {pii.WINDOW}, 0) - (start <= {pii.WINDOW})::int as origin,
-         case when start <= {pii.WINDOW} then ' ' else '' end || substring(text, greatest(start - {pii.WINDOW}, 0) + 1, stop + {pii.WINDOW} - greatest(start - {pii.WINDOW}, 0))
-         || case when stop + {pii.WINDOW} >= len(text) then ' ' else '' end as ctx
-  from base),
+held as (select distinct rid, kind || ':' || lower(v) as entity from base),
+windows as (select distinct rid, -1 as origin, ' ' || text || ' ' as ctx from base),
 tokens as (
-  select rid, entity, origin, len(ctx) as size, m[i] as token, ({_SUM.format("g[1:i]")} + {_SUM.format("list_transform(m[1:i - 1], lambda x: len(x))")})::int as off
+  select rid, origin, len(ctx) as size, m[i] as token, ({_SUM.format("g[1:i]")} + {_SUM.format("list_transform(m[1:i - 1], lambda x: len(x))")})::int as off
   from (select *, unnest(range(1, len(m) + 1)) as i from (
     select *, regexp_extract_all(ctx, '[^\t\n\x0B\f\r ]+') as m, list_transform(string_split_regex(ctx, '[^\t\n\x0B\f\r ]+'), lambda x: len(x)) as g from windows))),
 near as (
-  select rid, entity, origin + off + len(token) - len(regexp_extract(token, '\p{{L}}+{_PUNCT}$')) as start, {_terms("token", "off")} as term from tokens where off + len(token) < size),
-terms as (select rid, entity, lower(term) as term, start::int as start, (start + len(term))::int as stop from near where term <> ''),
+  select rid, origin + off + len(token) - len(regexp_extract(token, '\p{{L}}+{_PUNCT}$')) as start, {_terms("token", "off")} as term from tokens where off + len(token) < size),
+terms as (select rid, lower(term) as term, start::int as start, (start + len(term))::int as stop from near where term <> ''),
 every_token as (select rid, unnest(regexp_extract_all(text, '[^\t\n\x0B\f\r ]+')) as token from docs),
 n_t as (select term, count(distinct rid) as n_t from (select rid, lower({_terms("token", "1")}) as term from every_token) where term <> '' group by term),
-n_e as (select kind || ':' || lower(v) as entity, count(distinct rid) as n_e from base group by 1),
-n_et as (select entity, term, count(distinct rid) as n_et from terms group by all),
+n_e as (select entity, count(*) as n_e from held group by 1),
+n_et as (select entity, term, count(*) as n_et from held join (select distinct rid, term from terms) using (rid) group by all),
 n as (select count(*)::double as n from docs),
 disclosing as (
   select entity, term from n_et join n_e using (entity) join n_t using (term), n
   where ln(n / n_e) > 0 and ln(n_et * n / (n_e * n_t)) >= {pii.THRESHOLD}::double * ln(n / n_e)),
-marked as (select distinct rid, 4 as kind, start, stop from terms join disclosing using (entity, term)),
+marked as (select distinct rid, 4 as kind, start, stop from terms join held using (rid) join disclosing using (entity, term)),
 spans as (select rid, kind, start, stop from base union all select * from marked),
 joined as (
   select rid, string_agg(['email', 'ip', 'card', 'phone', 'term'][kind + 1] || ':' || start || ':' || stop, ',' order by start, kind, stop) as spans,

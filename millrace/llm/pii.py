@@ -32,8 +32,6 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 #: contains such a token, so terms and base spans never overlap.
 TERM = r"""(?<=[\s(\["'])\p{L}{3,}(?=[,;:!?.)\]"']*+\s)"""
 
-#: Characters on either side of a value in which terms count as standing next to it.
-WINDOW = 40
 #: Share of a value's information content that a term may give away.
 THRESHOLD = 0.9
 _STEP = 128
@@ -123,60 +121,6 @@ def _entity(span: Column) -> Column:
     return F.xxhash64(span["kind"], F.lower(span["value"]))
 
 
-def _found(docs: DataFrame, *more: Column) -> DataFrame:
-    """key (md5 of the text), base, mentions: (entity, ctx, from), the text around each base span."""
-    text = F.coalesce("text", F.lit(""))
-    df = base_spans(docs.select(*more, F.md5(text).alias("key"), text.alias("text")), "text", "base")
-
-    def around(s: Column, chunks: Column, size: Column) -> Column:
-        # one blank stands for what lies before the text, so that its first word counts as whole
-        first = F.greatest(s["start"] - WINDOW, F.lit(0))
-        ctx = F.concat(F.when(first == 0, " ").otherwise(""), _part(chunks, first, s["end"] + WINDOW - first), F.when(s["end"] + WINDOW >= size, " ").otherwise(""))
-        return F.struct(_entity(s).alias("entity"), ctx.alias("ctx"), (first - F.when(first == 0, 1).otherwise(0)).alias("from"))
-
-    # the text is cut and measured only where it has spans
-    cut_up = F.when(F.size("base") > 0, _chunks(F.col("text"))).otherwise(F.array().cast("array<string>"))
-    mentions = _let(cut_up, lambda c: _let(F.length("text"), lambda n: F.transform("base", lambda s: around(s, c, n))))
-    return df.withColumn("mentions", mentions).drop("text")
-
-
-def disclosing(docs: DataFrame, found: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(entity, term) pairs whose mutual information reaches ``threshold`` of the entity's content.
-
-    All counts are of rows of docs: with a value (n_e), a term (n_t), a term next to a value (n_et).
-    PMI = ln(n_et N / (n_e n_t)), content = ln(N / n_e). Values in every row have no content and are
-    left out.
-    """
-    terms = lambda c: F.transform(F.regexp_extract_all(c, F.lit(TERM), F.lit(0)), F.lower)
-    some = found.where(F.size("mentions") > 0)
-    # as strings, which array_distinct hashes; structs it would compare each with each
-    pairs = F.flatten(F.transform("mentions", lambda m: F.transform(terms(m["ctx"]), lambda t: F.concat(m["entity"].cast("string"), F.lit(":"), t))))
-    pairs = some.select(F.explode(F.array_distinct(pairs)).alias("p")).groupBy("p").agg(F.count("*").alias("n_et"))
-    n_et = pairs.select(F.substring_index("p", ":", 1).cast("long").alias("entity"), F.substring_index("p", ":", -1).alias("term"), "n_et")
-    n_e = some.select(F.explode(F.array_distinct(F.transform("mentions", lambda m: m["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    n_et = cut(n_et)
-    words = terms(F.concat(F.lit(" "), F.coalesce("text", F.lit("")), F.lit(" ")))
-    # only terms that stand next to some value are asked for; where they are few the others are never shuffled
-    asked = broadcast_if_small(cut(n_et.select("term").distinct()))
-    n_t = docs.select(F.explode(F.array_distinct(words)).alias("term")).join(asked, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    n = F.lit(found.count()).cast("double")
-    joined = n_et.join(n_e, "entity").join(n_t, "term")
-    pmi, content = F.log(F.col("n_et") * n / (F.col("n_e") * F.col("n_t"))), F.log(n / F.col("n_e"))
-    return joined.where((content > 0) & (pmi >= threshold * content)).select("entity", "term")
-
-
-def term_spans(docs: DataFrame, found: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """key -> terms: array of (start, end) to generalise in texts of that key; only keys that have some."""
-    # copies of a text have the same spans: each text once
-    once = found.where(F.size("mentions") > 0).dropDuplicates(["key"]).select("key", F.explode("mentions").alias("m"))
-    placed = once.select("key", "m.*").select("key", "entity", "from", F.explode(_places("ctx", TERM)).alias("t"))
-    placed = placed.select("key", "entity", F.lower("t.value").alias("term"), (F.col("t.start") + F.col("from")).alias("start"), (F.col("t.end") + F.col("from")).alias("end"))
-    return (
-        placed.join(disclosing(docs, found, threshold), ["entity", "term"])
-        .groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
-    )
-
-
 def whole_text_terms(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """key (md5 of the text) -> terms: array of the terms, in lower case, that give a value of that text away.
 
@@ -222,17 +166,26 @@ def _all_spans() -> Column:
     return F.array_sort(F.concat(F.transform("base", lambda s: short(s, s["kind"])), F.transform(terms, lambda s: short(s, F.lit(len(KINDS))))))
 
 
+def _with_terms(rows: DataFrame, telling: DataFrame) -> DataFrame:
+    """rows (key, whole, base) with ``terms``: (start, end) of the places of the terms that tell on a value of the text."""
+    rows = rows.join(telling.withColumnRenamed("terms", "telling"), "key", "left").withColumn("around", F.concat(F.lit(" "), "whole", F.lit(" ")))
+    places = _places("around", TERM, F.col("telling").isNotNull())
+    places = F.filter(places, lambda t: F.array_contains(F.col("telling"), F.lower(t["value"])))
+    return rows.withColumn("terms", F.transform(places, lambda t: F.struct((t["start"] - 1).alias("start"), (t["end"] - 1).alias("end")))).drop("around", "telling")
+
+
 def find(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every row of docs.
 
     Null texts count as empty; texts without personal data have counts 0 and no spans, whatever the
-    corpus says, so clean documents are left alone. Rows with equal texts get equal results. Terms are
-    counted and listed where they stand within WINDOW characters of a value.
+    corpus says, so clean documents are left alone. Rows with equal texts get equal results. A term is
+    counted with the values of its whole text, however far they stand, and listed at all its places in
+    the texts that hold a value it gives away, as ``redact`` replaces it. Very long texts are read once.
     """
-    found = cut(_found(docs, F.col("doc_id")))
-    # computed apart, so that Spark may broadcast them or split a key that very many copies share
-    terms = broadcast_if_small(cut(term_spans(docs, found, threshold)))
-    done = found.drop("mentions").join(terms, "key", "left")
+    telling = broadcast_if_small(cut(whole_text_terms(docs, threshold)))
+    text = F.coalesce("text", F.lit(""))
+    rows = base_spans(docs.select("doc_id", F.md5(text).alias("key"), text.alias("whole")), "whole", "base")
+    done = _with_terms(rows, telling)
 
     def count(k: int) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
@@ -295,10 +248,6 @@ def redact(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     telling = broadcast_if_small(cut(whole_text_terms(docs, threshold)))
     text = F.coalesce("text", F.lit(""))
     rows = base_spans(docs.select(F.struct(*docs.columns).alias("row"), F.md5(text).alias("key"), text.alias("whole")), "whole", "base")
-    rows = rows.join(telling.withColumnRenamed("terms", "telling"), "key", "left").withColumn("around", F.concat(F.lit(" "), "whole", F.lit(" ")))
-    places = _places("around", TERM, F.col("telling").isNotNull())
-    places = F.filter(places, lambda t: F.array_contains(F.col("telling"), F.lower(t["value"])))
-    rows = rows.withColumn("terms", F.transform(places, lambda t: F.struct((t["start"] - 1).alias("start"), (t["end"] - 1).alias("end"))))
-    rows = rows.withColumn("spans", _all_spans())
+    rows = _with_terms(rows, telling).withColumn("spans", _all_spans())
     new = F.when(F.size("spans") > 0, redacted_text(F.col("whole"), F.col("spans"))).otherwise(F.col("row.text"))
     return rows.withColumn("text", new).select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))

@@ -81,6 +81,18 @@ def test_terms_that_give_a_value_away(spark):
     assert all(found[i] == "" for i in range(200))
 
 
+def test_terms_are_found_at_any_distance_from_the_value(spark):
+    common = "the report was sent to all of them on monday by post "
+    rows = [(i, f"{common}{i}") for i in range(200)]
+    rows += [(200 + i, "write to zeb@example.com " + common * 4 + "as Quillon said, " + common + "and Quillon") for i in range(3)]
+    found = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = rows[200][1]
+    assert text.index("Quillon") > 200
+    places = {int(a) for k, a, b in (s.split(":") for s in found[200].split(",")) if k == "term" and text[int(a) : int(b)] == "Quillon"}
+    assert places == {m.start() for m in re.finditer("Quillon", text)}
+    assert all(found[i] == "" for i in range(200))
+
+
 def test_redaction(spark, odd, clashing):
     df = spark.createDataFrame([(1, "mail a@b.co, call +1 (017) 555-7713 now", "x"), (2, "clean", None), (3, None, "y")], "doc_id long, text string, more string")
     got = {r["doc_id"]: r for r in pii.redact(df).collect()}
