@@ -23,21 +23,23 @@ def fingerprint(files: DataFrame, columns: Sequence[str], digits: int = 16) -> D
     return branches.agg(joined("d").alias("d")).select(F.substring("d", 1, digits).alias("fingerprint"))
 
 
-def stale_stages(stages: DataFrame) -> DataFrame:
-    """(position, stage, exists, built, current: map, stamp: map) -> position, stage, stale, reason.
+def stale_stages(stages: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, position, stage, exists, built, current: map, stamp: map) -> keys, position, stage, stale, reason.
+
+    Stages of one of ``keys``, such as a dataset, are a chain of their own.
 
     In order: not there, never built here, keys of the fingerprint that changed, a stage before it
     is stale. A stage after a stale one is stale too.
     """
-    keys = F.array_sort(F.map_keys("current"))
-    changed = F.filter(keys, lambda k: ~F.col("current")[k].eqNullSafe(F.col("stamp")[k]))
+    names = F.array_sort(F.map_keys("current"))
+    changed = F.filter(names, lambda k: ~F.col("current")[k].eqNullSafe(F.col("stamp")[k]))
     own = (
         F.when(~F.col("exists"), "no result")
         .when(~F.col("built"), "never built")
         .when(F.size(changed) > 0, F.array_join(F.transform(changed, lambda k: F.concat(k, F.lit(" changed"))), ", "))
     )
     rows = stages.withColumn("own", own)
-    before = Window.orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
     upstream = F.coalesce(F.max(F.col("own").isNotNull().cast("int")).over(before), F.lit(0)) == 1
     reason = F.coalesce("own", F.when(upstream, "a stage before it is stale"), F.lit("up to date"))
-    return rows.select("position", "stage", (F.col("own").isNotNull() | upstream).alias("stale"), reason.alias("reason"))
+    return rows.select(*keys, "position", "stage", (F.col("own").isNotNull() | upstream).alias("stale"), reason.alias("reason"))

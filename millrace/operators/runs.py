@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import json
-from collections.abc import Callable, Mapping, Sequence
-from itertools import product
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,19 +12,25 @@ from pyspark.sql import functions as F
 from .bootstrap import uniform
 
 
-def sweep(spark: SparkSession, factors: Mapping[str, Sequence]) -> DataFrame:
-    """run, settings (json) and arguments of every combination of the factors' values, in their order.
+def grid(values: DataFrame, factors: Sequence[str]) -> DataFrame:
+    """Every combination of the values that the factors have in a table; a factor has few, nulls are none."""
+    out = values.agg(*(F.array_sort(F.collect_set(c)).alias(c) for c in factors))
+    for c in factors:
+        out = out.withColumn(c, F.explode(c))
+    return out
 
-    True becomes a bare flag, False nothing, any other value an option with its text.
+
+def sweep(settings: DataFrame, factors: Sequence[str]) -> DataFrame:
+    """run, settings (json) and arguments of rows of settings, as of ``grid``; run is a digest of the arguments.
+
+    True becomes a bare flag, False and null nothing, any other value an option with its text.
     """
-    rows = []
-    for i, values in enumerate(product(*factors.values())):
-        chosen, words = dict(zip(factors, values, strict=True)), []
-        for name, value in chosen.items():
-            if value is not False:
-                words.append(f"--{name.replace('_', '-')}" + ("" if value is True else f" {value}"))
-        rows.append((i, json.dumps(chosen), " ".join(words)))
-    return spark.createDataFrame(rows, "run int, settings string, arguments string")
+    words, of = [], dict(settings.dtypes)
+    for c in factors:
+        name = f"--{c.replace('_', '-')}"
+        words.append(F.when(F.col(c), name) if of[c] == "boolean" else F.when(F.col(c).isNotNull(), F.concat_ws(" ", F.lit(name), F.col(c).cast("string"))))
+    arguments = F.concat_ws(" ", *words)
+    return settings.select(F.substring(F.sha2(arguments, 256), 1, 12).alias("run"), F.to_json(F.struct(*factors)).alias("settings"), arguments.alias("arguments"))
 
 
 def with_baselines(models: DataFrame, baselines: DataFrame) -> DataFrame:

@@ -95,12 +95,13 @@ def pool_ordinal(spark, d):
     return pools.select("bag_id", "class", *(F.round(S.sigmoid(x), 6).alias(f"p{k}") for k, x in enumerate(S.ordinal_logits(F.col("mean"), [0.55, 0.3]), 1)))
 
 
-@query(f"""with long as (select k::bigint * 100 + s as bag_id, 0 as class, i::int as win_idx, case when i < k then s / 2.0::double else -4.0::double end as x
-from range(13) t(k), range(9) u(s), range(12) v(i)), {G.POOLED} select bag_id, round(mean, 6) as mean, round(max, 6) as max, round(lme, 6) as lme, round(linear_softmax, 6) as linear_softmax from pools""")
+@query(f"""with g as (select distinct l_linenumber::int as k, round(l_discount * 100)::int as s from lineitem), long as (select k::bigint * 100 + s as bag_id, 0 as class, i::int as win_idx, case when i < k then s / 2.0::double else -4.0::double end as x
+from g, range(12) v(i)), {G.POOLED} select bag_id, round(mean, 6) as mean, round(max, 6) as max, round(lme, 6) as lme, round(linear_softmax, 6) as linear_softmax from pools""")
 def pool_response_curve(spark, d):
-    calls, strength, windows = (spark.range(n).toDF(c) for n, c in ((13, "k"), (9, "s"), (12, "i")))
-    grid = calls.crossJoin(strength).crossJoin(windows)  # a fixed grid of 1404 rows
-    toy = grid.select((F.col("k") * 100 + F.col("s")).alias("bag_id"), F.lit(0).alias("class"), F.col("i").cast("int").alias("win_idx"), F.when(F.col("i") < F.col("k"), F.col("s") / 2).otherwise(-4.0).alias("x"))
+    """What poolers make of a bag of 12 windows with k calls of strength s, for the pairs that line items have."""
+    pairs = table(spark, d, "lineitem").select(F.col("l_linenumber").cast("int").alias("k"), F.round(F.col("l_discount") * 100).cast("int").alias("s")).distinct()
+    windows = pairs.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(11))))
+    toy = windows.select((F.col("k").cast("long") * 100 + F.col("s")).alias("bag_id"), F.lit(0).alias("class"), F.col("i").alias("win_idx"), F.when(F.col("i") < F.col("k"), F.col("s") / 2).otherwise(-4.0).alias("x"))
     return pooling.pool(toy).select("bag_id", *map(r6, ("mean", "max", "lme", "linear_softmax")))
 
 
@@ -689,36 +690,41 @@ def topk_overlap(spark, d):
 
 # ---------------------------------------------------------------- runs and reports
 
-_GRID = [(h, w, p) for h in (0, 256) for w in (0.0, 0.25, 0.5) for p in ("mean", "lme", "max")]
-_GRID_SQL = ", ".join(f"('{h}-{w}/{p}', {h}, {w}::double, '{p}', {'true' if i % 5 else 'null'})" for i, (h, w, p) in enumerate(_GRID))
+#: Orders as runs of models: settings from status, key and customer, who is the dataset.
+_RUNS = """runs as (select o_orderkey::varchar as model_id, case when o_orderstatus = 'F' then 0 else 256 end as hidden, (o_orderkey % 3) * 0.25::double as ordinal_weight,
+  ['mean', 'lme', 'max'][o_custkey % 3 + 1] as pooling, case when o_orderkey % 5 <> 0 then true end as flag, o_custkey as dataset from orders)"""
 
 
-def _runs(spark):
-    return spark.createDataFrame([(f"{h}-{w}/{p}", h, w, p, True if i % 5 else None) for i, (h, w, p) in enumerate(_GRID)], "model_id string, hidden int, ordinal_weight double, pooling string, flag boolean")
+def _runs(spark, d):
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    return table(spark, d, "orders").select(
+        key.cast("string").alias("model_id"), F.when(F.col("o_orderstatus") == "F", 0).otherwise(256).alias("hidden"), ((key % 3) * F.lit(0.25)).alias("ordinal_weight"),
+        F.element_at(F.array(*map(F.lit, ("mean", "lme", "max"))), (customer % 3 + 1).cast("int")).alias("pooling"), F.when(key % 5 != 0, True).alias("flag"), customer.alias("dataset"),
+    )
 
 
-@query(f"""with runs(model_id, hidden, ordinal_weight, pooling, flag) as (values {_GRID_SQL})
-select a.model_id as model_a, b.model_id as model_b, a.pooling from runs a join runs b on a.pooling = b.pooling and a.hidden = b.hidden and a.flag is not distinct from b.flag and a.ordinal_weight = 0 and b.ordinal_weight <> 0""")
+@query(f"""with {_RUNS}
+select a.model_id as model_a, b.model_id as model_b, a.pooling from runs a join runs b on a.pooling = b.pooling and a.hidden = b.hidden and a.flag is not distinct from b.flag and a.dataset = b.dataset and a.ordinal_weight = 0 and b.ordinal_weight <> 0""")
 def controlled_pairs(spark, d):
-    return reports.controlled_pairs(_runs(spark), "ordinal_weight", ["hidden", "ordinal_weight"], ["flag"])
+    return reports.controlled_pairs(_runs(spark, d), "ordinal_weight", ["hidden", "ordinal_weight"], ["dataset", "flag"])
 
 
-@query(f"""with runs(model_id, hidden, ordinal_weight, pooling, flag) as (values {_GRID_SQL}), a as (select pooling, max_by(hidden, model_id)::varchar as hidden, max_by(ordinal_weight, model_id) as w, max_by(coalesce(flag, false), model_id) as flag from runs group by pooling),
-b as (select pooling, min_by(hidden, model_id)::varchar as hidden, min_by(ordinal_weight, model_id) as w, min_by(coalesce(flag, false), model_id) as flag from runs group by pooling)
-select pooling, 'hidden' as field, a.hidden as stored, b.hidden as wanted from a join b using (pooling) where a.hidden is distinct from b.hidden
-union all select pooling, 'ordinal_weight', a.w::varchar, b.w::varchar from a join b using (pooling) where a.w is distinct from b.w
-union all select pooling, 'flag', a.flag::varchar, b.flag::varchar from a join b using (pooling) where a.flag is distinct from b.flag""")
+@query(f"""with {_RUNS}, a as (select dataset, max_by(hidden, model_id)::varchar as hidden, max_by(ordinal_weight, model_id) as w, max_by(coalesce(flag, false), model_id) as flag from runs group by dataset),
+b as (select dataset, min_by(hidden, model_id)::varchar as hidden, min_by(ordinal_weight, model_id) as w, min_by(coalesce(flag, false), model_id) as flag from runs group by dataset)
+select dataset, 'hidden' as field, a.hidden as stored, b.hidden as wanted from a join b using (dataset) where a.hidden is distinct from b.hidden
+union all select dataset, 'ordinal_weight', a.w::varchar, b.w::varchar from a join b using (dataset) where a.w is distinct from b.w
+union all select dataset, 'flag', a.flag::varchar, b.flag::varchar from a join b using (dataset) where a.flag is distinct from b.flag""")
 def config_diff(spark, d):
-    r = _runs(spark).withColumn("flag", F.coalesce("flag", F.lit(False)))
-    pick = lambda f: r.groupBy("pooling").agg(*(f(c, "model_id").alias(c) for c in ("hidden", "ordinal_weight", "flag")))
-    return reports.config_diff(pick(F.max_by), pick(F.min_by), "pooling", ["hidden", "ordinal_weight", "flag"])
+    r = _runs(spark, d).withColumn("flag", F.coalesce("flag", F.lit(False)))
+    pick = lambda f: r.groupBy("dataset").agg(*(f(c, "model_id").alias(c) for c in ("hidden", "ordinal_weight", "flag")))
+    return reports.config_diff(pick(F.max_by), pick(F.min_by), "dataset", ["hidden", "ordinal_weight", "flag"])
 
 
-@query(f"""with runs(model_id, hidden, ordinal_weight, pooling, flag) as (values {_GRID_SQL})
+@query(f"""with {_RUNS}
 select model_id, case when hidden > 0 then 'mlp' || hidden else 'linear' end || '-' || case ordinal_weight when 0 then 'bin' when 0.25 then 'ord0.25' else 'ord0.5' end as run_id,
 case when hidden > 0 then 'MLP-' || hidden else 'linear' end as probe, case ordinal_weight when 0 then 'binary' when 0.25 then 'ordinal (w=0.25)' else 'ordinal (w=0.5)' end as target from runs""")
 def run_labels(spark, d):
-    return reports.run_labels(_runs(spark)).select("model_id", "run_id", "probe", "target")
+    return reports.run_labels(_runs(spark, d)).select("model_id", "run_id", "probe", "target")
 
 
 @query(f"""{_BOOTS}, {ap_sql('scored', _PC, name='points')}, pairs(model_a, model_b) as (values ('mean', 'lme'), ('max', 'lme'), ('mean', 'linear_softmax')),
@@ -775,11 +781,20 @@ def md_table(spark, d):
     return reports.markdown(aps, ["pooling", "class", "ap"], ["pooling", "class"])
 
 
-@query("""with s(position, stage, own) as (values (0, 'manifest', null), (1, 'embed', 'audio changed'), (2, 'train', null), (3, 'report', 'never built'), (4, 'figures', 'no result'))
-select position, stage, max((own is not null)::int) over (order by position) = 1 as stale, coalesce(own, case when coalesce(max((own is not null)::int) over (order by position rows between unbounded preceding and 1 preceding), 0) = 1 then 'a stage before it is stale' else 'up to date' end) as reason from s""")
+@query("""with o as (select o_custkey as dataset, row_number() over (partition by o_custkey order by o_orderkey)::int as position, o_orderkey as k, o_orderstatus as s, o_orderpriority as p from orders),
+s as (select dataset, position, 'stage ' || p as stage, case when s = 'P' and k % 2 = 0 then 'no result' when k % 11 = 0 then 'never built'
+  else nullif(array_to_string([case when k % 13 = 0 then 'audio changed' end, case when k % 7 = 0 then 'code changed' end], ', '), '') end as own from o)
+select dataset, position, stage, max((own is not null)::int) over (partition by dataset order by position) = 1 as stale, coalesce(own, case when coalesce(max((own is not null)::int) over (partition by dataset order by position rows between unbounded preceding and 1 preceding), 0) = 1 then 'a stage before it is stale' else 'up to date' end) as reason from s""")
 def staleness(spark, d):
-    rows = [(0, "manifest", True, True, {"code": "1"}, {"code": "1"}), (1, "embed", True, True, {"audio": "2", "code": "1"}, {"audio": "1", "code": "1"}), (2, "train", True, True, {"code": "1"}, {"code": "1"}), (3, "report", True, False, {"code": "1"}, {}), (4, "figures", False, True, {"code": "1"}, {"code": "1"})]
-    return lineage.stale_stages(spark.createDataFrame(rows, "position int, stage string, exists boolean, built boolean, current map<string,string>, stamp map<string,string>"))
+    """A customer's orders as the stages of a dataset, with what they were built of and what there is now."""
+    k, s, p = F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority")
+    old = lambda n, now: F.when(k % n == 0, "old").otherwise(now)
+    position = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    stages = table(spark, d, "orders").select(
+        F.col("o_custkey").alias("dataset"), position.alias("position"), F.concat(F.lit("stage "), p).alias("stage"), (~((s == "P") & (k % 2 == 0))).alias("exists"), (k % 11 != 0).alias("built"),
+        F.create_map(F.lit("code"), p, F.lit("audio"), s).alias("current"), F.create_map(F.lit("code"), old(7, p), F.lit("audio"), old(13, s)).alias("stamp"),
+    )
+    return lineage.stale_stages(stages, ["dataset"])
 
 
 @query(f"""with {G.FILES}, d as (select sha256(name || chr(31) || coalesce(hash, chr(0)) || chr(31) || size) as d from files),

@@ -10,7 +10,7 @@ from millrace.operators import bootstrap, calendar, guards, ingest, metrics, rep
 from millrace.sources.tables import table
 
 from . import grounding as G
-from .catalogue import _BOOTS, _DRAWN, _GRID_SQL, _NIGHTS, _VAL, _annotations, _drawn, _in_clusters, _night_columns, _runs, _seeded, _val_test, query, r6
+from .catalogue import _BOOTS, _DRAWN, _NIGHTS, _VAL, _annotations, _drawn, _in_clusters, _night_columns, _RUNS, _runs, _seeded, _val_test, query, r6
 from .grounding import ap_sql
 
 # ---------------------------------------------------------------- guards
@@ -141,23 +141,25 @@ def batch_names(spark, d):
 
 # ---------------------------------------------------------------- runs
 
-@query("""with g as (select h, w, f, row_number() over (order by h, w, f desc) - 1 as run from (values (0), (256)) a(h), (values (0.0), (0.5)) b(w), (values (true), (false)) c(f))
-select run::int as run, '--hidden ' || h || ' --ordinal-weight ' || w || case when f then ' --balanced' else '' end as arguments from g""")
+@query(f"""with {_RUNS}, g as (select h, w, f, p from (select distinct hidden as h from runs), (select distinct ordinal_weight as w from runs), (select distinct dataset % 2 = 0 as f from runs), (select distinct pooling as p from runs)),
+a as (select '--hidden ' || h || ' --ordinal-weight ' || w || case when f then ' --balanced' else '' end || ' --pooling ' || p as arguments from g) select substr(sha256(arguments), 1, 12) as run, arguments from a""")
 def sweep_grid(spark, d):
-    return runs.sweep(spark, {"hidden": [0, 256], "ordinal_weight": [0.0, 0.5], "balanced": [True, False]}).select("run", "arguments")
+    """All combinations of the settings that runs have, as arguments."""
+    factors = ["hidden", "ordinal_weight", "balanced", "pooling"]
+    return runs.sweep(runs.grid(_runs(spark, d).withColumn("balanced", F.col("dataset") % 2 == 0), factors), factors).select("run", "arguments")
 
 
-@query(f"with runs(model_id, hidden, ordinal_weight, pooling, flag) as (values {_GRID_SQL}), b as (select distinct o_orderstatus as s from orders) select model_id, 'model' as kind, hidden, pooling, 0 as rank_of_kind from runs union all select 'baseline/' || s, 'baseline', null, 'clock', 1 from b")
+@query(f"with {_RUNS}, b as (select distinct o_orderstatus as s from orders) select model_id, 'model' as kind, hidden, pooling, 0 as rank_of_kind from runs union all select 'baseline/' || s, 'baseline', null, 'clock', 1 from b")
 def models_and_baselines(spark, d):
     base = table(spark, d, "orders").select(F.concat(F.lit("baseline/"), "o_orderstatus").alias("model_id"), F.lit("clock").alias("pooling")).distinct()
-    return runs.with_baselines(_runs(spark), base).select("model_id", "kind", "hidden", "pooling", "rank_of_kind")
+    return runs.with_baselines(_runs(spark, d), base).select("model_id", "kind", "hidden", "pooling", "rank_of_kind")
 
 
-@query(f"""with runs(model_id, hidden, ordinal_weight, pooling, flag) as (values {_GRID_SQL})
+@query(f"""with {_RUNS}
 select model_id, (case when hidden > 0 then 64 * hidden + hidden else 0 end + case when hidden > 0 then hidden else 64 end * 2 + 2 + case when ordinal_weight > 0 then 4 else 0 end)::int as parameters from runs""")
 def parameter_counts(spark, d):
     n = runs.parameter_count(F.lit(64), 2, F.col("hidden"), 3, F.col("ordinal_weight"), F.col("pooling"), 16)
-    return _runs(spark).select("model_id", n.cast("int").alias("parameters"))
+    return _runs(spark, d).select("model_id", n.cast("int").alias("parameters"))
 
 
 _FOLDS = f"with {G.SCORED}, {ap_sql('scored', 'pooling, class, fold')}"
