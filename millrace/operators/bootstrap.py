@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from millrace.session import cut
 
-from .metrics import DIGITS, in_parts
+from .metrics import DIGITS, MOST_PARTS, in_parts, rows_of_largest
 
 
 def uniform(*parts: Column) -> Column:
@@ -37,24 +36,34 @@ def draws(clusters: DataFrame, resamples: int, seed: int = 0) -> DataFrame:
     return picks.join(members.select("stratum", "i", "cluster"), ["stratum", "i"]).select("b", "stratum", "cluster", "count")
 
 
-#: Most counts (clusters times resamples) that the tasks are given; clusters are blocks of days, not bags.
-MOST_COUNTS = 1 << 27
-_SLAB = 256
+#: Counts (clusters times resamples, two bytes each) that tasks are given at once; more resamples go in blocks.
+COUNTS = 1 << 26
+#: Rows of a part of a key's range, rows and resamples that one task works on at a time.
+ROWS, _SLAB, _BLOCK = 50_000, 512, 128
 
 
-def _counts(drawn: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(stratum, cluster, place) and a row of counts, one a resample, for each place."""
-    n = drawn.agg(F.count_distinct("stratum", "cluster"), F.coalesce(F.max("b") + 1, F.lit(0))).first()
-    if n[0] * n[1] > MOST_COUNTS:
-        raise ValueError(f"{n[0]} clusters and {n[1]} resamples are more than {MOST_COUNTS} counts; take longer blocks or fewer resamples")
-    clusters = drawn.select("stratum", "cluster").distinct().collect()
-    names = sorted(clusters, key=lambda r: (str(r["stratum"]), str(r["cluster"])))
-    spark, fields = drawn.sparkSession, drawn.select("stratum", "cluster").schema
-    places = spark.createDataFrame([(*r, i) for i, r in enumerate(names)], T.StructType([*fields, T.StructField("place", T.IntegerType())]))
-    rows = drawn.join(F.broadcast(places), ["stratum", "cluster"]).select("place", "b", "count").toArrow()
-    counts = np.zeros((n[0], n[1]))
-    counts[rows["place"].to_numpy(), rows["b"].to_numpy()] = rows["count"].to_numpy()
-    return places, counts
+def _placed(drawn: DataFrame) -> tuple[DataFrame, int, int]:
+    """(stratum, cluster, place), the places and the resamples there are."""
+    drawn = drawn.select("stratum", "cluster", "b")
+    clusters = cut(drawn.select("stratum", "cluster").distinct())
+    # numbered in parts by hash, offset by the parts before them
+    slot = F.pmod(F.xxhash64("stratum", "cluster"), F.lit(64))
+    slots = clusters.withColumn("_slot", slot).withColumn("_i", F.row_number().over(Window.partitionBy("_slot").orderBy("stratum", "cluster")))
+    before = slots.groupBy("_slot").agg(F.count("*").alias("_n"))
+    before = before.select("_slot", F.coalesce(F.sum("_n").over(Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    places = cut(slots.join(before, "_slot").select("stratum", "cluster", (F.col("_before") + F.col("_i") - 1).cast("int").alias("place")))
+    return places, places.count(), drawn.agg(F.coalesce(F.max("b") + 1, F.lit(0))).first()[0]
+
+
+def _blocks(drawn: DataFrame, places: DataFrame, n: int, resamples: int) -> Iterator[tuple[int, np.ndarray]]:
+    """First resample and counts [place, resample] of blocks of resamples."""
+    per = max(1, COUNTS // max(1, n))
+    placed = cut(drawn.join(places, ["stratum", "cluster"]).select("place", "b", F.col("count").cast("short").alias("count")))
+    for first in range(0, resamples, per):
+        rows = placed.where(F.col("b").between(first, first + per - 1)).toArrow()
+        counts = np.zeros((n, min(per, resamples - first)), np.int16)
+        counts[rows["place"].to_numpy(), rows["b"].to_numpy() - first] = rows["count"].to_numpy()
+        yield first, counts
 
 
 def _gains(score: np.ndarray, place: np.ndarray, pos: np.ndarray, n: np.ndarray, counts: np.ndarray, tp: np.ndarray, cn: np.ndarray) -> np.ndarray:
@@ -62,59 +71,77 @@ def _gains(score: np.ndarray, place: np.ndarray, pos: np.ndarray, n: np.ndarray,
     order = np.argsort(-score, kind="stable")
     score, place, pos, n = score[order], place[order], pos[order], n[order]
     first = np.append(True, score[1:] != score[:-1])
-    out, starts, a = np.zeros(counts.shape[1]), np.flatnonzero(first), 0
-    while a < len(score):
-        # whole ties only: the slab ends where one begins
-        b = int(starts[np.searchsorted(starts, a + _SLAB)]) if a + _SLAB <= starts[-1] else len(score)
-        drawn = counts[place[a:b]]
-        at = np.flatnonzero(first[a:b])
-        gained = np.add.reduceat(drawn * pos[a:b, None], at, axis=0)
-        upto_n = cn + np.cumsum(np.add.reduceat(drawn * n[a:b, None], at, axis=0), axis=0)
-        upto_tp = tp + np.cumsum(gained, axis=0)
-        out += np.divide(gained * upto_tp, upto_n, out=np.zeros_like(gained), where=upto_n > 0).sum(axis=0)
-        tp, cn, a = upto_tp[-1], upto_n[-1], b
+    starts, out = np.flatnonzero(first), np.zeros(counts.shape[1])
+    for c in range(0, counts.shape[1], _BLOCK):
+        w = counts[:, c : c + _BLOCK].astype(np.float64)
+        upto_tp, upto_n, total, a = tp[c : c + _BLOCK], cn[c : c + _BLOCK], np.zeros(w.shape[1]), 0
+        while a < len(score):
+            # whole ties only: the slab ends where one begins
+            b = int(starts[np.searchsorted(starts, a + _SLAB)]) if a + _SLAB <= starts[-1] else len(score)
+            drawn, at = w[place[a:b]], np.flatnonzero(first[a:b])
+            # only cuts that gain positives count
+            some = np.add.reduceat(pos[a:b], at) > 0
+            met = upto_n + np.cumsum(np.add.reduceat(drawn * n[a:b, None], at, axis=0), axis=0)
+            hit = np.flatnonzero(pos[a:b])
+            gained = np.add.reduceat(drawn[hit] * pos[a:b][hit, None], np.flatnonzero(np.diff(np.searchsorted(at, hit, side="right"), prepend=0)), axis=0) if len(hit) else np.zeros((0, w.shape[1]))
+            so_far = upto_tp + np.cumsum(gained, axis=0)
+            total += (gained * so_far / np.maximum(met[some], 1)).sum(axis=0)
+            upto_n, a = met[-1], b
+            upto_tp = so_far[-1] if len(hit) else upto_tp
+        out[c : c + _BLOCK] = total
     return out
 
 
+def _key(keys: Sequence[str]) -> Column:
+    """Keys carried as one text, which tells null from others."""
+    return F.to_json(F.struct(*(F.coalesce(F.col(k).cast("string"), F.lit("\x00")).alias(k) for k in keys)))
+
+
 def resampled_ap(rows: DataFrame, drawn: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, stratum, cluster, score, y) -> keys, b, ap for all resamples at once.
 
     Rows are summed by score and cluster and sorted once, in parts of each key's range; along the
-    sorted rows one array holds the running sums of all resamples. What the parts above hold comes
-    first, from their sums by cluster. No row is copied for a resample.
+    sorted rows an array holds the running sums of a block of resamples. What the parts above hold
+    comes first, from their sums by cluster. No row is copied for a resample. Tasks are given the counts
+    of COUNTS clusters times resamples; where there are more, they go over the rows once for each block.
     """
-    places, counts = _counts(drawn)
-    shared = drawn.sparkSession.sparkContext.broadcast(counts)
-    # keys are carried as one text, which tells null from others
-    key = F.to_json(F.struct(*(F.coalesce(F.col(k).cast("string"), F.lit("\x00")).alias(k) for k in keys)))
-    small = rows.join(F.broadcast(places), ["stratum", "cluster"]).groupBy(*keys, "place", F.round("score", DIGITS).alias("score")).agg(F.sum("y").cast("double").alias("pos"), F.count("*").cast("double").alias("n"))
-    placed = in_parts(cut(small), keys).withColumn("key", key)
+    places, n, resamples = _placed(drawn)
+    small = rows.join(places, ["stratum", "cluster"]).groupBy(*keys, "place", F.round("score", DIGITS).alias("score")).agg(F.sum("y").cast("double").alias("pos"), F.count("*").cast("double").alias("n"))
+    small = cut(small)
+    parts = int(min(MOST_PARTS, max(1, -(-rows_of_largest(small, keys) // ROWS))))
+    placed = cut(in_parts(small, keys, parts=parts).withColumn("key", _key(keys)))
     names = placed.select("key", *keys).distinct()
     by_cluster = placed.groupBy("key", "part", "place").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
-
-    def above(group: pa.Table) -> pa.Table:
-        """A row for each part of a key: sums of the parts above it and of all, an entry a resample."""
-        part, place, pos, n = (group.column(c).to_numpy() for c in ("part", "place", "pos", "n"))
-        key, w, out = group.column("key")[0].as_py(), shared.value, []
-        tp, cn, all_tp = np.zeros(w.shape[1]), np.zeros(w.shape[1]), pos @ w[place]
-        for p in np.unique(part)[::-1]:
-            out.append((key, int(p), tp, cn, all_tp))
-            mine = part == p
-            tp, cn = tp + pos[mine] @ w[place[mine]], cn + n[mine] @ w[place[mine]]
-        columns = list(zip(*out, strict=True))
-        return pa.table({"key": columns[0], "part": pa.array(columns[1], pa.int32()), **{c: pa.array(v, pa.list_(pa.float64())) for c, v in zip(("tp", "cn", "all_tp"), columns[2:], strict=True)}})
-
-    def gained(group: pa.Table, offsets: pa.Table) -> pa.Table:
-        score, place, pos, n = (group.column(c).to_numpy() for c in ("score", "place", "pos", "n"))
-        tp, cn, all_tp = (np.asarray(offsets.column(c)[0].as_py()) for c in ("tp", "cn", "all_tp"))
-        gain = _gains(score, place, pos, n, shared.value, tp, cn)
-        ap = pa.array(gain / np.where(all_tp > 0, all_tp, 1), mask=all_tp <= 0)
-        return pa.table({"key": [group.column("key")[0].as_py()], "ap": pa.array([ap.to_pylist()], pa.list_(pa.float64()))})
-
-    offsets = by_cluster.groupBy("key").applyInArrow(above, "key string, part int, tp array<double>, cn array<double>, all_tp array<double>")
-    sums = placed.select("key", "part", "score", "place", "pos", "n").groupBy("key", "part").cogroup(offsets.groupBy("key", "part")).applyInArrow(gained, "key string, ap array<double>")
-    aps = sums.select("key", F.posexplode("ap").alias("b", "ap")).groupBy("key", "b").agg(F.sum("ap").alias("ap"))
-    return aps.join(names, "key").select(*keys, "b", "ap")
+    out = None
+    for first, counts in _blocks(drawn, places, n, resamples):
+        shared = drawn.sparkSession.sparkContext.broadcast(counts)
+
+        def above(group: pa.Table) -> pa.Table:
+            """A row for each part of a key: sums of the parts above it and of all, an entry a resample."""
+            part, place, pos, n = (group.column(c).to_numpy() for c in ("part", "place", "pos", "n"))
+            key, w, out = group.column("key")[0].as_py(), shared.value, []
+            tp, cn, all_tp = np.zeros(w.shape[1]), np.zeros(w.shape[1]), pos @ w[place]
+            for p in np.unique(part)[::-1]:
+                out.append((key, int(p), tp, cn, all_tp))
+                mine = part == p
+                tp, cn = tp + pos[mine] @ w[place[mine]], cn + n[mine] @ w[place[mine]]
+            columns = list(zip(*out, strict=True))
+            return pa.table({"key": columns[0], "part": pa.array(columns[1], pa.int32()), **{c: pa.array(v, pa.list_(pa.float64())) for c, v in zip(("tp", "cn", "all_tp"), columns[2:], strict=True)}})
+
+        def gained(group: pa.Table, offsets: pa.Table) -> pa.Table:
+            score, place, pos, n = (group.column(c).to_numpy() for c in ("score", "place", "pos", "n"))
+            tp, cn, all_tp = (offsets.column(c).combine_chunks().flatten().to_numpy() for c in ("tp", "cn", "all_tp"))
+            gain = _gains(score, place, pos, n, shared.value, tp, cn)
+            ap = pa.array(gain / np.where(all_tp > 0, all_tp, 1), mask=all_tp <= 0)
+            return pa.table({"key": [group.column("key")[0].as_py()], "ap": pa.array([ap.to_pylist()], pa.list_(pa.float64()))})
+
+        offsets = by_cluster.groupBy("key").applyInArrow(above, "key string, part int, tp array<double>, cn array<double>, all_tp array<double>")
+        sums = placed.select("key", "part", "score", "place", "pos", "n").groupBy("key", "part").cogroup(offsets.groupBy("key", "part")).applyInArrow(gained, "key string, ap array<double>")
+        aps = sums.select("key", F.posexplode("ap").alias("b", "ap")).groupBy("key", (F.col("b") + first).alias("b")).agg(F.sum("ap").alias("ap"))
+        out = aps if out is None else out.unionByName(aps)
+    if out is None:
+        return names.select(*keys, F.lit(0).alias("b"), F.lit(0.0).alias("ap")).limit(0)
+    return out.join(names, "key").select(*keys, "b", "ap")
 
 
 def seed_mean(aps: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -123,10 +150,31 @@ def seed_mean(aps: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def resampled_share(rows: DataFrame, drawn: DataFrame, keys: Sequence[str], hit: str, of: str) -> DataFrame:
-    """(keys, stratum, cluster, hit, of) -> keys, b, share: sum of hit over sum of ``of`` in every resample, such as recall."""
-    small = rows.groupBy(*keys, "stratum", "cluster").agg(F.sum(hit).alias("hit"), F.sum(of).alias("of"))
-    met = small.join(drawn, ["stratum", "cluster"]).groupBy(*keys, "b")
-    return met.agg((F.sum(F.col("hit") * F.col("count")) / F.nullif(F.sum(F.col("of") * F.col("count")), F.lit(0))).alias("share"))
+    """(keys, stratum, cluster, hit, of) -> keys, b, share: sum of hit over sum of ``of`` in every resample, such as recall.
+
+    Rows are summed by cluster, and a key's sums are multiplied with the counts of all resamples; null
+    where ``of`` sums to 0.
+    """
+    places, n, resamples = _placed(drawn)
+    small = rows.join(places, ["stratum", "cluster"]).groupBy(*keys, "place").agg(F.sum(hit).cast("double").alias("hit"), F.sum(of).cast("double").alias("of"))
+    small = cut(small.withColumn("key", _key(keys)))
+    out = None
+    for first, counts in _blocks(drawn, places, n, resamples):
+        shared = drawn.sparkSession.sparkContext.broadcast(counts)
+
+        def share(group: pa.Table) -> pa.Table:
+            w = shared.value[group.column("place").to_numpy()]
+            total = group.column("of").to_numpy() @ w
+            value = pa.array(group.column("hit").to_numpy() @ w / np.where(total > 0, total, 1), mask=total <= 0)
+            return pa.table({"key": [group.column("key")[0].as_py()], "share": pa.array([value.to_pylist()], pa.list_(pa.float64()))})
+
+        shares = small.select("key", "place", "hit", "of").groupBy("key").applyInArrow(share, "key string, share array<double>")
+        shares = shares.select("key", F.posexplode("share").alias("b", "share")).withColumn("b", F.col("b") + first)
+        out = shares if out is None else out.unionByName(shares)
+    names = small.select("key", *keys).distinct()
+    if out is None:
+        return names.select(*keys, F.lit(0).alias("b"), F.lit(0.0).alias("share")).limit(0)
+    return out.join(names, "key").select(*keys, "b", "share")
 
 
 def interval(boots: DataFrame, keys: Sequence[str], value: str = "ap") -> DataFrame:

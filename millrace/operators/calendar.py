@@ -41,6 +41,15 @@ def breaks(columns: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return out.where("first_missing is not null")
 
 
+def grid(rows: DataFrame, row: str, column: str, columns: Sequence, value: Column, keys: Sequence[str] = (), fill=0) -> DataFrame:
+    """keys, row and a column for each of ``columns`` with ``value``, an aggregate; ``fill`` where there is nothing.
+
+    The list of columns is given, so no pass over the data finds it, and a night without rows has its column.
+    """
+    wide = rows.groupBy(*keys, row).pivot(column, list(columns)).agg(value)
+    return wide.na.fill(fill, [str(c) for c in columns])
+
+
 def first_of_night(bags: DataFrame, night: Column, at: str, *columns: str) -> DataFrame:
     """night and the columns of its first bag."""
     first = F.min_by(F.struct(*columns), F.col(at))

@@ -11,7 +11,7 @@ from millrace.functions.scalar import markdown_row
 from millrace.session import cut
 
 from . import bootstrap
-from .metrics import average_precision, running
+from .metrics import DIGITS, average_precision, cutoff, running
 
 
 def val_selected(models: DataFrame) -> DataFrame:
@@ -216,3 +216,24 @@ def report_set(scores: DataFrame, drawn: DataFrame, validation: DataFrame, level
         "overview": overview, "vs_selected": against,
         "per_level": cell_table(celled, points, boots, ["model_id"], "level", least), "per_regime": cell_table(celled, points, boots, ["model_id"], "regime"),
     }
+
+
+def recall_table(val: DataFrame, test: DataFrame, drawn: DataFrame, precisions: Sequence[float], selected: str, model: str = "pooling", keys: Sequence[str] = ("class",), fold: str = "fold") -> DataFrame:
+    """keys, model, at, recall, lo, hi, delta, delta_lo, delta_hi, verdict at each of several precisions.
+
+    val and test: (model, keys, fold, stratum, cluster, score, y). Cutoffs are those of each fold's
+    validation rows, flags are pooled over folds; recall and its paired difference to the selected
+    model have intervals over resampled clusters. The selected model's differences are null.
+    """
+    of, cuts = [model, *keys], None
+    for p in precisions:
+        at = cutoff(val, [*of, fold], p).withColumn("at", F.lit(float(p)))
+        cuts = at if cuts is None else cuts.unionByName(at)
+    flag = F.coalesce(F.round("score", DIGITS) >= F.col("cutoff"), F.lit(False)).cast("int")
+    rows = cut(test.join(cuts, [*of, fold]).select(*of, "at", "stratum", "cluster", (flag * F.col("y")).alias("hit"), "y"))
+    of = [*of, "at"]
+    points = rows.groupBy(*of).agg((F.sum("hit") / F.nullif(F.sum("y"), F.lit(0))).alias("ap"))
+    boots = cut(bootstrap.resampled_share(rows, drawn, of, "hit", "y").withColumnRenamed("share", "ap"))
+    apart = bootstrap.paired(boots, points, F.col(model) == selected, model, [*keys, "at"])
+    apart = apart.withColumnsRenamed({"lo": "delta_lo", "hi": "delta_hi"})
+    return points.withColumnRenamed("ap", "recall").join(bootstrap.interval(boots, of), of).join(apart, of, "left")

@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.scalar import softplus
+
 from .bootstrap import uniform
 
 
@@ -63,6 +65,18 @@ def threshold_means(thresholds: DataFrame, keys: Sequence[str]) -> DataFrame:
     return thresholds.groupBy(*keys).agg(F.count("threshold").alias("n"), F.avg("threshold").alias("threshold"))
 
 
+def learned_thresholds(weights: DataFrame) -> DataFrame:
+    """fit, run_id, pooling, seed, fold, class, level, threshold of the ordinal heads in ``weights_table``.
+
+    The first threshold is 0 and has no row; level k is the sum of softplus of the gaps up to it.
+    """
+    width = F.col("shape")[1]
+    rows = weights.where("name = 'gap'").select("fit", "run_id", "pooling", "seed", "fold", width.alias("width"), "values", F.posexplode(F.sequence(F.lit(0), F.col("shape")[0] - 1)).alias("class", "_c"))
+    rise = F.transform(F.slice("values", F.col("class") * F.col("width") + 1, F.col("width")), softplus)
+    upto = F.transform(rise, lambda _, i: F.aggregate(F.slice(rise, 1, i + 1), F.lit(0.0), lambda s, x: s + x))
+    return rows.select("fit", "run_id", "pooling", "seed", "fold", "class", F.posexplode(upto).alias("_k", "threshold")).select("fit", "run_id", "pooling", "seed", "fold", "class", (F.col("_k") + 2).alias("level"), "threshold")
+
+
 def shuffled_batches(rows: DataFrame, key: str, size: int, epoch: int, seed: int = 0, keys: Sequence[str] = ()) -> DataFrame:
     """rows with batch: another deal of the rows of each of ``keys`` in every epoch, of ``size`` rows about.
 

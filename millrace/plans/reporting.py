@@ -10,7 +10,7 @@ from millrace.operators import bootstrap, calendar, guards, ingest, metrics, rep
 from millrace.sources.tables import table
 
 from . import grounding as G
-from .catalogue import _BOOTS, _DRAWN, _NIGHTS, _VAL, _annotations, _drawn, _in_clusters, _night_columns, _RUNS, _runs, _seeded, _val_test, query, r6
+from .catalogue import _BOOTS, FULL, _DRAWN, _NIGHTS, _VAL, _annotations, _drawn, _in_clusters, _night_columns, _RUNS, _runs, _seeded, _val_test, query, r6
 from .grounding import ap_sql
 
 # ---------------------------------------------------------------- guards
@@ -198,6 +198,58 @@ def threshold_means(spark, d):
     return runs.threshold_means(cuts, ["pooling", "class"]).select("pooling", "class", "n", r6("threshold"))
 
 
+def _recalls(spark, d, resamples):
+    val, test = _val_test(spark, d)
+    rows = reports.recall_table(_in_clusters(val), _in_clusters(test), _drawn(spark, d, resamples), [0.25, 0.4], "mean")
+    return rows.select("pooling", "class", F.col("at").alias("wanted"), *map(r6, ("recall", "lo", "hi", "delta", "delta_lo", "delta_hi")), "verdict")
+
+
+@query(f"""with {G.SCORED}, {_VAL}, {_DRAWN}, levels(wanted, k) as (values (0.25::double, 1), (0.4::double, 2)),
+all_cuts as (select pooling, class, f as fold, wanted, min(case when prec >= wanted then score end) as cutoff from val_r, levels group by pooling, class, f, wanted),
+hits as (select s.pooling, s.class, c.wanted, s.regime, s.block, s.y, coalesce(round(score, 9) >= cutoff, false)::int * y as hit from scored s join all_cuts c using (pooling, class, fold)),
+points as (select pooling, class, wanted, sum(hit) / nullif(sum(y), 0)::double as r from hits group by all),
+boots as (select pooling, class, wanted, b, sum(hit * count) / nullif(sum(y * count), 0)::double as r from hits join drawn on stratum = regime and cluster = block group by all),
+ends as (select pooling, class, wanted, quantile_cont(r, 0.025) as lo, quantile_cont(r, 0.975) as hi from boots group by all),
+ds as (select m.pooling, m.class, m.wanted, m.r - s.r as x from boots m join boots s on s.pooling = 'mean' and m.class = s.class and m.wanted = s.wanted and m.b = s.b where m.pooling <> 'mean'),
+de as (select pooling, class, wanted, quantile_cont(x, 0.025) as lo, quantile_cont(x, 0.975) as hi from ds group by all)
+select p.pooling, p.class, p.wanted, round(p.r, 6) as recall, round(e.lo, 6) as lo, round(e.hi, 6) as hi, round(case when p.pooling <> 'mean' then p.r - s.r end, 6) as delta, round(de.lo, 6) as delta_lo, round(de.hi, 6) as delta_hi,
+  case when p.pooling = 'mean' then null when de.lo > 0 then 'better' when de.hi < 0 then 'worse' else 'tied' end as verdict
+from points p join ends e using (pooling, class, wanted) join points s on s.pooling = 'mean' and s.class = p.class and s.wanted = p.wanted left join de on de.pooling = p.pooling and de.class = p.class and de.wanted = p.wanted""")
+def recall_table(spark, d):
+    """Recall at two precisions with differences to the selected model."""
+    return _recalls(spark, d, 20)
+
+
+@query()
+def recall_full(spark, d):
+    """The same over 2000 resamples."""
+    return _recalls(spark, d, FULL)
+
+
+@query("""with f as (select c_custkey as fit, c_custkey % 3 as seed, c_custkey % 5 as fold, ['mean', 'lme'][c_custkey % 2 + 1] as pooling, list_transform(range(6), lambda i: ((c_custkey * 7 + i * 3) % 11 - 5) / 4.0::double) as v from customer),
+t as (select fit, pooling, c::int as class, k::int + 2 as level, list_sum(list_transform(v[c * 3 + 1:c * 3 + k + 1], lambda x: ln(1 + exp(x)))) as t from f, range(2) c(c), range(3) k(k))
+select pooling, class, level, count(*) as n, round(avg(t), 6) as threshold from t group by all""")
+def learned_thresholds(spark, d):
+    """Thresholds of ordinal heads from a table of stored weights, a fit for each customer, over seeds and folds."""
+    c = F.col("c_custkey")
+    gaps = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: (((c * 7 + i * 3) % 11) - 5) / F.lit(4.0))
+    stored = table(spark, d, "customer").select(
+        c.alias("fit"), F.lit("linear-ord0.5").alias("run_id"), F.when(c % 2 == 0, "mean").otherwise("lme").alias("pooling"), (c % 3).alias("seed"), (c % 5).alias("fold"),
+        F.lit("gap").alias("name"), F.array(F.lit(2), F.lit(3)).alias("shape"), gaps.alias("values"),
+    )
+    return runs.threshold_means(runs.learned_thresholds(stored), ["pooling", "class", "level"]).select("pooling", "class", "level", "n", r6("threshold"))
+
+
+_DAYS = range(1, 32)
+
+
+@query(f"select hour(ts)::int as hour, {', '.join(f'count(*) filter (where day(ts) = {i}) as day_{i:02d}' for i in _DAYS)} from events group by 1")
+def calendar_grid(spark, d):
+    """Events by hour and day of the month, a column for each day whether it has any or not."""
+    rows = table(spark, d, "events").select(F.hour("ts").alias("hour"), F.format_string("day_%02d", F.dayofmonth("ts")).alias("day"))
+    return calendar.grid(rows, "hour", "day", [f"day_{i:02d}" for i in _DAYS], F.count("hour"))
+
+
 @query(f"""with {G.BAGS}, n as (select fold, greatest(floor(count(*) / 256), 1) as k from bags group by fold)
 select bag_id, fold, floor(('0x' || substr(md5('0:3:' || bag_id), 1, 8))::bigint * k / 4294967296.0::double)::int as batch from bags join n using (fold)""")
 def shuffled_batches(spark, d):

@@ -412,6 +412,39 @@ def test_window_rows_are_those_of_the_whole_file(spark, target, limit):
             assert got[k][i] == pytest.approx(w, abs=1e-9)
 
 
+def test_shares_and_precision_in_blocks_of_resamples(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [("m", "ab"[i % 2], int(rng.integers(0, 9)), float(np.round(rng.random(), 2)), int(rng.random() < 0.4)) for i in range(200)]
+    df = spark.createDataFrame(rows, "m string, stratum string, cluster int, score double, y int").withColumn("hit", F.when(F.col("score") > 0.5, F.col("y")).otherwise(0))
+    drawn = bootstrap.draws(df, 11).cache()
+    once = sorted(map(tuple, bootstrap.resampled_ap(df, drawn, ["m"]).collect())), sorted(map(tuple, bootstrap.resampled_share(df, drawn, ["m"], "hit", "y").collect()))
+    joined = df.join(drawn, ["stratum", "cluster"]).groupBy("m", "b").agg((F.sum(F.col("hit") * F.col("count")) / F.sum(F.col("y") * F.col("count"))).alias("share"))
+    assert once[1] == [(*t[:2], pytest.approx(t[2])) for t in sorted(map(tuple, joined.collect()))]
+    monkeypatch.setattr(bootstrap, "COUNTS", 60)
+    blocks = sorted(map(tuple, bootstrap.resampled_ap(df, drawn, ["m"]).collect())), sorted(map(tuple, bootstrap.resampled_share(df, drawn, ["m"], "hit", "y").collect()))
+    assert blocks == once and len(once[0]) == 11
+
+
+def test_quality_is_read_again_of_changed_files_only(spark, tmp_path):
+    import os
+
+    for name in "abc":
+        (tmp_path / f"{name}.wav").write_bytes(wav_of(np.arange(1, 4000), 8000))
+    first = audio.qc_refreshed(spark, str(tmp_path), None)
+    first.write.parquet(str(tmp_path / "v1"))
+    cache = spark.read.parquet(str(tmp_path / "v1"))
+    assert cache.where("qc_ok").count() == 3
+    # a's bytes are spoilt but its name, size and time stay, so nothing may have read it; b changes, c goes, d comes
+    a, at = tmp_path / "a.wav", os.stat(tmp_path / "a.wav")
+    a.write_bytes(b"x" * at.st_size)
+    os.utime(a, ns=(at.st_atime_ns, at.st_mtime_ns))
+    (tmp_path / "b.wav").write_bytes(wav_of(np.zeros(16000), 8000))
+    (tmp_path / "c.wav").unlink()
+    (tmp_path / "d.wav").write_bytes(wav_of(np.arange(1, 5000), 8000))
+    got = {r["name"]: r["qc_ok"] for r in audio.qc_refreshed(spark, str(tmp_path), cache).collect()}
+    assert got == {"a.wav": True, "b.wav": False, "d.wav": True}
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as e
 
