@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,7 +13,7 @@ from millrace.operators import bags as B
 from millrace.operators import baselines, bootstrap, calendar, folds, ingest, lineage, metrics, pooling, reports, runs
 from millrace.session import cut, shared_dir
 from millrace.sources import audio
-from millrace.sources.tables import table
+from millrace.sources.tables import made_folder, table
 
 from . import grounding as G
 from .grounding import ap_sql
@@ -857,12 +858,15 @@ def qc_wav(spark, d):
     return _wavs(spark, d).select("hour", audio.qc(F.col("content")).alias("qc")).select("hour", "qc.*")
 
 
-@query("""with e as (select date_trunc('hour', ts)::timestamp as hour, round(value::double % 300 * 100)::int as v, row_number() over (partition by date_trunc('hour', ts) order by event_id) - 1 as i from events),
+_WAV_WINDOWS = """with e as (select date_trunc('hour', ts)::timestamp as hour, round(value::double % 300 * 100)::int as v, row_number() over (partition by date_trunc('hour', ts) order by event_id) - 1 as i from events),
 f as (select hour, count(*) as n, count(*) * 500 + case when hour(hour) = 3 then 9000 else 0 end - case when hour(hour) = 5 then 500 else 0 end as frames from e group by hour),
 w as (select hour, frames, round(frames / 8000.0::double * 1000)::bigint as d from f),
 k as (select hour, frames, d, unnest(range(d // 1000 + ((d % 1000) * 2 >= 1000)::int))::int as win_idx from w),
 p as (select e.hour, (i // 16)::int as win_idx, sum(500 * (v / 32768.0::double) ** 2) as energy, max(abs(v)) / 32768.0::double as peak from e join f using (hour) where not (hour(e.hour) = 5 and i = n - 1) group by all)
-select hour, win_idx, win_idx::double as start_s, least((win_idx + 1) * 1000, d) / 1000.0::double as end_s, 8000 as n_samples, round(coalesce(energy, 0), 6) as energy, round(coalesce(peak, 0), 6) as peak from k left join p using (hour, win_idx)""")
+select hour, win_idx, win_idx::double as start_s, least((win_idx + 1) * 1000, d) / 1000.0::double as end_s, 8000 as n_samples, round(coalesce(energy, 0), 6) as energy, round(coalesce(peak, 0), 6) as peak from k left join p using (hour, win_idx)"""
+
+
+@query(_WAV_WINDOWS)
 def wav_windows(spark, d):
     """Windows of a second of the WAV files, the tail padded: samples, their energy and peak."""
     rows = audio.window_rows(_wavs(spark, d), ["hour"], 1.0)
@@ -870,6 +874,35 @@ def wav_windows(spark, d):
     return rows.select("hour", "win_idx", "start_s", "end_s", F.size("samples").alias("n_samples"), F.round(energy, 6).alias("energy"), F.round(F.array_max(F.transform("samples", F.abs)), 6).alias("peak"))
 
 
+@query(f"select hour, win_idx, win_idx % 5 = 0 as kept, case when win_idx % 5 = 0 then -1 else energy end as energy from ({_WAV_WINDOWS})")
+def resumable_windows(spark, d):
+    """Energy of windows of recordings through a cache: an earlier one is held against the files, then filled in batches.
+
+    Of the earlier rows every fifth has no signature and stays, one is of another file and one isn't done.
+    """
+    from millrace.streaming import resumable
+
+    root = made_folder(spark, f"{shared_dir(spark)}/resumable-{uuid.uuid4().hex}")
+    _wavs(spark, d).withColumn("file_sig", F.sha2("content", 256)).write.parquet(f"{root}/clips")
+    clips = spark.read.parquet(f"{root}/clips")
+    instance = F.concat_ws("_", F.date_format("hour", "yyyyMMddHH"), "win_idx")
+    audio.window_grid(clips, ["hour", "file_sig"], 1.0).select(instance.alias("instance_id"), "file_sig", "hour", "win_idx").repartition(8, "instance_id").write.parquet(f"{root}/wanted")
+    wanted = spark.read.parquet(f"{root}/wanted")
+    part, payload = F.col("win_idx") % 5, "energy double"
+    old = wanted.where(part < 3).select("instance_id", F.when(part == 1, "other").when(part == 2, F.col("file_sig")).alias("file_sig"), (part != 2).alias("done"), F.lit(-1.0).alias("energy"))
+    old.write.parquet(f"{root}/cache/rows/run=earlier/batch=0")
+
+    def compute(todo):
+        of = todo.groupBy("hour").agg(F.collect_set("win_idx").alias("wins"))
+        rows = audio.window_rows(clips.join(of, "hour"), ["hour", "wins"], 1.0, only="wins")
+        energy = F.aggregate("samples", F.lit(0.0), lambda s, x: s + x * x)
+        return rows.select(instance.alias("instance_id"), energy.alias("energy"))
+
+    resumable.fill(spark, f"{root}/wanted", wanted.schema, f"{root}/cache", f"{root}/state", payload, "energy of a second", compute, files_per_batch=3)
+    found = resumable.standing(wanted, resumable.cached(spark, f"{root}/cache", payload))
+    return wanted.join(found.select("instance_id", "energy", "run"), "instance_id").select("hour", "win_idx", (F.col("run") == "earlier").alias("kept"), r6("energy"))
+
+
 def _vector_bags(spark, d):
     e = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("bag_id"), F.col("vec_id"), "embedding", "label")
     # presence of a label in a bag's first half decides its level, so there is something to learn
@@ -954,8 +987,6 @@ def regime_decoding(spark, d):
 @query()
 def incremental_append(spark, d):
     """Hourly counts of events through a file stream that takes all there is and ends."""
-    import uuid
-
     from millrace.streaming.incremental import append_new
 
     root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"

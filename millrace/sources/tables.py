@@ -49,3 +49,30 @@ def write(df: DataFrame, path: str, *partition_by: str, form: str = "parquet", m
     """Parquet, or CSV with a header; Spark's commit makes the result visible as a whole."""
     writer = df.write.mode(mode).partitionBy(*partition_by)
     writer.option("header", True).csv(path) if form == "csv" else writer.parquet(path)
+
+
+def _at(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def made_folder(spark: SparkSession, path: str) -> str:
+    """path, a folder that is there now."""
+    files, at = _at(spark, path)
+    files.mkdirs(at)
+    return path
+
+
+def committed(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    files, at = _at(spark, f"{path}/_SUCCESS")
+    return files.exists(at)
+
+
+def claimed(spark: SparkSession, path: str, owner: str) -> None:
+    """Write who owns the folder that holds path; a folder of another owner is an error."""
+    if not committed(spark, path):
+        spark.createDataFrame([(owner,)], "owner string").coalesce(1).write.mode("overwrite").parquet(path)
+    known = spark.read.schema("owner string").parquet(path).first()["owner"]
+    if known != owner:
+        raise ValueError(f"{path} is of {known}, not of {owner}")
