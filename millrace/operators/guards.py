@@ -83,10 +83,20 @@ def load_models(predictions: DataFrame, bags: DataFrame, dataset_id: str, model:
 
 
 def unscored(bags: DataFrame, scores: DataFrame, model: Sequence[str]) -> DataFrame:
-    """(model, bag_id) that have no test score, or more than one: an out-of-fold table has one of each."""
-    wanted = scores.select(*model).distinct().crossJoin(bags.select("bag_id"))
+    """(model, bag_id, n) that have no test score, or more than one: an out-of-fold table has one of each.
+
+    Bags are distinct. Only models that miss some meet the table of bags, bag by bag.
+    """
+    known = bags.select("bag_id").distinct()
     n = scores.where("split = 'test'").groupBy(*model, "bag_id").agg(F.count("*").alias("n"))
-    return wanted.join(n, [*model, "bag_id"], "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n <> 1")
+    n = n.join(known.withColumn("_known", F.lit(True)), "bag_id", "left")
+    found = n.groupBy(*model).agg(F.count("_known").alias("_found"))
+    total = known.agg(F.count("*").alias("_total"))
+    models = scores.select(*model).distinct().join(found, list(model), "left").crossJoin(F.broadcast(total))
+    short = models.where(F.coalesce("_found", F.lit(0)) < F.col("_total")).select(*model)
+    # a row for each bag and each of the few models that aren't whole, most of which are in the result if any model is
+    missing = short.crossJoin(known).join(n.select(*model, "bag_id"), [*model, "bag_id"], "left_anti").withColumn("n", F.lit(0).cast("long"))
+    return n.where("n > 1 and _known").select(*model, "bag_id", "n").unionByName(missing.select(*model, "bag_id", "n"))
 
 
 def select_matching(names: Column, patterns: Sequence[str]) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import scalar as S
 from millrace.operators import bags as B
-from millrace.operators import baselines, bootstrap, calendar, folds, ingest, lineage, metrics, pooling, reports, runs
+from millrace.operators import baselines, bootstrap, calendar, folds, ingest, lineage, merge, metrics, pooling, reports, runs
 from millrace.session import cut, shared_dir
 from millrace.sources import audio
 from millrace.sources.tables import made_folder, table
@@ -563,6 +563,62 @@ def verify_report(spark, d):
     return ingest.verify(base.where("doc_id % 5 <> 4"), found)
 
 
+_MERGE = """
+b as (select doc_id, source, doc_id || '_20240101_000000' || (case when doc_id % 31 = 0 then '.txt' else '.wav' end) as name, doc_id || '_20240101_000000' as stem, n_chars as size from documents),
+r as (select doc_id, source, name, doc_id % 19 <> 0 as ok from b where doc_id % 5 <> 4 and doc_id % 31 <> 0),
+s as (select doc_id, name, size, doc_id % 23 as changed from b where doc_id % 37 <> 3), l as (select doc_id, name, size + 1 as size from b where doc_id % 7 = 0), a as (select doc_id from b where doc_id % 49 = 0)"""
+
+
+def _merge(spark, d):
+    """report, staged, library, aside of documents as files."""
+    i, stem = F.col("doc_id"), F.concat(F.col("doc_id").cast("string"), F.lit("_20240101_000000"))
+    b = table(spark, d, "documents").select("doc_id", "source", F.concat(stem, F.when(i % 31 == 0, ".txt").otherwise(".wav")).alias("name"), stem.alias("stem"), F.col("n_chars").alias("size"))
+    report = b.where("doc_id % 5 <> 4 and doc_id % 31 <> 0").select("source", "name", (i % 19 != 0).alias("ok"), F.when(i % 19 == 0, "qc: digital zero").otherwise("").alias("fail"))
+    staged = b.where("doc_id % 37 <> 3").select("name", "size", (i % 23).alias("changed_at"))
+    return report, staged, b.where("doc_id % 7 = 0").select("name", (F.col("size") + 1).alias("size")), b.where("doc_id % 49 = 0").select(F.concat("stem", F.lit(".replaced_d.wav")).alias("name"))
+
+
+@query(f"""with {_MERGE},
+j as (select coalesce(r.name, s.name) as name, r.name is not null as reported, r.ok, s.name is not null as there, s.changed, l.name is not null as here, a.doc_id is not null as taken
+  from r full join s on r.name = s.name left join l on l.name = coalesce(r.name, s.name) left join a on a.doc_id = coalesce(r.doc_id, s.doc_id)),
+k as (select replaced, name, case when reported and not ok then 'failed: qc: digital zero' when reported and not there then 'gone since verification' when not reported and name like '%.wav' then 'not verified'
+  when there and changed >= 20 then 'changed since verification' when reported and here and not replaced then 'would replace another file' when reported and here and taken then 'place of the old copy is taken' end as reason from j, (values (true), (false)) v(replaced))
+select * from k where reason is not null""")
+def merge_recheck(spark, d):
+    """Why staged files may not be merged, with and without replacing."""
+    out = [merge.recheck(*_merge(spark, d), F.lit(20), "d", replace=r).withColumn("replaced", F.lit(r)) for r in (True, False)]
+    return out[0].unionByName(out[1])
+
+
+_MOVES = f"""{_MERGE},
+m as (select 0 as step, r.source as batch, l.name, '/library/' || l.name as source, '/aside/' || l.doc_id || '_20240101_000000.replaced_d.wav' as target, l.size from l join r on l.name = r.name
+  union all select 1, r.source, s.name, '/staging/' || s.name, '/library/' || s.name, s.size from s join r on s.name = r.name)"""
+
+
+def _moves(spark, d):
+    report, staged, library, _ = _merge(spark, d)
+    return report, merge.moves(report, staged, library, merge.Roots("/staging", "/library", "/aside"), "d")
+
+
+@query(f"with {_MOVES} select step, name, source, target, size from m")
+def merge_moves(spark, d):
+    return _moves(spark, d)[1]
+
+
+@query(f"""with {_MOVES}, n as (select batch, count(*) filter (where step = 1) as n, count(*) filter (where step = 0) as k from m group by batch), w as (select source as batch, count(*) as w from r group by 1)
+select batch, null::varchar as name, '2024-01-02' || ' moved ' || n || ' wavs (' || w || ' verified) from /staging to /library (' || case when k = 0 then 'no name collisions' when k = 1 then '1 name collision replaced' else k || ' name collisions replaced' end
+  || '; all verified); left behind ' || (w - n) || '; library now ' || w || ' files' as line from n join w using (batch)
+union all select batch, name, name || ' REPLACED: old copy moved to ' || target from m where step = 0""")
+def merge_log(spark, d):
+    """Log lines of merges, a batch for each source."""
+    report, moved = _moves(spark, d)
+    of = report.select(F.col("source").alias("batch"), "name")
+    moved = moved.join(of, "name")
+    w = of.groupBy("batch").agg(F.count("*").alias("w")).join(moved.groupBy("batch").agg(F.count_if(F.col("step") == merge.PUBLISH).alias("n")), "batch")
+    text = w.select("batch", F.lit("2024-01-02").alias("at"), F.concat(F.col("w").cast("string"), F.lit(" verified")).alias("text"), F.lit("/staging").alias("source"), F.lit("/library").alias("library"), (F.col("w") - F.col("n")).alias("left"), F.col("w").alias("after"))
+    return merge.log_entries(moved, text, ["batch"])
+
+
 @query("""with w as (select doc_id as id, doc_id::varchar as instance_id, sha256(text) as s from documents where doc_id % 6 <> 5), c as (select doc_id::varchar as instance_id, case when doc_id % 8 = 0 then null when doc_id % 9 = 0 then 'old' else sha256(text) end as s, doc_id % 10 <> 0 as done from documents where doc_id % 6 <> 4)
 select coalesce(w.instance_id, c.instance_id) as instance_id, case when w.instance_id is null then 'dropped' when not coalesce(c.done, false) then 'pending' when c.s is null or c.s = w.s then 'keep' else 'changed' end as status from w full join c on w.instance_id = c.instance_id""")
 def rekey_status(spark, d):
