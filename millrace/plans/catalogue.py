@@ -1031,13 +1031,30 @@ def truncated_scores(spark, d):
     return cut_off.groupBy("class", "n").agg(F.count("*").alias("n_bags"), *(F.round(F.avg(S.sigmoid(F.col(c))), 6).alias(c) for c in ("mean", "max", "lme")))
 
 
+def _decoded(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("key"), (F.floor(F.col("vec_id") / 8) % G.FOLDS).cast("int").alias("fold"), (F.col("label") < 3).cast("int").alias("y"), F.col("embedding").alias("vector"))
+
+
+@query("""with r as (select vec_id, (floor(vec_id / 8)::bigint % 5)::int as fold, (label < 3)::int as y, substr(md5('0:' || vec_id), 1, 15) as place from embeddings),
+t as (select f::int as trains, vec_id, y, place from r, range(5) f(f) where r.fold <> f),
+c as (select trains, count(*) filter (where y = 0) as zero, count(*) filter (where y = 1) as one from t group by 1),
+q as (select trains, least(one, greatest(50, 100 - zero)) as one, least(zero, 100 - least(one, greatest(50, 100 - zero))) as zero from c where one > 0 and zero > 0),
+i as (select t.*, case y when 1 then q.one else q.zero end as quota, row_number() over (partition by trains, y order by place) as i from t join q using (trains))
+select trains, vec_id, y from i where i <= quota""")
+def decoding_sample(spark, d):
+    """The rows that each fold's fit is made on, a hundred here, half of each class, drawn by the same places for all."""
+    from millrace.operators import decoding
+
+    drawn, _ = decoding.decoding_sample(_decoded(spark, d).drop("vector"), G.FOLDS, 100)
+    return drawn.select(F.explode("trains").alias("trains"), F.col("key").cast("long").alias("vec_id"), "y")
+
+
 @query()
 def regime_decoding(spark, d):
     """Which of two groups of labels single vectors are of, in five held-out folds."""
     from millrace.operators import decoding
 
-    rows = table(spark, d, "embeddings").select((F.floor(F.col("vec_id") / 8) % G.FOLDS).cast("int").alias("fold"), (F.col("label") < 3).cast("int").alias("y"), F.col("embedding").alias("vector"))
-    return decoding.regime_decoding(rows, G.FOLDS)
+    return decoding.regime_decoding(_decoded(spark, d), G.FOLDS)
 
 
 @query()
