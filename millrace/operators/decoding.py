@@ -108,6 +108,8 @@ def newton(sample: DataFrame, quota: dict[tuple[int, int], int], folds: Sequence
             s.update(w=w, loss=loss, step=step)
             if -float(gradient @ step) > tolerance * max(1.0, loss):
                 still.append(f)
+            else:  # so near that the last step is taken unseen; it squares the distance
+                s["w"] = w + step
         going = still
     return {f: (*fits[f], state[f]["w"]) for f in state}
 
