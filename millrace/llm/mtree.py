@@ -1,9 +1,9 @@
 """Exact top-k inner products by best-first search in M-trees.
 
 With one more component that makes all data vectors equally long, the largest inner products are
-the nearest neighbours in Euclidean distance, a metric. Data rows go to the nearest of a bounded
-number of pivots; pivots and covering radii are the root page. Each share of a pivot's rows is an
-M-tree of pages that store, for every entry, the distance to its parent's routing object and, for
+the nearest neighbours in Euclidean distance, a metric. A bounded sample of rows makes the upper two
+levels: routing objects, and under each the leaves near it, with distances to it and covering radii.
+Rows go to the nearest leaf under their nearest routing object. The rows of a leaf are an M-tree of pages that store, for every entry, the distance to its parent's routing object and, for
 inner entries, a covering radius. A query visits pages in the order of their least possible
 distance and stops when none can hold a better result. The nearest tree comes first; what it finds
 bounds the query's visits of all other trees. Bounds only skip what can't be in the result; scores
@@ -23,12 +23,12 @@ from pyspark.sql import types as T
 
 from .common import broadcast_if_small, cut
 
-#: Least and most pivots of the root page: a bounded sample (rows of smallest id hash), about one for
-#: each tree's worth of rows between the two; every row is indexed.
-PIVOTS = 64, 4096
-#: Rows of a tree, queries that meet one copy of a tree (more than its rows, so copies cost less than
-#: the queries that need them), entries of a page.
-TREE, BLOCK, PAGE = 4096, 8192, 128
+#: Least and most leaves of the root pages of a length: a bounded sample (rows of smallest id hash), about
+#: one for each tree's worth of rows between the two, of at most VALUES numbers; every row is indexed.
+PIVOTS = 16, 65536
+#: Numbers, and at most rows, of a tree: a visit is a row that is moved, so trees are as large as a
+#: task can well hold. Queries that meet one copy of a tree, entries of a page.
+VALUES, TREE, BLOCK, PAGE = 1 << 22, 65536, 65536, 128
 #: Bounds are loosened by this share of the lengths, far above the rounding of doubles.
 SLACK = 1e-9
 
@@ -122,12 +122,6 @@ def _stack(series: pd.Series) -> np.ndarray:
     return np.stack(series.to_list()).astype(np.int64)
 
 
-def _root_page(rows: DataFrame, n: int, longest: float) -> np.ndarray:
-    few = min(max(PIVOTS[0], n // TREE), PIVOTS[1])
-    sample = rows.orderBy(F.xxhash64("vec_id", "ints")).limit(few).select("ints").toPandas()
-    return np.unique(_augmented(_stack(sample["ints"]), longest), axis=0)
-
-
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     d = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T)
     return np.sqrt(np.maximum(d, 0))
@@ -144,28 +138,137 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, vector: str = "embe
 
     Of rows with equal vectors, which tie everywhere, only the k + 1 smallest vec_ids can be in a
     result, so a very common vector does not gather anywhere. A query goes to its nearest tree first,
-    then to all others that can hold a better row than the k it has found. Large shares are several
-    trees, and each (tree, block of its queries) is a group of bounded size.
+    then to all others that can hold a better row than the k it has found. A ball of too many rows is several
+    trees, and each (tree, block of its queries) is a group of bounded size. Vectors of all lengths
+    are searched in one plan.
     """
     rows = vectors.select("vec_id", integers(F.col(vector)).alias("ints")).where("ints is not null")
     rows = cut(rows.withColumns({"dim": F.size("ints"), "norm": F.aggregate("ints", F.lit(0.0), lambda s, x: s + x.cast("double") * x)}))
-    results = [_of_length(rows, r["dim"], r["n"], r["longest"], k, every) for r in rows.groupBy("dim").agg(F.count("*").alias("n"), F.max("norm").alias("longest")).collect()]
-    if not results:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    out = results[0]
-    for df in results[1:]:
-        out = out.union(df)
-    return out
+    pages = _root_pages(rows)
+    data = _in_trees(rows, pages, k)
+
+    distinct = cut(rows.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id"), F.col("ints").alias("query")).agg(F.count("*").alias("times")))
+    of, visits = ["query_id", "query"], _planner(pages, k)
+    planned = lambda q, known, first: q.select(*of, F.explode(F.filter(visits("query", known), lambda v: v["first"] == first)).alias("v")).select(*of, "v.*")
+    found = cut(_searched(planned(distinct, F.lit(float("inf")), True), data, k))
+    # the k-th distance found, loosened by far more than rounding; without k rows nothing is bounded
+    norm = F.aggregate("query", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+    kth = found.groupBy(of).agg(F.count("*").alias("n"), F.min("score").alias("worst"), F.first("longest").alias("longest"))
+    far = F.sqrt(F.greatest(F.lit(0.0), F.col("longest") + norm - 2 * F.col("worst").cast("double"))) + 1e-6 * F.sqrt(F.col("longest") + norm)
+    bounded = distinct.join(broadcast_if_small(cut(kth)), of, "left").withColumn("known", F.when(F.col("n") >= k, far).otherwise(float("inf")))
+    more = _searched(planned(bounded.select(*of, "known"), F.col("known"), False), data, k)
+    best = Window.partitionBy(of).orderBy(F.desc("score"), "missing", "vec_id")
+    ranked = found.unionByName(more).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    times = broadcast_if_small(distinct.select(*of, "times"))
+    ranked = ranked.join(times, of).withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    return ranked.select("query_id", "rank", F.when(~F.col("missing"), F.col("vec_id")).alias("vec_id"), "score")
+
+
+def _tree_rows(dim: int) -> int:
+    return min(TREE, max(PAGE, VALUES // max(1, dim)))
+
+
+class Page:
+    """The root page and the one below it, for vectors of one length: routing objects, and under each its leaves.
+
+    Leaves are sampled rows, a part of which are the routing objects; a leaf keeps its distance to
+    its routing object, the radius that covers its rows and the number of trees that hold them.
+    """
+
+    def __init__(self, leaves: np.ndarray, longest: float):
+        self.longest, self.offset = longest, 0
+        roots = leaves[: int(np.ceil(np.sqrt(len(leaves))))]
+        parent = _distances(leaves, roots).argmin(axis=1)
+        order = np.argsort(parent, kind="stable")
+        self.roots, self.leaves, self.parent = roots, leaves[order], parent[order]
+        self.own = np.linalg.norm(self.leaves - roots[self.parent], axis=1)
+        self.starts = np.searchsorted(self.parent, np.arange(len(roots) + 1))
+        self.radius, self.trees = np.full(len(leaves), -1.0), np.zeros(len(leaves), dtype=int)
+
+    def nearest(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest leaf of the nearest routing object, and its distance, for each row."""
+        root = _distances(rows, self.roots[np.diff(self.starts) > 0]).argmin(axis=1)
+        used = np.flatnonzero(np.diff(self.starts) > 0)
+        leaf = np.zeros(len(rows), dtype=np.int64)
+        for r in np.unique(root):
+            mine, a, b = root == r, self.starts[used[r]], self.starts[used[r] + 1]
+            leaf[mine] = a + _distances(rows[mine], self.leaves[a:b]).argmin(axis=1)
+        return leaf, np.linalg.norm(rows - self.leaves[leaf], axis=1)
+
+    def plan(self, ints: np.ndarray, known: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each query the leaves that may hold a row within ``known``, its bound and its first leaf."""
+        q = ints.astype(np.float64)
+        # queries aren't on the sphere of the data: their last component is 0
+        flat = np.column_stack([q, np.zeros(len(q))])
+        to_roots = _distances(flat, self.roots)
+        bound = known.copy()
+        some = self.roots if len(self.roots) > k else self.leaves
+        if len(some) > k:  # these are data: the k+1 nearest (one may be the query) bound the k-th distance from above
+            near = some[np.argpartition(_distances(flat, some), k, axis=1)[:, : k + 1]] - flat[:, None, :]
+            bound = np.minimum(bound, np.linalg.norm(near, axis=2).max(axis=1))
+        # distances come from a difference of squares, which loses digits when they are small
+        within = bound + 1e-6 * np.sqrt(self.longest + (q * q).sum(axis=1))
+        hit = np.zeros((len(q), len(self.leaves)), dtype=bool)
+        closest, first = np.full(len(q), np.inf), np.zeros(len(q), dtype=np.int64)
+        last = to_roots.argmin(axis=1)  # the first leaf is looked for under the nearest routing object
+        for r, (a, b) in enumerate(zip(self.starts[:-1], self.starts[1:], strict=True)):
+            filled = self.trees[a:b] > 0
+            if not filled.any():
+                continue
+            # |d(q, parent) - d(leaf, parent)| - radius bounds the distance of a leaf's rows from below
+            may = (np.abs(to_roots[:, r, None] - self.own[a:b]) - self.radius[a:b] <= within[:, None]) & filled
+            rows = np.flatnonzero(may.any(axis=1) | (last == r) | (closest == np.inf))
+            if not len(rows):
+                continue
+            d = np.where(filled, _distances(flat[rows], self.leaves[a:b]), np.inf)
+            hit[rows, a:b] = may[rows] & (d - self.radius[a:b] <= within[rows, None])
+            best, at = d.min(axis=1), a + d.argmin(axis=1)
+            better = (best < closest[rows]) | ((last[rows] == r) & np.isfinite(best))
+            closest[rows[better]] = np.where(last[rows[better]] == r, -np.inf, best[better])
+            first[rows[better]] = at[better]
+        hit[np.arange(len(q)), first] = True
+        return hit, bound, first
+
+
+def _by_length(ints: pd.Series) -> list[tuple[int, np.ndarray]]:
+    sizes = ints.map(len).to_numpy()
+    return [(int(d), np.flatnonzero(sizes == d)) for d in np.unique(sizes)]
+
+
+def _root_pages(rows: DataFrame) -> dict[int, Page]:
+    """The pages of every length of vectors, from one sample of all lengths.
+
+    A row is in the sample by its hash, about twice as many as leaves are wanted; equal rows are one.
+    """
+    sizes = {r["dim"]: r for r in rows.groupBy("dim").agg(F.count("*").alias("n"), F.max("norm").alias("longest")).collect()}
+    few = {d: min(max(PIVOTS[0], r["n"] // _tree_rows(d)), PIVOTS[1], max(PIVOTS[0], VALUES // max(1, d))) for d, r in sizes.items()}
+    share = {d: min(1.0, 2 * few[d] / r["n"] + 16 / r["n"]) for d, r in sizes.items()}
+
+    @F.pandas_udf("double")
+    def wanted(dim: pd.Series) -> pd.Series:
+        return dim.map(share).astype(float)
+
+    at = F.xxhash64("vec_id", "ints")
+    drawn = rows.select("dim", "ints", at.alias("at")).where(F.pmod("at", F.lit(1 << 30)) / float(1 << 30) < wanted("dim"))
+    sample = drawn.distinct().toPandas().sort_values("at")
+    pages, offset = {}, 0
+    for d in sorted(sizes):
+        mine = sample[sample["dim"] == d]["ints"]
+        leaves = _augmented(_stack(mine), sizes[d]["longest"]) if len(mine) else np.zeros((1, d + 1))
+        _, once = np.unique(leaves, axis=0, return_index=True)
+        page = pages[d] = Page(leaves[np.sort(once)][: few[d]], sizes[d]["longest"])
+        page.offset, offset = offset, offset + len(page.leaves)
+    return pages
 
 
 def _ids(df: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return df["missing"].to_numpy(dtype=bool), df["vec_id"].to_numpy()
 
 
-def _searched(visits: DataFrame, data: DataFrame, longest: float, k: int) -> DataFrame:
-    """query_id, query, score, missing, vec_id: the k best rows of each tree for each of its visits.
+def _searched(visits: DataFrame, data: DataFrame, k: int) -> DataFrame:
+    """query_id, query, score, missing, vec_id, longest: the k best rows of each tree for each of its visits.
 
-    visits: query_id, query, pivot, tree, bound; data: vec_id, missing, ints, pivot, tree. A tree is
+    visits: query_id, query, pivot, tree, bound; data: vec_id, missing, ints, pivot, tree, longest. A tree is
     copied once for each BLOCK of its own visits.
     """
     tree = ["pivot", "tree"]
@@ -173,13 +276,14 @@ def _searched(visits: DataFrame, data: DataFrame, longest: float, k: int) -> Dat
     n = broadcast_if_small(n)
     visits = visits.join(n, tree).withColumn("block", F.pmod(F.hash("query_id", "query"), "blocks"))
     data = data.join(n, tree).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    data = data.select("vec_id", "missing", "ints", *(F.col(c).alias(f"in_{c}") for c in (*tree, "block")))
+    data = data.select("vec_id", "missing", "ints", "longest", *(F.col(c).alias(f"in_{c}") for c in (*tree, "block")))
 
     def search(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(rows):
             rows = rows.sort_values(["missing", "vec_id"]).reset_index(drop=True)
             ints, (missing, ids) = _stack(rows["ints"]), _ids(rows)
+            longest = float(rows["longest"].iloc[0])
             index = Tree(ints, longest)
             for q, v, bound in zip(queries["query_id"], queries["query"], queries["bound"], strict=True):
                 v = np.asarray(v, dtype=np.int64)
@@ -190,70 +294,63 @@ def _searched(visits: DataFrame, data: DataFrame, longest: float, k: int) -> Dat
                 at = np.delete(at, own[:1])
                 score = ints[at] @ v
                 best = np.argsort(-score, kind="stable")[:k]
-                out += [(q, v, int(score[b]), bool(missing[at[b]]), int(ids[at[b]])) for b in best]
-        return pd.DataFrame(out, columns=["query_id", "query", "score", "missing", "vec_id"])
+                out += [(q, v, int(score[b]), bool(missing[at[b]]), int(ids[at[b]]), longest) for b in best]
+        return pd.DataFrame(out, columns=["query_id", "query", "score", "missing", "vec_id", "longest"])
 
     keys = [*tree, "block"]
-    schema = "query_id long, query array<long>, score long, missing boolean, vec_id long"
+    schema = "query_id long, query array<long>, score long, missing boolean, vec_id long, longest double"
     return visits.groupBy(keys).cogroup(data.groupBy([f"in_{c}" for c in keys])).applyInPandas(search, schema)
 
 
-def _of_length(rows: DataFrame, dim: int, n: int, longest: float, k: int, every: int) -> DataFrame:
-    rows = rows.where(F.col("dim") == dim)
-    pivots = _root_page(rows, n, longest)
+def _in_trees(rows: DataFrame, pages: dict[int, Page], k: int) -> DataFrame:
+    """vec_id, missing, ints, pivot, tree, longest of the rows that can be in a result; fills radii and trees of the pages."""
     few = Window.partitionBy("ints").orderBy(F.col("vec_id").asc_nulls_last())
     data = rows.withColumn("copy", F.row_number().over(few)).where(F.col("copy") <= k + 1)
 
     @F.pandas_udf("pivot int, far double")
     def nearest(ints: pd.Series) -> pd.DataFrame:
-        v = _augmented(_stack(ints), longest)
-        pivot = _distances(v, pivots).argmin(axis=1)
-        return pd.DataFrame({"pivot": pivot.astype(np.int32), "far": np.linalg.norm(v - pivots[pivot], axis=1)})
+        pivot, far = np.zeros(len(ints), np.int32), np.zeros(len(ints))
+        for dim, at in _by_length(ints):
+            page = pages[dim]
+            leaf, far[at] = page.nearest(_augmented(_stack(ints.iloc[at]), page.longest))
+            pivot[at] = page.offset + leaf
+        return pd.DataFrame({"pivot": pivot, "far": far})
 
     missing = F.col("vec_id").isNull()
-    data = data.select(F.coalesce("vec_id", F.lit(0)).alias("vec_id"), missing.alias("missing"), "copy", "ints", nearest("ints").alias("p"))
-    data = cut(data.select("vec_id", "missing", "copy", "ints", "p.*"))
-    page = data.groupBy("pivot").agg(F.count("*").alias("n"), F.max("far").alias("radius")).toPandas()  # a row for each pivot
-    radius, trees = np.full(len(pivots), -1.0), np.zeros(len(pivots), dtype=int)
-    radius[page["pivot"]], trees[page["pivot"]] = page["radius"], -(-page["n"] // TREE)
-    share = F.element_at(F.array(*(F.lit(max(1, int(t))) for t in trees)), F.col("pivot") + 1)
-    data = data.withColumn("tree", F.pmod(F.hash("vec_id", "copy"), share)).drop("copy")
+    data = data.select(F.coalesce("vec_id", F.lit(0)).alias("vec_id"), missing.alias("missing"), "copy", "ints", "dim", nearest("ints").alias("p"))
+    data = cut(data.select("vec_id", "missing", "copy", "ints", "dim", "p.*"))
+    for r in data.groupBy("dim", "pivot").agg(F.count("*").alias("n"), F.max("far").alias("radius")).collect():  # a row for each leaf
+        page = pages[r["dim"]]
+        leaf = r["pivot"] - page.offset
+        page.radius[leaf], page.trees[leaf] = r["radius"], -(-r["n"] // _tree_rows(r["dim"]))
+    trees = np.concatenate([p.trees for p in pages.values()]) if pages else np.zeros(0, int)
+    split = {int(i): int(trees[i]) for i in np.flatnonzero(trees > 1)}
+    lengths = {d: p.longest for d, p in pages.items()}
+
+    @F.pandas_udf("shares int, longest double")
+    def facts(pivot: pd.Series, dim: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"shares": [split.get(p, 1) for p in pivot], "longest": [lengths[d] for d in dim]})
+
+    data = data.withColumn("f", facts("pivot", "dim"))
+    return data.select("vec_id", "missing", "ints", "pivot", F.pmod(F.hash("vec_id", "copy"), F.col("f.shares")).alias("tree"), F.col("f.longest").alias("longest"))
 
+
+def _planner(pages: dict[int, Page], k: int):
     visit = T.ArrayType(T.StructType([T.StructField("pivot", T.IntegerType()), T.StructField("tree", T.IntegerType()), T.StructField("bound", T.DoubleType()), T.StructField("first", T.BooleanType())]))
 
     @F.pandas_udf(visit)
     def visits(ints: pd.Series, known: pd.Series) -> pd.Series:
-        """The trees that may hold a row within ``known``; the first is one of the nearest pivot with rows."""
-        q = _stack(ints).astype(np.float64)
-        # queries aren't on the sphere of the data: their last component is 0
-        flat = np.column_stack([q, np.zeros(len(q))])
-        d = _distances(flat, pivots)
-        bound = known.to_numpy(dtype=np.float64)
-        if len(pivots) > k:  # pivots are data: the k+1 nearest (one may be the query) bound the k-th distance from above
-            some = pivots[np.argpartition(d, k, axis=1)[:, : k + 1]] - flat[:, None, :]
-            bound = np.minimum(bound, np.linalg.norm(some, axis=2).max(axis=1))
-        # d comes from a difference of squares, which loses digits when it is small
-        loose = 1e-6 * np.sqrt(longest + (q * q).sum(axis=1))
-        nearest = np.where(trees > 0, d, np.inf).argmin(axis=1)
-        hit = (d - radius <= (bound + loose)[:, None]) & (trees > 0)
-        hit[np.arange(len(q)), nearest] = True
-        return pd.Series([[(int(p), t, float(b), bool(p == f and t == 0)) for p in np.nonzero(h)[0] for t in range(trees[p])] for h, b, f in zip(hit, bound, nearest, strict=True)])
-
-    distinct = cut(rows.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id"), F.col("ints").alias("query")).agg(F.count("*").alias("times")))
-    of = ["query_id", "query"]
-    planned = lambda q, known, first: q.select(*of, F.explode(F.filter(visits("query", known), lambda v: v["first"] == first)).alias("v")).select(*of, "v.*")
-    found = cut(_searched(planned(distinct, F.lit(float("inf")), True), data, longest, k))
-    # the k-th distance found, loosened by far more than rounding; without k rows nothing is bounded
-    norm = F.aggregate("query", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
-    kth = found.groupBy(of).agg(F.count("*").alias("n"), F.min("score").alias("worst"))
-    far = F.sqrt(F.greatest(F.lit(0.0), F.lit(longest) + norm - 2 * F.col("worst").cast("double"))) + 1e-6 * F.sqrt(F.lit(longest) + norm)
-    bounded = distinct.join(broadcast_if_small(cut(kth)), of, "left").withColumn("known", F.when(F.col("n") >= k, far).otherwise(float("inf")))
-    more = _searched(planned(bounded.select(*of, "known"), F.col("known"), False), data, longest, k)
-    best = Window.partitionBy(of).orderBy(F.desc("score"), "missing", "vec_id")
-    ranked = found.unionByName(more).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    times = broadcast_if_small(distinct.select(*of, "times"))
-    ranked = ranked.join(times, of).withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
-    return ranked.select("query_id", "rank", F.when(~F.col("missing"), F.col("vec_id")).alias("vec_id"), "score")
+        """The trees that may hold a row within ``known``; the first is that of the nearest leaf."""
+        out: list = [[] for _ in range(len(ints))]
+        for dim, at in _by_length(ints):
+            page = pages[dim]
+            for some in np.array_split(at, -(-len(at) // 256)):
+                hits, bounds, firsts = page.plan(_stack(ints.iloc[some]), known.iloc[some].to_numpy(dtype=np.float64), k)
+                for i, hit, bound, first in zip(some, hits, bounds, firsts, strict=True):
+                    out[i] = [(int(page.offset + leaf), t, float(bound), bool(leaf == first and t == 0)) for leaf in np.flatnonzero(hit) for t in range(page.trees[leaf])]
+        return pd.Series(out)
+
+    return visits
 
 
 ORACLE = """

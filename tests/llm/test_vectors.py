@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +125,60 @@ def test_tree_skips_pages():
     assert np.mean(made) < 2000
 
 
+def visited(spark, v, monkeypatch, tree):
+    """Visits planned with the k-th distance known, queries, trees."""
+    monkeypatch.setattr(mtree, "TREE", tree)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, ints array<long>")
+    rows = rows.withColumns({"dim": F.size("ints"), "norm": F.aggregate("ints", F.lit(0.0), lambda s, x: s + x.cast("double") * x)})
+    pages = mtree._root_pages(rows)
+    trees = mtree._in_trees(rows, pages, 10).select("pivot", "tree").distinct().count()
+    longest = float((v * v).sum(axis=1).max())
+    q = v[::50]
+    kth = np.sort(q @ v.T, axis=1)[:, -11]
+    known = np.sqrt(np.maximum(0, longest + (q * q).sum(axis=1) - 2 * kth))
+    asked = spark.createDataFrame([(x.tolist(), float(b)) for x, b in zip(q, known)], "query array<long>, known double")
+    plans = asked.select(mtree._planner(pages, 10)("query", "known").alias("v")).collect()
+    assert all(sum(t["first"] for t in r["v"]) == 1 for r in plans)
+    return sum(len(r["v"]) for r in plans), len(q), trees
+
+
+def test_clustered_vectors_are_visited_in_few_trees(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    centers = r.standard_normal((30, 16))
+    centers *= 1000 / np.linalg.norm(centers, axis=1, keepdims=True)
+    v = (centers[r.integers(0, 30, 3000)] + r.standard_normal((3000, 16)) * 4).astype(np.int64)
+    visits, queries, trees = visited(spark, v, monkeypatch, 60)
+    assert trees >= 30 and visits < 0.25 * queries * trees
+
+
+def test_many_lengths_are_one_plan(spark):
+    """Sixty lengths, some of a single vector, in as many jobs as one length takes."""
+    r = np.random.default_rng(5)
+    rows = [(i, [float(np.float32(x)) for x in r.standard_normal(i % 60)]) for i in range(0, 900)] + [(1000, [0.5] * 75)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert top(df) == plain_top(rows)
+
+
+def test_embedding_sql_on_planted_clusters(spark):
+    """op4 and its SQL on tables that do hold links: clusters, copies, chains, odd vectors."""
+    import duckdb
+
+    from millrace.llm import queries
+
+    r = np.random.default_rng(6)
+    v = np.repeat(r.standard_normal((40, 32)), 5, axis=0) + r.standard_normal((200, 32)) * 0.1
+    v = np.concatenate([v, v[:20], r.standard_normal((300, 32))]).astype(np.float32)
+    rows = pd.DataFrame({"vec_id": np.arange(len(v)), "embedding": [x.tolist() for x in v]})
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows).select("vec_id", F.col("embedding").cast("array<float>").alias("embedding")), recall=0.999999).toPandas()
+    con = duckdb.connect()
+    con.register("raw", rows)
+    con.execute("create view embeddings as select vec_id, embedding::float[] as embedding from raw")
+    want = con.execute(queries.ORACLE_SQL["op4_embedding_dedup"]).df()
+    columns = sorted(want.columns)
+    assert want.n_links.sum() > 500
+    assert sorted(map(tuple, got[columns].to_numpy().tolist())) == sorted(map(tuple, want[columns].to_numpy().tolist()))
+
+
 def plain_top(rows, k=10):
     """Every row but the query's own is a candidate, whatever its vec_id."""
     ints = lambda v: tuple(int(np.floor(1024 * np.float64(np.float32(x)))) for x in v)
