@@ -81,3 +81,18 @@ def test_empty_tables(spark, tmp_path):
     rows = resumable.cached(spark, f"{tmp_path}/cache", PAYLOAD)
     none = spark.createDataFrame([], WANTED)
     assert rows.count() == 0 and resumable.standing(none, rows).count() == 0 and resumable.to_compute(none, rows).count() == 0
+
+
+def test_no_table_of_whole_recordings_is_written(spark, sf):
+    """A column of whole files in Parquet is written and read by the hundred; files are built again instead."""
+    from pyspark.sql import DataFrameWriter
+
+    from millrace.plans import catalogue
+
+    written, write = [], DataFrameWriter.parquet
+    try:
+        DataFrameWriter.parquet = lambda self, path, *a, **b: (written.append(self._df.columns), write(self, path, *a, **b))[1]
+        assert catalogue.QUERIES["resumable_windows"](spark, sf).count() > 0
+    finally:
+        DataFrameWriter.parquet = write
+    assert written and not any("content" in c for c in written)
