@@ -506,6 +506,32 @@ def test_resampled_ap_is_that_of_each_resample(spark, monkeypatch):
             assert got[m, b] == (want if want is None else pytest.approx(want))
 
 
+def test_sums_above_parts_take_no_row_of_counts_each(monkeypatch):
+    """Memory goes with clusters and a block of resamples, not with rows times resamples."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    part, place = np.repeat(np.arange(40), 500), np.tile(np.arange(500), 40)
+    pos, n, counts = rng.integers(0, 3, 20000).astype(float), np.ones(20000), rng.integers(0, 3, (500, 300)).astype(np.int16)
+    monkeypatch.setattr(bootstrap, "_SUMS", 3000)
+    tracemalloc.start()
+    got = {p: (tp, cn) for p, tp, cn in bootstrap._above(part, place, pos, n, counts)}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4e6 < 20000 * 300 and sorted(got) == list(range(40))
+    for p in (0, 17, 39):
+        over = part > p
+        assert got[p][0] == pytest.approx(pos[over] @ counts[place[over]]) and got[p][1] == pytest.approx(n[over] @ counts[place[over]])
+
+
+def test_lines_move_once_for_all_pooled_scores(spark, sf):
+    from millrace.plans import grounding
+
+    plan = grounding.scored(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    moves = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert moves and not any("class#" in line for line in moves), plan
+
+
 def test_top_share_breaks_ties_by_order(spark, monkeypatch):
     monkeypatch.setattr(metrics, "PART", 2)
     rng = np.random.default_rng(0)
