@@ -156,7 +156,8 @@ def seeded_cache(hashes: DataFrame, written_ns: int, listing: DataFrame, files:
     """
     vouched = listing.where("hash is not null").select("hash", "size").distinct()
     there = files.where(F.col("ctime_ns") < written_ns)
-    return hashes.join(there, "name").join(vouched, ["hash", "size"], "left_semi").select("name", "size", "mtime_ns", "hash")
+    # a hash has few sizes, a name may have very many files: the size narrows the join by name
+    return hashes.join(vouched, "hash").join(there, ["name", "size"]).select("name", "size", "mtime_ns", "hash")
 
 
 def is_batch_name(name: Column) -> Column:
