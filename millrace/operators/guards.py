@@ -30,14 +30,17 @@ def restricted(rows: DataFrame, regimes: Sequence[str] | None, regime: str = "re
     return rows.where(F.col(regime).isin(list(regimes)))
 
 
-def cache_faults(instances: DataFrame, cache: DataFrame) -> DataFrame:
+def cache_faults(instances: DataFrame, cache: DataFrame, parts: int | None = None) -> DataFrame:
     """(instance_id, bag_id, win_idx) and (instance_id, done) -> fault, at, n: what keeps a cache from standing for the instances.
 
     missing and unexpected ids and rows not done are counted by bag (null where only the cache has
     the id); gap: windows of a bag that aren't 0, 1, ...; repeated: ids that the cache holds twice.
+    ``parts``: partitions of the ids, which Spark doesn't coalesce then.
     """
+    dealt = lambda df: df.repartition(parts, "instance_id") if parts else df
+    cache = dealt(cache)
     held = cache.groupBy("instance_id").agg(F.count("*").alias("copies"), F.min(F.coalesce("done", F.lit(False)).cast("int")).alias("done"))
-    both = instances.select("instance_id", "bag_id", F.lit(1).alias("wanted")).join(held, "instance_id", "full")
+    both = instances.select("instance_id", "bag_id", F.lit(1).alias("wanted")).transform(dealt).join(held, "instance_id", "full")
     kind = (
         F.when(F.col("copies").isNull(), "missing").when(F.col("wanted").isNull(), "unexpected")
         .when(F.col("copies") > 1, "repeated").when(F.col("done") == 0, "not done")
@@ -59,12 +62,14 @@ def load_bags(bags: DataFrame, instances: DataFrame, vector: str = "vector") ->
     return bags.join(own.select("bag_id", "n_windows", F.transform("w", lambda s: s[vector]).alias("vectors")), "bag_id")
 
 
-def model_faults(predictions: DataFrame, bags: DataFrame, dataset_id: str, model: Sequence[str]) -> DataFrame:
+def model_faults(predictions: DataFrame, bags: DataFrame, dataset_id: str, model: Sequence[str], parts: int | None = None) -> DataFrame:
     """(model, dataset_id, bag_id) -> model, n_missing, n_extra, n_repeated, n_other: models that don't cover the bags once each.
 
-    n_other counts rows of another dataset. Models without a fault have no row.
+    n_other counts rows of another dataset. Models without a fault have no row. ``parts``: partitions of
+    the bags, which Spark doesn't coalesce then.
     """
-    known = bags.select("bag_id").distinct()
+    dealt = lambda df: df.repartition(parts, "bag_id") if parts else df
+    known, predictions = dealt(bags.select("bag_id")).distinct(), dealt(predictions)
     total = known.agg(F.count("*").alias("total"))
     rows = predictions.groupBy(*model, "bag_id").agg(F.count("*").alias("copies"), F.count_if(~F.col("dataset_id").eqNullSafe(F.lit(dataset_id))).alias("other"))
     seen = rows.join(known.withColumn("known", F.lit(1)), "bag_id", "left")

@@ -639,3 +639,37 @@ def test_decoding_tells_regimes_apart(spark):
     assert len(got) == 3 and all(r["auc"] > 0.9 and r["balanced_accuracy"] > 0.8 and r["n"] == 80 for r in got)
     assert sum(r["n"] for r in decoding.regime_decoding(df, 3, months=[1]).collect()) == sum(r[3].month == 1 for r in rows)
     assert decoding.regime_decoding(df, 3, months=[7]).count() == 0
+
+
+def test_weights_stand_for_rows(spark):
+    """Metrics and resamples of summed rows are those of the rows; sums by cluster, and no row, go into a recall's shares."""
+    rng = np.random.default_rng(8)
+    rows = [("mk"[i % 2], i % 3, "ab"[i % 2], int(rng.integers(0, 6)), float(np.round(rng.random(), 1)), int(rng.random() < 0.4)) for i in range(240)]
+    df = spark.createDataFrame(rows, "m string, fold int, stratum string, cluster int, score double, y int").withColumn("class", F.lit(0))
+    keys, n = ["m", "class"], F.col("n")
+    few = metrics.tied(df, [*keys, "fold", "stratum", "cluster", "y"])
+    assert few.count() < 240 and few.agg(F.sum("n")).first()[0] == 240
+    drawn = bootstrap.draws(df, 7)
+    plain = lambda t: [tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in sorted(map(tuple, t.collect()), key=str)]
+    assert plain(metrics.cutoff(few, ["m"], 0.5, n)) == plain(metrics.cutoff(df, ["m"], 0.5))
+    assert plain(metrics.recall_at_precision(few, few, keys, 0.5, weight=n)) == plain(metrics.recall_at_precision(df, df, keys, 0.5))
+    assert plain(bootstrap.resampled_ap(few, drawn, keys, n)) == plain(bootstrap.resampled_ap(df, drawn, keys))
+    assert plain(reports.recall_table(few, few, drawn, [0.4, 0.5], "m", "m", weight=n)) == plain(reports.recall_table(df, df, drawn, [0.4, 0.5], "m", "m"))
+
+
+def test_tasks_hold_a_bounded_number_of_lines(spark, sf, monkeypatch):
+    from millrace.plans import grounding
+
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    monkeypatch.setattr(grounding, "LINES", lines // 10)
+    assert grounding.wide_instances(spark, sf).rdd.getNumPartitions() >= 10
+
+
+def test_seeded_cache_joins_by_size_too(spark):
+    hashes = spark.createDataFrame([("a", "h1"), ("a", "h2"), ("b", "h1"), ("a", "h1")], "name string, hash string")
+    files = spark.createDataFrame([("a", 1, 5, 1), ("a", 2, 6, 1), ("b", 1, 7, 9)], "name string, size long, mtime_ns long, ctime_ns long")
+    listing = spark.createDataFrame([("h1", 1), ("h1", 1), ("h2", 2), (None, 1)], "hash string, size long")
+    out = ingest.seeded_cache(hashes, 6, listing, files)
+    assert sorted(map(tuple, out.collect())) == [("a", 1, 5, "h1"), ("a", 1, 5, "h1"), ("a", 2, 6, "h2")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan  # the join by name alone made every pair of files of a name
