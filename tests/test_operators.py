@@ -2,6 +2,7 @@
 
 import datetime as dt
 import io
+import math
 import wave
 
 import numpy as np
@@ -673,3 +674,28 @@ def test_seeded_cache_joins_by_size_too(spark):
     assert sorted(map(tuple, out.collect())) == [("a", 1, 5, "h1"), ("a", 1, 5, "h1"), ("a", 2, 6, "h2")]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" not in plan  # the join by name alone made every pair of files of a name
+
+
+def test_points_cells_and_cutoffs_of_one_move(spark, monkeypatch):
+    """Rows aren't copied for cells, points come with the resamples, and several precisions have one ranking; in many parts."""
+    monkeypatch.setattr(bootstrap, "ROWS", 20)
+    monkeypatch.setattr(metrics, "PART", 20)
+    rng = np.random.default_rng(3)
+    rows = [(f"m{i % 2}", "s", int(i % 9), int(i // 2 % 4), float(round(rng.normal(), 1)), int(rng.random() < 0.3)) for i in range(400)]
+    df = spark.createDataFrame(rows, "m string, stratum string, cluster int, lvl int, score double, y int")
+    drawn = bootstrap.draws(df.where("cluster < 8"), 5)  # cluster 8 is never drawn and counts for the points alone
+    cells = reports.level_cells(3)
+    points, boots = bootstrap.point_and_resamples(df, drawn, ["m"], cells=cells)
+    celled = reports.in_cells(df, 3, regime="stratum", kinds=["level"])
+    plain = lambda d, by: {tuple(r[c] for c in by): r["ap"] for r in d.collect()}
+    for got, want, by in ((points, metrics.average_precision(celled, ["m", "cell"]), ["m", "cell"]), (boots, bootstrap.resampled_ap(celled, drawn, ["m", "cell"]), ["m", "cell", "b"])):
+        got, want = plain(got, by), plain(want, by)
+        assert got.keys() == want.keys() and len(got) == 6 * (5 if "b" in by else 1)
+        assert all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in got)
+    cuts = {(r["m"], r["at"]): r["cutoff"] for r in metrics.cutoffs(df, ["m"], [0.3, 0.4]).collect()}
+    at = metrics.running(metrics.tie_groups(df, ["m"]), ["m"], 1)
+    for p in (0.3, 0.4):
+        for r in at.groupBy("m").agg(F.min(F.when(F.col("ctp") / F.col("cn") >= p, F.col("score"))).alias("c")).collect():
+            assert cuts[r["m"], p] == r["c"]
+    few = spark.createDataFrame([(s / 2, [0.0, 1.0, 1.0, 2.0]) for s in range(-2, 7)] + [(1.0, None)], "score double, _cuts array<double>")
+    assert [r["part"] for r in metrics.with_part(few, most=5).collect()] == [0, 0, 0, 1, 1, 3, 3, 4, 4, 0]
