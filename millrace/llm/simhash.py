@@ -5,9 +5,10 @@
 bits of at least one mask: no pair within the radius is lost, whatever the data. ``components``
 links fingerprints within the radius through those masks, ``near_duplicates`` adds documents.
 
-``similar_groups`` is the same idea for a Jaccard similarity: fingerprints of min-wise samples of
-a text's shingles fall together with a probability that rises with the similarity, and proposed
-pairs are checked against both whole texts.
+``similar_groups`` adds a Jaccard similarity: texts meet where the fingerprints of whole texts agree
+on a covering mask, and, because less similar texts differ in more bits, where fingerprints of min-wise
+samples fall together, with a probability that rises with the similarity. Pairs that meet are
+checked against both whole texts.
 """
 
 from __future__ import annotations
@@ -214,20 +215,28 @@ def remaining(rows: DataFrame, named: DataFrame, words: int, similarity: float)
     return cells.join(texts, "key").select(*cell, "component", "hashes").groupBy(cell).applyInArrow(links_of, "a string, b string").distinct()
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = TABLES, sample: int = SAMPLE) -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = TABLES, sample: int = SAMPLE, radius: int | None = None) -> DataFrame:
     """Distinct texts, by md5 (key), -> (key, component): groups of similarity ``similarity`` or more.
 
-    Two texts link if they meet in a bucket of equal sample fingerprints and the Jaccard similarity of
-    their whole word shingles reaches ``similarity``; no pair that meets is left out. First each bucket
+    Two texts link if they meet in a bucket and the Jaccard similarity of their whole word shingles
+    reaches ``similarity``; no pair that meets is left out. They meet where their sample fingerprints in one
+    of ``tables`` are equal and, with a ``radius``, where the SimHash fingerprints of the whole texts, if they
+    differ in no more bits, agree on a covering mask. First each bucket
     proposes, for every member, the bucket's hub (the member that meets most others in all tables,
     such as the text that the others were made from), which joins most groups in time linear in the
     members. Buckets that then still hold texts of several groups are compared whole (``remaining``).
     Texts without words take no part (they are grouped only if equal). Null texts count as empty.
     """
 
+    masks = [] if radius is None else covering_masks(radius)
+
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def sampled(texts: pa.Array) -> pa.Array:
-        return pa.array([sample_fingerprints(h, tables, sample) if len(h := hashes(t, words)) else [] for t in utf8(texts)], pa.list_(pa.int64()))
+        def of(h: np.ndarray) -> list[int]:
+            fp = majority(h) if masks else 0
+            return [*(fp & m for m in masks), *sample_fingerprints(h, tables, sample)]
+
+        return pa.array([of(h) if len(h := hashes(t, words)) else [] for t in utf8(texts)], pa.list_(pa.int64()))
 
     @F.arrow_udf(T.DoubleType())
     def jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -265,16 +274,18 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tab
     return labels.select("key", F.coalesce("whole", "component").alias("component"))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
+def keep_one(docs: DataFrame, radius: int = 2, **options) -> DataFrame:
     """docs without near duplicates: of each group of ``similar_groups`` the smallest doc_id stays.
 
+    Whole texts within ``radius`` bits of each other by SimHash meet, as less similar ones do by their samples.
+
     Rows with equal texts are one group, empty and null texts too (null is not told from empty).
     A null doc_id stays only in a group without another; of rows alike in doc_id and text one stays,
     the first by its JSON. Rows are told by text and id together, so copies of one text never meet.
     """
     key = F.md5(F.coalesce("text", F.lit("")))
     ids = cut(docs.select(key.alias("key"), "doc_id").groupBy("key", "doc_id").agg(F.count("*").alias("rows")))
-    found = similar_groups(docs, **options)
+    found = similar_groups(docs, radius=radius, **options)
     grouped = ids.groupBy("key").agg(F.min("doc_id").alias("first")).join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
     # in each group the text whose smallest doc_id is smallest; nulls last, ties to the smaller key
     chosen = grouped.groupBy("component").agg(F.min_by(F.struct("key", "first"), F.struct(F.col("first").isNull(), "first", "key")).alias("c"))

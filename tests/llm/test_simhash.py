@@ -138,6 +138,20 @@ def test_similar_groups_find_near_copies_and_nothing_else(spark):
             assert any(len(sets(i) & sets(j)) / len(sets(i) | sets(j)) >= 0.8 for j in range(len(docs)) if j != i)
 
 
+def test_simhash_links_of_whole_texts_are_compared(spark):
+    """Without sample tables, texts meet by the fingerprints of whole texts alone."""
+    r = random.Random(5)
+    docs = []
+    for _ in range(6):
+        base = " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(2000))
+        fp = simhash.majority(simhash.hashes(base, 5))
+        away = {f"{base} end{i}": ((simhash.majority(simhash.hashes(f"{base} end{i}", 5)) ^ fp) % (1 << 64)).bit_count() for i in range(20)}
+        docs += [base, max((t for t in away if away[t] <= 2), key=away.get)]
+    assert len({simhash.majority(simhash.hashes(t, 5)) for t in docs}) > 6  # not found as equal fingerprints alone
+    df = spark.createDataFrame(list(enumerate([*docs, "a b", "b a", ""])), "doc_id long, text string")
+    assert sorted(x["doc_id"] for x in simhash.keep_one(df, tables=0).collect()) == [0, 2, 4, 6, 8, 10, 12, 13, 14]
+
+
 def test_all_texts_that_meet_are_compared(spark, monkeypatch):
     """Drifting copies: the ends of a chain are alike to their neighbours, to no text that all others meet."""
     monkeypatch.setattr(simhash, "CHUNK", 5)
