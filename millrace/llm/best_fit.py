@@ -24,6 +24,8 @@ from .common import stored
 TOKENIZER, END, SIZE = "word_bpe_49k.json", 0, 2048
 #: Open sequences of a task, and rows of a slot in which open ones of several tasks meet.
 OPEN, SLOT = 256, 100_000
+#: Units a worker keeps (twice as many at times).
+UNITS = 400_000
 ROW = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
@@ -70,7 +72,7 @@ class OpenBins:
 
 def _letters(text: str) -> bool:
     """Whether a text is Latin letters below U+0250, which no normal form changes, and letters in lower case, too."""
-    return text.isalpha() and max(text) < "ɐ" and text.lower().isalpha()
+    return text.isalpha() and (text.isascii() or (max(text) < "ɐ" and text.lower().isalpha()))
 
 
 @lru_cache(maxsize=2)
@@ -83,16 +85,20 @@ def _ids(name: str) -> units.Units:
     """
     own, shown = units.tokenizer(name, False), units.byte_characters()
 
+    of_word = own.model.tokenize
+
     def make(unit: str) -> bytes:
         if len(unit) > 1 and unit[-1] in ".,;:!?" and _letters(unit[-2]):
             return kept[unit[:-1]] + kept[unit[-1]]
         if _letters(unit):
-            ids = [t.id for t in own.model.tokenize("".join([shown[b] for b in unit.lower().encode()]))]
+            word = unit.lower()
+            # letters of ASCII stand for themselves
+            ids = [t.id for t in of_word(word if word.isascii() else "".join([shown[b] for b in word.encode()]))]
         else:
             ids = own.encode(unit, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    kept = units.Units(make)
+    kept = units.Units(make, UNITS)
     return kept
 
 

@@ -85,3 +85,21 @@ def test_small_sequences_and_few_open_ones(spark):
     docs = [(i % 50, " ".join(rng.choice(["a", "the", "erand"]) for _ in range(rng.choice([0, 1, 5, 30, 90])))) for i in range(300)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     check(best_fit.pack(df, size=32, most=4).collect(), docs, 32)
+
+
+def test_units_of_a_large_vocabulary_are_made_once():
+    """420,000 words that come twice: nearly all of the second time are known, and ids don't change."""
+    kept, made = best_fit._ids(best_fit.TOKENIZER), []
+    kept.clear()
+    kept.before = {}
+    make = kept.make
+    kept.make = lambda unit: made.append(1) or make(unit)
+    try:
+        letters = "abcdefghijklmnopqrstuvwxyz"
+        words = [letters[i % 26] + letters[i // 26 % 26] + letters[i // 676 % 26] + letters[i // 17576 % 26] for i in range(420_000)]
+        first = best_fit.token_bytes(" ".join(words), best_fit.TOKENIZER)
+        once = len(made)
+        assert best_fit.token_bytes(" ".join(words), best_fit.TOKENIZER) == first
+        assert once == 420_000 and len(made) - once < 50_000
+    finally:
+        kept.make = make
