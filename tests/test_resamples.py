@@ -6,7 +6,7 @@ from millrace.operators import bootstrap
 from millrace.plans import catalogue, reporting
 
 
-@pytest.mark.parametrize("name", ["ap_ci", "effect_table", "per_level", "per_regime", "recall_ci", "recall_table", "seed_mean_ci"])
+@pytest.mark.parametrize("name", ["ap_ci", "effect_table", "per_level", "per_regime", "recall_ci", "recall_table", "seed_mean_ci", "transfer_table"])
 def test_takes_all_resamples(spark, sf, monkeypatch, name):
     drawn, draws = [], bootstrap.draws
     monkeypatch.setattr(bootstrap, "draws", lambda clusters, resamples, seed=0: drawn.append(resamples) or draws(clusters, 2, seed))
